@@ -9,24 +9,89 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetlens.functions.artifacts import locate
+from fleetlens.functions.commands import (capture_argv, capture_text, transmit_argv,
+                                          transmit_text)
+from fleetlens.functions.flatten import flatten_paths
+from fleetlens.functions.params import render_params
+from fleetlens.functions.paths import basename, parent_dir, url_host, url_path
+from fleetlens.operators.asof import next_event
+from fleetlens.operators.capture import capture_filter
 from fleetlens.operators.dedupe import first_wins, last_wins
+from fleetlens.operators.defaults import apply_defaults
+from fleetlens.operators.explode import explode_params, explode_tasks
+from fleetlens.operators.lifecycle import (current_status, launch_probe, lifecycle_check,
+                                           stop_escalation)
+from fleetlens.operators.ordering import order_tasks, timeline
+from fleetlens.operators.periodic import periodic_stats
 from fleetlens.operators.reconcile import reconcile, status_counts
+from fleetlens.operators.rollup import failure_rollup, required_dirs, retry_outcome
+from fleetlens.operators.routing import registry, route
+from fleetlens.operators.sweep import sweep_grid
 from fleetlens.sources.tables import table
 
-# Full lineitem tie-break: with the order key as destination these columns
-# order the lines of one order totally (whole rows are unique).
+# Full lineitem tie-break: with the order key as destination / run these
+# columns order the lines of one order totally (whole rows are unique).
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
               "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
               "l_linestatus", "l_shipdate"]
 LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
              "l_quantity", "l_extendedprice", "l_discount", "l_tax",
              "l_returnflag", "l_linestatus", "l_shipdate"]
+EVENT_ORDER = ["ts", "event_id"]
+LIFECYCLE_ACTIONS = {"signup": "start", "error": "stop", "purchase": "collect"}
 
 
+def _t(spark, d, name):
+    return table(spark, d, name)
+
+
+# ---- S / P: explode, parameters, defaults, routing, capture ---------------
+
+def q_explode_tasks(spark, d):
+    ev = _t(spark, d, "events").select(
+        "event_id", "user_id", F.from_json("props", "map<string,string>").alias("tasks"))
+    return explode_tasks(ev, "tasks", run_cols=["event_id", "user_id"])
+
+
+def q_explode_params(spark, d):
+    o = _t(spark, d, "orders")
+    m = F.create_map(F.lit("status"), F.col("o_orderstatus"),
+                     F.lit("priority"), F.col("o_orderpriority"),
+                     F.lit("custkey"), F.col("o_custkey").cast("string"))
+    return explode_params(o, m, keep=["o_orderkey"])
+
+
+def q_apply_defaults(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "lang")
+    lab = _t(spark, d, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("_m"))
+    j = docs.join(lab, "doc_id", "left")
+    out = apply_defaults(j, F.col("_m").isNotNull(), {"quality": -1, "toxic": 0},
+                         overrides={"quality": F.when(F.col("toxic") == 1, F.lit(0))})
+    return out.select("doc_id", "lang", "present", "quality", "toxic")
+
+
+def q_route_specs(spark, d):
+    reg = registry(spark, {"click": ("clicks", ["k"]), "view": ("views", ["k"]),
+                           "purchase": ("purchases", ["k"]), "signup": ("signups", ["k"])})
+    ev = _t(spark, d, "events").select(
+        "event_id", "event_type", F.from_json("props", "map<string,string>").alias("m"))
+    return route(ev, reg, "event_type", map_col="m").select(
+        "event_id", "event_type", "handler", "accepted", "reason")
+
+
+def q_capture_filter(spark, d):
+    docs = _t(spark, d, "documents")
+    return capture_filter(docs, F.col("lang") == "en", "text").select(
+        "doc_id", "payload", "orig_len", "truncated")
+
+
+# ---- J: reconcile, next event, sweep --------------------------------------
+
 def _reconciled(spark: SparkSession, d: str) -> DataFrame:
     # expected artifact per order (path = order key); found copies = lines
-    expected = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"))
-    found = table(spark, d, "lineitem").select(
+    expected = _t(spark, d, "orders").select(F.col("o_orderkey").alias("path"))
+    found = _t(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("path"), *[c for c in LINE_COLS if c != "l_orderkey"])
     r = reconcile(expected, found, on=["path"], destination="path", order=LINE_ORDER)
     return r.select(F.col("path").alias("o_orderkey"), "l_partkey", "l_suppkey",
@@ -41,8 +106,29 @@ def q_reconcile_counts(spark, d):
     return status_counts(_reconciled(spark, d))
 
 
+def _events_of(spark, d, types):
+    return _t(spark, d, "events").filter(F.col("event_type").isin(*types))
+
+
+def q_next_event(spark, d):
+    ev = _events_of(spark, d, ["error", "purchase"])
+    x = next_event(ev, ["user_id"], EVENT_ORDER, F.col("event_type") == "error",
+                   F.col("event_type") == "purchase", carry=["event_id"])
+    return x.select("event_id", "user_id", "ts", "next_event_id", "next_ts", "delay_us")
+
+
+def q_sweep_grid(spark, d):
+    return sweep_grid(spark, {
+        "region": _t(spark, d, "region").select("r_name"),
+        "segment": _t(spark, d, "customer").select("c_mktsegment"),
+        "etype": _t(spark, d, "events").select("event_type"),
+    })
+
+
+# ---- A: dedupe, roll-ups, periodic statistics ------------------------------
+
 def _line_dups(spark, d, fn):
-    li = table(spark, d, "lineitem").select(*LINE_COLS)
+    li = _t(spark, d, "lineitem").select(*LINE_COLS)
     order = [c for c in LINE_ORDER if c != "l_linenumber"]
     return fn(li, ["l_orderkey", "l_linenumber"], order)
 
@@ -55,9 +141,169 @@ def q_last_wins(spark, d):
     return _line_dups(spark, d, last_wins)
 
 
+def q_failure_rollup(spark, d):
+    o = _t(spark, d, "orders")
+    return failure_rollup(o, ["o_custkey"], F.col("o_orderstatus") == "P",
+                          F.col("o_orderstatus") == "O")
+
+
+def q_retry_outcome(spark, d):
+    tasks = _t(spark, d, "orders").select(F.col("o_orderkey"))
+    att = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"),
+                                          *[c for c in LINE_COLS if c != "l_orderkey"])
+    return retry_outcome(tasks, att, ["o_orderkey"], LINE_ORDER, F.col("l_returnflag") == "N")
+
+
+def q_required_dirs(spark, d):
+    p = _t(spark, d, "pages").select(url_host("url").alias("host"), url_path("url").alias("path"))
+    return required_dirs(p, "host", "path")
+
+
+def q_periodic_stats(spark, d):
+    ev = _t(spark, d, "events")
+    return periodic_stats(ev, "ts", "1 hour", ["event_type"], "value", tiebreak="event_id")
+
+
+# ---- W: ordering and timeline ---------------------------------------------
+
+def _lines(spark, d):
+    return _t(spark, d, "lineitem").select(*LINE_COLS)
+
+
+def q_order_tasks(spark, d):
+    x = order_tasks(_lines(spark, d), ["l_orderkey"], LINE_ORDER)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    "start_rank", "stop_rank")
+
+
+def q_timeline(spark, d):
+    x = timeline(_lines(spark, d), ["l_orderkey"], LINE_ORDER,
+                 start_cost=F.col("l_quantity").cast("bigint"),
+                 stop_cost=F.col("l_linenumber").cast("bigint"), stop_after=70)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    "start_at", "ready_at", "stop_at")
+
+
+# ---- X: strings, arrays, maps ----------------------------------------------
+
+def q_render_params(spark, d):
+    li = _t(spark, d, "lineitem")
+    return render_params(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"],
+                         key="l_linenumber", value=F.col("l_partkey").cast("string"))
+
+
+def _manifest_inputs(o: DataFrame) -> DataFrame:
+    st = F.col("o_orderstatus")
+    return o.select(
+        "o_orderkey",
+        F.when(st == "F", "snd").when(st == "O", "rcv").otherwise("fwd").alias("role"),
+        F.when(st == "F", F.concat(F.lit("h"), (F.col("o_custkey") % 100).cast("string"))).alias("host"),
+        (F.lit(4000) + F.col("o_custkey") % 1000).cast("string").alias("port"),
+        F.when(st == "P", F.lit(None)).otherwise(
+            F.create_map(F.lit("latency"), (F.col("o_orderkey") % 500).cast("string"),
+                         F.lit("prio"), F.col("o_orderpriority"))).alias("attrs"),
+        F.create_map(F.lit("--prio"), F.col("o_orderpriority"),
+                     F.lit("--enable"), F.when(st == "F", "1").when(st == "O", F.lit(None))
+                                         .otherwise(""),
+                     F.lit("--key"), F.col("o_orderkey").cast("string")).alias("options"),
+        F.col("o_orderpriority").alias("iface"),
+        F.concat(F.lit("trace/"), F.col("o_orderkey").cast("string"), F.lit(".pcapng")).alias("tracefile"))
+
+
+def q_command_manifest(spark, d):
+    x = _manifest_inputs(_t(spark, d, "orders"))
+    x = (x.withColumn("argv", transmit_argv(F.lit("bin/xmit"), "role", "host", "port",
+                                            "attrs", "options"))
+          .withColumn("cargv", capture_argv(F.lit("cap"), "iface", "port", "tracefile")))
+    return x.select("o_orderkey", F.size("argv").cast("bigint").alias("argc"),
+                    transmit_text("argv").alias("command"),
+                    capture_text("cargv").alias("capture_command"))
+
+
+def _page_parts(spark, d):
+    return _t(spark, d, "pages").select(
+        "page_id", url_host("url").alias("origin"), url_path("url").alias("path"))
+
+
+def q_expected_artifacts(spark, d):
+    p = _page_parts(spark, d)
+    return locate(p, "path", F.col("origin"), F.lit("results")).select(
+        "page_id", "path", "parent", "basename", "origin", "destination")
+
+
+def q_flatten_paths(spark, d):
+    p = _page_parts(spark, d)
+    files = p.select("page_id", F.concat(F.col("origin"), parent_dir("path")).alias("dir"),
+                     basename("path").alias("file"))
+    # page_id completes the order: two pages may share a path
+    x = flatten_paths(files, "dir", "file", ["/en", "/fr"], tiebreak=["page_id"])
+    return x.select("page_id", "src", "dst", "subfolder", "kept")
+
+
+# ---- T: lifecycle ----------------------------------------------------------
+
+def _rc(c="value"):
+    return F.floor(F.col(c)).cast("int")
+
+
+def q_current_status(spark, d):
+    ev = _events_of(spark, d, ["signup", "error"])
+    tasks = _t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return current_status(ev, ["user_id"], EVENT_ORDER, F.col("event_type") == "signup",
+                          F.col("event_type") == "error", _rc(), tasks=tasks)
+
+
+def _action():
+    a = None
+    for t, act in LIFECYCLE_ACTIONS.items():
+        a = F.when(F.col("event_type") == t, act) if a is None else a.when(F.col("event_type") == t, act)
+    return a
+
+
+def q_lifecycle_check(spark, d):
+    ev = _events_of(spark, d, list(LIFECYCLE_ACTIONS))
+    x = lifecycle_check(ev, ["user_id"], EVENT_ORDER, _action())
+    return x.select("event_id", "user_id", "action", "verdict")
+
+
+def q_launch_probe(spark, d):
+    ev = _events_of(spark, d, ["signup", "error"]).withColumn("rc", _rc())
+    x = launch_probe(ev, ["user_id"], EVENT_ORDER, F.col("event_type") == "signup",
+                     F.col("event_type") == "error", "rc", grace_s=24 * 3600)
+    return x.select("event_id", "user_id", "ts", "launched", "returncode")
+
+
+def q_stop_escalation(spark, d):
+    ev = _events_of(spark, d, ["error", "purchase"])
+    x = stop_escalation(ev, ["user_id"], EVENT_ORDER, F.col("event_type") == "error",
+                        F.col("event_type") == "purchase", term_s=12 * 3600, kill_s=12 * 3600)
+    return x.select("event_id", "user_id", "ts", "outcome")
+
+
 QUERIES = {
+    "explode_tasks": q_explode_tasks,
+    "explode_params": q_explode_params,
+    "apply_defaults": q_apply_defaults,
+    "route_specs": q_route_specs,
+    "capture_filter": q_capture_filter,
     "reconcile": q_reconcile,
     "reconcile_counts": q_reconcile_counts,
+    "next_event": q_next_event,
+    "sweep_grid": q_sweep_grid,
     "first_wins": q_first_wins,
     "last_wins": q_last_wins,
+    "failure_rollup": q_failure_rollup,
+    "retry_outcome": q_retry_outcome,
+    "required_dirs": q_required_dirs,
+    "periodic_stats": q_periodic_stats,
+    "order_tasks": q_order_tasks,
+    "timeline": q_timeline,
+    "render_params": q_render_params,
+    "command_manifest": q_command_manifest,
+    "expected_artifacts": q_expected_artifacts,
+    "flatten_paths": q_flatten_paths,
+    "current_status": q_current_status,
+    "lifecycle_check": q_lifecycle_check,
+    "launch_probe": q_launch_probe,
+    "stop_escalation": q_stop_escalation,
 }

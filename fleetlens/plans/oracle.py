@@ -1,15 +1,70 @@
 """DuckDB SQL equal in meaning to each registered query (same column names).
 
-The driver tables are registered as views of the same names.
+The driver tables are registered as views of the same names.  Written
+independently of the Spark code: windows and correlated / lateral subqueries
+where the Spark side uses aggregates, joins and generated grids.
 """
 
 LINE_ORDER_SQL = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
                   "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
+LINE_ORDER_DESC_SQL = ", ".join(c.strip() + " DESC" for c in LINE_ORDER_SQL.split(","))
 DUP_ORDER_SQL = ("l_partkey, l_suppkey, l_quantity, l_extendedprice, "
                  "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
+DUP_ORDER_DESC_SQL = ", ".join(c.strip() + " DESC" for c in DUP_ORDER_SQL.split(","))
 LINE_COLS_SQL = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, "
                  "l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
 
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
+URL_PARTS = f"""
+  SELECT page_id,
+         regexp_extract(url, '{SCHEME}([^/?#]*)', 1) AS origin,
+         regexp_extract(url, '{SCHEME}[^/?#]*([^?#]*)', 1) AS path
+  FROM pages"""
+PATH_PARTS = f"""
+  SELECT page_id, origin, path,
+         CASE WHEN strpos(path, '/') > 0 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent,
+         regexp_extract(path, '[^/]*$') AS basename
+  FROM ({URL_PARTS}) u"""
+
+EXPLODE_TASKS = """
+SELECT event_id, user_id, CAST(t.ord - 1 AS INTEGER) AS pos, t.task,
+       json_extract_string(props, '$."' || t.task || '"') AS task_config, t.task AS prefix
+FROM events, unnest(json_keys(props)) WITH ORDINALITY AS t(task, ord)
+"""
+
+EXPLODE_PARAMS = """
+SELECT o_orderkey, CAST(0 AS INTEGER) AS pos, 'status' AS key, o_orderstatus AS value FROM orders
+UNION ALL
+SELECT o_orderkey, CAST(1 AS INTEGER), 'priority', o_orderpriority FROM orders
+UNION ALL
+SELECT o_orderkey, CAST(2 AS INTEGER), 'custkey', CAST(o_custkey AS VARCHAR) FROM orders
+"""
+
+APPLY_DEFAULTS = """
+SELECT d.doc_id, d.lang, l.doc_id IS NOT NULL AS present,
+       COALESCE(CASE WHEN l.toxic = 1 THEN 0 END,
+                CASE WHEN l.doc_id IS NULL THEN -1 ELSE l.quality END) AS quality,
+       CASE WHEN l.doc_id IS NULL THEN 0 ELSE l.toxic END AS toxic
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+"""
+
+ROUTE_SPECS = """
+SELECT e.event_id, e.event_type, r.handler,
+       (r.handler IS NOT NULL AND json_exists(e.props, '$.k')) AS accepted,
+       CASE WHEN r.handler IS NULL THEN 'unknown_type:' || e.event_type
+            WHEN NOT json_exists(e.props, '$.k') THEN 'missing_key:k' END AS reason
+FROM events e
+LEFT JOIN (VALUES ('click', 'clicks'), ('view', 'views'), ('purchase', 'purchases'),
+                  ('signup', 'signups')) r(type, handler)
+  ON e.event_type = r.type
+"""
+
+CAPTURE_FILTER = """
+SELECT doc_id, substring(text, 1, 1500) AS payload, CAST(length(text) AS BIGINT) AS orig_len,
+       length(text) > 1500 AS truncated
+FROM documents WHERE lang = 'en'
+"""
+
 RECONCILE = f"""
 WITH c AS (
   SELECT o.o_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber,
@@ -28,6 +83,31 @@ RECONCILE_COUNTS = f"""
 SELECT status, COUNT(*) AS n_artifacts FROM ({RECONCILE}) t GROUP BY status
 """
 
+
+def _next(kind_from, kind_to, extra=""):
+    return f"""
+  SELECT e.*, n.event_id AS next_event_id, n.ts AS next_ts, n.value AS next_value,
+         CAST(epoch_us(n.ts) - epoch_us(e.ts) AS BIGINT) AS delay_us
+  FROM events e
+  LEFT JOIN LATERAL (
+    SELECT p.event_id, p.ts, p.value FROM events p
+    WHERE p.user_id = e.user_id AND p.event_type = '{kind_to}'
+      AND (p.ts > e.ts OR (p.ts = e.ts AND p.event_id > e.event_id))
+    ORDER BY p.ts, p.event_id LIMIT 1) n ON TRUE
+  WHERE e.event_type = '{kind_from}' {extra}"""
+
+
+NEXT_EVENT = f"""
+SELECT event_id, user_id, ts, next_event_id, next_ts, delay_us FROM ({_next('error', 'purchase')}) x
+"""
+
+SWEEP_GRID = """
+SELECT '_region' || r || '_segment' || s || '_etype' || t AS run, r AS region, s AS segment, t AS etype
+FROM (SELECT DISTINCT r_name AS r FROM region)
+CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer)
+CROSS JOIN (SELECT DISTINCT event_type AS t FROM events)
+"""
+
 FIRST_WINS = f"""
 SELECT {LINE_COLS_SQL},
        ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {DUP_ORDER_SQL}) = 1 AS kept
@@ -36,14 +116,197 @@ FROM lineitem
 
 LAST_WINS = f"""
 SELECT {LINE_COLS_SQL},
-       ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber
-                          ORDER BY {', '.join(c.strip() + ' DESC' for c in DUP_ORDER_SQL.split(','))}) = 1 AS kept
+       ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {DUP_ORDER_DESC_SQL}) = 1 AS kept
+FROM lineitem
+"""
+
+FAILURE_ROLLUP = """
+SELECT o_custkey, COUNT(*) AS n_tasks,
+       COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS n_not_stopped,
+       COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS n_collect_failed,
+       COUNT(*) FILTER (WHERE o_orderstatus = 'P') = 0 AS ok
+FROM orders GROUP BY o_custkey
+"""
+
+RETRY_OUTCOME = f"""
+WITH a AS (
+  SELECT l_orderkey, l_returnflag = 'N' AS ok,
+         ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}) AS rn
+  FROM lineitem),
+s AS (
+  SELECT l_orderkey, COUNT(*) AS n,
+         bool_or(ok) FILTER (WHERE rn = 1) AS f1, bool_or(ok) FILTER (WHERE rn = 2) AS f2
+  FROM a WHERE rn <= 2 GROUP BY l_orderkey)
+SELECT o.o_orderkey, CAST(COALESCE(s.n, 0) AS BIGINT) AS n_attempts,
+       CASE WHEN s.n IS NULL THEN 'skipped' WHEN s.f1 THEN 'ok_first'
+            WHEN s.f2 THEN 'ok_retry' ELSE 'failed' END AS outcome
+FROM orders o LEFT JOIN s ON s.l_orderkey = o.o_orderkey
+"""
+
+REQUIRED_DIRS = f"""
+SELECT DISTINCT origin, parent AS dir FROM ({PATH_PARTS}) p
+"""
+
+PERIODIC_STATS = """
+SELECT date_trunc('hour', ts) AS window_start,
+       date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       event_type, COUNT(*) AS n,
+       CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS sum_value,
+       MIN(value) AS min_value, MAX(value) AS max_value,
+       arg_min(value, (ts, event_id)) AS first_value,
+       arg_max(value, (ts, event_id)) AS last_value
+FROM events GROUP BY 1, 2, 3
+"""
+
+ORDER_TASKS = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}) AS start_rank,
+       ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_DESC_SQL}) AS stop_rank
 FROM lineitem
 """
 
+TIMELINE = f"""
+WITH c AS (SELECT *, CAST(trunc(l_quantity) AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS s
+           FROM lineitem),
+t AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, q,
+         CAST(COALESCE(SUM(q) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_SQL}
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at,
+         CAST(SUM(q) OVER (PARTITION BY l_orderkey) + 70 AS BIGINT) AS run_end,
+         CAST(COALESCE(SUM(s) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER_DESC_SQL}
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stop_wait
+  FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, start_at,
+       start_at + q AS ready_at, run_end + stop_wait AS stop_at
+FROM t
+"""
+
+RENDER_PARAMS = """
+SELECT l_orderkey,
+       string_agg(CAST(l_linenumber AS VARCHAR) || '=' || CAST(l_partkey AS VARCHAR), '&'
+                  ORDER BY l_linenumber, l_partkey, l_suppkey) AS params
+FROM lineitem GROUP BY l_orderkey
+"""
+
+COMMAND_MANIFEST = """
+WITH m AS (
+  SELECT o_orderkey, o_orderstatus AS st, o_orderpriority AS prio,
+         CAST(4000 + o_custkey % 1000 AS VARCHAR) AS port,
+         CASE WHEN o_orderstatus = 'F' THEN 'h' || CAST(o_custkey % 100 AS VARCHAR) ELSE '' END AS host,
+         CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN NULL ELSE '' END AS enable
+  FROM orders)
+SELECT o_orderkey,
+       CAST(1 + CASE WHEN st IN ('F', 'O') THEN 1 ELSE 0 END + 1 + 2
+            + CASE WHEN enable IS NULL OR enable = '' THEN 1 ELSE 2 END + 2 AS BIGINT) AS argc,
+       'bin/xmit'
+         || CASE st WHEN 'F' THEN ' generate' WHEN 'O' THEN ' receive' ELSE '' END
+         || ' "srt://' || host || ':' || port
+         || CASE WHEN st = 'P' THEN '' ELSE '?latency=' || CAST(o_orderkey % 500 AS VARCHAR) || '&prio=' || prio END
+         || '"'
+         || ' --prio ' || prio
+         || ' --enable' || CASE WHEN enable IS NULL OR enable = '' THEN '' ELSE ' ' || enable END
+         || ' --key ' || CAST(o_orderkey AS VARCHAR) AS command,
+       'cap -i ' || CASE WHEN strpos(prio, ' ') > 0 THEN '"' || prio || '"' ELSE prio END
+         || ' -f "udp port ' || port || '" -s 1500 -w trace/' || CAST(o_orderkey AS VARCHAR) || '.pcapng'
+         AS capture_command
+FROM m
+"""
+
+EXPECTED_ARTIFACTS = f"""
+SELECT page_id, path, parent, basename, origin,
+       concat_ws('/', 'results', origin, basename) AS destination
+FROM ({PATH_PARTS}) p
+"""
+
+FLATTEN_PATHS = f"""
+WITH f AS (SELECT page_id, origin || parent AS dir, basename AS file FROM ({PATH_PARTS}) p),
+m AS (SELECT *, CASE WHEN strpos(dir, '/en') > 0 THEN 0 WHEN strpos(dir, '/fr') > 0 THEN 1 END AS idx
+      FROM f),
+n AS (SELECT *, CASE idx WHEN 0 THEN '/en' ELSE '/fr' END AS subfolder FROM m WHERE idx IS NOT NULL),
+o AS (SELECT page_id, idx, subfolder, dir || '/' || file AS src,
+             substr(dir, 1, strpos(dir, subfolder) - 1)
+               || substr(dir, strpos(dir, subfolder) + length(subfolder)) || '/' || file AS dst
+      FROM n)
+SELECT page_id, src, dst, subfolder,
+       ROW_NUMBER() OVER (PARTITION BY dst ORDER BY idx DESC, src DESC, page_id DESC) = 1 AS kept
+FROM o
+"""
+
+CURRENT_STATUS = """
+WITH r AS (
+  SELECT user_id, event_type = 'signup' AS s, CAST(floor(value) AS INTEGER) AS rc,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events WHERE event_type IN ('signup', 'error'))
+SELECT c.c_custkey AS user_id,
+       CASE WHEN r.user_id IS NULL OR NOT r.s THEN 'idle' ELSE 'running' END AS status,
+       CASE WHEN NOT r.s THEN r.rc END AS returncode
+FROM customer c LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON r.user_id = c.c_custkey
+"""
+
+LIFECYCLE_CHECK = """
+WITH a AS (
+  SELECT event_id, user_id, ts,
+         CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'stop'
+                         WHEN 'purchase' THEN 'collect' END AS action
+  FROM events WHERE event_type IN ('signup', 'error', 'purchase')),
+b AS (
+  SELECT *, COALESCE(bool_or(action = 'start') OVER (PARTITION BY user_id ORDER BY ts, event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS started
+  FROM a),
+c AS (
+  SELECT *, COALESCE(bool_or(action = 'stop' AND started) OVER (PARTITION BY user_id ORDER BY ts, event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped
+  FROM b)
+SELECT event_id, user_id, action,
+       CASE action
+         WHEN 'start' THEN CASE WHEN started THEN 'already_started' ELSE 'ok' END
+         WHEN 'stop' THEN CASE WHEN NOT started THEN 'not_started' WHEN stopped THEN 'noop' ELSE 'ok' END
+         WHEN 'collect' THEN CASE WHEN NOT started THEN 'not_started'
+                                  WHEN NOT stopped THEN 'still_running' ELSE 'ok' END
+       END AS verdict
+FROM c
+"""
+
+LAUNCH_PROBE = f"""
+SELECT event_id, user_id, ts,
+       NOT COALESCE(delay_us <= 86400000000, false) AS launched,
+       CASE WHEN delay_us <= 86400000000 THEN CAST(floor(next_value) AS INTEGER) END AS returncode
+FROM ({_next('signup', 'error')}) x
+"""
+
+STOP_ESCALATION = f"""
+SELECT event_id, user_id, ts,
+       CASE WHEN delay_us IS NULL THEN 'not_stopped'
+            WHEN delay_us <= 43200000000 THEN 'terminated'
+            WHEN delay_us <= 86400000000 THEN 'killed'
+            ELSE 'not_stopped' END AS outcome
+FROM ({_next('error', 'purchase')}) x
+"""
+
 ORACLE = {
+    "explode_tasks": EXPLODE_TASKS,
+    "explode_params": EXPLODE_PARAMS,
+    "apply_defaults": APPLY_DEFAULTS,
+    "route_specs": ROUTE_SPECS,
+    "capture_filter": CAPTURE_FILTER,
     "reconcile": RECONCILE,
     "reconcile_counts": RECONCILE_COUNTS,
+    "next_event": NEXT_EVENT,
+    "sweep_grid": SWEEP_GRID,
     "first_wins": FIRST_WINS,
     "last_wins": LAST_WINS,
+    "failure_rollup": FAILURE_ROLLUP,
+    "retry_outcome": RETRY_OUTCOME,
+    "required_dirs": REQUIRED_DIRS,
+    "periodic_stats": PERIODIC_STATS,
+    "order_tasks": ORDER_TASKS,
+    "timeline": TIMELINE,
+    "render_params": RENDER_PARAMS,
+    "command_manifest": COMMAND_MANIFEST,
+    "expected_artifacts": EXPECTED_ARTIFACTS,
+    "flatten_paths": FLATTEN_PATHS,
+    "current_status": CURRENT_STATUS,
+    "lifecycle_check": LIFECYCLE_CHECK,
+    "launch_probe": LAUNCH_PROBE,
+    "stop_escalation": STOP_ESCALATION,
 }
