@@ -307,3 +307,53 @@ QUERIES = {
     "launch_probe": q_launch_probe,
     "stop_escalation": q_stop_escalation,
 }
+
+
+# ---- S3 and streams: data written / streamed from the driver tables --------
+
+TS_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def q_read_stats(spark, d):
+    """Round trip: events written as CSV files in the collected layout
+    (run = event type, origin = user bucket), read back with lineage."""
+    from fleetlens.session import shared_dir
+    from fleetlens.sources.stats import read_stats
+    root = shared_dir(spark, "stats")
+    ev = _t(spark, d, "events")
+    (ev.select(F.col("event_type").alias("run"),
+               F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("origin"),
+               "event_id", "ts", "user_id", "value", "props")
+       .write.partitionBy("run", "origin").option("header", True)
+       .option("timestampNTZFormat", TS_MICROS).csv(root))
+    schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, value DOUBLE, props STRING"
+    st = read_stats(spark, root, globs=("*.csv",), schema=schema, timestampNTZFormat=TS_MICROS)
+    return st.select("run", "origin", "event_id", "ts", "user_id", "value", "props")
+
+
+def _event_stream(spark, d):
+    from fleetlens.streaming.runner import file_stream
+    schema = _t(spark, d, "events").schema
+    return file_stream(spark, d, schema, glob="events.parquet")
+
+
+def q_periodic_stats_stream(spark, d):
+    from fleetlens.streaming.periodic import periodic_stats_stream
+    from fleetlens.streaming.runner import drain_to_parquet
+    s = periodic_stats_stream(_event_stream(spark, d), "ts", "1 hour", ["event_type"], "value",
+                              lateness="1 hour", tiebreak="event_id")
+    return drain_to_parquet(spark, s, "periodic-stream")
+
+
+def q_lifecycle_stream(spark, d):
+    from fleetlens.streaming.lifecycle import lifecycle_stream
+    from fleetlens.streaming.runner import drain_to_parquet
+    s = _event_stream(spark, d).filter(F.col("event_type").isin(*LIFECYCLE_ACTIONS))
+    return drain_to_parquet(spark, lifecycle_stream(s, _action()), "lifecycle-stream")
+
+
+QUERIES.update({
+    "read_stats": q_read_stats,
+    "periodic_stats_stream": q_periodic_stats_stream,
+    "lifecycle_stream": q_lifecycle_stream,
+})

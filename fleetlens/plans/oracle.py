@@ -310,3 +310,22 @@ ORACLE = {
     "launch_probe": LAUNCH_PROBE,
     "stop_escalation": STOP_ESCALATION,
 }
+
+READ_STATS = """
+SELECT event_type AS run, 'u' || CAST(user_id % 4 AS VARCHAR) AS origin,
+       event_id, ts, user_id, value, props
+FROM events
+"""
+
+# append mode emits a window once the watermark (max event time - 1 hour)
+# has passed its end
+PERIODIC_STATS_STREAM = f"""
+SELECT * FROM ({PERIODIC_STATS}) s
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+"""
+
+ORACLE.update({
+    "read_stats": READ_STATS,
+    "periodic_stats_stream": PERIODIC_STATS_STREAM,
+    "lifecycle_stream": LIFECYCLE_CHECK,
+})
