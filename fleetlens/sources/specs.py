@@ -50,7 +50,7 @@ def read_specs(spark: SparkSession, glob: str) -> DataFrame:
     """``run`` (file path), ``collect_results_path``, ``stop_after``,
     ``ignore_stop_order``, ``tasks`` (ordered map of task structs, each with
     ``obj_config_keys`` / ``runner_config_keys``), ``malformed``."""
-    raw = (spark.read.option("wholetext", True).text(glob)
+    raw = (spark.read.text(glob, wholetext=True)
                 .select(F.col("_metadata.file_path").alias("run"), "value"))
     p = raw.select("run", F.from_json("value", SPEC).alias("s"),
                    F.from_json("value", SPEC_KEYS).alias("k"))

@@ -2,10 +2,15 @@
 
 Loads the collected statistics / metrics CSVs of all runs as one table, with
 lineage ``run``, ``origin`` and ``file`` parsed from the collected layout
-``<root>/<run>/<origin>/<file>`` (a ``name=value`` folder also works).  The CSV
-columns are not fixed anywhere, so the reader is schema-agnostic: header on,
-schema given or inferred.  Files of one kind (one glob) share a header; kinds
-with different headers are merged by column name.
+``<root>/<run>/<origin>/<file>`` (``depth=2``; a flattened tree
+``<root>/<run>/<file>`` is ``depth=1``; a ``name=value`` folder also works).
+The CSV columns are not fixed anywhere, so the reader is schema-agnostic:
+header on, schema given or inferred.  Files of one kind (one glob) share a
+header; kinds with different headers are merged by column name.
+
+Run folders are commonly named ``_<param><value>...``; Spark's directory
+listing skips names starting with ``_``, so the reader globs straight to the
+leaf files, which globbing does not filter.
 """
 
 from __future__ import annotations
@@ -15,24 +20,28 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def _lineage(root: str) -> list:
+def _lineage(root: str, depth: int) -> list:
     base = root.rstrip("/").replace("file:", "")
     rel = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:", ""),
                            "^" + base.replace(".", r"\.") + "/", "")
     seg = lambda i: F.regexp_replace(F.split(rel, "/").getItem(i), "^[^=/]*=", "")
-    return [seg(0).alias("run"), seg(1).alias("origin"),
+    origin = seg(1) if depth >= 2 else F.lit(None).cast("string")
+    return [seg(0).alias("run"), origin.alias("origin"),
             F.substring_index(rel, "/", -1).alias("file")]
 
 
 def read_stats(spark: SparkSession, root: str, globs=("*.csv",), schema=None,
-               **options) -> DataFrame:
-    """One read per glob (``pathGlobFilter``), unioned by column name;
+               depth: int = 2, **options) -> DataFrame:
+    """One read per glob (file-name pattern), unioned by column name;
     ``options`` go to the CSV reader (formats, separators, ...)."""
     parts = []
+    levels = "/".join(["*"] * depth)
     for g in globs:
+        # leaf files are matched by the glob itself; recursive lookup keeps
+        # name=value folders from being read as partition columns
         r = (spark.read.option("header", True).option("recursiveFileLookup", True)
-                  .option("pathGlobFilter", g).options(**options))
+                  .options(**options))
         r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        df = r.csv(root)
-        parts.append(df.select(*_lineage(root), *[F.col(f"`{c}`") for c in df.columns]))
+        df = r.csv(f"{root.rstrip('/')}/{levels}/{g}")
+        parts.append(df.select(*_lineage(root, depth), *[F.col(f"`{c}`") for c in df.columns]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

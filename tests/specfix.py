@@ -1,0 +1,60 @@
+"""Spec fixtures (own paths, documentation-range addresses)."""
+
+import json
+import os
+
+from fleetlens.fixed import (CAPTURE_TYPE, LOCAL_RUNNER, REMOTE_RUNNER, TRANSMIT_TYPE)
+
+
+def capture(iface="en0", port="4200", trace="_tmp/snd-tracefile.pcapng", path="capbin"):
+    return {"path": path, "interface": iface, "port": port, "tracefile_path": trace}
+
+
+def transmit(role, port="4200", host=None, attrs=None, options=None, path="bin/xmit", **extra):
+    c = {"type": role, "path": path, "port": port}
+    if host is not None:
+        c["host"] = host
+    if attrs is not None:
+        c["attrs_values"] = attrs
+    if options is not None:
+        c["options_values"] = options
+    c.update(extra)
+    return c
+
+
+def task(obj_type, obj_config, runner="local", user=None, host=None, **kw):
+    rc = {} if runner == "local" else {"username": user, "host": host}
+    t = {"obj_type": obj_type, "obj_config": obj_config,
+         "runner_type": LOCAL_RUNNER if runner == "local" else REMOTE_RUNNER,
+         "runner_config": rc, "sleep_after_start": None, "sleep_after_stop": None,
+         "stop_order": None}
+    t.update(kw)
+    return t
+
+
+def spec(tasks, results="_results", stop_after=70):
+    return {"collect_results_path": results, "stop_after": stop_after,
+            "ignore_stop_order": True, "tasks": tasks}
+
+
+def write_text(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    p = os.path.join(folder, name)
+    with open(p, "w") as f:
+        f.write(text)
+    return p
+
+
+def write_spec(folder, name, s):
+    return write_text(folder, name, json.dumps(s, indent=2))
+
+
+SPEC_BASIC = spec({
+    "1": task(CAPTURE_TYPE, capture(iface="en0", trace="_tmp/snd-tracefile.pcapng")),
+    "2": task(TRANSMIT_TYPE, transmit(
+        "rcv", attrs={"rcvbuf": "1000000000", "sndbuf": "1000000000", "latency": "400"},
+        options={"--msgsize": "1316", "--statsfile": "/data/exp/rcv-stats.csv",
+                 "--statsfreq": "1s", "--enable-metrics": None,
+                 "--metricsfile": "/data/exp/rcv-metrics.csv"}),
+        runner="remote", user="tester", host="192.0.2.10"),
+})
