@@ -9,12 +9,16 @@ evaluated incrementally (linear), unlike ``rowsBetween(1, unboundedFollowing)``
 which recomputes each frame.
 
 Only rows that are ``from`` or ``to`` enter the window; that filter is pushed
-into the scan.
+into the scan.  The window runs as a segmented scan (``plans.scan``): a key
+with very many events is cut into time buckets, each its own task, and the
+nearest match of a later bucket is carried back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
 
 
 def delay_us(a, b) -> Column:
@@ -23,20 +27,19 @@ def delay_us(a, b) -> Column:
 
 
 def next_event(df: DataFrame, key, order, is_from: Column, is_to: Column,
-               carry, ts: str = "ts", prefix: str = "next_") -> DataFrame:
+               carry, ts: str = "ts", prefix: str = "next_",
+               hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of ``df`` where ``is_from`` holds, plus ``next_<c>`` for each
     column of ``carry`` taken from the nearest later ``is_to`` row of the same
     key, and ``delay_us`` (null when there is none)."""
     key, order, carry = list(key), list(order), list(carry)
     if ts not in carry:
         carry = [ts] + carry
-    w = (Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
-               .rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.last(F.when(is_to, F.struct(*[F.col(c) for c in carry])), ignorenulls=True).over(w)
     x = (df.filter(is_from | is_to)
            .withColumn("_ne_from", is_from)
-           .withColumn("_ne_next", nxt)
-           .filter("_ne_from"))
-    x = x.select(*[c for c in df.columns],
-                 *[F.col(f"_ne_next.{c}").alias(prefix + c) for c in carry])
-    return x.withColumn("delay_us", delay_us(f"`{ts}`", f"`{prefix}{ts}`"))
+           .withColumn("_ne_to", F.when(is_to, F.struct(*[F.col(c) for c in carry]))))
+    s = prefix_scan(bucketize(x, key, order, hot_rows), key, order,
+                    [("_ne_next", "last", F.col("_ne_to"))], descending=True)
+    s = s.filter("_ne_from").select(*df.columns,
+                                    *[F.col(f"_ne_next.{c}").alias(prefix + c) for c in carry])
+    return s.withColumn("delay_us", delay_us(f"`{ts}`", f"`{prefix}{ts}`"))

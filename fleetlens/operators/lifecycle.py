@@ -8,8 +8,9 @@
   started (restarts are never allowed).  ``stop``: error if not started, no-op
   if already stopped.  ``collect``: error if not started or not stopped.
   Errors change no state; a failed stop leaves the task not stopped.  The
-  sticky ``started`` / ``stopped`` flags are running maxima over the rows
-  strictly before the current one.
+  sticky ``started`` / ``stopped`` flags are running "any" over the rows
+  strictly before the current one, computed as segmented scans
+  (``plans.scan``) so a task with very many events spreads over tasks.
 * T3 ``launch_probe``: a start succeeds only if no exit follows within the
   grace time (5 s local, 11 s remote); an exit inside the grace is a failed
   launch even with code 0.
@@ -20,10 +21,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.fixed import KILL_WAIT_S, STATUS_IDLE, STATUS_RUNNING, TERMINATE_WAIT_S
 from fleetlens.operators.asof import next_event
+from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
 
 US = 1_000_000
 
@@ -46,34 +48,37 @@ def current_status(events: DataFrame, key, order, is_start: Column, is_exit: Col
 
 
 def lifecycle_check(events: DataFrame, key, order, action: Column,
-                    stop_ok: Column | None = None, verdict: str = "verdict") -> DataFrame:
+                    stop_ok: Column | None = None, verdict: str = "verdict",
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """``action`` maps each row to ``start`` / ``stop`` / ``collect`` (other
     values and nulls are left out).  ``stop_ok`` (default true) says whether a
     legal stop succeeded."""
     key, order = list(key), list(order)
-    w = (Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in order])
-               .rowsBetween(Window.unboundedPreceding, -1))
     ok = F.lit(True) if stop_ok is None else F.coalesce(stop_ok, F.lit(False))
     x = (events.withColumn("action", action).filter(F.col("action").isNotNull())
                .withColumn("_lc_ok", ok))
-    x = x.withColumn("started", F.coalesce(F.max(F.col("action") == "start").over(w), F.lit(False)))
+    b = bucketize(x, key, order, hot_rows)
+    x = prefix_scan(b, key, order, [("started", "or", F.col("action") == "start")])
+    x = x.withColumn("started", F.coalesce(F.col("started"), F.lit(False)))
     x = x.withColumn("_lc_stop", (F.col("action") == "stop") & F.col("started") & F.col("_lc_ok"))
-    x = x.withColumn("stopped", F.coalesce(F.max("_lc_stop").over(w), F.lit(False)))
+    x = prefix_scan(x, key, order, [("stopped", "or", F.col("_lc_stop"))])
+    x = x.withColumn("stopped", F.coalesce(F.col("stopped"), F.lit(False)))
     a, st, sp = F.col("action"), F.col("started"), F.col("stopped")
     v = (F.when(a == "start", F.when(st, "already_started").otherwise("ok"))
           .when(a == "stop", F.when(~st, "not_started").when(sp, "noop")
                               .when(F.col("_lc_ok"), "ok").otherwise("failed"))
           .when(a == "collect", F.when(~st, "not_started").when(~sp, "still_running")
                                  .otherwise("ok")))
-    return x.withColumn(verdict, v).drop("_lc_ok", "_lc_stop")
+    return x.withColumn(verdict, v).drop("_lc_ok", "_lc_stop", B, HOT)
 
 
 def launch_probe(events: DataFrame, key, order, is_start: Column, is_exit: Column,
-                 returncode: str, grace_s, ts: str = "ts") -> DataFrame:
+                 returncode: str, grace_s, ts: str = "ts", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Start rows plus ``launched`` and ``returncode`` (the exit code of a
     failed launch).  ``grace_s`` is a number or a column (seconds)."""
     g = (grace_s if isinstance(grace_s, Column) else F.lit(grace_s)).cast("bigint")
-    x = next_event(events, key, order, is_start, is_exit, carry=[returncode], ts=ts)
+    x = next_event(events, key, order, is_start, is_exit, carry=[returncode], ts=ts,
+                   hot_rows=hot_rows)
     inside = F.col("delay_us").isNotNull() & (F.col("delay_us") <= g * F.lit(US))
     return (x.withColumn("launched", ~inside)
              .withColumn("returncode", F.when(inside, F.col(f"next_{returncode}").cast("int"))))
@@ -81,11 +86,12 @@ def launch_probe(events: DataFrame, key, order, is_start: Column, is_exit: Colum
 
 def stop_escalation(events: DataFrame, key, order, is_stop: Column, is_exit: Column,
                     term_s=TERMINATE_WAIT_S, kill_s=KILL_WAIT_S,
-                    already_idle: Column | None = None, ts: str = "ts") -> DataFrame:
+                    already_idle: Column | None = None, ts: str = "ts",
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Stop-request rows plus ``outcome``."""
     t = (term_s if isinstance(term_s, Column) else F.lit(term_s)).cast("bigint")
     k = (kill_s if isinstance(kill_s, Column) else F.lit(kill_s)).cast("bigint")
-    x = next_event(events, key, order, is_stop, is_exit, carry=[], ts=ts)
+    x = next_event(events, key, order, is_stop, is_exit, carry=[], ts=ts, hot_rows=hot_rows)
     if already_idle is not None:
         x = x.withColumn("_se_idle", already_idle)
     d = F.col("delay_us")

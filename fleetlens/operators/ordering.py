@@ -10,14 +10,19 @@ start costs its probe wait plus its sleep; then the experiment runs for
 ``stop_after``; then tasks stop in stop order, each followed by its sleep.  It
 is a lower bound (directory creation, polling and copy time are not known).
 
-Both are running window aggregates over one run.  A run is one window
-partition: runs are keyed per experiment, which bounds them by the spec size.
+Both are running aggregates over one run, computed as segmented scans
+(``plans.scan``): a run with very many tasks is cut into buckets of its
+position, each its own task.  ``honor_stop_order=True`` orders stops by a
+second column, which the position buckets do not follow; that mode uses a
+plain window per run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
+
 
 def _stop_keys(order, honor_stop_order: bool, stop_order: str | None):
     rev = [F.col(c).desc() for c in order]
@@ -28,31 +33,49 @@ def _stop_keys(order, honor_stop_order: bool, stop_order: str | None):
 
 def order_tasks(tasks: DataFrame, key, order, honor_stop_order: bool = False,
                 stop_order: str | None = "stop_order",
-                start_rank: str = "start_rank", stop_rank: str = "stop_rank") -> DataFrame:
+                start_rank: str = "start_rank", stop_rank: str = "stop_rank",
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     key, order = list(key), list(order)
-    ws = Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in order])
-    wt = Window.partitionBy(*key).orderBy(*_stop_keys(order, honor_stop_order, stop_order))
-    return (tasks.withColumn(start_rank, F.row_number().over(ws).cast("bigint"))
-                 .withColumn(stop_rank, F.row_number().over(wt).cast("bigint")))
+    if honor_stop_order and stop_order:
+        ws = Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in order])
+        wt = Window.partitionBy(*key).orderBy(*_stop_keys(order, True, stop_order))
+        return (tasks.withColumn(start_rank, F.row_number().over(ws).cast("bigint"))
+                     .withColumn(stop_rank, F.row_number().over(wt).cast("bigint")))
+    b = bucketize(tasks, key, order, hot_rows)
+    s = prefix_scan(b, key, order, [("_ot_up", "count", None)])
+    s = prefix_scan(s, key, order, [("_ot_down", "count", None)], descending=True)
+    return (s.withColumn(start_rank, (F.col("_ot_up") + 1).cast("bigint"))
+             .withColumn(stop_rank, (F.col("_ot_down") + 1).cast("bigint"))
+             .drop("_ot_up", "_ot_down", B, HOT))
 
 
 def timeline(tasks: DataFrame, key, order, start_cost: Column, stop_cost: Column,
              stop_after, ready_offset: Column | None = None,
-             honor_stop_order: bool = False, stop_order: str | None = "stop_order") -> DataFrame:
+             honor_stop_order: bool = False, stop_order: str | None = "stop_order",
+             hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``start_at``, ``ready_at`` and ``stop_at`` (same unit as the
     costs).  ``ready_offset`` (default: the whole start cost) is the part of
     the start cost after which the task counts as ready."""
     key, order = list(key), list(order)
     sa = stop_after if isinstance(stop_after, Column) else F.lit(stop_after)
     ro = start_cost if ready_offset is None else ready_offset
-    before = Window.unboundedPreceding, -1
-    ws = Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in order]).rowsBetween(*before)
-    wt = (Window.partitionBy(*key).orderBy(*_stop_keys(order, honor_stop_order, stop_order))
-                .rowsBetween(*before))
-    wall = Window.partitionBy(*key)
-    x = (tasks.withColumn("_tl_sc", start_cost).withColumn("_tl_pc", stop_cost)
-              .withColumn("start_at", F.coalesce(F.sum("_tl_sc").over(ws), F.lit(0)))
-              .withColumn("ready_at", F.col("start_at") + ro)
-              .withColumn("_tl_run", F.sum("_tl_sc").over(wall) + sa)
-              .withColumn("stop_at", F.col("_tl_run") + F.coalesce(F.sum("_tl_pc").over(wt), F.lit(0))))
-    return x.drop("_tl_sc", "_tl_pc", "_tl_run")
+    x = tasks.withColumn("_tl_sc", start_cost).withColumn("_tl_pc", stop_cost) \
+             .withColumn("_tl_ro", ro)
+    if honor_stop_order and stop_order:
+        before = Window.unboundedPreceding, -1
+        ws = Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in order]).rowsBetween(*before)
+        wt = (Window.partitionBy(*key).orderBy(*_stop_keys(order, True, stop_order))
+                    .rowsBetween(*before))
+        x = (x.withColumn("_tl_before", F.sum("_tl_sc").over(ws))
+              .withColumn("_tl_total", F.sum("_tl_sc").over(Window.partitionBy(*key)))
+              .withColumn("_tl_stopwait", F.sum("_tl_pc").over(wt)))
+    else:
+        b = bucketize(x, key, order, hot_rows)
+        x = prefix_scan(b, key, order, [("_tl_before", "sum", F.col("_tl_sc")),
+                                        ("_tl_total", "total", F.col("_tl_sc"))])
+        x = prefix_scan(x, key, order, [("_tl_stopwait", "sum", F.col("_tl_pc"))],
+                        descending=True).drop(B, HOT)
+    x = (x.withColumn("start_at", F.coalesce(F.col("_tl_before"), F.lit(0)))
+          .withColumn("ready_at", F.col("start_at") + F.col("_tl_ro"))
+          .withColumn("stop_at", F.col("_tl_total") + sa + F.coalesce(F.col("_tl_stopwait"), F.lit(0))))
+    return x.drop("_tl_sc", "_tl_pc", "_tl_ro", "_tl_before", "_tl_total", "_tl_stopwait")

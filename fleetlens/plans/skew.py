@@ -42,15 +42,20 @@ def flag_extreme(df: DataFrame, keys, order, first: bool = True,
     """All rows of ``df`` plus a boolean ``flag``: true for the first
     (``first=True``) or last row of each key under ``order``.
 
+    The winners come from ``row_number() <= 1`` (partial WindowGroupLimit
+    before the exchange: each map task forwards one row per key, so a hot key
+    is reduced map-side) and are joined back on key *and* order columns with
+    null-safe equality; hashing on all of them spreads a hot key's rows.
     Rows whose order values are identical are indistinguishable copies; all
     such copies of the winner are flagged.
     """
-    win = extremes(df, keys, order, first, "_fx_ord").withColumn("_fx_win", F.lit(True))
-    left = df.withColumn("_fx_ord", order_struct(order)).alias("_l")
-    right = win.alias("_r")
+    keys, order = list(keys), list(order)
+    sort = [F.col(c).asc_nulls_first() if first else F.col(c).desc_nulls_last() for c in order]
+    win = (top_n(df.select(*keys, *order), keys, sort, 1, rank="_fx_rank")
+           .drop("_fx_rank").withColumn("_fx_win", F.lit(True)))
+    left, right = df.alias("_l"), win.alias("_r")
     cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
-                  + [F.col("_l._fx_ord").eqNullSafe(F.col("_r._fx_ord"))])
+                  [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in keys + order])
     out = left.join(right, cond, "left")
     return out.select(*[F.col(f"_l.{c}") for c in df.columns],
                       F.coalesce(F.col("_r._fx_win"), F.lit(False)).alias(flag))
