@@ -57,11 +57,11 @@ def lifecycle_check(events: DataFrame, key, order, action: Column,
     ok = F.lit(True) if stop_ok is None else F.coalesce(stop_ok, F.lit(False))
     x = (events.withColumn("action", action).filter(F.col("action").isNotNull())
                .withColumn("_lc_ok", ok))
-    b = bucketize(x, key, order, hot_rows)
-    x = prefix_scan(b, key, order, [("started", "or", F.col("action") == "start")])
+    b, seg = bucketize(x, key, order, hot_rows)
+    x = prefix_scan(b, key, order, [("started", "or", F.col("action") == "start")], segmented=seg)
     x = x.withColumn("started", F.coalesce(F.col("started"), F.lit(False)))
     x = x.withColumn("_lc_stop", (F.col("action") == "stop") & F.col("started") & F.col("_lc_ok"))
-    x = prefix_scan(x, key, order, [("stopped", "or", F.col("_lc_stop"))])
+    x = prefix_scan(x, key, order, [("stopped", "or", F.col("_lc_stop"))], segmented=seg)
     x = x.withColumn("stopped", F.coalesce(F.col("stopped"), F.lit(False)))
     a, st, sp = F.col("action"), F.col("started"), F.col("stopped")
     v = (F.when(a == "start", F.when(st, "already_started").otherwise("ok"))

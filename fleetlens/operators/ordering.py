@@ -41,9 +41,9 @@ def order_tasks(tasks: DataFrame, key, order, honor_stop_order: bool = False,
         wt = Window.partitionBy(*key).orderBy(*_stop_keys(order, True, stop_order))
         return (tasks.withColumn(start_rank, F.row_number().over(ws).cast("bigint"))
                      .withColumn(stop_rank, F.row_number().over(wt).cast("bigint")))
-    b = bucketize(tasks, key, order, hot_rows)
-    s = prefix_scan(b, key, order, [("_ot_up", "count", None)])
-    s = prefix_scan(s, key, order, [("_ot_down", "count", None)], descending=True)
+    b, seg = bucketize(tasks, key, order, hot_rows)
+    s = prefix_scan(b, key, order, [("_ot_up", "count", None)], segmented=seg)
+    s = prefix_scan(s, key, order, [("_ot_down", "count", None)], descending=True, segmented=seg)
     return (s.withColumn(start_rank, (F.col("_ot_up") + 1).cast("bigint"))
              .withColumn(stop_rank, (F.col("_ot_down") + 1).cast("bigint"))
              .drop("_ot_up", "_ot_down", B, HOT))
@@ -70,11 +70,11 @@ def timeline(tasks: DataFrame, key, order, start_cost: Column, stop_cost: Column
               .withColumn("_tl_total", F.sum("_tl_sc").over(Window.partitionBy(*key)))
               .withColumn("_tl_stopwait", F.sum("_tl_pc").over(wt)))
     else:
-        b = bucketize(x, key, order, hot_rows)
+        b, seg = bucketize(x, key, order, hot_rows)
         x = prefix_scan(b, key, order, [("_tl_before", "sum", F.col("_tl_sc")),
-                                        ("_tl_total", "total", F.col("_tl_sc"))])
+                                        ("_tl_total", "total", F.col("_tl_sc"))], segmented=seg)
         x = prefix_scan(x, key, order, [("_tl_stopwait", "sum", F.col("_tl_pc"))],
-                        descending=True).drop(B, HOT)
+                        descending=True, segmented=seg).drop(B, HOT)
     x = (x.withColumn("start_at", F.coalesce(F.col("_tl_before"), F.lit(0)))
           .withColumn("ready_at", F.col("start_at") + F.col("_tl_ro"))
           .withColumn("stop_at", F.col("_tl_total") + sa + F.coalesce(F.col("_tl_stopwait"), F.lit(0))))

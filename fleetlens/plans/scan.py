@@ -20,6 +20,10 @@ its leading order value, so the work of a hot key spreads over many tasks:
 Measure kinds: ``count`` (rows before), ``sum``, ``or`` (any true before),
 ``last`` (nearest earlier non-null value) and ``total`` (whole key).  With
 ``descending=True`` "before" means later in the order.
+
+When the stats show no hot key at all (one small job that returns a single
+scalar), steps 1 and 3 are left out of the plan and the scan is a plain
+window per key: no extra joins for data that does not need them.
 """
 
 from __future__ import annotations
@@ -47,8 +51,10 @@ def order_number(df: DataFrame, col: str) -> Column:
     return c
 
 
-def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``df`` plus ``_sg_b`` (bucket, bigint) and ``_sg_hot`` (boolean)."""
+def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+    """``(df + _sg_b (bucket, bigint) + _sg_hot (boolean), segmented)``.
+
+    ``segmented`` is false when no key is hot; every row is then bucket 0."""
     keys = list(keys)
     o0 = order_number(df, order[0])
     x = df.withColumn("_sg_o0", o0)
@@ -59,13 +65,15 @@ def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> DataFrame
               .select(*keys, "_sg_lo",
                       F.greatest(F.lit(1.0), (F.col("_sg_hi") - F.col("_sg_lo") + 1).cast("double")
                                  * F.lit(float(hot_rows)) / F.col("_sg_n")).alias("_sg_w")))
+    if stats.limit(1).count() == 0:
+        return df.withColumn(B, F.lit(0).cast("bigint")).withColumn(HOT, F.lit(False)), False
     l, r = x.alias("_sl"), F.broadcast(stats).alias("_sr")
     cond = reduce(lambda a, b: a & b, [F.col(f"_sl.{k}").eqNullSafe(F.col(f"_sr.{k}")) for k in keys])
     j = l.join(r, cond, "left")
     hot = F.col("_sr._sg_w").isNotNull()
     bucket = F.when(hot, F.floor((F.col("_sl._sg_o0") - F.col("_sr._sg_lo")) / F.col("_sr._sg_w"))) \
               .otherwise(F.lit(0)).cast("bigint")
-    return j.select(*[F.col(f"_sl.{c}") for c in df.columns], bucket.alias(B), hot.alias(HOT))
+    return j.select(*[F.col(f"_sl.{c}") for c in df.columns], bucket.alias(B), hot.alias(HOT)), True
 
 
 def _local(kind: str, inp: Column, w_frame, w_all) -> Column:
@@ -82,21 +90,27 @@ def _local(kind: str, inp: Column, w_frame, w_all) -> Column:
     raise ValueError(kind)
 
 
-def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False) -> DataFrame:
+def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False,
+                segmented: bool = True) -> DataFrame:
     """Add one column per ``(name, kind, expr)`` of ``measures`` to a
-    bucketized frame (see module doc)."""
+    bucketized frame (see module doc); ``segmented`` comes from
+    ``bucketize``."""
     keys, order = list(keys), list(order)
     ordc = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     part = Window.partitionBy(*keys, B)
     w_frame = part.orderBy(*ordc).rowsBetween(Window.unboundedPreceding, -1)
-    x = bdf
+    inp = bdf
     for name, kind, expr in measures:
-        x = x.withColumn(f"_ps_i_{name}", F.lit(1) if kind == "count" else expr)
+        inp = inp.withColumn(f"_ps_i_{name}", F.lit(1) if kind == "count" else expr)
+    x = inp
     for name, kind, _ in measures:
         x = x.withColumn(f"_ps_l_{name}", _local(kind, F.col(f"_ps_i_{name}"), w_frame, part))
+    if not segmented:
+        return x.select(*bdf.columns, *[F.col(f"_ps_l_{n}").alias(n) for n, _, _ in measures])
 
-    # per-bucket totals of hot keys, carried over the key's earlier buckets
-    hot = x.filter(F.col(HOT))
+    # per-bucket totals of hot keys (from the rows before the window, which
+    # share its exchange), carried over the key's earlier buckets
+    hot = inp.filter(F.col(HOT))
     ord_struct = F.struct(*[F.col(c) for c in order])
     aggs = []
     for name, kind, _ in measures:
@@ -140,5 +154,4 @@ def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False)
         else:
             v = F.coalesce(ca, lo)
         outs.append(v.alias(name))
-    keep = [c for c in bdf.columns]
-    return j.select(*[F.col(f"_pl.{c}") for c in keep], *outs)
+    return j.select(*[F.col(f"_pl.{c}") for c in bdf.columns], *outs)

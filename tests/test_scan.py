@@ -24,7 +24,8 @@ def events(spark):
 
 
 def test_hot_keys_are_split(events):
-    b = bucketize(events, ["user_id"], EVENT_ORDER, hot_rows=3)
+    b, seg = bucketize(events, ["user_id"], EVENT_ORDER, hot_rows=3)
+    assert seg
     per_key = b.groupBy("user_id").agg(F.countDistinct("_sg_b").alias("nb"), F.count("*").alias("n"))
     assert per_key.filter("n > 3 AND nb < 2").count() == 0
     assert b.filter("NOT _sg_hot").count() == 0 or per_key.filter("n <= 3").count() > 0
