@@ -44,6 +44,16 @@ def test_retry_outcome_partial_group_limit(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-def test_reconcile_has_no_window(spark):
+def test_reconcile_winners_limited_map_side(spark):
+    # the per-destination window only sees rows already cut to one per key
+    # and map task by a partial group limit below the exchange
     p = plan(E.queries()["reconcile"](spark, SF_SMALL))
-    assert "Window " not in p and "WindowGroupLimit" not in p
+    tree = p.split("\n\n")[0]
+    assert "WindowGroupLimit" in tree
+    assert "Partial" in p
+
+
+def test_registry_and_axes_are_broadcast(spark):
+    for name in ("route_specs", "sweep_grid"):
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        assert "BroadcastHashJoin" in p, name
