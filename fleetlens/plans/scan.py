@@ -33,6 +33,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
+from fleetlens.functions.times import ntz_micros
+
 # rows one window task sorts and scans comfortably
 HOT_ROWS = 2_000_000
 B, HOT = "_sg_b", "_sg_hot"
@@ -43,7 +45,7 @@ def order_number(df: DataFrame, col: str) -> Column:
     t = df.schema[col].dataType
     c = F.col(col)
     if isinstance(t, TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
+        return ntz_micros(col)
     if isinstance(t, TimestampType):
         return F.unix_micros(c)
     if isinstance(t, DateType):

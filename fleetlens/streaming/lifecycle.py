@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import (BooleanType, LongType, StringType, StructField, StructType)
 
+from fleetlens.functions.times import ntz_to_instant
+
 OUT = StructType([
     StructField("event_id", LongType()), StructField("user_id", LongType()),
     StructField("action", StringType()), StructField("verdict", StringType()),
@@ -67,9 +69,10 @@ def lifecycle_stream(stream: DataFrame, action, stop_ok=None, key: str = "user_i
                      ts: str = "ts", lateness: str = "1 hour", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
     """``stream`` has ``event_id``, ``key``, ``ts``; ``action`` maps rows to
     start / stop / collect (others dropped)."""
+    ntz = stream.schema[ts].dataType.typeName() == "timestamp_ntz"
     x = (stream.withColumn("action", action).filter(F.col("action").isNotNull())
                .withColumn("stop_ok", F.lit(True) if stop_ok is None else F.coalesce(stop_ok, F.lit(False)))
-               .withColumn(ts, F.col(ts).cast("timestamp"))
+               .withColumn(ts, ntz_to_instant(ts) if ntz else F.col(ts))
                .withWatermark(ts, lateness)
                .select("event_id", F.col(key).alias("user_id"), ts, "action", "stop_ok"))
     return x.groupBy("user_id").applyInPandasWithState(

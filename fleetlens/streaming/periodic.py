@@ -3,23 +3,25 @@
 The batch operator (``operators.periodic.periodic_stats``) behind a
 watermark: append mode emits a window once the watermark passes its end;
 rows later than the watermark are dropped by Spark.  ``withWatermark`` needs
-a zoned timestamp, so ``timestamp_ntz`` input is cast (UTC session) and the
-window bounds are cast back.
+a zoned timestamp, so ``timestamp_ntz`` input is converted through epoch
+microseconds (independent of the session time zone) and the window bounds
+are converted back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fleetlens.functions.times import instant_to_ntz, ntz_to_instant
 from fleetlens.operators.periodic import periodic_stats
 
 
 def periodic_stats_stream(stream: DataFrame, ts: str, period: str, keys, value: str,
                           lateness: str, tiebreak: str | None = None) -> DataFrame:
     ntz = stream.schema[ts].dataType.typeName() == "timestamp_ntz"
-    x = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    out = periodic_stats(x, ts, period, keys, value, tiebreak=tiebreak)
+    x = stream.withColumn(ts, ntz_to_instant(ts)) if ntz else stream
+    out = periodic_stats(x.withWatermark(ts, lateness), ts, period, keys, value, tiebreak=tiebreak)
     if ntz:
-        out = (out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-                  .withColumn("window_end", F.col("window_end").cast("timestamp_ntz")))
+        out = (out.withColumn("window_start", instant_to_ntz("window_start"))
+                  .withColumn("window_end", instant_to_ntz("window_end")))
     return out
