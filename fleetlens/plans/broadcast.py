@@ -1,4 +1,9 @@
-"""Broadcast only behind a size check, with a shuffle join beyond it."""
+"""Broadcast only what has a known size.
+
+A table built from a Python list (a registry, a parameter list) has its size
+known on the driver; anything else is left to Catalyst / AQE, which choose a
+broadcast from measured sizes and fall back to a shuffle join beyond the
+threshold."""
 
 from __future__ import annotations
 
@@ -8,18 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 DEFAULT_MAX_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``.
-
-    The check runs ``limit(max_rows + 1).count()``: a bounded job that stops
-    reading once the bound is passed, so it is cheap even on a large input.
-    Beyond the bound the caller's join falls back to a shuffle join (and AQE
-    may still pick a broadcast at run time from real sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def literal_table(spark: SparkSession, rows: list, schema,
                   max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """A DataFrame from a Python list (a registry, a parameter list).

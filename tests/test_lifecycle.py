@@ -117,3 +117,20 @@ def test_periodic_stream_emits_closed_windows(spark, tmp):
     cols = ["window_start", "n", "sum_value", "first_value", "last_value"]
     assert rows(got, *cols) == rows(closed, *cols)
     assert got.count() == 3
+
+
+def test_stream_state_across_micro_batches(spark, tmp):
+    """The same log split into time slices, one file per trigger: flags must
+    carry over in state from batch to batch."""
+    from fleetlens.streaming.lifecycle import lifecycle_stream
+    from fleetlens.streaming.runner import drain_to_parquet, file_stream
+    ev = _log(spark, VERDICT_LOG)
+    folder = os.path.join(tmp, "sliced")
+    for lo, hi in [(0, 1), (1, 3), (3, 6), (6, 100)]:
+        (ev.filter((F.col("ts") >= F.lit(T0 + dt.timedelta(seconds=lo)))
+                   & (F.col("ts") < F.lit(T0 + dt.timedelta(seconds=hi))))
+           .coalesce(1).write.mode("append").parquet(folder))
+    s = file_stream(spark, folder, ev.schema, max_files_per_trigger=1)
+    got = drain_to_parquet(spark, lifecycle_stream(s, actions()), "t5-sliced")
+    want = lifecycle_check(ev, ["user_id"], ORDER, actions())
+    assert rows(got, "event_id", "action", "verdict") == rows(want, "event_id", "action", "verdict")

@@ -121,3 +121,18 @@ def test_required_dirs_distinct(spark):
     df = spark.createDataFrame([("local", "/a/b/x.csv"), ("local", "/a/b/y.csv"), ("u@h", "/a/b/x")],
                                "origin string, path string")
     assert rows(required_dirs(df, "origin", "path")) == [("local", "/a/b"), ("u@h", "/a/b")]
+
+
+def test_reconcile_precheck_and_transfer_error(spark):
+    from fleetlens.operators.reconcile import reconcile
+    exp = spark.createDataFrame(
+        [("t1", "/a/x", "d/x", 0, None), ("t2", "/b/x", "d/x", 1, None),
+         ("t3", "/c/y", "d/y", 2, "not_stopped"), ("t4", "/d/z", "d/z", 3, None),
+         ("t5", "/e/w", "d/w", 4, None)],
+        "task string, path string, destination string, pos int, precheck string")
+    found = spark.createDataFrame([("/a/x", True), ("/b/x", True), ("/c/y", True), ("/e/w", False)],
+                                  "path string, transfer_ok boolean")
+    r = reconcile(exp, found, on=["path"], destination="destination", order=["pos"],
+                  precheck="precheck", transfer_ok="transfer_ok")
+    assert rows(r, "task", "status") == [("t1", "collected"), ("t2", "conflict"),
+                                         ("t3", "not_stopped"), ("t4", "missing"), ("t5", "error")]
