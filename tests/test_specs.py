@@ -143,3 +143,21 @@ def test_spec_to_reconcile_end_to_end(spark, tmp):
     assert rows(r, "task", "role", "status") == [
         ("1", "metrics", "missing"), ("1", "stats", "collected"),
         ("2", "stats", "conflict"), ("3", "stats", "collected")]
+
+
+def test_spec_timeline(spark, tmp):
+    from fleetlens.operators.specs import spec_timeline
+    s = spec({
+        "1": task(CAPTURE_TYPE, capture(), sleep_after_start=2),
+        "2": task(TRANSMIT_TYPE, transmit("rcv"), runner="remote", user="u", host="192.0.2.1",
+                  sleep_after_stop=3, stop_order=1),
+        "3": task(TRANSMIT_TYPE, transmit("snd"), sleep_after_start=1, sleep_after_stop=4),
+    }, stop_after=70)
+    t = _tasks(spark, tmp, tl=s)
+    # starts: 1 at 0 (5+2), 2 at 7 (11), 3 at 18 (5+1); run end 24 + 70 = 94
+    # parity stops in reverse: 3 at 94 (+4), 2 at 98 (+3), 1 at 101
+    assert rows(spec_timeline(t), "task", "start_rank", "stop_rank", "start_at", "ready_at", "stop_at") == [
+        ("1", 1, 3, 0, 5, 101), ("2", 2, 2, 7, 18, 98), ("3", 3, 1, 18, 23, 94)]
+    # honouring stop_order: task 2 first, then the rest in reverse (3, 1)
+    assert rows(spec_timeline(t, honor_stop_order=True), "task", "stop_rank", "stop_at") == [
+        ("1", 3, 101), ("2", 1, 94), ("3", 2, 97)]
