@@ -357,3 +357,18 @@ QUERIES.update({
     "periodic_stats_stream": q_periodic_stats_stream,
     "lifecycle_stream": q_lifecycle_stream,
 })
+
+
+def q_lifecycle_monitor(spark, d):
+    """T5 in full: verdicts plus launch (signup -> next error, 24 h grace) and
+    stop (error -> next purchase, 12 h + 12 h) outcomes, one stream."""
+    from fleetlens.streaming.monitor import lifecycle_monitor
+    from fleetlens.streaming.runner import drain_to_parquet
+    s = _event_stream(spark, d).filter(F.col("event_type").isin(*LIFECYCLE_ACTIONS))
+    m = lifecycle_monitor(s, _action(), launch_exit=F.col("event_type") == "error",
+                          stop_exit=F.col("event_type") == "purchase", returncode=_rc(),
+                          grace_s=24 * 3600, term_s=12 * 3600, kill_s=12 * 3600)
+    return drain_to_parquet(spark, m, "lifecycle-monitor")
+
+
+QUERIES["lifecycle_monitor"] = q_lifecycle_monitor

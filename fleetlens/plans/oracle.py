@@ -329,3 +329,27 @@ ORACLE.update({
     "periodic_stats_stream": PERIODIC_STATS_STREAM,
     "lifecycle_stream": LIFECYCLE_CHECK,
 })
+
+# a launch / stop outcome is out once its next exit has arrived, or once the
+# final watermark (max event time - 1 hour) has passed its deadline
+LIFECYCLE_MONITOR = f"""
+WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events
+            WHERE event_type IN ('signup', 'error', 'purchase'))
+SELECT event_id, user_id, 'verdict' AS kind, verdict AS outcome, CAST(NULL AS INTEGER) AS returncode
+FROM ({LIFECYCLE_CHECK}) v
+UNION ALL
+SELECT event_id, user_id, 'launch',
+       CASE WHEN delay_us <= 86400000000 THEN 'launch_failed' ELSE 'launched' END,
+       CASE WHEN delay_us <= 86400000000 THEN CAST(floor(next_value) AS INTEGER) END
+FROM ({_next('signup', 'error')}) x, wm
+WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= wm.w
+UNION ALL
+SELECT event_id, user_id, 'stop',
+       CASE WHEN delay_us <= 43200000000 THEN 'terminated'
+            WHEN delay_us <= 86400000000 THEN 'killed' ELSE 'not_stopped' END,
+       CAST(NULL AS INTEGER)
+FROM ({_next('error', 'purchase')}) x, wm
+WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= wm.w
+"""
+
+ORACLE["lifecycle_monitor"] = LIFECYCLE_MONITOR

@@ -134,3 +134,33 @@ def test_stream_state_across_micro_batches(spark, tmp):
     got = drain_to_parquet(spark, lifecycle_stream(s, actions()), "t5-sliced")
     want = lifecycle_check(ev, ["user_id"], ORDER, actions())
     assert rows(got, "event_id", "action", "verdict") == rows(want, "event_id", "action", "verdict")
+
+
+def test_monitor_deadlines_across_micro_batches(spark, tmp):
+    from fleetlens.streaming.monitor import lifecycle_monitor
+    from fleetlens.streaming.runner import drain_to_parquet, file_stream
+    log = [(1, 0, "start", 0.0), (1, 2, "exit", 0.0),        # exit inside grace, code 0
+           (2, 0, "start", 0.0), (2, 10, "exit", 1.0),       # exit after grace
+           (3, 0, "start", 0.0),                             # never exits: settled by watermark
+           (4, 0, "stop", 0.0), (4, 2, "exit", 0.0),         # terminated
+           (5, 0, "stop", 0.0), (5, 3.5, "exit", 0.0),       # killed
+           (6, 0, "stop", 0.0),                              # never exits
+           (7, 100, "collect", 0.0)]                         # moves the watermark
+    ev = _log(spark, log)
+    folder = os.path.join(tmp, "mon")
+    for lo, hi in [(0, 1), (1, 3), (3, 6), (6, 200)]:
+        (ev.filter((F.col("ts") >= F.lit(T0 + dt.timedelta(seconds=lo)))
+                   & (F.col("ts") < F.lit(T0 + dt.timedelta(seconds=hi))))
+           .coalesce(1).write.mode("append").parquet(folder))
+    s = file_stream(spark, folder, ev.schema, max_files_per_trigger=1)
+    exit_ = F.col("kind") == "exit"
+    m = lifecycle_monitor(s, actions(), launch_exit=exit_, stop_exit=exit_,
+                          returncode=F.col("value"), grace_s=5, lateness="1 second")
+    got = drain_to_parquet(spark, m, "t5-monitor")
+    assert rows(got.filter("kind <> 'verdict'"), "user_id", "kind", "outcome", "returncode") == [
+        (1, "launch", "launch_failed", 0), (2, "launch", "launched", None),
+        (3, "launch", "launched", None), (4, "stop", "terminated", None),
+        (5, "stop", "killed", None), (6, "stop", "not_stopped", None)]
+    verdicts = lifecycle_check(ev, ["user_id"], ORDER, actions())
+    assert rows(got.filter("kind = 'verdict'"), "event_id", "outcome") == \
+        rows(verdicts, "event_id", "verdict")
