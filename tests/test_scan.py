@@ -62,3 +62,42 @@ def test_next_event_same(events, hot):
     a = next_event(events, ["user_id"], EVENT_ORDER, **kw)
     b = next_event(events, ["user_id"], EVENT_ORDER, hot_rows=hot, **kw)
     assert rows(a, "event_id", "next_event_id", "delay_us") == rows(b, "event_id", "next_event_id", "delay_us")
+
+
+def _random_frame(spark, seed, n=400):
+    import random
+    rnd = random.Random(seed)
+    keys = [None, "a", "b", "c"] + [f"k{i}" for i in range(5)]
+    weights = [1, 30, 10, 5] + [1] * 5          # one key holds most rows
+    data = []
+    for i in range(n):
+        k = rnd.choices(keys, weights)[0]
+        t = None if rnd.random() < 0.05 else rnd.randint(-50, 50)
+        data.append((i, k, t, rnd.randint(0, 3), rnd.random() < 0.4))
+    return spark.createDataFrame(data, "id bigint, k string, t int, c int, flag boolean")
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 7), (2, 20), (3, 1), (4, 50)])
+def test_prefix_scan_matches_plain_windows(spark, seed, hot):
+    """Random data with null keys, null and tied order values: every measure
+    kind, both directions, equals a plain per-key window."""
+    from pyspark.sql import Window
+    from fleetlens.plans.scan import prefix_scan
+    df = _random_frame(spark, seed)
+    order = ["t", "id"]
+    b, seg = bucketize(df, ["k"], order, hot_rows=hot)
+    assert seg
+    measures = [("n", "count", None), ("s", "sum", F.col("c")), ("o", "or", F.col("flag")),
+                ("l", "last", F.when(F.col("flag"), F.col("id"))), ("tot", "total", F.col("c"))]
+    up = prefix_scan(b, ["k"], order, measures)
+    down = prefix_scan(b, ["k"], order, measures[:4], descending=True)
+    for got, desc in ((up, False), (down, True)):
+        ordc = [F.col(c).desc() if desc else F.col(c).asc() for c in order]
+        w = Window.partitionBy("k").orderBy(*ordc).rowsBetween(Window.unboundedPreceding, -1)
+        want = df.select(
+            "id", F.count(F.lit(1)).over(w).alias("n"), F.sum("c").over(w).alias("s"),
+            F.max("flag").over(w).alias("o"),
+            F.last(F.when(F.col("flag"), F.col("id")), ignorenulls=True).over(w).alias("l"),
+            F.sum("c").over(Window.partitionBy("k")).alias("tot"))
+        cols = ["id", "n", "s", "o", "l"] + ([] if desc else ["tot"])
+        assert rows(got, *cols) == rows(want, *cols), (seed, hot, desc)
