@@ -18,6 +18,13 @@ from pyspark.sql import DataFrame, functions as F
 from fleetlens.operators.dedupe import last_wins
 
 
+def _join_path(folder, name):
+    """``os.path.join(folder, name)``: no separator is added after an empty
+    folder or one that already ends with ``/``."""
+    return F.when((folder == "") | folder.endswith("/"), F.concat(folder, name)) \
+            .otherwise(F.concat(folder, F.lit("/"), name))
+
+
 def flatten_paths(files: DataFrame, dir_col: str, file_col: str, subfolders,
                   segment: bool = False, tiebreak=()) -> DataFrame:
     """Files (one row per file, ``dir_col`` + ``file_col``) -> moved files
@@ -44,6 +51,6 @@ def flatten_paths(files: DataFrame, dir_col: str, file_col: str, subfolders,
     q = f"`{dir_col}`"
     dst_dir = F.expr(f"concat(substring({q}, 1, _fp_pos - 1), substring({q}, _fp_pos + _fp_cut))")
     x = (x.withColumn("src", F.concat_ws("/", d, F.col(file_col)))
-          .withColumn("dst", F.concat_ws("/", dst_dir, F.col(file_col)))
+          .withColumn("dst", _join_path(dst_dir, F.col(file_col)))
           .drop("_fp_pos", "_fp_cut"))
     return last_wins(x, ["dst"], ["subfolder_idx", "src", *tiebreak])

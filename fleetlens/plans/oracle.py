@@ -223,10 +223,13 @@ WITH f AS (SELECT page_id, origin || parent AS dir, basename AS file FROM ({PATH
 m AS (SELECT *, CASE WHEN strpos(dir, '/en') > 0 THEN 0 WHEN strpos(dir, '/fr') > 0 THEN 1 END AS idx
       FROM f),
 n AS (SELECT *, CASE idx WHEN 0 THEN '/en' ELSE '/fr' END AS subfolder FROM m WHERE idx IS NOT NULL),
+d AS (SELECT *, substr(dir, 1, strpos(dir, subfolder) - 1)
+                  || substr(dir, strpos(dir, subfolder) + length(subfolder)) AS dst_dir
+      FROM n),
 o AS (SELECT page_id, idx, subfolder, dir || '/' || file AS src,
-             substr(dir, 1, strpos(dir, subfolder) - 1)
-               || substr(dir, strpos(dir, subfolder) + length(subfolder)) || '/' || file AS dst
-      FROM n)
+             CASE WHEN dst_dir = '' OR dst_dir LIKE '%/' THEN dst_dir || file
+                  ELSE dst_dir || '/' || file END AS dst
+      FROM d)
 SELECT page_id, src, dst, subfolder,
        ROW_NUMBER() OVER (PARTITION BY dst ORDER BY idx DESC, src DESC, page_id DESC) = 1 AS kept
 FROM o

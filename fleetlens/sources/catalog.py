@@ -6,6 +6,11 @@ against.  The ``binaryFile`` source lists files in parallel; selecting only
 metadata columns prunes ``content`` from the read schema, so no bytes are
 read.  For trees with very many files, listing on the driver is the limit:
 pass a prebuilt listing table (same columns) instead.
+
+Spark's recursive listing skips names starting with ``_`` or ``.``, and run
+folders are commonly named ``_<param><value>...``: give ``depth`` (files that
+many levels below ``root``) to glob straight to the files, which globbing does
+not filter.
 """
 
 from __future__ import annotations
@@ -15,12 +20,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlens.session import local_path
 
 
-def file_catalog(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.load(root)
+def file_catalog(spark: SparkSession, root: str, glob: str | None = None,
+                 depth: int | None = None) -> DataFrame:
+    r = spark.read.format("binaryFile")
     base = root.rstrip("/")
+    if depth is None:
+        r = r.option("recursiveFileLookup", True)
+        if glob:
+            r = r.option("pathGlobFilter", glob)
+        df = r.load(base)
+    else:
+        leaf = glob or "*"
+        df = r.load("/".join([base] + ["*"] * (depth - 1) + [leaf]))
     return df.select(
         F.col("path"),
         F.regexp_replace(F.col("path"), r"^file:", "").alias("local_path"),

@@ -48,3 +48,25 @@ def test_write_new_refuses_existing(spark, tmp):
     with pytest.raises(Exception):
         write_new(spark.range(5), out)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_collected_tree_flatten(spark, tmp):
+    """Collected layout with underscore run folders: catalog at depth 3, then
+    the flatten plan moves files out of the host folders."""
+    from pyspark.sql import functions as F
+    from fleetlens.functions.flatten import flatten_paths
+    run = os.path.join(tmp, "_rtt20_loss0_sendrate10_latency10")
+    write_text(os.path.join(run, "user@192.0.2.51"), "2-stats-snd.csv", "a\n1\n")
+    write_text(os.path.join(run, "user@192.0.2.52"), "1-stats-rcv.csv", "a\n1\n")
+    write_text(os.path.join(tmp, "_rtt20_loss1", "user@192.0.2.51"), "2-stats-snd.csv", "a\n1\n")
+    cat = file_catalog(spark, tmp, depth=3)
+    assert cat.count() == 3
+    files = cat.select(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("dir"),
+                       F.substring_index("rel_path", "/", -1).alias("file"))
+    plan = flatten_paths(files, "dir", "file", ["user@192.0.2.51", "user@192.0.2.52"])
+    assert rows(plan, "src", "dst", "kept") == [
+        ("_rtt20_loss0_sendrate10_latency10/user@192.0.2.51/2-stats-snd.csv",
+         "_rtt20_loss0_sendrate10_latency10/2-stats-snd.csv", True),
+        ("_rtt20_loss0_sendrate10_latency10/user@192.0.2.52/1-stats-rcv.csv",
+         "_rtt20_loss0_sendrate10_latency10/1-stats-rcv.csv", True),
+        ("_rtt20_loss1/user@192.0.2.51/2-stats-snd.csv", "_rtt20_loss1/2-stats-snd.csv", True)]
