@@ -21,7 +21,16 @@ def explode_ordered(df: DataFrame, map_col: str, pos: str = "pos",
     one); a null or empty map yields no rows.
     """
     keep = [c for c in df.columns if c != map_col] if keep is None else list(keep)
-    return df.select(*keep, F.posexplode(F.col(map_col)).alias(pos, key, value))
+    return _posexplode(df, keep, F.col(map_col), pos, key, value)
+
+
+def _posexplode(df: DataFrame, keep, m, pos, key, value) -> DataFrame:
+    # The outer form plus a null check on the position keeps the same rows as
+    # posexplode, but stops Catalyst from inferring a size(map) > 0 filter and
+    # pushing it below the projection, where it would evaluate the map
+    # expression (e.g. a JSON parse) a second time.
+    return (df.select(*keep, F.posexplode_outer(m).alias(pos, key, value))
+              .filter(F.col(pos).isNotNull()))
 
 
 def explode_params(df: DataFrame, map_col, keep, pos: str = "pos",
@@ -29,7 +38,7 @@ def explode_params(df: DataFrame, map_col, keep, pos: str = "pos",
     """One row per parameter of an ordered ``map<string,string>``
     column (a column name or expression)."""
     m = F.col(map_col) if isinstance(map_col, str) else map_col
-    return df.select(*keep, F.posexplode(m).alias(pos, key, value))
+    return _posexplode(df, keep, m, pos, key, value)
 
 
 def explode_tasks(specs: DataFrame, tasks: str = "tasks", run_cols=None,

@@ -36,7 +36,9 @@ def spec_tasks(specs: DataFrame) -> DataFrame:
     """One row per task (start order ``pos``), with ``host_value``: the host
     as the spec runner renders it (absent -> ``''``, present null ->
     ``None``)."""
-    t = explode_tasks(specs.filter(~F.col("malformed")), "tasks", run_cols=RUN_COLS)
+    # a malformed spec has no task map, so it explodes to no rows; a filter on
+    # it would be pushed below the parse and parse every spec twice
+    t = explode_tasks(specs, "tasks", run_cols=RUN_COLS)
     has_host = F.coalesce(F.array_contains("obj_config_keys", "host"), F.lit(False))
     return t.withColumn("host_value", F.when(has_host, F.coalesce(F.col("obj_config.host"),
                                                                    F.lit(NULL_TEXT)))
@@ -69,8 +71,9 @@ def validate_tasks(spark: SparkSession, tasks: DataFrame) -> tuple[DataFrame, Da
     return out.filter(F.col("reason").isNull()).drop("reason"), out.filter(F.col("reason").isNotNull())
 
 
-def command_manifest(tasks: DataFrame) -> DataFrame:
-    """X2 for spec tasks: ``argv`` (array<string>) and ``command`` (text)."""
+def command_manifest(tasks: DataFrame, keep=()) -> DataFrame:
+    """X2 for spec tasks: ``argv`` (array<string>) and ``command`` (text);
+    ``keep`` names further task columns to carry along."""
     cfg = F.col("obj_config")
     cap = F.col("obj_type") == CAPTURE_TYPE
     argv = (F.when(cap, capture_argv(cfg["path"], cfg["interface"], cfg["port"],
@@ -81,7 +84,7 @@ def command_manifest(tasks: DataFrame) -> DataFrame:
                                  F.coalesce(cfg["options_values"], _empty_map()))))
     x = tasks.withColumn("argv", argv)
     text = F.when(cap, capture_text("argv")).otherwise(transmit_text("argv"))
-    return x.select("run", "task", "pos", "obj_type", "runner_type", "argv",
+    return x.select("run", "task", "pos", "obj_type", "runner_type", *keep, "argv",
                     text.alias("command"))
 
 

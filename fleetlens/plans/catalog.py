@@ -372,3 +372,86 @@ def q_lifecycle_monitor(spark, d):
 
 
 QUERIES["lifecycle_monitor"] = q_lifecycle_monitor
+
+
+# ---- S1 and the spec flow, on specs Spark derives from the events table ----
+
+def _specs_from_events(spark, d):
+    """One spec per event, written as JSON Lines to the shared folder: a
+    capture task and a transmit task whose settings come from the event.
+    Null fields are left out of the JSON, i.e. those keys are absent."""
+    from fleetlens.fixed import CAPTURE_TYPE, LOCAL_RUNNER, REMOTE_RUNNER, TRANSMIT_TYPE
+    from fleetlens.session import shared_dir
+    ev = _t(spark, d, "events")
+    eid = F.col("event_id").cast("string")
+    port = F.from_json("props", "map<string,string>")["k"]
+    host = F.concat(F.lit("192.0.2."), (F.col("user_id") % 250).cast("string"))
+    remote = F.col("user_id") % 2 == 0
+    role = F.when(F.col("event_type") == "click", "snd").when(F.col("event_type") == "view", "rcv") \
+            .otherwise("fwd")
+    s_null, i_null = F.lit(None).cast("string"), F.lit(None).cast("int")
+    m_null = F.lit(None).cast("map<string,string>")
+
+    def task(obj_type, path, port_, interface, tracefile, typ, host_, attrs, options,
+             runner_type, username, runner_host):
+        cfg = F.struct(path.alias("path"), port_.alias("port"), interface.alias("interface"),
+                       tracefile.alias("tracefile_path"), typ.alias("type"), host_.alias("host"),
+                       attrs.alias("attrs_values"), options.alias("options_values"))
+        return F.struct(F.lit(obj_type).alias("obj_type"), cfg.alias("obj_config"),
+                        runner_type.alias("runner_type"),
+                        F.struct(username.alias("username"), runner_host.alias("host"))
+                         .alias("runner_config"),
+                        i_null.alias("sleep_after_start"), i_null.alias("sleep_after_stop"),
+                        i_null.alias("stop_order"))
+
+    capture = task(CAPTURE_TYPE, F.lit("capbin"), port,
+                   F.concat(F.lit("if"), (F.col("user_id") % 4).cast("string")),
+                   F.concat(F.lit("/data/e"), eid, F.lit("/trace.pcapng")), s_null, s_null,
+                   m_null, m_null, F.lit(LOCAL_RUNNER), s_null, s_null)
+    transmit = task(TRANSMIT_TYPE, F.lit("bin/xmit"), port, s_null, s_null, role,
+                    F.when(role == "snd", host),
+                    F.create_map(F.lit("latency"), F.floor(F.col("value") * 10).cast("string")),
+                    F.create_map(F.lit("--statsfile"), F.concat(F.lit("/data/e"), eid, F.lit("/stats.csv")),
+                                 F.lit("--enable-metrics"), s_null),
+                    F.when(remote, REMOTE_RUNNER).otherwise(LOCAL_RUNNER),
+                    F.when(remote, F.lit("u")), F.when(remote, host))
+    spec = F.struct(F.concat(F.lit("results/e"), eid).alias("collect_results_path"),
+                    F.floor("value").cast("int").alias("stop_after"),
+                    F.lit(True).alias("ignore_stop_order"),
+                    F.create_map(F.lit("1"), capture, F.lit("2"), transmit).alias("tasks"))
+    out = shared_dir(spark, "specs")
+    ev.select(F.to_json(spec).alias("value")).write.text(out)
+    return f"{out}/*.txt"
+
+
+def _spec_tasks(spark, d):
+    from fleetlens.operators.specs import spec_tasks
+    from fleetlens.sources.specs import read_specs
+    return spec_tasks(read_specs(spark, _specs_from_events(spark, d), json_lines=True))
+
+
+def q_read_specs(spark, d):
+    from fleetlens.sources.specs import read_specs
+    s = read_specs(spark, _specs_from_events(spark, d), json_lines=True)
+    return s.select("run", "stop_after", "ignore_stop_order",
+                    F.size("tasks").cast("bigint").alias("n_tasks"), "malformed")
+
+
+def q_spec_manifest(spark, d):
+    from fleetlens.operators.specs import command_manifest, validate_tasks
+    accepted, _ = validate_tasks(spark, _spec_tasks(spark, d))
+    return command_manifest(accepted, keep=["warning"]).select(
+        "run", "task", "pos", "obj_type", "runner_type", "command", "warning")
+
+
+def q_spec_artifacts(spark, d):
+    from fleetlens.functions.artifacts import expected_artifacts
+    a = expected_artifacts(_spec_tasks(spark, d))
+    return a.select("run", "task", "artifact_pos", "role", "path", "origin", "destination")
+
+
+QUERIES.update({
+    "read_specs": q_read_specs,
+    "spec_manifest": q_spec_manifest,
+    "spec_artifacts": q_spec_artifacts,
+})

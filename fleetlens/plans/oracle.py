@@ -356,3 +356,57 @@ WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= wm.w
 """
 
 ORACLE["lifecycle_monitor"] = LIFECYCLE_MONITOR
+
+# ---- spec flow on the specs derived from events (one spec per event) -------
+from fleetlens.fixed import (CAPTURE_TYPE, LOCAL_RUNNER, REMOTE_RUNNER,  # noqa: E402
+                             TRANSMIT_TYPE, URI_SCHEME)
+
+SPEC_EVENTS = """
+  SELECT event_id, 'results/e' || CAST(event_id AS VARCHAR) AS run,
+         props->>'k' AS port, user_id % 2 = 0 AS remote,
+         '192.0.2.' || CAST(user_id % 250 AS VARCHAR) AS host,
+         CASE event_type WHEN 'click' THEN 'snd' WHEN 'view' THEN 'rcv' ELSE 'fwd' END AS role,
+         user_id, value
+  FROM events"""
+
+READ_SPECS = """
+SELECT 'results/e' || CAST(event_id AS VARCHAR) AS run, CAST(floor(value) AS INTEGER) AS stop_after,
+       true AS ignore_stop_order, CAST(2 AS BIGINT) AS n_tasks, false AS malformed
+FROM events
+"""
+
+SPEC_MANIFEST = f"""
+SELECT run, '1' AS task, CAST(0 AS INTEGER) AS pos, '{CAPTURE_TYPE}' AS obj_type,
+       '{LOCAL_RUNNER}' AS runner_type,
+       'capbin -i if' || CAST(user_id % 4 AS VARCHAR) || ' -f "udp port ' || port
+         || '" -s 1500 -w /data/e' || CAST(event_id AS VARCHAR) || '/trace.pcapng' AS command,
+       CAST(NULL AS VARCHAR) AS warning
+FROM ({SPEC_EVENTS}) s
+UNION ALL
+SELECT run, '2', CAST(1 AS INTEGER), '{TRANSMIT_TYPE}',
+       CASE WHEN remote THEN '{REMOTE_RUNNER}' ELSE '{LOCAL_RUNNER}' END,
+       'bin/xmit' || CASE role WHEN 'snd' THEN ' generate' WHEN 'rcv' THEN ' receive' ELSE '' END
+         || ' "{URI_SCHEME}' || CASE WHEN role = 'snd' THEN host ELSE '' END || ':' || port
+         || '?latency=' || CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) || '"'
+         || ' --statsfile /data/e' || CAST(event_id AS VARCHAR) || '/stats.csv --enable-metrics',
+       CASE WHEN role NOT IN ('snd', 'rcv') THEN 'no_subcommand:' || role END
+FROM ({SPEC_EVENTS}) s
+"""
+
+SPEC_ARTIFACTS = f"""
+SELECT run, '1' AS task, CAST(0 AS INTEGER) AS artifact_pos, 'trace' AS role,
+       '/data/e' || CAST(event_id AS VARCHAR) || '/trace.pcapng' AS path, 'local' AS origin,
+       run || '/local/trace.pcapng' AS destination
+FROM ({SPEC_EVENTS}) s
+UNION ALL
+SELECT run, '2', CAST(0 AS INTEGER), 'stats', '/data/e' || CAST(event_id AS VARCHAR) || '/stats.csv',
+       CASE WHEN remote THEN 'u@' || host ELSE 'local' END,
+       run || '/' || CASE WHEN remote THEN 'u@' || host ELSE 'local' END || '/stats.csv'
+FROM ({SPEC_EVENTS}) s
+"""
+
+ORACLE.update({
+    "read_specs": READ_SPECS,
+    "spec_manifest": SPEC_MANIFEST,
+    "spec_artifacts": SPEC_ARTIFACTS,
+})

@@ -46,12 +46,19 @@ TASK_WITH_KEYS = StructType(TASK.fields + [
     StructField("obj_config_keys", ArrayType(S)), StructField("runner_config_keys", ArrayType(S))])
 
 
-def read_specs(spark: SparkSession, glob: str) -> DataFrame:
-    """``run`` (file path), ``collect_results_path``, ``stop_after``,
+def read_specs(spark: SparkSession, glob: str, json_lines: bool = False) -> DataFrame:
+    """``run``, ``collect_results_path``, ``stop_after``,
     ``ignore_stop_order``, ``tasks`` (ordered map of task structs, each with
-    ``obj_config_keys`` / ``runner_config_keys``), ``malformed``."""
-    raw = (spark.read.text(glob, wholetext=True)
-                .select(F.col("_metadata.file_path").alias("run"), "value"))
+    ``obj_config_keys`` / ``runner_config_keys``), ``malformed``.
+
+    One spec per file (``run`` = file path), or with ``json_lines`` one spec
+    per line, which splits large spec sets across tasks (``run`` = the spec's
+    results path, which names its run)."""
+    if json_lines:
+        raw = spark.read.text(glob).select(F.lit(None).cast("string").alias("run"), "value")
+    else:
+        raw = (spark.read.text(glob, wholetext=True)
+                    .select(F.col("_metadata.file_path").alias("run"), "value"))
     p = raw.select("run", F.from_json("value", SPEC).alias("s"),
                    F.from_json("value", SPEC_KEYS).alias("k"))
     keyed = F.transform_values(
@@ -60,7 +67,8 @@ def read_specs(spark: SparkSession, glob: str) -> DataFrame:
                                  F.map_keys(F.element_at(F.col("k.tasks"), k)["obj_config"]))
                       .withField("runner_config_keys",
                                  F.map_keys(F.element_at(F.col("k.tasks"), k)["runner_config"])))
-    return p.select("run", F.col("s.collect_results_path").alias("collect_results_path"),
+    return p.select(F.coalesce(F.col("run"), F.col("s.collect_results_path")).alias("run"),
+                    F.col("s.collect_results_path").alias("collect_results_path"),
                     F.col("s.stop_after").alias("stop_after"),
                     F.col("s.ignore_stop_order").alias("ignore_stop_order"),
                     keyed.alias("tasks"),
