@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
+from fleetlens.plans.scan import HOT_ROWS, bucketize, prefix_scan
 
 
 def delay_us(a, b) -> Column:
