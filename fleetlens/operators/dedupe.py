@@ -6,9 +6,8 @@ reported, not written.  Last-wins is the relocation rule: an existing
 destination is replaced, so the last mover keeps it.
 
 ``dropDuplicates`` has no defined winner, so neither uses it; both return every
-input row with a ``kept`` flag.  The winner is found by a min/max aggregate and
-joined back (see ``plans.skew``): no per-key window, so a hot key never lands
-in one task.
+input row with a ``kept`` flag, computed skew-safe (``plans.skew``): a hot key
+is split over several tasks, never one.
 """
 
 from __future__ import annotations

@@ -19,9 +19,9 @@ never one task):
   anti join that finds missing artifacts;
 * candidates are ``found`` inner-joined to ``expected`` on the path; a hot path
   sits on the streamed side, which AQE's skew-join rule splits;
-* the winner of each destination comes from a ``min(struct(order))`` aggregate
-  joined back on (destination, order struct), a join that hashes on all of
-  those columns.
+* the first candidate of each destination is flagged by a segmented scan
+  (``plans.skew.flag_extreme``): one window per destination, and a hot
+  destination is cut into buckets of its leading order column.
 """
 
 from __future__ import annotations

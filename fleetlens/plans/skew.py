@@ -3,11 +3,12 @@
 A single key may hold a large share of all rows.  A window partitioned by that
 key would put the whole group into one task, so the operators here avoid it:
 
-* ``flag_extreme`` finds the first/last row of each key with a min/max
-  aggregate over a struct of the order columns (partial aggregation on the
-  map side, so a hot key is reduced before the shuffle), then joins the
-  winner back on key *and* order columns; that join hashes on all of them,
-  so the rows of a hot key spread over many tasks.
+* ``flag_extreme`` flags the first/last row of each key.  With a numeric or
+  temporal leading order column it is a segmented scan (``plans.scan``):
+  kept = no row of the key before it; a hot key is cut into buckets.
+  Otherwise (``flag_by_join``) the winners come from a partial group limit
+  and are joined back on key *and* order columns, a join that hashes on all
+  of them, so the rows of a hot key spread over many tasks.
 * ``top_n`` keeps the first ``n`` rows per key with ``row_number() <= n``;
   Catalyst turns this into a partial ``WindowGroupLimit`` before the
   exchange, so each map task ships at most ``n`` rows per key.
@@ -38,6 +39,29 @@ def extremes(df: DataFrame, keys, order, first: bool = True,
 
 
 def flag_extreme(df: DataFrame, keys, order, first: bool = True,
+                 flag: str = "kept", hot_rows: int | None = None) -> DataFrame:
+    """All rows of ``df`` plus a boolean ``flag``: true for the first
+    (``first=True``) or last row of each key under ``order`` (a total order).
+
+    When the leading order column is numeric or temporal this is a segmented
+    scan (``plans.scan``): the row is kept when no row of its key comes
+    before it.  A hot key is cut into buckets of that column, so it spreads
+    over tasks; without hot keys it is one plain window, i.e. one shuffle.
+    Otherwise the winners are found and joined back (``flag_by_join``).
+    """
+    from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+    from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
+    keys, order = list(keys), list(order)
+    lead = df.schema[order[0]].dataType
+    if not isinstance(lead, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        return flag_by_join(df, keys, order, first, flag)
+    b, seg = bucketize(df, keys, order, HOT_ROWS if hot_rows is None else hot_rows)
+    s = prefix_scan(b, keys, order, [("_fx_before", "count", None)],
+                    descending=not first, segmented=seg)
+    return s.withColumn(flag, F.col("_fx_before") == 0).drop("_fx_before", B, HOT)
+
+
+def flag_by_join(df: DataFrame, keys, order, first: bool = True,
                  flag: str = "kept") -> DataFrame:
     """All rows of ``df`` plus a boolean ``flag``: true for the first
     (``first=True``) or last row of each key under ``order``.

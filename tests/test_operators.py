@@ -136,3 +136,22 @@ def test_reconcile_precheck_and_transfer_error(spark):
                   precheck="precheck", transfer_ok="transfer_ok")
     assert rows(r, "task", "status") == [("t1", "collected"), ("t2", "conflict"),
                                          ("t3", "not_stopped"), ("t4", "missing"), ("t5", "error")]
+
+
+def test_first_wins_string_order_uses_join_path(spark):
+    df = spark.createDataFrame([("d", "b"), ("d", "a"), ("e", "z")], "dst string, name string")
+    assert rows(first_wins(df, ["dst"], ["name"]).filter("kept"), "name") == [("a",), ("z",)]
+    assert rows(last_wins(df, ["dst"], ["name"]).filter("kept"), "name") == [("b",), ("z",)]
+
+
+def test_first_wins_hot_keys_same(spark):
+    from fleetlens.plans.skew import flag_extreme
+    from fleetlens.plans.catalog import LINE_COLS
+    from fleetlens.sources.tables import table
+    li = table(spark, "/root/testdata/sf0.001", "lineitem").select(*LINE_COLS)
+    order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+             "l_returnflag", "l_linestatus", "l_shipdate"]
+    for first in (True, False):
+        a = flag_extreme(li, ["l_orderkey"], order, first=first)
+        b = flag_extreme(li, ["l_orderkey"], order, first=first, hot_rows=2)
+        assert rows(a) == rows(b)

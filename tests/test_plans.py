@@ -44,13 +44,11 @@ def test_retry_outcome_partial_group_limit(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-def test_reconcile_winners_limited_map_side(spark):
-    # the per-destination window only sees rows already cut to one per key
-    # and map task by a partial group limit below the exchange
+def test_reconcile_flags_winners_without_join_back(spark):
+    # first-wins per destination is one window, not winners joined back
     p = plan(E.queries()["reconcile"](spark, SF_SMALL))
     tree = p.split("\n\n")[0]
-    assert "WindowGroupLimit" in tree
-    assert "Partial" in p
+    assert "Window" in tree and "SortMergeJoin" not in tree
 
 
 def test_registry_and_axes_are_broadcast(spark):
