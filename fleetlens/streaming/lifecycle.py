@@ -27,27 +27,38 @@ OUT = StructType([
 STATE = StructType([StructField("started", BooleanType()), StructField("stopped", BooleanType())])
 
 
-def judge(pdf: pd.DataFrame, started0: bool, stopped0: bool):
-    """Verdicts for one key's events (sorted here), given the flags before
-    them; returns (verdicts, started_after, stopped_after)."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    act = pdf["action"].to_numpy()
-    ok = pdf["stop_ok"].to_numpy(dtype=bool)
-    is_start = act == "start"
+VERDICTS = np.array(["ok", "already_started", "not_started", "noop", "failed",
+                     "still_running", None], dtype=object)
+
+
+def judge_arrays(ts, ids, act, ok, started0: bool, stopped0: bool):
+    """Core of ``judge`` on numpy arrays already in (time, id) order: returns
+    (verdicts, started_after, stopped_after)."""
+    is_start, is_stop, is_collect = act == "start", act == "stop", act == "collect"
     started_incl = np.logical_or.accumulate(is_start) | started0
     started = np.concatenate([[started0], started_incl[:-1]])
-    stop_eff = (act == "stop") & started & ok
+    stop_eff = is_stop & started & ok
     stopped_incl = np.logical_or.accumulate(stop_eff) | stopped0
     stopped = np.concatenate([[stopped0], stopped_incl[:-1]])
-    verdict = np.select(
-        [is_start & started, is_start,
-         (act == "stop") & ~started, (act == "stop") & stopped, (act == "stop") & ok, act == "stop",
-         (act == "collect") & ~started, (act == "collect") & ~stopped, act == "collect"],
-        ["already_started", "ok", "not_started", "noop", "ok", "failed",
-         "not_started", "still_running", "ok"], default=None)
-    out = pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
+    code = np.full(len(act), 6)
+    code[is_start] = np.where(started[is_start], 1, 0)
+    code[is_stop] = np.where(~started[is_stop], 2,
+                             np.where(stopped[is_stop], 3, np.where(ok[is_stop], 0, 4)))
+    code[is_collect] = np.where(~started[is_collect], 2, np.where(~stopped[is_collect], 5, 0))
+    return VERDICTS[code], bool(started_incl[-1]), bool(stopped_incl[-1])
+
+
+def judge(pdf: pd.DataFrame, started0: bool, stopped0: bool):
+    """Verdicts for one key's events (sorted here), given the flags before
+    them; returns (verdicts, started_after, stopped_after)."""
+    ts, ids = pdf["ts"].to_numpy(), pdf["event_id"].to_numpy()
+    o = np.lexsort((ids, ts))
+    act = pdf["action"].to_numpy()[o]
+    verdict, s1, p1 = judge_arrays(ts[o], ids[o], act,
+                                   pdf["stop_ok"].to_numpy(dtype=bool)[o], started0, stopped0)
+    out = pd.DataFrame({"event_id": ids[o], "user_id": pdf["user_id"].to_numpy()[o],
                         "action": act, "verdict": verdict})
-    return out, bool(started_incl[-1]), bool(stopped_incl[-1])
+    return out, s1, p1
 
 
 def _make_fn(ttl_ms: int):
@@ -56,7 +67,8 @@ def _make_fn(ttl_ms: int):
             state.remove()
             return
         s0, p0 = (state.get if state.exists else (False, False))
-        batch = pd.concat(list(pdfs), ignore_index=True)
+        parts = list(pdfs)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         out, s1, p1 = judge(batch, bool(s0), bool(p0))
         state.update((s1, p1))
         last_ms = int(pd.Timestamp(batch["ts"].max()).value // 1_000_000)

@@ -29,7 +29,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, St
 
 from fleetlens.fixed import KILL_WAIT_S, TERMINATE_WAIT_S
 from fleetlens.functions.times import ntz_to_instant
-from fleetlens.streaming.lifecycle import judge
+from fleetlens.streaming.lifecycle import judge_arrays
 
 US = 1_000_000
 NO_RC = -(2 ** 62)  # marks "no return code" inside numpy arrays
@@ -47,12 +47,29 @@ STATE = StructType([
 ])
 
 
-def _rows(ids, uid, kind, outcome, rc=None):
-    n = len(ids)
-    return pd.DataFrame({"event_id": np.asarray(ids, dtype="int64"),
-                         "user_id": np.full(n, uid, dtype="int64"),
-                         "kind": [kind] * n, "outcome": list(outcome),
-                         "returncode": pd.array([None] * n if rc is None else list(rc), dtype="Int32")})
+class _Out:
+    """Collects output columns as arrays; one DataFrame per call."""
+
+    def __init__(self):
+        self.ids, self.kinds, self.outcomes, self.rcs = [], [], [], []
+
+    def add(self, ids, kind, outcome, rc=None):
+        n = len(ids)
+        if n == 0:
+            return
+        self.ids.append(np.asarray(ids, dtype="int64"))
+        self.kinds.append(np.full(n, kind, dtype=object))
+        self.outcomes.append(np.asarray(outcome, dtype=object))
+        self.rcs.append(np.full(n, NO_RC, dtype="int64") if rc is None else np.asarray(rc, "int64"))
+
+    def frame(self, uid):
+        ids = np.concatenate(self.ids)
+        rc = np.concatenate(self.rcs)
+        return pd.DataFrame({"event_id": ids, "user_id": np.full(len(ids), uid, dtype="int64"),
+                             "kind": np.concatenate(self.kinds),
+                             "outcome": np.concatenate(self.outcomes),
+                             "returncode": pd.arrays.IntegerArray(
+                                 np.where(rc == NO_RC, 0, rc).astype("int32"), rc == NO_RC)})
 
 
 def _settle(pend_id, pend_ts, pend_pos, exit_pos, exit_ts, exit_rc, classify):
@@ -79,9 +96,6 @@ def _make_fn(grace_us, term_us, kill_us, ttl_us):
         return (np.select([delay <= term_us, delay <= term_us + kill_us],
                           ["terminated", "killed"], "not_stopped"), np.full(len(delay), NO_RC))
 
-    def rc_or_none(a):
-        return [None if x == NO_RC else int(x) for x in a]
-
     def fn(key, pdfs, state):
         uid = int(key[0])
         if state.exists:
@@ -90,20 +104,24 @@ def _make_fn(grace_us, term_us, kill_us, ttl_us):
             st, sp, ps_id, ps_ts, pt_id, pt_ts, last_ts = False, False, [], [], [], [], None
         arr = lambda a: np.asarray([] if a is None else list(a), dtype="int64")
         ps_id, ps_ts, pt_id, pt_ts = arr(ps_id), arr(ps_ts), arr(pt_id), arr(pt_ts)
-        outs = []
+        out = _Out()
         if not state.hasTimedOut:
-            b = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"], kind="mergesort")
-            b = b.reset_index(drop=True)
-            acts = b[b["action"].notna()]
-            if len(acts):
-                v, st, sp = judge(acts.drop(columns=["ts"]).rename(columns={"ts_us": "ts"}), st, sp)
-                outs.append(_rows(v["event_id"], uid, "verdict", v["verdict"]))
-            pos = np.arange(len(b))
+            parts = list(pdfs)
+            b = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
             ts_b, id_b = b["ts_us"].to_numpy("int64"), b["event_id"].to_numpy("int64")
-            rc_b = b["rc"].astype("float64").fillna(NO_RC).to_numpy().astype("int64")
-            lx, sx = b["launch_exit"].to_numpy(bool), b["stop_exit"].to_numpy(bool)
-            is_start = (b["action"] == "start").to_numpy(bool)
-            is_stop = (b["action"] == "stop").to_numpy(bool)
+            o = np.lexsort((id_b, ts_b))
+            ts_b, id_b = ts_b[o], id_b[o]
+            act = b["action"].to_numpy(dtype=object)[o]
+            rc_b = b["rc"].astype("float64").fillna(NO_RC).to_numpy()[o].astype("int64")
+            lx = b["launch_exit"].to_numpy(bool)[o]
+            sx = b["stop_exit"].to_numpy(bool)[o]
+            has = ~pd.isna(act)
+            if has.any():
+                v, st, sp = judge_arrays(ts_b[has], id_b[has], act[has],
+                                         b["stop_ok"].to_numpy(bool)[o][has], bool(st), bool(sp))
+                out.add(id_b[has], "verdict", v)
+            pos = np.arange(len(b))
+            is_start, is_stop = act == "start", act == "stop"
             # open items from earlier batches sit before every batch row
             for (pid, pts, mask, exits, classify, kind) in (
                     (ps_id, ps_ts, is_start, lx, launch, "launch"),
@@ -111,35 +129,34 @@ def _make_fn(grace_us, term_us, kill_us, ttl_us):
                 all_id = np.concatenate([pid, id_b[mask]])
                 all_ts = np.concatenate([pts, ts_b[mask]])
                 all_pos = np.concatenate([np.full(len(pid), -1), pos[mask]])
-                done_id, out, rcs, open_id, open_ts = _settle(
+                done_id, res, rcs, open_id, open_ts = _settle(
                     all_id, all_ts, all_pos, pos[exits], ts_b[exits], rc_b[exits], classify)
-                if len(done_id):
-                    outs.append(_rows(done_id, uid, kind, out, rc_or_none(rcs)))
+                out.add(done_id, kind, res, rcs)
                 if kind == "launch":
                     ps_id, ps_ts = open_id, open_ts
                 else:
                     pt_id, pt_ts = open_id, open_ts
-            last_ts = int(ts_b.max()) if last_ts is None else max(last_ts, int(ts_b.max()))
+            last_ts = int(ts_b.max()) if last_ts is None else max(int(last_ts), int(ts_b.max()))
         # the watermark settles open items whose deadline has passed
         wm = state.getCurrentWatermarkMs() * 1000
         due = ps_ts + grace_us <= wm
         if due.any():
-            outs.append(_rows(ps_id[due], uid, "launch", ["launched"] * int(due.sum())))
+            out.add(ps_id[due], "launch", np.full(int(due.sum()), "launched", dtype=object))
             ps_id, ps_ts = ps_id[~due], ps_ts[~due]
         due = pt_ts + term_us + kill_us <= wm
         if due.any():
-            outs.append(_rows(pt_id[due], uid, "stop", ["not_stopped"] * int(due.sum())))
+            out.add(pt_id[due], "stop", np.full(int(due.sum()), "not_stopped", dtype=object))
             pt_id, pt_ts = pt_id[~due], pt_ts[~due]
         deadlines = [int(v) for v in ps_ts + grace_us] + [int(v) for v in pt_ts + term_us + kill_us]
-        if not deadlines and last_ts is not None and last_ts + ttl_us <= wm:
+        if not deadlines and last_ts is not None and int(last_ts) + ttl_us <= wm:
             state.remove()
         else:
             state.update((bool(st), bool(sp), ps_id.tolist(), ps_ts.tolist(),
                           pt_id.tolist(), pt_ts.tolist(), None if last_ts is None else int(last_ts)))
             nxt = min(deadlines) if deadlines else int(last_ts or 0) + ttl_us
             state.setTimeoutTimestamp(int(max(-(-nxt // 1000), state.getCurrentWatermarkMs() + 1)))
-        if outs:
-            yield pd.concat(outs, ignore_index=True)
+        if out.ids:
+            yield out.frame(uid)
     return fn
 
 
