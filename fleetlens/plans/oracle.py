@@ -5,6 +5,9 @@ independently of the Spark code: windows and correlated / lateral subqueries
 where the Spark side uses aggregates, joins and generated grids.
 """
 
+from fleetlens.fixed import (CAPTURE_TYPE, LOCAL_RUNNER, REMOTE_RUNNER, TRANSMIT_TYPE,
+                             URI_SCHEME)
+
 LINE_ORDER_SQL = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
                   "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
 LINE_ORDER_DESC_SQL = ", ".join(c.strip() + " DESC" for c in LINE_ORDER_SQL.split(","))
@@ -188,7 +191,7 @@ SELECT l_orderkey,
 FROM lineitem GROUP BY l_orderkey
 """
 
-COMMAND_MANIFEST = """
+COMMAND_MANIFEST = f"""
 WITH m AS (
   SELECT o_orderkey, o_orderstatus AS st, o_orderpriority AS prio,
          CAST(4000 + o_custkey % 1000 AS VARCHAR) AS port,
@@ -200,7 +203,7 @@ SELECT o_orderkey,
             + CASE WHEN enable IS NULL OR enable = '' THEN 1 ELSE 2 END + 2 AS BIGINT) AS argc,
        'bin/xmit'
          || CASE st WHEN 'F' THEN ' generate' WHEN 'O' THEN ' receive' ELSE '' END
-         || ' "srt://' || host || ':' || port
+         || ' "{URI_SCHEME}' || host || ':' || port
          || CASE WHEN st = 'P' THEN '' ELSE '?latency=' || CAST(o_orderkey % 500 AS VARCHAR) || '&prio=' || prio END
          || '"'
          || ' --prio ' || prio
@@ -358,8 +361,6 @@ WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= wm.w
 ORACLE["lifecycle_monitor"] = LIFECYCLE_MONITOR
 
 # ---- spec flow on the specs derived from events (one spec per event) -------
-from fleetlens.fixed import (CAPTURE_TYPE, LOCAL_RUNNER, REMOTE_RUNNER,  # noqa: E402
-                             TRANSMIT_TYPE, URI_SCHEME)
 
 SPEC_EVENTS = """
   SELECT event_id, 'results/e' || CAST(event_id AS VARCHAR) AS run,
