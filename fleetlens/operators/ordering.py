@@ -41,12 +41,14 @@ def order_tasks(tasks: DataFrame, key, order, honor_stop_order: bool = False,
         wt = Window.partitionBy(*key).orderBy(*_stop_keys(order, True, stop_order))
         return (tasks.withColumn(start_rank, F.row_number().over(ws).cast("bigint"))
                      .withColumn(stop_rank, F.row_number().over(wt).cast("bigint")))
+    # the order is total, so the stop order (its reverse) needs no second
+    # sort: stop rank = tasks in the run - tasks before
     b, seg = bucketize(tasks, key, order, hot_rows)
-    s = prefix_scan(b, key, order, [("_ot_up", "count", None)], segmented=seg)
-    s = prefix_scan(s, key, order, [("_ot_down", "count", None)], descending=True, segmented=seg)
+    s = prefix_scan(b, key, order, [("_ot_up", "count", None),
+                                    ("_ot_n", "total", F.lit(1).cast("bigint"))], segmented=seg)
     return (s.withColumn(start_rank, (F.col("_ot_up") + 1).cast("bigint"))
-             .withColumn(stop_rank, (F.col("_ot_down") + 1).cast("bigint"))
-             .drop("_ot_up", "_ot_down", B, HOT))
+             .withColumn(stop_rank, (F.col("_ot_n") - F.col("_ot_up")).cast("bigint"))
+             .drop("_ot_up", "_ot_n", B, HOT))
 
 
 def timeline(tasks: DataFrame, key, order, start_cost: Column, stop_cost: Column,
@@ -70,11 +72,19 @@ def timeline(tasks: DataFrame, key, order, start_cost: Column, stop_cost: Column
               .withColumn("_tl_total", F.sum("_tl_sc").over(Window.partitionBy(*key)))
               .withColumn("_tl_stopwait", F.sum("_tl_pc").over(wt)))
     else:
+        # one ascending scan: the wait before a task's stop (stops run in
+        # reverse) is the run's stop cost minus that of the task and the
+        # tasks before it
         b, seg = bucketize(x, key, order, hot_rows)
         x = prefix_scan(b, key, order, [("_tl_before", "sum", F.col("_tl_sc")),
-                                        ("_tl_total", "total", F.col("_tl_sc"))], segmented=seg)
-        x = prefix_scan(x, key, order, [("_tl_stopwait", "sum", F.col("_tl_pc"))],
-                        descending=True, segmented=seg).drop(B, HOT)
+                                        ("_tl_total", "total", F.col("_tl_sc")),
+                                        ("_tl_pbefore", "sum", F.col("_tl_pc")),
+                                        ("_tl_ptotal", "total", F.col("_tl_pc"))],
+                        segmented=seg).drop(B, HOT)
+        z = F.lit(0)
+        x = x.withColumn("_tl_stopwait", F.coalesce(F.col("_tl_ptotal"), z)
+                         - F.coalesce(F.col("_tl_pbefore"), z) - F.coalesce(F.col("_tl_pc"), z)) \
+             .drop("_tl_pbefore", "_tl_ptotal")
     x = (x.withColumn("start_at", F.coalesce(F.col("_tl_before"), F.lit(0)))
           .withColumn("ready_at", F.col("start_at") + F.col("_tl_ro"))
           .withColumn("stop_at", F.col("_tl_total") + sa + F.coalesce(F.col("_tl_stopwait"), F.lit(0))))
