@@ -104,9 +104,9 @@ def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False,
     inp = bdf
     for name, kind, expr in measures:
         inp = inp.withColumn(f"_ps_i_{name}", F.lit(1) if kind == "count" else expr)
-    x = inp
-    for name, kind, _ in measures:
-        x = x.withColumn(f"_ps_l_{name}", _local(kind, F.col(f"_ps_i_{name}"), w_frame, part))
+    # one select, so window expressions of the same spec share one operator
+    x = inp.select("*", *[_local(kind, F.col(f"_ps_i_{name}"), w_frame, part).alias(f"_ps_l_{name}")
+                          for name, kind, _ in measures])
     if not segmented:
         return x.select(*bdf.columns, *[F.col(f"_ps_l_{n}").alias(n) for n, _, _ in measures])
 
