@@ -9,13 +9,15 @@ its leading order value, so the work of a hot key spreads over many tasks:
    value; partial aggregation, so cheap and skew-free) finds the *hot* keys,
    those with more than ``hot_rows`` rows, and gives each a bucket width so
    that its buckets hold about ``hot_rows`` rows.  Other keys are one bucket.
-   There are at most ``N / hot_rows`` hot keys (pigeonhole), which bounds the
-   broadcast of this table.
+   There are at most ``N / hot_rows`` hot keys (pigeonhole); the check job
+   returns their number, and the table is broadcast only below
+   ``MAX_BROADCAST_ROWS`` (a shuffle join beyond).
 2. ``prefix_scan``: a window per (key, bucket) computes each measure over the
    rows strictly before the current one inside its bucket.
 3. For hot keys only, per-bucket totals are aggregated (at most
-   ``N / hot_rows`` rows in all, again a bounded broadcast), carried across
-   the key's buckets with a small window, and added to the in-bucket value.
+   hot rows / ``hot_rows`` + hot keys rows, known from the check job, and
+   broadcast only below ``MAX_BROADCAST_ROWS``), carried across the key's
+   buckets with a small window, and added to the in-bucket value.
 
 Measure kinds: ``count`` (rows before), ``sum``, ``or`` (any true before),
 ``last`` (nearest earlier non-null value) and ``total`` (whole key).  With
@@ -37,9 +39,26 @@ from fleetlens.functions.times import ntz_micros
 
 # rows one window task sorts and scans comfortably
 HOT_ROWS = 2_000_000
+# largest hot-key or bucket table shipped to every executor
+MAX_BROADCAST_ROWS = 1_000_000
 B, HOT = "_sg_b", "_sg_hot"
 
 
+class Segments:
+    """What ``bucketize`` found: hot keys, their rows, and whether the
+    hot-key table and the bucket-carry table may be broadcast."""
+
+    def __init__(self, hot_keys: int = 0, hot_rows_total: int = 0, hot_rows: int = HOT_ROWS):
+        self.hot_keys = hot_keys
+        # each hot key has at most n / hot_rows + 1 buckets
+        self.max_buckets = (hot_rows_total // max(hot_rows, 1)) + hot_keys
+        self.broadcast_keys = hot_keys <= MAX_BROADCAST_ROWS
+        self.broadcast_buckets = self.max_buckets <= MAX_BROADCAST_ROWS
+
+    def __bool__(self) -> bool:
+        return self.hot_keys > 0
+
+
 def order_number(df: DataFrame, col: str) -> Column:
     """A numeric column that never decreases when ``col`` increases."""
     t = df.schema[col].dataType
@@ -53,29 +72,35 @@ def order_number(df: DataFrame, col: str) -> Column:
     return c
 
 
-def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
-    """``(df + _sg_b (bucket, bigint) + _sg_hot (boolean), segmented)``.
+def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, Segments]:
+    """``(df + _sg_b (bucket, bigint) + _sg_hot (boolean), segments)``.
 
-    ``segmented`` is false when no key is hot; every row is then bucket 0."""
+    ``segments`` is falsy when no key is hot; every row is then bucket 0.
+    One small job returns two scalars (hot keys, their rows), which decide
+    the plan and check the size of what is broadcast."""
     keys = list(keys)
     o0 = order_number(df, order[0])
     x = df.withColumn("_sg_o0", o0)
     stats = (x.groupBy(*keys)
               .agg(F.count(F.lit(1)).alias("_sg_n"), F.min("_sg_o0").alias("_sg_lo"),
                    F.max("_sg_o0").alias("_sg_hi"))
-              .filter(F.col("_sg_n") > hot_rows)
-              .select(*keys, "_sg_lo",
-                      F.greatest(F.lit(1.0), (F.col("_sg_hi") - F.col("_sg_lo") + 1).cast("double")
-                                 * F.lit(float(hot_rows)) / F.col("_sg_n")).alias("_sg_w")))
-    if stats.limit(1).count() == 0:
-        return df.withColumn(B, F.lit(0).cast("bigint")).withColumn(HOT, F.lit(False)), False
-    l, r = x.alias("_sl"), F.broadcast(stats).alias("_sr")
+              .filter(F.col("_sg_n") > hot_rows))
+    found = stats.agg(F.count(F.lit(1)).alias("k"), F.sum("_sg_n").alias("n")).first()
+    seg = Segments(int(found["k"] or 0), int(found["n"] or 0), hot_rows)
+    if not seg:
+        return df.withColumn(B, F.lit(0).cast("bigint")).withColumn(HOT, F.lit(False)), seg
+    widths = stats.select(*keys, "_sg_lo",
+                          F.greatest(F.lit(1.0), (F.col("_sg_hi") - F.col("_sg_lo") + 1).cast("double")
+                                     * F.lit(float(hot_rows)) / F.col("_sg_n")).alias("_sg_w"))
+    if seg.broadcast_keys:
+        widths = F.broadcast(widths)
+    l, r = x.alias("_sl"), widths.alias("_sr")
     cond = reduce(lambda a, b: a & b, [F.col(f"_sl.{k}").eqNullSafe(F.col(f"_sr.{k}")) for k in keys])
     j = l.join(r, cond, "left")
     hot = F.col("_sr._sg_w").isNotNull()
     bucket = F.when(hot, F.floor((F.col("_sl._sg_o0") - F.col("_sr._sg_lo")) / F.col("_sr._sg_w"))) \
               .otherwise(F.lit(0)).cast("bigint")
-    return j.select(*[F.col(f"_sl.{c}") for c in df.columns], bucket.alias(B), hot.alias(HOT)), True
+    return j.select(*[F.col(f"_sl.{c}") for c in df.columns], bucket.alias(B), hot.alias(HOT)), seg
 
 
 def _local(kind: str, inp: Column, w_frame, w_all) -> Column:
@@ -93,7 +118,7 @@ def _local(kind: str, inp: Column, w_frame, w_all) -> Column:
 
 
 def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False,
-                segmented: bool = True) -> DataFrame:
+                segmented=True) -> DataFrame:
     """Add one column per ``(name, kind, expr)`` of ``measures`` to a
     bucketized frame (see module doc); ``segmented`` comes from
     ``bucketize``."""
@@ -136,7 +161,9 @@ def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False,
         carry.append(c.alias(f"_ps_c_{name}"))
     carry_df = summ.select(*keys, B, *carry)
 
-    l, r = x.alias("_pl"), F.broadcast(carry_df).alias("_pr")
+    if not isinstance(segmented, Segments) or segmented.broadcast_buckets:
+        carry_df = F.broadcast(carry_df)
+    l, r = x.alias("_pl"), carry_df.alias("_pr")
     cond = reduce(lambda a, b: a & b,
                   [F.col(f"_pl.{k}").eqNullSafe(F.col(f"_pr.{k}")) for k in keys + [B]])
     j = l.join(r, cond, "left")

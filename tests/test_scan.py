@@ -101,3 +101,16 @@ def test_prefix_scan_matches_plain_windows(spark, seed, hot):
             F.sum("c").over(Window.partitionBy("k")).alias("tot"))
         cols = ["id", "n", "s", "o", "l"] + ([] if desc else ["tot"])
         assert rows(got, *cols) == rows(want, *cols), (seed, hot, desc)
+
+
+def test_segmented_scan_without_broadcast(spark, events, monkeypatch):
+    """Above the broadcast bound the hot-key and carry tables are joined by
+    shuffle; results do not change."""
+    import fleetlens.plans.scan as S
+    ev = events.filter(F.col("event_type").isin("signup", "error", "purchase"))
+    want = rows(lifecycle_check(ev, ["user_id"], EVENT_ORDER, _action()), "event_id", "verdict")
+    monkeypatch.setattr(S, "MAX_BROADCAST_ROWS", 0)
+    b, seg = bucketize(ev, ["user_id"], EVENT_ORDER, hot_rows=3)
+    assert seg and not seg.broadcast_keys and not seg.broadcast_buckets
+    got = lifecycle_check(ev, ["user_id"], EVENT_ORDER, _action(), hot_rows=3)
+    assert rows(got, "event_id", "verdict") == want
