@@ -99,17 +99,24 @@ def prechecks(flags: DataFrame, keys, started: str = "started", stopped: str = "
     return flags.select(*keys, c.alias("precheck"))
 
 
+def probe_wait_s(runner_type: str = "runner_type"):
+    """Launch probe wait of a task's runner, in seconds (bigint): the grace
+    for ``operators.lifecycle.launch_probe`` and the fixed start cost of a
+    task in ``spec_timeline``."""
+    from fleetlens.fixed import PROBE_WAIT_LOCAL_S, PROBE_WAIT_REMOTE_S
+    return F.when(F.col(runner_type) == REMOTE_RUNNER, F.lit(PROBE_WAIT_REMOTE_S)) \
+            .otherwise(F.lit(PROBE_WAIT_LOCAL_S)).cast("bigint")
+
+
 def spec_timeline(tasks: DataFrame, honor_stop_order: bool = False) -> DataFrame:
     """W1 + W2 for spec tasks: start / stop ranks and nominal offsets in
     seconds.  Each start costs the launch probe wait of its runner (local or
     remote) plus ``sleep_after_start``; a task is ready once its probe wait
     is over; the run lasts ``stop_after``; stops follow in stop order, each
     followed by ``sleep_after_stop``."""
-    from fleetlens.fixed import PROBE_WAIT_LOCAL_S, PROBE_WAIT_REMOTE_S
     from fleetlens.operators.ordering import order_tasks, timeline
 
-    probe = F.when(F.col("runner_type") == REMOTE_RUNNER, F.lit(PROBE_WAIT_REMOTE_S)) \
-             .otherwise(F.lit(PROBE_WAIT_LOCAL_S)).cast("bigint")
+    probe = probe_wait_s()
     ranked = order_tasks(tasks, ["run"], ["pos"], honor_stop_order=honor_stop_order)
     return timeline(ranked, ["run"], ["pos"],
                     start_cost=probe + F.coalesce(F.col("sleep_after_start"), F.lit(0)).cast("bigint"),
