@@ -358,6 +358,20 @@ FROM ({_next('error', 'purchase')}) x, wm
 WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= wm.w
 """
 
+# plus one status row per user of the stream (a single micro-batch of data)
+LIFECYCLE_MONITOR += """
+UNION ALL
+SELECT l.last_id, l.user_id, 'status',
+       CASE WHEN s.user_id IS NULL OR NOT s.s THEN 'idle' ELSE 'running' END,
+       CASE WHEN NOT s.s THEN s.rc END
+FROM (SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_id FROM events
+      WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY user_id) l
+LEFT JOIN (SELECT user_id, event_type = 'signup' AS s, CAST(floor(value) AS INTEGER) AS rc,
+                  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+           FROM events WHERE event_type IN ('signup', 'error')) s
+  ON s.user_id = l.user_id AND s.rn = 1
+"""
+
 ORACLE["lifecycle_monitor"] = LIFECYCLE_MONITOR
 
 # ---- spec flow on the specs derived from events (one spec per event) -------

@@ -10,7 +10,11 @@ key, events are ordered by (time, id) and emitted as:
   ``launch_failed`` (with the exit's return code), otherwise ``launched``;
 * ``stop`` rows: a stop request whose next exit comes within ``term`` is
   ``terminated``, within ``term + kill`` ``killed``, otherwise
-  ``not_stopped``.
+  ``not_stopped``;
+* ``status`` rows: per key and micro-batch with data, the current status
+  after it (T1): ``running`` after a start, ``idle`` with the return code
+  after an exit, ``idle`` when never started; ``event_id`` is the key's
+  latest event.
 
 An open start or stop is settled by the next exit when it arrives, or by the
 watermark passing its deadline (an event-time timeout re-armed to the
@@ -43,8 +47,11 @@ STATE = StructType([
     StructField("started", BooleanType()), StructField("stopped", BooleanType()),
     StructField("ps_id", LONGS), StructField("ps_ts", LONGS),
     StructField("pt_id", LONGS), StructField("pt_ts", LONGS),
-    StructField("last_ts", LongType()),
+    StructField("last_ts", LongType()), StructField("last_id", LongType()),
+    StructField("cur", IntegerType()), StructField("cur_rc", IntegerType()),
 ])
+# current status codes kept in state
+NEVER, RUNNING, EXITED = 0, 1, 2
 
 
 class _Out:
@@ -99,9 +106,10 @@ def _make_fn(grace_us, term_us, kill_us, ttl_us):
     def fn(key, pdfs, state):
         uid = int(key[0])
         if state.exists:
-            st, sp, ps_id, ps_ts, pt_id, pt_ts, last_ts = state.get
+            st, sp, ps_id, ps_ts, pt_id, pt_ts, last_ts, last_id, cur, cur_rc = state.get
         else:
-            st, sp, ps_id, ps_ts, pt_id, pt_ts, last_ts = False, False, [], [], [], [], None
+            st, sp, ps_id, ps_ts, pt_id, pt_ts, last_ts, last_id, cur, cur_rc = (
+                False, False, [], [], [], [], None, None, NEVER, None)
         arr = lambda a: np.asarray([] if a is None else list(a), dtype="int64")
         ps_id, ps_ts, pt_id, pt_ts = arr(ps_id), arr(ps_ts), arr(pt_id), arr(pt_ts)
         out = _Out()
@@ -136,7 +144,16 @@ def _make_fn(grace_us, term_us, kill_us, ttl_us):
                     ps_id, ps_ts = open_id, open_ts
                 else:
                     pt_id, pt_ts = open_id, open_ts
-            last_ts = int(ts_b.max()) if last_ts is None else max(int(last_ts), int(ts_b.max()))
+            # current status: the last start or exit decides
+            life = np.flatnonzero(is_start | lx)
+            if len(life):
+                i = life[-1]
+                cur = RUNNING if is_start[i] else EXITED
+                cur_rc = None if (cur == RUNNING or rc_b[i] == NO_RC) else int(rc_b[i])
+            if last_ts is None or (int(ts_b[-1]), int(id_b[-1])) > (int(last_ts), int(last_id)):
+                last_ts, last_id = int(ts_b[-1]), int(id_b[-1])
+            out.add([last_id], "status", ["running" if cur == RUNNING else "idle"],
+                    [NO_RC if cur_rc is None else cur_rc])
         # the watermark settles open items whose deadline has passed
         wm = state.getCurrentWatermarkMs() * 1000
         due = ps_ts + grace_us <= wm
@@ -152,7 +169,9 @@ def _make_fn(grace_us, term_us, kill_us, ttl_us):
             state.remove()
         else:
             state.update((bool(st), bool(sp), ps_id.tolist(), ps_ts.tolist(),
-                          pt_id.tolist(), pt_ts.tolist(), None if last_ts is None else int(last_ts)))
+                          pt_id.tolist(), pt_ts.tolist(), None if last_ts is None else int(last_ts),
+                          None if last_id is None else int(last_id), int(cur),
+                          None if cur_rc is None else int(cur_rc)))
             nxt = min(deadlines) if deadlines else int(last_ts or 0) + ttl_us
             state.setTimeoutTimestamp(int(max(-(-nxt // 1000), state.getCurrentWatermarkMs() + 1)))
         if out.ids:

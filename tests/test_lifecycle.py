@@ -157,10 +157,24 @@ def test_monitor_deadlines_across_micro_batches(spark, tmp):
     m = lifecycle_monitor(s, actions(), launch_exit=exit_, stop_exit=exit_,
                           returncode=F.col("value"), grace_s=5, lateness="1 second")
     got = drain_to_parquet(spark, m, "t5-monitor")
-    assert rows(got.filter("kind <> 'verdict'"), "user_id", "kind", "outcome", "returncode") == [
+    assert rows(got.filter("kind IN ('launch', 'stop')"), "user_id", "kind", "outcome",
+                "returncode") == [
         (1, "launch", "launch_failed", 0), (2, "launch", "launched", None),
         (3, "launch", "launched", None), (4, "stop", "terminated", None),
         (5, "stop", "killed", None), (6, "stop", "not_stopped", None)]
     verdicts = lifecycle_check(ev, ["user_id"], ORDER, actions())
     assert rows(got.filter("kind = 'verdict'"), "event_id", "outcome") == \
         rows(verdicts, "event_id", "verdict")
+    # the latest status row of each key equals the batch current status
+    from pyspark.sql import Window
+    last = (got.filter("kind = 'status'")
+               .withColumn("r", F.row_number().over(Window.partitionBy("user_id")
+                                                    .orderBy(F.col("event_id").desc())))
+               .filter("r = 1"))
+    status = current_status(ev, ["user_id"], ORDER, F.col("kind") == "start",
+                            F.col("kind") == "exit", F.col("value"))
+    keys = [r["user_id"] for r in ev.select("user_id").distinct().collect()]
+    assert rows(last, "user_id", "outcome", "returncode") == \
+        rows(spark.createDataFrame([(k,) for k in keys], "user_id bigint")
+             .join(status, "user_id", "left")
+             .select("user_id", F.coalesce("status", F.lit("idle")).alias("status"), "returncode"))
