@@ -84,3 +84,17 @@ def status_counts(reconciled: DataFrame, status: str = "status") -> DataFrame:
     """Artifacts per status: the one-line answer to "what was collected"."""
     return (reconciled.groupBy(status)
                       .agg(F.count(F.lit(1)).alias("n_artifacts")))
+
+
+def missing_artifacts(expected: DataFrame, found: DataFrame, on) -> DataFrame:
+    """Expected artifacts with no file found (left anti join against the
+    distinct found paths)."""
+    on = list(on)
+    return expected.join(found.select(*on).distinct(), on, "left_anti")
+
+
+def present_artifacts(expected: DataFrame, found: DataFrame, on) -> DataFrame:
+    """Expected artifacts with at least one file found (left semi join; each
+    expected row once, however many copies were found)."""
+    on = list(on)
+    return expected.join(found.select(*on), on, "left_semi")

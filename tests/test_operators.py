@@ -155,3 +155,11 @@ def test_first_wins_hot_keys_same(spark):
         a = flag_extreme(li, ["l_orderkey"], order, first=first)
         b = flag_extreme(li, ["l_orderkey"], order, first=first, hot_rows=2)
         assert rows(a) == rows(b)
+
+
+def test_missing_and_present_artifacts(spark):
+    from fleetlens.operators.reconcile import missing_artifacts, present_artifacts
+    exp = spark.createDataFrame([("t1", "/a"), ("t2", "/b"), ("t3", "/c")], "task string, path string")
+    found = spark.createDataFrame([("/a",), ("/a",), ("/c",), ("/z",)], "path string")
+    assert rows(missing_artifacts(exp, found, ["path"]), "task") == [("t2",)]
+    assert rows(present_artifacts(exp, found, ["path"]), "task") == [("t1",), ("t3",)]
