@@ -71,8 +71,16 @@ def capture_argv(path, interface, port, tracefile) -> Column:
                    F.lit("-w"), _c(tracefile).cast("string"))
 
 
+def _quote_spaced(a: Column) -> Column:
+    return F.when(F.instr(a, " ") > 0, F.concat(F.lit('"'), a, F.lit('"'))).otherwise(a)
+
+
+CAPTURE_ARGC = 9
+
+
 def capture_text(argv) -> Column:
-    return F.array_join(
-        F.transform(_c(argv), lambda a: F.when(F.instr(a, " ") > 0,
-                                               F.concat(F.lit('"'), a, F.lit('"'))).otherwise(a)),
-        " ")
+    """Capture argv (always nine elements) -> text, quoting each element
+    that holds a space.  Built from the elements by position, without a
+    higher-order function, so it stays in generated code."""
+    a = _c(argv)
+    return F.concat_ws(" ", *[_quote_spaced(F.element_at(a, i + 1)) for i in range(CAPTURE_ARGC)])
