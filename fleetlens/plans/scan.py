@@ -50,8 +50,9 @@ class Segments:
 
     def __init__(self, hot_keys: int = 0, hot_rows_total: int = 0, hot_rows: int = HOT_ROWS):
         self.hot_keys = hot_keys
-        # each hot key has at most n / hot_rows + 1 buckets
-        self.max_buckets = (hot_rows_total // max(hot_rows, 1)) + hot_keys
+        # a hot key of n rows has at most n / hot_rows + 1 value buckets, plus
+        # one for rows whose leading order value is null
+        self.max_buckets = (hot_rows_total // max(hot_rows, 1)) + 2 * hot_keys
         self.broadcast_keys = hot_keys <= MAX_BROADCAST_ROWS
         self.broadcast_buckets = self.max_buckets <= MAX_BROADCAST_ROWS
 
