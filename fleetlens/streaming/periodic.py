@@ -1,8 +1,10 @@
 """Periodic statistics on a stream.
 
 The batch operator (``operators.periodic.periodic_stats``) behind a
-watermark: append mode emits a window once the watermark passes its end;
-rows later than the watermark are dropped by Spark.  ``withWatermark`` needs
+watermark: append mode emits a window once the watermark passes its end.
+Spark drops a row that is older than the previous micro-batch's watermark
+when it arrives; a row arriving in the same batch in which its window closes
+still counts.  ``withWatermark`` needs
 a zoned timestamp, so ``timestamp_ntz`` input is converted through epoch
 microseconds (independent of the session time zone) and the window bounds
 are converted back.

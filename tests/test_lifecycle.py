@@ -178,3 +178,25 @@ def test_monitor_deadlines_across_micro_batches(spark, tmp):
         rows(spark.createDataFrame([(k,) for k in keys], "user_id bigint")
              .join(status, "user_id", "left")
              .select("user_id", F.coalesce("status", F.lit("idle")).alias("status"), "returncode"))
+
+
+def test_periodic_stream_drops_late_rows(spark, tmp):
+    """Spark filters late rows against the previous micro-batch's watermark:
+    a row arriving a batch after the watermark passed its window is dropped,
+    and the window was emitted without it."""
+    import time
+    from fleetlens.streaming.periodic import periodic_stats_stream
+    from fleetlens.streaming.runner import drain_to_parquet, file_stream
+    folder = os.path.join(tmp, "late")
+    parts = [[(1, s, "x", 1.0) for s in range(0, 4 * 3600, 600)],     # 00:00 .. 03:50
+             [(1, 6 * 3600, "x", 1.0)],                                # 06:00 moves the watermark
+             [(1, 600, "x", 100.0)]]                                   # 00:10 arrives late
+    for p in parts:
+        _log(spark, p).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.2)                                                # file order = write order
+    s = file_stream(spark, folder, _log(spark, parts[0]).schema, max_files_per_trigger=1)
+    got = drain_to_parquet(spark, periodic_stats_stream(s, "ts", "1 hour", ["kind"], "value",
+                                                        lateness="30 minutes"), "t6-late")
+    by_hour = {r["window_start"].hour: (r["n"], r["max_value"]) for r in got.collect()}
+    assert by_hour[0] == (6, 1.0)          # the late 100.0 row did not get in
+    assert set(by_hour) == {0, 1, 2, 3}    # 06:00 window still open at the end
