@@ -455,3 +455,30 @@ QUERIES.update({
     "spec_manifest": q_spec_manifest,
     "spec_artifacts": q_spec_artifacts,
 })
+
+
+def q_decode_run(spark, d):
+    """J3 inverse: parameters decoded from the generated run names."""
+    from fleetlens.operators.sweep import decode_run
+    g = q_sweep_grid(spark, d)
+    return g.select("run", *decode_run(F.col("run"), ["region", "segment", "etype"]))
+
+
+def q_write_new(spark, d):
+    """The events table written through the fail-if-exists sink into a
+    fresh shared folder (a second write must be refused), read back."""
+    from fleetlens.session import shared_dir
+    from fleetlens.sources.sinks import write_new
+    out = shared_dir(spark, "write-new")
+    ev = _t(spark, d, "events")
+    write_new(ev, out)
+    try:
+        write_new(ev.limit(0), out)
+    except Exception:  # refused: the folder exists
+        pass
+    else:
+        raise RuntimeError(f"write_new overwrote {out}")
+    return spark.read.parquet(out)
+
+
+QUERIES.update({"decode_run": q_decode_run, "write_new": q_write_new})

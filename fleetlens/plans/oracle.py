@@ -425,3 +425,8 @@ ORACLE.update({
     "spec_manifest": SPEC_MANIFEST,
     "spec_artifacts": SPEC_ARTIFACTS,
 })
+
+ORACLE.update({
+    "decode_run": SWEEP_GRID,
+    "write_new": "SELECT * FROM events",
+})
