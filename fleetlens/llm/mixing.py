@@ -81,11 +81,9 @@ def replicate(df: DataFrame, source: str, key: str, seed: str = SEED, weights: d
         by_source = F.broadcast(by_source)
     out = df.join(by_source, df[source].eqNullSafe(by_source[s]))
 
-    def draw(total, part):
-        u = uniform(F.lit(seed), df[key], part)
-        return total + F.size(F.filter(out[table], lambda c: c <= u))
-
-    out = out.withColumn(n, F.aggregate(F.sequence(F.lit(1), out[parts]), F.lit(0), draw)).where(F.col(n) > 0)
+    draws = F.transform(F.sequence(F.lit(1), out[parts]), lambda part: uniform(F.lit(seed), df[key], part))
+    count = F.aggregate(draws, F.lit(0), lambda total, u: total + F.size(F.filter(out[table], lambda c: c <= u)))
+    out = out.withColumn(n, count).where(F.col(n) > 0)
     copies = F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     return out.select(*[df[c] for c in df.columns if c.lower() != "copy"], copies.alias("copy"))
 

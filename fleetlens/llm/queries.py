@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import mixing, sharding
+from . import decontaminate, mixing, quality, sharding
+from .frames import saved
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    out = decontaminate.contamination(docs, benchmark, keep=["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,4 +26,11 @@ def op8_place_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, docs["doc_id"], sharding.shard_names(sharding.SHARDS), sharding.SLOTS)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_mix_sources, op8_place_shards)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = saved(quality.measures(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    out = quality.judged(measured, quality.posteriors(measured))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "quality")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op8_place_shards, op10_quality)}
