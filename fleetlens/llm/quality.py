@@ -28,7 +28,7 @@ from .words import NOT_SPACE, covered, grams, groups, mixed
 NGRAM = 5
 MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_upper", "n_letters", "n_wide", "n_marks", "n_top_word")])
+    "n_lines", "n_upper", "n_letters", "n_digits", "n_wide", "n_marks", "n_top_word")])
 THRESHOLD = 0.5
 ROUNDS = 50
 START = 0.1  # probability of good to begin with, where a rule votes bad
@@ -39,6 +39,7 @@ LEAN = {"good": np.where(np.arange(10) < GOOD_RULES, 0.9, 0.01), "bad": np.where
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.isin(np.arange(256), list(range(0x41, 0x5B)))
 _LETTER = _UPPER | np.isin(np.arange(256), list(range(0x61, 0x7B)))
+_DIGIT = np.isin(np.arange(256), list(range(0x30, 0x3A)))
 _MARK = np.isin(np.arange(256), list(b"!?"))
 _WIDE = np.arange(256) >= 0xC0  # first byte of a character outside ASCII
 _START = (np.arange(256) & 0xC0) != 0x80  # first byte of a character
@@ -58,10 +59,10 @@ def rules() -> list[tuple[str, Column]]:
     repeats, lines = _share("n_repeat_words", "n_words"), _share("n_dup_lines", "n_lines")
     upper, marks, top = _share("n_upper", "n_letters"), _share("n_marks", "n_words"), _share("n_top_word", "n_words")
     words = F.col("n_words")
-    letters = (F.col("n_letters") + F.col("n_wide")).cast("double") / F.greatest("word_chars", F.lit(1))
+    plain = (F.col("n_letters") + F.col("n_digits") + F.col("n_wide")).cast("double") / F.greatest("word_chars", F.lit(1))
     good, bad = {
-        "prose": (letters >= 0.9) & (upper <= 0.3),
-        "varied": (words >= 10) & (repeats <= 0.1) & (top <= 0.2),
+        "prose": (plain >= 0.88) & (upper <= 0.4),
+        "varied": (words >= 10) & (repeats <= 0.2) & (top <= 0.25),
     }, {
         "short": words < 10,
         "word_length": (length < 2.0) | (length > 20.0),
@@ -120,7 +121,7 @@ def _measures(g) -> dict[str, np.ndarray]:
     count = np.bincount(g.doc, minlength=n)
     return {"n_words": count, "word_chars": bytes_of(None, NOT_SPACE[g.data] & _START[g.data]), "n_symbols": bytes_of(_SYMBOL),
             "n_dup_lines": dup, "n_repeat_words": np.bincount(g.doc[repeated], minlength=n), "n_lines": lines,
-            "n_upper": bytes_of(_UPPER), "n_letters": bytes_of(_LETTER), "n_wide": bytes_of(_WIDE),
+            "n_upper": bytes_of(_UPPER), "n_letters": bytes_of(_LETTER), "n_wide": bytes_of(_WIDE), "n_digits": bytes_of(_DIGIT),
             "n_marks": bytes_of(_MARK), "n_top_word": top}
 
 
