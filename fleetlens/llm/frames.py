@@ -49,7 +49,7 @@ def uniform(*parts: Column) -> Column:
 
 def row_hash(df: DataFrame) -> list[Column]:
     """128 bits that stand for a whole row (equal rows, equal hash; never null)."""
-    cols = [df[c] for c in df.columns]
+    cols = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else df[f.name] for f in df.schema.fields]
     return [F.xxhash64(F.lit(1), *cols), F.xxhash64(F.lit(2), *cols)]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import decontaminate, mixing, quality, sharding
+from . import decontaminate, line_dedup, mixing, quality, sharding, simhash
 from .frames import saved
 
 
@@ -21,11 +21,21 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_place_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, docs["doc_id"], sharding.shard_names(sharding.SHARDS), sharding.SLOTS)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeats(docs).select("doc_id", "text", "kept", "removed", "n_removed")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = saved(quality.measures(table(spark, sf_dir, "documents"), keep=["doc_id"]))
     out = quality.judged(measured, quality.posteriors(measured))
@@ -33,4 +43,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "quality")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op8_place_shards, op10_quality)}
+LLM_QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op2_mix_sources, op3_simhash, op8_place_shards, op9_line_dedup, op10_quality)}

@@ -52,3 +52,57 @@ def quality(docs):
         out.append((doc_id, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(again),
                     len(w) < 10 or 100 * len(again) > 20 * len(w)))
     return out
+
+
+def simhash(docs, words=4, bits=4):
+    """Rows of op3."""
+    import xxhash
+    prints = []
+    for doc_id, text in docs:
+        w = SPACED.findall(lower(text))
+        sh = [" ".join(w[i:i + words]) for i in range(len(w) - words + 1)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    group = list(range(len(docs)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= bits:
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    members = {}
+    for i, (doc_id, _) in enumerate(docs):
+        members.setdefault(root(i), []).append(doc_id)
+    least = {r: min((x for x in m if x is not None), default=None) for r, m in members.items()}
+    return [(docs[i][0], f"{prints[i]:016x}", least[root(i)]) for i in range(len(docs))]
+
+
+def line_dedup(docs, min_words=50):
+    """doc_id and text left; docs in the order of rank."""
+    import unicodedata
+    seen, out = set(), []
+    for doc_id, text in docs:
+        lines = (text or "").split("\n")
+        keys = [" ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in lines]
+        again = []
+        for k in keys:
+            again.append(None if not k else k in seen)
+            seen.add(k)
+        drop, i = set(), 0
+        while i < len(lines):
+            if not again[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(lines) and again[j] is not False:
+                j += 1
+            if sum(len(lines[k].split()) for k in range(i, j)) >= min_words:
+                drop |= set(range(i, j))
+            i = j
+        out.append((doc_id, None if text is None else "\n".join(x for n, x in enumerate(lines) if n not in drop)))
+    return out
