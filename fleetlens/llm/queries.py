@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import decontaminate, line_dedup, mixing, quality, sharding, simhash
+from . import decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash
 from .frames import saved
 
 
@@ -26,6 +26,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    findings = secrets.scan(secrets.unseen(docs, "text", None))
+    out = secrets.report(docs, "text", findings, keep=["doc_id"])
+
+    def spans(found):
+        return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def n(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint")
+
+    base = F.filter("found", lambda x: x["rule"] < 3)
+    return out.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+                      F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"))
+
+
 def op8_place_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, docs["doc_id"], sharding.shard_names(sharding.SHARDS), sharding.SLOTS)
@@ -44,4 +60,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_mix_sources, op3_simhash, op8_place_shards, op9_line_dedup, op10_quality)}
+    op1_decontaminate, op2_mix_sources, op3_simhash, op6_secrets, op8_place_shards, op9_line_dedup, op10_quality)}

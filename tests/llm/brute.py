@@ -106,3 +106,18 @@ def line_dedup(docs, min_words=50):
             i = j
         out.append((doc_id, None if text is None else "\n".join(x for n, x in enumerate(lines) if n not in drop)))
     return out
+
+
+def secrets(docs):
+    """The base columns of op6."""
+    kinds = [("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
+             ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile(r"[0-9a-f]+"), 0, 16)]
+    out = []
+    for doc_id, text in docs:
+        spans = [(m.start(), k, name, m.end()) for k, (name, p, g, least) in enumerate(kinds)
+                 for m in p.finditer(text or "") if len(m[g]) >= least]
+        spans.sort()
+        n = [sum(s[1] == k for s in spans) for k in range(3)]
+        joined = ",".join(f"{name}:{a}:{b}" for a, _, name, b in spans)
+        out.append((doc_id, *n, hashlib.sha256(joined.encode()).hexdigest()))
+    return out
