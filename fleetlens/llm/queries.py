@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import decontaminate, line_dedup, mixing, quality, secrets, sharding, simhash
+from . import decontaminate, html_text, line_dedup, mixing, quality, secrets, sharding, simhash
 from .frames import saved
 
 
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     findings = secrets.scan(secrets.unseen(docs, "text", None))
@@ -60,4 +64,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_mix_sources, op3_simhash, op6_secrets, op8_place_shards, op9_line_dedup, op10_quality)}
+    op1_decontaminate, op2_mix_sources, op3_simhash, op4_main_text, op6_secrets, op8_place_shards, op9_line_dedup, op10_quality)}
