@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, warc
 
 
 def _hash52(text: str) -> str:
@@ -48,4 +48,37 @@ FROM (SELECT doc_id, source, {_hash52("coalesce(doc_id::VARCHAR, '')")} % {size}
 JOIN turn ON turn.slot = documents_slot"""
 
 
-LLM_ORACLE = {"op2_mix_sources": _mix(), "op8_place_shards": _place()}
+def _revisits() -> str:
+    tag = "'\"' || md5(coalesce(html, '')) || '\"'"
+    rest = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')"
+    host = "regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^(?:[^@]*@)?(?:www[0-9]*\\.)?([^:]*?)(?::(?:80|443))?$', '\\1')"
+    query = f"list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda f: f <> '' AND NOT regexp_matches(lower(f), '{warc.TRACKING}')))"
+    return f"""
+WITH v AS (
+  SELECT page_id, 0 AS visit, url, 1700000000 + page_id * 60 AS ts, 200 AS status, html AS body, {tag} AS etag FROM pages
+  UNION ALL
+  SELECT page_id, 1, regexp_replace(url, '^https?://', 'http://WWW.') || '#again',
+         1700000000 + page_id * 60 + CASE WHEN page_id % 5 = 0 THEN -86400 ELSE 86400 END, 304, NULL, {tag} FROM pages
+  UNION ALL
+  SELECT page_id, 2, url, 1700000000 + page_id * 60 + 172800, 304, NULL, CASE WHEN page_id % 7 = 0 THEN '"other"' ELSE {tag} END FROM pages),
+r AS (SELECT *, {rest} AS rest FROM v),
+c AS (SELECT *, {host} || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') ||
+        CASE WHEN len({query}) > 0 THEN '?' || array_to_string({query}, '&') ELSE '' END AS page FROM r),
+j AS (SELECT a.*, b.page_id AS old, b.etag AS old_tag, b.body AS old_body
+      FROM (SELECT * FROM c WHERE status = 304) a
+      ASOF LEFT JOIN (SELECT * FROM c WHERE status = 200) b ON a.page = b.page AND a.ts > b.ts),
+o AS (SELECT *, CASE WHEN old IS NULL THEN 'no_earlier' WHEN etag = old_tag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
+SELECT page_id * 3 + visit AS record_id, page_id, url, ts::BIGINT AS ts,
+       CASE WHEN outcome = 'resolved' THEN 200 ELSE 304 END::INTEGER AS status, outcome,
+       CASE WHEN outcome = 'resolved' THEN old * 3 END AS refers_to,
+       CASE WHEN outcome = 'resolved' THEN 'Content-Type=text/html' || chr(10) ||
+              CASE WHEN visit = 1 THEN 'Content-Length=' || length(old_body) || chr(10) || 'etag=W/' || etag || chr(10) || 'cache-control=max-age=600'
+                   ELSE 'Content-Length=' || length(old_body) || chr(10) || 'Cache-Control=max-age=60' || chr(10) || 'ETag=' || etag || chr(10) || 'Age=1' END
+            WHEN visit = 1 THEN 'etag=W/' || etag || chr(10) || 'Content-Length=0' || chr(10) || 'cache-control=max-age=600'
+            ELSE 'ETag=' || etag || chr(10) || 'Age=1' END AS headers,
+       CASE WHEN outcome = 'resolved' THEN length(old_body) END AS n_chars,
+       CASE WHEN outcome = 'resolved' THEN sha256(old_body) END AS body_sha256
+FROM o"""
+
+
+LLM_ORACLE = {"op2_mix_sources": _mix(), "op7_revisits": _revisits(), "op8_place_shards": _place()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import decontaminate, html_text, line_dedup, mixing, quality, secrets, sharding, simhash
+from . import decontaminate, html_text, line_dedup, mixing, quality, secrets, sharding, simhash, warc
 from .frames import saved
 
 
@@ -46,6 +46,40 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records made from ``pages``: each page is fetched in full once, and asked for again by other
+    spellings of its URL: later (unchanged), later with another ETag (every 7th page), or before (every 5th)."""
+    url = F.regexp_replace("url", r"^https?://", "http://WWW.")
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
+    day, start = 86_400, F.col("page_id") * 60 + 1_700_000_000
+
+    def headers(*pairs):
+        return F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in pairs])
+
+    def visit(number, spelled, at, status, body, *pairs):
+        return F.struct(F.lit(number).alias("visit"), spelled.alias("url"), F.timestamp_seconds(at).alias("ts"),
+                        F.lit(status).alias("status"), body.alias("body"), headers(*pairs).alias("headers"))
+
+    none = F.lit(None).cast("string")
+    visits = F.array(
+        visit(0, F.col("url"), start, 200, F.col("html"), ("Content-Type", F.lit("text/html")), ("ETag", tag),
+              ("Content-Length", F.length("html")), ("Cache-Control", F.lit("max-age=60"))),
+        visit(1, F.concat(url, F.lit("#again")), start + F.when(F.col("page_id") % 5 == 0, -day).otherwise(day), 304, none,
+              ("etag", F.concat(F.lit("W/"), tag)), ("Content-Length", F.lit(0)), ("cache-control", F.lit("max-age=600"))),
+        visit(2, F.col("url"), start + 2 * day, 304, none,
+              ("ETag", F.when(F.col("page_id") % 7 == 0, F.lit('"other"')).otherwise(tag)), ("Age", F.lit(1))))
+    return pages.select("page_id", F.explode(visits).alias("v")) \
+        .select("page_id", "v.*").withColumn("record_id", F.col("page_id") * 3 + F.col("visit"))
+
+
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve(captures(table(spark, sf_dir, "pages")))
+    shown = F.transform("headers", lambda h: F.concat_ws("=", h["name"], h["value"]))
+    return out.select("record_id", "page_id", "url", F.unix_timestamp("ts").alias("ts"), "status", "outcome", "refers_to",
+                      F.array_join(shown, "\n").alias("headers"), F.length("body").cast("bigint").alias("n_chars"),
+                      F.sha2("body", 256).alias("body_sha256"))
+
+
 def op8_place_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, docs["doc_id"], sharding.shard_names(sharding.SHARDS), sharding.SLOTS)
@@ -64,4 +98,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_mix_sources, op3_simhash, op4_main_text, op6_secrets, op8_place_shards, op9_line_dedup, op10_quality)}
+    op1_decontaminate, op2_mix_sources, op3_simhash, op4_main_text, op6_secrets, op7_revisits, op8_place_shards, op9_line_dedup, op10_quality)}
