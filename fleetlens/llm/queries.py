@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import decontaminate, html_text, line_dedup, mixing, quality, secrets, sharding, simhash, warc
+from . import decontaminate, html_text, licenses, line_dedup, mixing, quality, secrets, sharding, simhash, warc
 from .frames import saved
 
 
@@ -30,6 +30,12 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                      F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     findings = secrets.scan(secrets.unseen(docs, "text", None))
@@ -98,4 +104,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_mix_sources, op3_simhash, op4_main_text, op6_secrets, op7_revisits, op8_place_shards, op9_line_dedup, op10_quality)}
+    op1_decontaminate, op2_mix_sources, op3_simhash, op4_main_text, op5_licenses, op6_secrets, op7_revisits, op8_place_shards, op9_line_dedup, op10_quality)}

@@ -121,3 +121,17 @@ def secrets(docs):
         joined = ",".join(f"{name}:{a}:{b}" for a, _, name, b in spans)
         out.append((doc_id, *n, hashlib.sha256(joined.encode()).hexdigest()))
     return out
+
+
+PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+
+
+def licenses(docs):
+    """The base columns of op5."""
+    out = []
+    for doc_id, text in docs:
+        w = WORD.findall(lower(text))
+        at = [(i, label) for p, label in PHRASES for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
+        places = [i for i, _ in at]
+        out.append((doc_id, len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))))
+    return out
