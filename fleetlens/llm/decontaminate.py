@@ -196,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     spark = docs.sparkSession
     taken = {n.lower() for n in RESULT.names}
-    keep = [c for c in (keep or docs.columns) if c.lower() not in taken]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     out = docs.select(*keep, *([text] if text not in keep else []))
     parts = blocks(benchmark, item_id, item_text, block_words)
     for i, block in enumerate(parts):

@@ -36,6 +36,17 @@ def add(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in cols.items()])
 
 
+def apart(df: DataFrame, *names: str):
+    """``df`` with its columns of these names renamed, and a function that selects ``df``'s columns again."""
+    mine = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    other = dict(zip(mine, unused(df, *[f"own_{c}" for c in mine])))
+
+    def restored(out: DataFrame) -> DataFrame:
+        return out.select(*[out[other.get(c, c)].alias(c) for c in df.columns])
+
+    return df.withColumnsRenamed(other), restored
+
+
 def hash52(*parts: Column) -> Column:
     """52 bits of the md5 of the parts (as strings, joined by ``:``; null as ``''``), as a long."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

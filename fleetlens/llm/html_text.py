@@ -223,7 +223,7 @@ def _unpack(names: list[str], out: list[str], packed: str, places: str, run: int
 def extract(pages: DataFrame, page: str = "html", url: str = "url", run: int = RUN, keep: list[str] | None = None) -> DataFrame:
     """``pages`` (or its columns ``keep``) without the html, with ``text`` and ``n_chars``."""
     taken = {"text", "n_chars", page.lower()}
-    keep = [c for c in (keep or pages.columns) if c.lower() not in taken]
+    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in taken]
     x, packed, places, u = unused(pages, "x", "packed", "places", "url")
     src = pages.select(*keep, F.col(url).cast("string").alias(u), F.col(page).cast("string").alias(page),
                        row_hash(pages.select(page, *[c for c in pages.columns if c != page]))[0].alias(x))

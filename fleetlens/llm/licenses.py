@@ -236,7 +236,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     lower = lower_ascii(F.coalesce(docs[text], F.lit("")))
     x, y = _keys(docs[text])
     own = add(docs, **{a: x, b: y, "n_words": n_words(lower), **_base(lower)})
-    own = own.select(*dict.fromkeys([*(keep or docs.columns), "n_words", "n_base", "first_word", "last_word", "base_labels", a, b]))
+    own = own.select(*dict.fromkeys([*(docs.columns if keep is None else keep), "n_words", "n_base", "first_word", "last_word", "base_labels", a, b]))
     by_text = detections(docs, text).groupBy("x", "y").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias(found), F.max("sure").alias("sure"))
     out = own.join(by_text, (own[a] == by_text["x"]) & (own[b] == by_text["y"]), "left")

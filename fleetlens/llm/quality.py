@@ -142,7 +142,7 @@ def _lines(g) -> tuple[np.ndarray, np.ndarray]:
 def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or the columns ``keep``) with the measures the rules look at."""
     taken = {n.lower() for n in MEASURES.names}
-    keep = [c for c in (keep or docs.columns) if c.lower() not in taken]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     src = docs.select(*keep, *([text] if text not in keep else []))
     fields = [f for f in src.schema.fields if f.name in keep]
     return src.mapInArrow(_measure(src.columns, text, {text} - set(keep)), T.StructType([*fields, *MEASURES.fields]))

@@ -110,7 +110,7 @@ def by_blob(findings: DataFrame) -> DataFrame:
 def report(docs: DataFrame, text: str, findings: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or the columns ``keep``) with ``blob`` and ``found`` (array of start, rule, end, kind)."""
     b, = unused(docs, "blob")
-    paths = docs.withColumn(b, address(docs[text])).select(*(keep or docs.columns), b)
+    paths = docs.withColumn(b, address(docs[text])).select(*(docs.columns if keep is None else keep), b)
     rows = by_blob(findings).select(F.col("blob").alias(b), F.col("found").alias(b + "found"))
     out = paths.join(rows, b, "left")
     none = F.array().cast(rows.schema[b + "found"].dataType)

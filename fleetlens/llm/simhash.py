@@ -56,7 +56,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``fingerprint``, the 64 bits as a long."""
-    keep = [c for c in (keep or docs.columns) if c.lower() != "fingerprint"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "fingerprint"]
     src = docs.select(*keep, *([text] if text not in keep else []))
     names = src.columns
 
