@@ -1,0 +1,64 @@
+import math
+from collections import Counter
+
+import pytest
+from fleetlens.llm import mixing
+from nasty import documents
+from pyspark.sql import functions as F
+
+
+def test_rates_and_counts_meet_the_weights(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, "a").when(F.col("id") % 8 == 0, "b").alias("source"))
+    weights = {"a": 1.0, "b": 2.0, None: 1.0}
+    rate = {r["source"]: r["rate"] for r in mixing.rates(docs, "source", weights).collect()}
+    assert rate == pytest.approx({"a": 1 / 3, "b": 4.0, None: 2.0})
+    rows = mixing.mix(docs, weights=weights).collect()
+    times = Counter((r["source"], r["doc_id"]) for r in rows)
+    for s, n in (("a", 30_000), ("b", 5_000), (None, 5_000)):
+        own = Counter(v for (x, _), v in times.items() if x == s)
+        own[0] = n - sum(own.values())
+        for k in range(4):  # a Poisson distribution
+            p = math.exp(-rate[s]) * rate[s] ** k / math.factorial(k)
+            assert abs(own[k] / n - p) < 4 * math.sqrt(p / n) + 1e-3
+    assert {(r["doc_id"], r["copy"]) for r in rows} == {(d, c) for (_, d), n in times.items() for c in range(n)}
+    assert mixing.mix(docs, weights={"a": 1.0}).where("source = 'a'").count() == mixing.mix(docs, weights={"a": 1.0}).count()
+
+
+def test_high_rates_are_not_capped(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "rare").otherwise("rest").alias("source"))
+    n = mixing.mix(docs, weights={"rare": 1.0, "rest": 1.0}).groupBy("source").count().collect()
+    n = {r["source"]: r["count"] for r in n}
+    assert abs(n["rare"] - 500) < 120 and abs(n["rest"] - 500) < 120
+
+
+def test_global_random_order_that_repeats(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    out = mixing.mix(docs, epochs=2.0).withColumn("p", F.spark_partition_id())
+    rows = out.collect()
+    places = [r["position"] for r in rows]
+    assert places == sorted(places) and len({r["p"] for r in rows}) > 4
+    ids = [r["doc_id"] for r in rows]
+    assert abs(sum(b > a for a, b in zip(ids, ids[1:])) / len(ids) - 0.5) < 0.05
+    assert rows == mixing.mix(docs.repartition(3), epochs=2.0).withColumn("p", F.spark_partition_id()).collect()
+
+
+def test_nulls_clashes_and_empty_tables(spark):
+    docs = documents(spark)
+    out = mixing.mix(docs, epochs=3.0)
+    assert {c.lower() for c in out.columns} == {c.lower() for c in docs.columns}
+    times = Counter((r["doc_id"], r["text"], r["source"], r["x"]) for r in out.collect())
+    rows = Counter((r["doc_id"], r["text"], r["source"], r["x"]) for r in docs.collect())
+    assert set(times) <= set(rows) and all(times[k] % n == 0 for k, n in rows.items())  # equal rows, equal counts
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_sources_beyond_the_bound_are_joined_by_shuffle(spark, monkeypatch):
+    docs = documents(spark)
+    want = sorted(map(repr, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    assert sorted(map(repr, mixing.mix(docs).collect())) == want
+
+
+def test_negative_weights_are_refused(spark):
+    with pytest.raises(ValueError):
+        mixing.mix(documents(spark), weights={"src0": -1.0})
