@@ -38,9 +38,9 @@ def next_event(df: DataFrame, key, order, is_from: Column, is_to: Column,
     x = (df.filter(is_from | is_to)
            .withColumn("_ne_from", is_from)
            .withColumn("_ne_to", F.when(is_to, F.struct(*[F.col(c) for c in carry]))))
-    b, seg = bucketize(x, key, order, hot_rows)
+    b = bucketize(x, key, order, hot_rows)
     s = prefix_scan(b, key, order, [("_ne_next", "last", F.col("_ne_to"))],
-                    descending=True, segmented=seg)
+                    descending=True)
     s = s.filter("_ne_from").select(*df.columns,
                                     *[F.col(f"_ne_next.{c}").alias(prefix + c) for c in carry])
     return s.withColumn("delay_us", delay_us(f"`{ts}`", f"`{prefix}{ts}`"))

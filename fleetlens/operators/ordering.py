@@ -12,23 +12,25 @@ is a lower bound (directory creation, polling and copy time are not known).
 
 Both are running aggregates over one run, computed as segmented scans
 (``plans.scan``): a run with very many tasks is cut into buckets of its
-position, each its own task.  ``honor_stop_order=True`` orders stops by a
-second column, which the position buckets do not follow; that mode uses a
-plain window per run.
+order, each its own task.  With ``honor_stop_order=True`` the stop side is a second
+scan, over (has a stop order, minus the stop order, position) from the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
 
+HAS, NEG = "_so_has", "_so_neg"
 
-def _stop_keys(order, honor_stop_order: bool, stop_order: str | None):
-    rev = [F.col(c).desc() for c in order]
-    if honor_stop_order and stop_order:
-        return [F.col(stop_order).isNull().asc(), F.col(stop_order).asc()] + rev
-    return rev
+
+def _stop_scan(tasks: DataFrame, key, order, stop_order: str, measures, hot_rows: int) -> DataFrame:
+    """A scan in stop order: the tasks with a ``stop_order`` first, ascending, then the rest in
+    reverse; written as a descending order, so that the reverse needs no negated columns."""
+    x = tasks.withColumn(HAS, F.col(stop_order).isNotNull()).withColumn(NEG, -F.col(stop_order).cast("bigint"))
+    by = [HAS, NEG, *order]
+    return prefix_scan(bucketize(x, key, by, hot_rows), key, by, measures, descending=True).drop(HAS, NEG, B, HOT)
 
 
 def order_tasks(tasks: DataFrame, key, order, honor_stop_order: bool = False,
@@ -36,19 +38,18 @@ def order_tasks(tasks: DataFrame, key, order, honor_stop_order: bool = False,
                 start_rank: str = "start_rank", stop_rank: str = "stop_rank",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     key, order = list(key), list(order)
-    if honor_stop_order and stop_order:
-        ws = Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in order])
-        wt = Window.partitionBy(*key).orderBy(*_stop_keys(order, True, stop_order))
-        return (tasks.withColumn(start_rank, F.row_number().over(ws).cast("bigint"))
-                     .withColumn(stop_rank, F.row_number().over(wt).cast("bigint")))
-    # the order is total, so the stop order (its reverse) needs no second
+    # the order is total, so the plain stop order (its reverse) needs no second
     # sort: stop rank = tasks in the run - tasks before
-    b, seg = bucketize(tasks, key, order, hot_rows)
+    b = bucketize(tasks, key, order, hot_rows)
     s = prefix_scan(b, key, order, [("_ot_up", "count", None),
-                                    ("_ot_n", "total", F.lit(1).cast("bigint"))], segmented=seg)
-    return (s.withColumn(start_rank, (F.col("_ot_up") + 1).cast("bigint"))
-             .withColumn(stop_rank, (F.col("_ot_n") - F.col("_ot_up")).cast("bigint"))
-             .drop("_ot_up", "_ot_n", B, HOT))
+                                    ("_ot_n", "total", F.lit(1).cast("bigint"))])
+    s = (s.withColumn(start_rank, (F.col("_ot_up") + 1).cast("bigint"))
+          .withColumn(stop_rank, (F.col("_ot_n") - F.col("_ot_up")).cast("bigint"))
+          .drop("_ot_up", "_ot_n", B, HOT))
+    if honor_stop_order and stop_order:
+        s = _stop_scan(s, key, order, stop_order, [("_ot_stop", "count", None)], hot_rows)
+        s = s.withColumn(stop_rank, (F.col("_ot_stop") + 1).cast("bigint")).drop("_ot_stop")
+    return s
 
 
 def timeline(tasks: DataFrame, key, order, start_cost: Column, stop_cost: Column,
@@ -63,29 +64,19 @@ def timeline(tasks: DataFrame, key, order, start_cost: Column, stop_cost: Column
     ro = start_cost if ready_offset is None else ready_offset
     x = tasks.withColumn("_tl_sc", start_cost).withColumn("_tl_pc", stop_cost) \
              .withColumn("_tl_ro", ro)
+    # one ascending scan: the wait before a task's stop (stops run in
+    # reverse) is the run's stop cost minus that of the task and the
+    # tasks before it
+    x = prefix_scan(bucketize(x, key, order, hot_rows), key, order,
+                    [("_tl_before", "sum", F.col("_tl_sc")), ("_tl_total", "total", F.col("_tl_sc")),
+                     ("_tl_pbefore", "sum", F.col("_tl_pc")), ("_tl_ptotal", "total", F.col("_tl_pc"))]).drop(B, HOT)
     if honor_stop_order and stop_order:
-        before = Window.unboundedPreceding, -1
-        ws = Window.partitionBy(*key).orderBy(*[F.col(c).asc() for c in order]).rowsBetween(*before)
-        wt = (Window.partitionBy(*key).orderBy(*_stop_keys(order, True, stop_order))
-                    .rowsBetween(*before))
-        x = (x.withColumn("_tl_before", F.sum("_tl_sc").over(ws))
-              .withColumn("_tl_total", F.sum("_tl_sc").over(Window.partitionBy(*key)))
-              .withColumn("_tl_stopwait", F.sum("_tl_pc").over(wt)))
+        x = _stop_scan(x, key, order, stop_order, [("_tl_stopwait", "sum", F.col("_tl_pc"))], hot_rows)
     else:
-        # one ascending scan: the wait before a task's stop (stops run in
-        # reverse) is the run's stop cost minus that of the task and the
-        # tasks before it
-        b, seg = bucketize(x, key, order, hot_rows)
-        x = prefix_scan(b, key, order, [("_tl_before", "sum", F.col("_tl_sc")),
-                                        ("_tl_total", "total", F.col("_tl_sc")),
-                                        ("_tl_pbefore", "sum", F.col("_tl_pc")),
-                                        ("_tl_ptotal", "total", F.col("_tl_pc"))],
-                        segmented=seg).drop(B, HOT)
         z = F.lit(0)
         x = x.withColumn("_tl_stopwait", F.coalesce(F.col("_tl_ptotal"), z)
-                         - F.coalesce(F.col("_tl_pbefore"), z) - F.coalesce(F.col("_tl_pc"), z)) \
-             .drop("_tl_pbefore", "_tl_ptotal")
+                         - F.coalesce(F.col("_tl_pbefore"), z) - F.coalesce(F.col("_tl_pc"), z))
     x = (x.withColumn("start_at", F.coalesce(F.col("_tl_before"), F.lit(0)))
           .withColumn("ready_at", F.col("start_at") + F.col("_tl_ro"))
           .withColumn("stop_at", F.col("_tl_total") + sa + F.coalesce(F.col("_tl_stopwait"), F.lit(0))))
-    return x.drop("_tl_sc", "_tl_pc", "_tl_ro", "_tl_before", "_tl_total", "_tl_stopwait")
+    return x.drop("_tl_sc", "_tl_pc", "_tl_ro", "_tl_before", "_tl_total", "_tl_pbefore", "_tl_ptotal", "_tl_stopwait")

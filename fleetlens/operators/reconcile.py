@@ -7,28 +7,27 @@ For every expected artifact one status, in this precedence:
 2. ``missing``: no file was found at the expected path (warn and go on);
 3. ``conflict``: the destination was already taken by an earlier artifact in
    task order (exclusive create: nothing is overwritten);
-4. ``error``: the transfer of the winning artifact failed;
+4. ``error``: the transfer failed; it leaves the destination free for the next one;
 5. ``collected``.
 
-Only found artifacts compete for a destination; a missing one takes nothing.
+Only found artifacts whose transfer worked take a destination.
 
 Plan shape (no per-destination window, so a hot destination or a hot path is
 never one task):
 
-* ``found`` is reduced to its distinct paths (partial aggregation) before the
-  anti join that finds missing artifacts;
-* candidates are ``found`` inner-joined to ``expected`` on the path; a hot path
-  sits on the streamed side, which AQE's skew-join rule splits;
-* the first candidate of each destination is flagged by a segmented scan
-  (``plans.skew.flag_extreme``): one window per destination, and a hot
-  destination is cut into buckets of its leading order column.
+* ``found`` is reduced to its distinct paths (partial aggregation) and left-joined
+  once to ``expected``, so copies of a file do not multiply an artifact; a hot path sits on
+  the streamed side, which AQE's skew-join rule splits;
+* whether a destination is taken is an "any before" over its rows, by a segmented scan
+  (``plans.scan``): one window per destination, and a hot
+  destination is cut into buckets of the order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.plans.skew import flag_extreme
+from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
 
 STATUSES = ("not_started", "not_stopped", "no_destination", "missing",
             "conflict", "error", "collected")
@@ -36,8 +35,8 @@ STATUSES = ("not_started", "not_stopped", "no_destination", "missing",
 
 def reconcile(expected: DataFrame, found: DataFrame, on, destination: str,
               order, precheck: str | None = None,
-              transfer_ok: str | None = None,
-              status: str = "status") -> DataFrame:
+              transfer_ok: str | None = None, scope=(), per_copy: bool = False,
+              status: str = "status", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Reconcile expected artifacts with the files found.
 
     :param expected: one row per expected artifact; holds the ``on`` columns
@@ -45,39 +44,41 @@ def reconcile(expected: DataFrame, found: DataFrame, on, destination: str,
     :param found: rows of files found; holds the ``on`` columns (a path may
         appear several times, e.g. copies on several origins).
     :param on: join column names shared by both sides (the source path).
-    :param destination: column (after the join) naming the destination.
-    :param order: columns (after the join) giving the task order; first wins.
-    :param transfer_ok: optional boolean column; false means the copy failed.
-    :returns: expected columns, found columns (null for artifacts without a
-        candidate) and ``status``.
+    :param destination: column naming the destination.
+    :param order: columns giving the task order; first wins.
+    :param transfer_ok: optional boolean column of either side; false means the copy failed.
+    :param scope: columns (the run) within which destinations are compared; runs that write to
+        the same folder must leave it empty.
+    :param per_copy: one row per found copy, each competing for the destination, with the
+        columns of ``found``; without it one row and one status per expected artifact.
+    :returns: expected columns (with ``per_copy`` also those of ``found``) and ``status``.
     """
-    on = list(on)
-    order = list(order)
-    if precheck is not None:
-        failed = (expected.filter(F.col(precheck).isNotNull())
-                          .withColumn(status, F.col(precheck)))
-        expected = expected.filter(F.col(precheck).isNull())
+    on, order, scope = list(on), list(order), list(scope)
+    if per_copy:
+        there = found
+    elif transfer_ok is not None and transfer_ok not in expected.columns:  # recorded per copy: one that worked will do
+        there = found.groupBy(*on).agg(F.max(transfer_ok).alias(transfer_ok))
     else:
-        failed = None
-
-    found_paths = found.select(*on).distinct()
-    missing = (expected.join(found_paths, on, "left_anti")
-                       .withColumn(status, F.lit("missing")))
-
-    cand = expected.join(found, on, "inner")
-    flagged = flag_extreme(cand, [destination], order, first=True, flag="_rc_first")
+        there = found.select(*on).distinct()
+    there = there.withColumn("_rc_found", F.lit(True))
+    l, r = expected.alias("_rl"), there.alias("_rr")
+    cond = None
+    for c in on:
+        one = F.col(f"_rl.{c}") == F.col(f"_rr.{c}")
+        cond = one if cond is None else cond & one
+    x = l.join(r, cond, "left").select(
+        *[F.col(f"_rl.{c}") for c in expected.columns], *[F.col(f"_rr.{c}") for c in there.columns if c not in on])
+    passed: Column = F.lit(True) if precheck is None else F.col(precheck).isNull()
     ok: Column = F.lit(True) if transfer_ok is None else F.coalesce(F.col(transfer_ok), F.lit(True))
-    resolved = (flagged
-                .withColumn(status,
-                            F.when(~F.col("_rc_first"), F.lit("conflict"))
-                             .when(~ok, F.lit("error"))
-                             .otherwise(F.lit("collected")))
-                .drop("_rc_first"))
-
-    out = resolved.unionByName(missing, allowMissingColumns=True)
-    if failed is not None:
-        out = out.unionByName(failed, allowMissingColumns=True)
-    return out
+    here = F.coalesce(F.col("_rc_found"), F.lit(False))
+    x = x.withColumn("_rc_takes", passed & here & ok)
+    keys = [*scope, destination]
+    x = prefix_scan(bucketize(x, keys, order, hot_rows), keys, order, [("_rc_taken", "or", F.col("_rc_takes"))])
+    state = F.when(~here, "missing").when(F.coalesce(F.col("_rc_taken"), F.lit(False)), "conflict") \
+             .when(~ok, "error").otherwise("collected")
+    if precheck is not None:
+        state = F.coalesce(F.col(precheck), state)
+    return x.withColumn(status, state).drop("_rc_found", "_rc_takes", "_rc_taken", B, HOT)
 
 
 def status_counts(reconciled: DataFrame, status: str = "status") -> DataFrame:

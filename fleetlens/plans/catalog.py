@@ -93,7 +93,8 @@ def _reconciled(spark: SparkSession, d: str) -> DataFrame:
     expected = _t(spark, d, "orders").select(F.col("o_orderkey").alias("path"))
     found = _t(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("path"), *[c for c in LINE_COLS if c != "l_orderkey"])
-    r = reconcile(expected, found, on=["path"], destination="path", order=LINE_ORDER)
+    r = reconcile(expected, found, on=["path"], destination="path", order=LINE_ORDER,
+                  per_copy=True)
     return r.select(F.col("path").alias("o_orderkey"), "l_partkey", "l_suppkey",
                     "l_linenumber", "status")
 
@@ -331,25 +332,30 @@ def q_read_stats(spark, d):
     return st.select("run", "origin", "event_id", "ts", "user_id", "value", "props")
 
 
-def _event_stream(spark, d):
-    from fleetlens.streaming.runner import file_stream
-    schema = _t(spark, d, "events").schema
-    return file_stream(spark, d, schema, glob="events.parquet")
+def _event_stream(spark, d, max_files_per_trigger=None):
+    from fleetlens.streaming.runner import table_stream
+    return table_stream(spark, d, "events", _t(spark, d, "events").schema, max_files_per_trigger)
 
 
-def q_periodic_stats_stream(spark, d):
+def _task_stream(spark, d, max_files_per_trigger=None):
+    """Lifecycle events, each task known by two columns: the user and a unit, a string."""
+    return _event_stream(spark, d, max_files_per_trigger).filter(F.col("event_type").isin(*LIFECYCLE_ACTIONS)) \
+        .withColumn("unit", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")))
+
+
+def q_periodic_stats_stream(spark, d, max_files_per_trigger=None):
     from fleetlens.streaming.periodic import periodic_stats_stream
     from fleetlens.streaming.runner import drain_to_parquet
-    s = periodic_stats_stream(_event_stream(spark, d), "ts", "1 hour", ["event_type"], "value",
+    s = periodic_stats_stream(_event_stream(spark, d, max_files_per_trigger), "ts", "1 hour", ["event_type"], "value",
                               lateness="1 hour", tiebreak="event_id")
     return drain_to_parquet(spark, s, "periodic-stream")
 
 
-def q_lifecycle_stream(spark, d):
+def q_lifecycle_stream(spark, d, max_files_per_trigger=None):
     from fleetlens.streaming.lifecycle import lifecycle_stream
     from fleetlens.streaming.runner import drain_to_parquet
-    s = _event_stream(spark, d).filter(F.col("event_type").isin(*LIFECYCLE_ACTIONS))
-    return drain_to_parquet(spark, lifecycle_stream(s, _action()), "lifecycle-stream")
+    s = _task_stream(spark, d, max_files_per_trigger)
+    return drain_to_parquet(spark, lifecycle_stream(s, _action(), key=["user_id", "unit"]), "lifecycle-stream")
 
 
 QUERIES.update({
@@ -359,16 +365,15 @@ QUERIES.update({
 })
 
 
-def q_lifecycle_monitor(spark, d):
+def q_lifecycle_monitor(spark, d, max_files_per_trigger=None):
     """T5 in full: verdicts plus launch (signup -> next error, 24 h grace) and
     stop (error -> next purchase, 12 h + 12 h) outcomes, one stream."""
     from fleetlens.streaming.monitor import lifecycle_monitor
     from fleetlens.streaming.runner import drain_to_parquet
-    s = _event_stream(spark, d).filter(F.col("event_type").isin(*LIFECYCLE_ACTIONS))
-    m = lifecycle_monitor(s, _action(), launch_exit=F.col("event_type") == "error",
-                          stop_exit=F.col("event_type") == "purchase", returncode=_rc(),
+    m = lifecycle_monitor(_task_stream(spark, d, max_files_per_trigger), _action(), launch_exit=F.col("event_type") == "error",
+                          stop_exit=F.col("event_type") == "purchase", returncode=_rc(), key=["user_id", "unit"],
                           grace_s=24 * 3600, term_s=12 * 3600, kill_s=12 * 3600)
-    return drain_to_parquet(spark, m, "lifecycle-monitor")
+    return drain_to_parquet(spark, m.drop("action"), "lifecycle-monitor")
 
 
 QUERIES["lifecycle_monitor"] = q_lifecycle_monitor

@@ -5,6 +5,8 @@ independently of the Spark code: windows and correlated / lateral subqueries
 where the Spark side uses aggregates, joins and generated grids.
 """
 
+import re
+
 from fleetlens.fixed import (CAPTURE_TYPE, LOCAL_RUNNER, REMOTE_RUNNER, TRANSMIT_TYPE,
                              URI_SCHEME)
 
@@ -333,46 +335,53 @@ WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 ORACLE.update({
     "read_stats": READ_STATS,
     "periodic_stats_stream": PERIODIC_STATS_STREAM,
-    "lifecycle_stream": LIFECYCLE_CHECK,
 })
 
-# a launch / stop outcome is out once its next exit has arrived, or once the
-# final watermark (max event time - 1 hour) has passed its deadline
+# a stream judges the rows that the final watermark (max event time - 1 hour, in milliseconds) has passed; a launch / stop
+# outcome is out once its next exit is among them, or once the watermark has passed its deadline
+TASK_EVENTS = "event_type IN ('signup', 'error', 'purchase')"
+FINAL = f"(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events WHERE {TASK_EVENTS})"
+PASSED = f"(SELECT * FROM events WHERE {TASK_EVENTS} AND ts <= {FINAL})"
+
+
+def _passed(sql: str) -> str:
+    return re.sub(r"FROM events( [ep])?\b", lambda m: f"FROM {PASSED}{m[1] or ' events'}", sql)
+
+
+def _unit(sql: str) -> str:
+    return f"SELECT *, 'u' || CAST(user_id % 4 AS VARCHAR) AS unit FROM ({sql}) keyed"
+
+
+ORACLE["lifecycle_stream"] = _unit(_passed(LIFECYCLE_CHECK))
+
 LIFECYCLE_MONITOR = f"""
-WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events
-            WHERE event_type IN ('signup', 'error', 'purchase'))
 SELECT event_id, user_id, 'verdict' AS kind, verdict AS outcome, CAST(NULL AS INTEGER) AS returncode
-FROM ({LIFECYCLE_CHECK}) v
+FROM ({_passed(LIFECYCLE_CHECK)}) v
 UNION ALL
 SELECT event_id, user_id, 'launch',
        CASE WHEN delay_us <= 86400000000 THEN 'launch_failed' ELSE 'launched' END,
        CASE WHEN delay_us <= 86400000000 THEN CAST(floor(next_value) AS INTEGER) END
-FROM ({_next('signup', 'error')}) x, wm
-WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= wm.w
+FROM ({_passed(_next('signup', 'error'))}) x
+WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= {FINAL}
 UNION ALL
 SELECT event_id, user_id, 'stop',
        CASE WHEN delay_us <= 43200000000 THEN 'terminated'
             WHEN delay_us <= 86400000000 THEN 'killed' ELSE 'not_stopped' END,
        CAST(NULL AS INTEGER)
-FROM ({_next('error', 'purchase')}) x, wm
-WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= wm.w
-"""
-
-# plus one status row per user of the stream (a single micro-batch of data)
-LIFECYCLE_MONITOR += """
+FROM ({_passed(_next('error', 'purchase'))}) x
+WHERE next_ts IS NOT NULL OR ts + INTERVAL 24 HOUR <= {FINAL}
 UNION ALL
 SELECT l.last_id, l.user_id, 'status',
        CASE WHEN s.user_id IS NULL OR NOT s.s THEN 'idle' ELSE 'running' END,
        CASE WHEN NOT s.s THEN s.rc END
-FROM (SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_id FROM events
-      WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY user_id) l
+FROM (SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_id FROM {PASSED} x GROUP BY user_id) l
 LEFT JOIN (SELECT user_id, event_type = 'signup' AS s, CAST(floor(value) AS INTEGER) AS rc,
                   ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-           FROM events WHERE event_type IN ('signup', 'error')) s
+           FROM {PASSED} x WHERE event_type IN ('signup', 'error')) s
   ON s.user_id = l.user_id AND s.rn = 1
 """
 
-ORACLE["lifecycle_monitor"] = LIFECYCLE_MONITOR
+ORACLE["lifecycle_monitor"] = _unit(LIFECYCLE_MONITOR)
 
 # ---- spec flow on the specs derived from events (one spec per event) -------
 

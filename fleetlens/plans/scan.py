@@ -3,29 +3,28 @@
 Running aggregates over the rows of a key in a total order (ranks, prefix
 sums, sticky flags, nearest following match) are windows partitioned by the
 key, which puts a whole key into one task.  Here a key is cut into buckets of
-its leading order value, so the work of a hot key spreads over many tasks:
-
-1. ``bucketize``: one aggregate per key (count, min, max of the leading order
-   value; partial aggregation, so cheap and skew-free) finds the *hot* keys,
-   those with more than ``hot_rows`` rows, and gives each a bucket width so
-   that its buckets hold about ``hot_rows`` rows.  Other keys are one bucket.
-   There are at most ``N / hot_rows`` hot keys (pigeonhole); the check job
-   returns their number, and the table is broadcast only below
-   ``MAX_BROADCAST_ROWS`` (a shuffle join beyond).
+its order, so the work of a hot key spreads over many tasks:
+
+1. ``bucketize``: a sample of the rows (about ``SAMPLES`` for each ``hot_rows``
+   rows, chosen by a hash of key and order columns) is grouped by key.  A key
+   with two buckets' worth of samples or more is *hot*, and every
+   ``SAMPLES``-th of its sorted samples is a bucket boundary.  Boundaries are tuples of
+   **all** order columns, so ties in the leading ones and outliers cannot
+   pile up, and any type that can be ordered will do.
 2. ``prefix_scan``: a window per (key, bucket) computes each measure over the
    rows strictly before the current one inside its bucket.
-3. For hot keys only, per-bucket totals are aggregated (at most
-   hot rows / ``hot_rows`` + hot keys rows, known from the check job, and
-   broadcast only below ``MAX_BROADCAST_ROWS``), carried across the key's
-   buckets with a small window, and added to the in-bucket value.
+3. For hot keys only, per-bucket totals are carried across the key's
+   buckets with a small window and added to the in-bucket value.
+
+What is broadcast has a bound that does not grow with the data: at most
+``MAX_HOT_KEYS`` keys are cut (any other key holds less than 1 / ``MAX_HOT_KEYS`` of
+the rows), and a bucket holds at least 1 / ``MAX_BUCKETS`` of the rows of hot keys, so there are at
+most ``MAX_BUCKETS`` boundaries.  All of this is part of the plan: building a scan runs no
+job, and where no key is hot adaptive execution drops both joins.
 
 Measure kinds: ``count`` (rows before), ``sum``, ``or`` (any true before),
 ``last`` (nearest earlier non-null value) and ``total`` (whole key).  With
 ``descending=True`` "before" means later in the order.
-
-When the stats show no hot key at all (one small job that returns a single
-scalar), steps 1 and 3 are left out of the plan and the scan is a plain
-window per key: no extra joins for data that does not need them.
 """
 
 from __future__ import annotations
@@ -33,75 +32,55 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
-
-from fleetlens.functions.times import ntz_micros
 
 # rows one window task sorts and scans comfortably
 HOT_ROWS = 2_000_000
-# largest hot-key or bucket table shipped to every executor
-MAX_BROADCAST_ROWS = 1_000_000
+SAMPLES = 16
+MAX_HOT_KEYS = 10_000
+MAX_BUCKETS = 20_000
+STRIDE = 128  # boundaries are looked up in two steps: every STRIDE-th, then the ones between
 B, HOT = "_sg_b", "_sg_hot"
 
 
-class Segments:
-    """What ``bucketize`` found: hot keys, their rows, and whether the
-    hot-key table and the bucket-carry table may be broadcast."""
-
-    def __init__(self, hot_keys: int = 0, hot_rows_total: int = 0, hot_rows: int = HOT_ROWS):
-        self.hot_keys = hot_keys
-        # a hot key of n rows has at most n / hot_rows + 1 value buckets, plus
-        # one for rows whose leading order value is null
-        self.max_buckets = (hot_rows_total // max(hot_rows, 1)) + 2 * hot_keys
-        self.broadcast_keys = hot_keys <= MAX_BROADCAST_ROWS
-        self.broadcast_buckets = self.max_buckets <= MAX_BROADCAST_ROWS
-
-    def __bool__(self) -> bool:
-        return self.hot_keys > 0
-
-
-def order_number(df: DataFrame, col: str) -> Column:
-    """A numeric column that never decreases when ``col`` increases."""
-    t = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(t, TimestampNTZType):
-        return ntz_micros(col)
-    if isinstance(t, TimestampType):
-        return F.unix_micros(c)
-    if isinstance(t, DateType):
-        return F.unix_date(c).cast("bigint")
-    return c
-
-
-def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, Segments]:
-    """``(df + _sg_b (bucket, bigint) + _sg_hot (boolean), segments)``.
-
-    ``segments`` is falsy when no key is hot; every row is then bucket 0.
-    One small job returns two scalars (hot keys, their rows), which decide
-    the plan and check the size of what is broadcast."""
-    keys = list(keys)
-    o0 = order_number(df, order[0])
-    x = df.withColumn("_sg_o0", o0)
-    stats = (x.groupBy(*keys)
-              .agg(F.count(F.lit(1)).alias("_sg_n"), F.min("_sg_o0").alias("_sg_lo"),
-                   F.max("_sg_o0").alias("_sg_hi"))
-              .filter(F.col("_sg_n") > hot_rows))
-    found = stats.agg(F.count(F.lit(1)).alias("k"), F.sum("_sg_n").alias("n")).first()
-    seg = Segments(int(found["k"] or 0), int(found["n"] or 0), hot_rows)
-    if not seg:
-        return df.withColumn(B, F.lit(0).cast("bigint")).withColumn(HOT, F.lit(False)), seg
-    widths = stats.select(*keys, "_sg_lo",
-                          F.greatest(F.lit(1.0), (F.col("_sg_hi") - F.col("_sg_lo") + 1).cast("double")
-                                     * F.lit(float(hot_rows)) / F.col("_sg_n")).alias("_sg_w"))
-    if seg.broadcast_keys:
-        widths = F.broadcast(widths)
-    l, r = x.alias("_sl"), widths.alias("_sr")
-    cond = reduce(lambda a, b: a & b, [F.col(f"_sl.{k}").eqNullSafe(F.col(f"_sr.{k}")) for k in keys])
-    j = l.join(r, cond, "left")
-    hot = F.col("_sr._sg_w").isNotNull()
-    bucket = F.when(hot, F.floor((F.col("_sl._sg_o0") - F.col("_sr._sg_lo")) / F.col("_sr._sg_w"))) \
-              .otherwise(F.lit(0)).cast("bigint")
-    return j.select(*[F.col(f"_sl.{c}") for c in df.columns], bucket.alias(B), hot.alias(HOT)), seg
+def _null_safe(left: str, right: str, cols) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols])
+
+
+def boundaries(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``keys``, ``_sg_bounds`` (sorted array of order tuples) of each hot key."""
+    keys, order = list(keys), list(order)
+    per = max(1, min(SAMPLES, hot_rows))
+    rate = max(1, hot_rows // per)
+    sample = df.select(*keys, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_sg_t"))
+    if rate > 1:
+        sample = sample.filter(F.pmod(F.xxhash64(*keys, "_sg_t"), F.lit(rate)) == 0)
+    by_key = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sg_n"), F.collect_list("_sg_t").alias("_sg_all"))
+    hot = by_key.filter(F.col("_sg_n") >= 2 * per).orderBy(F.desc("_sg_n")).limit(MAX_HOT_KEYS)
+    every = F.sum("_sg_n").over(Window.partitionBy())  # over at most MAX_HOT_KEYS rows
+    step = F.greatest(F.lit(per), F.ceil(every / F.lit(MAX_BUCKETS))).cast("int")
+    hot = hot.withColumn("_sg_step", step).withColumn("_sg_all", F.array_sort("_sg_all"))
+    at = F.sequence(F.col("_sg_step"), F.greatest(F.size("_sg_all") - 1, F.col("_sg_step")), F.col("_sg_step"))
+    picked = F.filter(F.transform(at, lambda i: F.get("_sg_all", i)), lambda t: t.isNotNull())
+    return hot.select(*keys, picked.alias("_sg_bounds"))
+
+
+def _bucket_of(t: Column, bounds: str) -> Column:
+    """How many boundaries are at or below the tuple."""
+    coarse = F.filter(F.col(bounds), lambda b, i: (i % STRIDE == 0) & (b <= t))
+    skipped = F.greatest(F.size(coarse) - 1, F.lit(0)) * STRIDE
+    fine = F.filter(F.slice(F.col(bounds), skipped + 1, F.lit(STRIDE)), lambda b: b <= t)
+    return (skipped + F.size(fine)).cast("bigint")
+
+
+def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` + ``_sg_b`` (bucket, 0 for keys that are not hot) + ``_sg_hot``."""
+    keys, order = list(keys), list(order)
+    l, r = df.alias("_sl"), F.broadcast(boundaries(df, keys, order, hot_rows)).alias("_sr")
+    j = l.join(r, _null_safe("_sl", "_sr", keys), "left")
+    hot = F.col("_sr._sg_bounds").isNotNull()
+    t = F.struct(*[F.col(f"_sl.{c}").alias(f"o{i}") for i, c in enumerate(order)])
+    return j.select(*[F.col(f"_sl.{c}") for c in df.columns],
+                    F.when(hot, _bucket_of(t, "_sr._sg_bounds")).otherwise(F.lit(0).cast("bigint")).alias(B), hot.alias(HOT))
 
 
 def _local(kind: str, inp: Column, w_frame, w_all) -> Column:
@@ -118,11 +97,9 @@ def _local(kind: str, inp: Column, w_frame, w_all) -> Column:
     raise ValueError(kind)
 
 
-def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False,
-                segmented=True) -> DataFrame:
+def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False) -> DataFrame:
     """Add one column per ``(name, kind, expr)`` of ``measures`` to a
-    bucketized frame (see module doc); ``segmented`` comes from
-    ``bucketize``."""
+    bucketized frame (see module doc)."""
     keys, order = list(keys), list(order)
     ordc = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     part = Window.partitionBy(*keys, B)
@@ -133,11 +110,8 @@ def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False,
     # one select, so window expressions of the same spec share one operator
     x = inp.select("*", *[_local(kind, F.col(f"_ps_i_{name}"), w_frame, part).alias(f"_ps_l_{name}")
                           for name, kind, _ in measures])
-    if not segmented:
-        return x.select(*bdf.columns, *[F.col(f"_ps_l_{n}").alias(n) for n, _, _ in measures])
 
-    # per-bucket totals of hot keys (from the rows before the window, which
-    # share its exchange), carried over the key's earlier buckets
+    # per-bucket totals of hot keys, carried over the key's earlier buckets
     hot = inp.filter(F.col(HOT))
     ord_struct = F.struct(*[F.col(c) for c in order])
     aggs = []
@@ -160,14 +134,11 @@ def prefix_scan(bdf: DataFrame, keys, order, measures, descending: bool = False,
              "last": F.last(t, ignorenulls=True).over(wbf),
              "total": F.sum(t).over(Window.partitionBy(*keys))}[kind]
         carry.append(c.alias(f"_ps_c_{name}"))
-    carry_df = summ.select(*keys, B, *carry)
+    # at most MAX_BUCKETS boundaries and MAX_HOT_KEYS keys, so that many rows
+    carry_df = F.broadcast(summ.select(*keys, B, *carry))
 
-    if not isinstance(segmented, Segments) or segmented.broadcast_buckets:
-        carry_df = F.broadcast(carry_df)
     l, r = x.alias("_pl"), carry_df.alias("_pr")
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_pl.{k}").eqNullSafe(F.col(f"_pr.{k}")) for k in keys + [B]])
-    j = l.join(r, cond, "left")
+    j = l.join(r, _null_safe("_pl", "_pr", keys + [B]), "left")
     outs = []
     for name, kind, _ in measures:
         lo, ca = F.col(f"_pl._ps_l_{name}"), F.col(f"_pr._ps_c_{name}")

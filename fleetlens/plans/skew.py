@@ -3,12 +3,10 @@
 A single key may hold a large share of all rows.  A window partitioned by that
 key would put the whole group into one task, so the operators here avoid it:
 
-* ``flag_extreme`` flags the first/last row of each key.  With a numeric or
-  temporal leading order column it is a segmented scan (``plans.scan``):
-  kept = no row of the key before it; a hot key is cut into buckets.
-  Otherwise (``flag_by_join``) the winners come from a partial group limit
-  and are joined back on key *and* order columns, a join that hashes on all
-  of them, so the rows of a hot key spread over many tasks.
+* ``flag_extreme`` flags the first / last row of each key by a segmented scan
+  (``plans.scan``): kept = no row of the key before it.  One algorithm for
+  every type of order column; exactly one row of a key is kept, also among
+  equal rows.
 * ``top_n`` keeps the first ``n`` rows per key with ``row_number() <= n``;
   Catalyst turns this into a partial ``WindowGroupLimit`` before the
   exchange, so each map task ships at most ``n`` rows per key.
@@ -16,79 +14,26 @@ key would put the whole group into one task, so the operators here avoid it:
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-
-def _cols(names):
-    return [F.col(c) if isinstance(c, str) else c for c in names]
-
-
-def order_struct(order) -> Column:
-    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-
-
-def extremes(df: DataFrame, keys, order, first: bool = True,
-             name: str = "_ord") -> DataFrame:
-    """One row per key: the smallest (``first``) or largest struct of
-    ``order``.  ``order`` must be a total order within each key."""
-    agg = F.min if first else F.max
-    return (df.select(*keys, order_struct(order).alias(name))
-              .groupBy(*keys).agg(agg(name).alias(name)))
+from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
 
 
 def flag_extreme(df: DataFrame, keys, order, first: bool = True,
                  flag: str = "kept", hot_rows: int | None = None) -> DataFrame:
     """All rows of ``df`` plus a boolean ``flag``: true for the first
-    (``first=True``) or last row of each key under ``order`` (a total order).
-
-    When the leading order column is numeric or temporal this is a segmented
-    scan (``plans.scan``): the row is kept when no row of its key comes
-    before it.  A hot key is cut into buckets of that column, so it spreads
-    over tasks; without hot keys it is one plain window, i.e. one shuffle.
-    Otherwise the winners are found and joined back (``flag_by_join``).
-    """
-    from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
-    from fleetlens.plans.scan import B, HOT, HOT_ROWS, bucketize, prefix_scan
+    (``first=True``) or last row of each key under ``order``; of rows that are equal
+    in it, one."""
     keys, order = list(keys), list(order)
-    lead = df.schema[order[0]].dataType
-    if not isinstance(lead, (NumericType, DateType, TimestampType, TimestampNTZType)):
-        return flag_by_join(df, keys, order, first, flag)
-    b, seg = bucketize(df, keys, order, HOT_ROWS if hot_rows is None else hot_rows)
-    s = prefix_scan(b, keys, order, [("_fx_before", "count", None)],
-                    descending=not first, segmented=seg)
+    b = bucketize(df, keys, order, HOT_ROWS if hot_rows is None else hot_rows)
+    s = prefix_scan(b, keys, order, [("_fx_before", "count", None)], descending=not first)
     return s.withColumn(flag, F.col("_fx_before") == 0).drop("_fx_before", B, HOT)
 
 
-def flag_by_join(df: DataFrame, keys, order, first: bool = True,
-                 flag: str = "kept") -> DataFrame:
-    """All rows of ``df`` plus a boolean ``flag``: true for the first
-    (``first=True``) or last row of each key under ``order``.
-
-    The winners come from ``row_number() <= 1`` (partial WindowGroupLimit
-    before the exchange: each map task forwards one row per key, so a hot key
-    is reduced map-side) and are joined back on key *and* order columns with
-    null-safe equality; hashing on all of them spreads a hot key's rows.
-    Rows whose order values are identical are indistinguishable copies; all
-    such copies of the winner are flagged.
-    """
-    keys, order = list(keys), list(order)
-    sort = [F.col(c).asc_nulls_first() if first else F.col(c).desc_nulls_last() for c in order]
-    win = (top_n(df.select(*keys, *order), keys, sort, 1, rank="_fx_rank")
-           .drop("_fx_rank").withColumn("_fx_win", F.lit(True)))
-    left, right = df.alias("_l"), win.alias("_r")
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in keys + order])
-    out = left.join(right, cond, "left")
-    return out.select(*[F.col(f"_l.{c}") for c in df.columns],
-                      F.coalesce(F.col("_r._fx_win"), F.lit(False)).alias(flag))
-
-
 def top_n(df: DataFrame, keys, order, n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each key under ``order`` with their 1-based
     ``rank`` (bigint).  Planned as partial + final WindowGroupLimit."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order))
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
     return (df.withColumn(rank, F.row_number().over(w))
               .filter(F.col(rank) <= n)
               .withColumn(rank, F.col(rank).cast("bigint")))

@@ -52,11 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is used as is.  Only when the
-    setting is absent (local runs, tests) a private scratch folder is created
-    and registered.
+    setting is absent and the master is local (tests) a private scratch folder is created
+    and registered; on a cluster that would scatter data, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -70,15 +72,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def with_utc(spark: SparkSession) -> None:
-    """Pin the session time zone to UTC (needed by timestamp_ntz casts)."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def local_path(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") else p
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "shared_dir", "with_utc",
-           "local_path", "BASE_CONF"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "shared_dir", "local_path", "BASE_CONF"]

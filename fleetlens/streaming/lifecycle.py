@@ -1,39 +1,18 @@
-"""T5: streaming lifecycle monitor.
-
-Per task key, the sticky ``started`` / ``stopped`` flags live in state; each
-micro-batch's events of a key are ordered by (time, id) and judged exactly as
-the batch ``lifecycle_check`` does (verdicts per start / stop / collect).  The
-per-key work is vectorised pandas (cumulative maxima), not a row loop.  State
-of a key expires (event-time timeout) once the watermark passes its last
-event by ``ttl``; events are assumed to reach a key in time order across
-micro-batches, which the watermark's lateness bound makes true for the
-events it accepts.
-"""
+"""T5, verdicts: the lifecycle rules on one key's events, and the stream that gives verdicts only."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import (BooleanType, LongType, StringType, StructField, StructType)
-
-from fleetlens.functions.times import ntz_to_instant
-
-OUT = StructType([
-    StructField("event_id", LongType()), StructField("user_id", LongType()),
-    StructField("action", StringType()), StructField("verdict", StringType()),
-])
-STATE = StructType([StructField("started", BooleanType()), StructField("stopped", BooleanType())])
-
 
 VERDICTS = np.array(["ok", "already_started", "not_started", "noop", "failed",
                      "still_running", None], dtype=object)
 
 
-def judge_arrays(ts, ids, act, ok, started0: bool, stopped0: bool):
-    """Core of ``judge`` on numpy arrays already in (time, id) order: returns
-    (verdicts, started_after, stopped_after)."""
+def judge_arrays(act, ok, started0: bool, stopped0: bool):
+    """Verdicts of one key's actions in (time, id) order, given the flags before
+    them: (verdicts, started_after, stopped_after).  Same rules as
+    ``operators.lifecycle.lifecycle_check``."""
     is_start, is_stop, is_collect = act == "start", act == "stop", act == "collect"
     started_incl = np.logical_or.accumulate(is_start) | started0
     started = np.concatenate([[started0], started_incl[:-1]])
@@ -48,44 +27,12 @@ def judge_arrays(ts, ids, act, ok, started0: bool, stopped0: bool):
     return VERDICTS[code], bool(started_incl[-1]), bool(stopped_incl[-1])
 
 
-def judge(pdf: pd.DataFrame, started0: bool, stopped0: bool):
-    """Verdicts for one key's events (sorted here), given the flags before
-    them; returns (verdicts, started_after, stopped_after)."""
-    ts, ids = pdf["ts"].to_numpy(), pdf["event_id"].to_numpy()
-    o = np.lexsort((ids, ts))
-    act = pdf["action"].to_numpy()[o]
-    verdict, s1, p1 = judge_arrays(ts[o], ids[o], act,
-                                   pdf["stop_ok"].to_numpy(dtype=bool)[o], started0, stopped0)
-    out = pd.DataFrame({"event_id": ids[o], "user_id": pdf["user_id"].to_numpy()[o],
-                        "action": act, "verdict": verdict})
-    return out, s1, p1
-
-
-def _make_fn(ttl_ms: int):
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s0, p0 = (state.get if state.exists else (False, False))
-        parts = list(pdfs)
-        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        out, s1, p1 = judge(batch, bool(s0), bool(p0))
-        state.update((s1, p1))
-        last_ms = int(pd.Timestamp(batch["ts"].max()).value // 1_000_000)
-        state.setTimeoutTimestamp(max(last_ms + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield out
-    return fn
-
-
-def lifecycle_stream(stream: DataFrame, action, stop_ok=None, key: str = "user_id",
-                     ts: str = "ts", lateness: str = "1 hour", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
-    """``stream`` has ``event_id``, ``key``, ``ts``; ``action`` maps rows to
-    start / stop / collect (others dropped)."""
-    ntz = stream.schema[ts].dataType.typeName() == "timestamp_ntz"
-    x = (stream.withColumn("action", action).filter(F.col("action").isNotNull())
-               .withColumn("stop_ok", F.lit(True) if stop_ok is None else F.coalesce(stop_ok, F.lit(False)))
-               .withColumn(ts, ntz_to_instant(ts) if ntz else F.col(ts))
-               .withWatermark(ts, lateness)
-               .select("event_id", F.col(key).alias("user_id"), ts, "action", "stop_ok"))
-    return x.groupBy("user_id").applyInPandasWithState(
-        _make_fn(ttl_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def lifecycle_stream(stream: DataFrame, action, stop_ok=None, key="user_id", event_id: str = "event_id",
+                     ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
+    """``event_id``, the ``key`` columns (one or several, of any type), ``action``, ``verdict``; ``action`` maps
+    rows to start / stop / collect (others dropped)."""
+    from fleetlens.streaming.monitor import lifecycle_monitor
+    keys = [key] if isinstance(key, str) else list(key)
+    out = lifecycle_monitor(stream, action, F.lit(False), F.lit(False), F.lit(None), key=keys, event_id=event_id, ts=ts,
+                            lateness=lateness, stop_ok=stop_ok)
+    return out.filter("kind = 'verdict'").select(event_id, *keys, "action", F.col("outcome").alias("verdict"))

@@ -1,8 +1,8 @@
 """T5 (full): streaming lifecycle monitor with event-time deadlines.
 
-Per task key, state holds the sticky ``started`` / ``stopped`` flags and the
-starts and stop requests whose outcome is still open.  Per micro-batch and
-key, events are ordered by (time, id) and emitted as:
+Events may arrive out of order within the watermark's ``lateness``.  A row waits in its key's
+state until the watermark has passed it: from then on no earlier row can come, so
+rows are judged in (time, id) order whatever the order of arrival.  Emitted are:
 
 * ``verdict`` rows: the lifecycle verdict of each start / stop / collect
   (same rules as ``operators.lifecycle.lifecycle_check``);
@@ -11,24 +11,29 @@ key, events are ordered by (time, id) and emitted as:
 * ``stop`` rows: a stop request whose next exit comes within ``term`` is
   ``terminated``, within ``term + kill`` ``killed``, otherwise
   ``not_stopped``;
-* ``status`` rows: per key and micro-batch with data, the current status
-  after it (T1): ``running`` after a start, ``idle`` with the return code
-  after an exit, ``idle`` when never started; ``event_id`` is the key's
-  latest event.
-
-An open start or stop is settled by the next exit when it arrives, or by the
-watermark passing its deadline (an event-time timeout re-armed to the
-earliest open deadline).  Matching the next exit is vectorised
-(``numpy.searchsorted`` over the batch positions of exits), not a row loop.
+* ``status`` rows: the current status (T1) after the rows judged together: ``running`` after
+  a start, ``idle`` with the return code after an exit, ``idle`` when never
+  started; the event id is the last one judged.
+
+An open start or stop is settled by the next exit, or by the
+watermark passing its deadline (an event-time timeout, re-armed to the
+earliest waiting row or open deadline).  At the end of a finite stream the rows within the
+last ``lateness`` still wait.
+
+State holds the flags, the open items and the waiting rows (Arrow bytes): what came within the lateness
+and one micro-batch, so give file sources a limit per trigger.  State never
+expires while a task runs; with ``ttl_s``, that of a task that was started and stopped is
+dropped so long after its last event (a later event finds an unknown task).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, StringType,
+from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
 from fleetlens.fixed import KILL_WAIT_S, TERMINATE_WAIT_S
@@ -36,170 +41,145 @@ from fleetlens.functions.times import ntz_to_instant
 from fleetlens.streaming.lifecycle import judge_arrays
 
 US = 1_000_000
-NO_RC = -(2 ** 62)  # marks "no return code" inside numpy arrays
-OUT = StructType([
-    StructField("event_id", LongType()), StructField("user_id", LongType()),
-    StructField("kind", StringType()), StructField("outcome", StringType()),
-    StructField("returncode", IntegerType()),
-])
-LONGS = ArrayType(LongType())
-STATE = StructType([
-    StructField("started", BooleanType()), StructField("stopped", BooleanType()),
-    StructField("ps_id", LONGS), StructField("ps_ts", LONGS),
-    StructField("pt_id", LONGS), StructField("pt_ts", LONGS),
-    StructField("last_ts", LongType()), StructField("last_id", LongType()),
-    StructField("cur", IntegerType()), StructField("cur_rc", IntegerType()),
-])
-# current status codes kept in state
-NEVER, RUNNING, EXITED = 0, 1, 2
-
-
-class _Out:
-    """Collects output columns as arrays; one DataFrame per call."""
-
-    def __init__(self):
-        self.ids, self.kinds, self.outcomes, self.rcs = [], [], [], []
-
-    def add(self, ids, kind, outcome, rc=None):
+NEVER, RUNNING, EXITED = 0, 1, 2  # current status
+_ROWS = ["_id", "_us", "action", "launch_exit", "stop_exit", "rc", "stop_ok"]
+
+
+def _state(id_type) -> StructType:
+    longs, ids = ArrayType(LongType()), ArrayType(id_type)
+    return StructType([
+        StructField("started", BooleanType()), StructField("stopped", BooleanType()),
+        StructField("ps_id", ids), StructField("ps_ts", longs), StructField("pt_id", ids), StructField("pt_ts", longs),
+        StructField("last_us", LongType()), StructField("cur", IntegerType()), StructField("cur_rc", IntegerType()),
+        StructField("waiting", BinaryType())])
+
+
+def _packed(rows: pd.DataFrame) -> bytes | None:
+    if rows is None or rows.empty:
+        return None
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data) -> pd.DataFrame | None:
+    return None if data is None else pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_pandas()
+
+
+def _make_fn(key_names, id_name, grace_us, term_us, kill_us, ttl_us):
+    columns = [*key_names, id_name, "kind", "action", "outcome", "returncode"]
+
+    def frame(key, ids, kind, actions, outcomes, rcs):
         n = len(ids)
-        if n == 0:
-            return
-        self.ids.append(np.asarray(ids, dtype="int64"))
-        self.kinds.append(np.full(n, kind, dtype=object))
-        self.outcomes.append(np.asarray(outcome, dtype=object))
-        self.rcs.append(np.full(n, NO_RC, dtype="int64") if rc is None else np.asarray(rc, "int64"))
-
-    def frame(self, uid):
-        ids = np.concatenate(self.ids)
-        rc = np.concatenate(self.rcs)
-        return pd.DataFrame({"event_id": ids, "user_id": np.full(len(ids), uid, dtype="int64"),
-                             "kind": np.concatenate(self.kinds),
-                             "outcome": np.concatenate(self.outcomes),
-                             "returncode": pd.arrays.IntegerArray(
-                                 np.where(rc == NO_RC, 0, rc).astype("int32"), rc == NO_RC)})
-
-
-def _settle(pend_id, pend_ts, pend_pos, exit_pos, exit_ts, exit_rc, classify):
-    """Match open items (batch positions, -1 = before the batch) to the next
-    exit after them; returns (settled ids, outcomes, rcs, open ids, open ts)."""
-    if len(pend_id) == 0:
-        return [], [], [], np.array([], "int64"), np.array([], "int64")
-    k = np.searchsorted(exit_pos, pend_pos, side="right")
-    has = k < len(exit_pos)
-    kk = np.minimum(k, max(len(exit_pos) - 1, 0))
-    delay = np.where(has, (exit_ts[kk] if len(exit_ts) else 0) - pend_ts, 0)
-    rc = np.where(has, exit_rc[kk] if len(exit_rc) else 0, 0)
-    out, rcs = classify(delay, rc)
-    return (pend_id[has], out[has], rcs[has], pend_id[~has], pend_ts[~has])
-
-
-def _make_fn(grace_us, term_us, kill_us, ttl_us):
-    def launch(delay, rc):
-        failed = delay <= grace_us
-        return (np.where(failed, "launch_failed", "launched"),
-                np.where(failed, rc, NO_RC))
-
-    def stop(delay, rc):
-        return (np.select([delay <= term_us, delay <= term_us + kill_us],
-                          ["terminated", "killed"], "not_stopped"), np.full(len(delay), NO_RC))
+        data = {k: [v] * n for k, v in zip(key_names, key)}
+        data |= {id_name: list(ids), "kind": [kind] * n, "action": list(actions), "outcome": list(outcomes),
+                 "returncode": pd.array([None if v is None or pd.isna(v) else int(v) for v in rcs], dtype="Int32")}
+        return pd.DataFrame(data, columns=columns)
+
+    def settle(ids, at, pos, exits, rows, name):
+        """(id, outcome, return code) of the items with a later exit, and the items left."""
+        done, left = [], []
+        exit_us, exit_rc = rows["_us"].to_numpy()[exits], rows["rc"].to_numpy(dtype=object)[exits]
+        for i, t, k in zip(ids, at, np.searchsorted(exits, pos, side="right")):
+            if k == len(exits):
+                left.append((i, t))
+                continue
+            delay = int(exit_us[k]) - int(t)
+            if name == "launch":
+                failed = delay <= grace_us
+                done.append((i, "launch_failed" if failed else "launched", exit_rc[k] if failed else None))
+            else:
+                done.append((i, "terminated" if delay <= term_us else "killed" if delay <= term_us + kill_us else "not_stopped", None))
+        return done, left
 
     def fn(key, pdfs, state):
-        uid = int(key[0])
         if state.exists:
-            st, sp, ps_id, ps_ts, pt_id, pt_ts, last_ts, last_id, cur, cur_rc = state.get
+            st, sp, ps_id, ps_ts, pt_id, pt_ts, last, cur, cur_rc, waiting = state.get
         else:
-            st, sp, ps_id, ps_ts, pt_id, pt_ts, last_ts, last_id, cur, cur_rc = (
-                False, False, [], [], [], [], None, None, NEVER, None)
-        arr = lambda a: np.asarray([] if a is None else list(a), dtype="int64")
-        ps_id, ps_ts, pt_id, pt_ts = arr(ps_id), arr(ps_ts), arr(pt_id), arr(pt_ts)
-        out = _Out()
-        if not state.hasTimedOut:
-            parts = list(pdfs)
-            b = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-            ts_b, id_b = b["ts_us"].to_numpy("int64"), b["event_id"].to_numpy("int64")
-            o = np.lexsort((id_b, ts_b))
-            ts_b, id_b = ts_b[o], id_b[o]
-            act = b["action"].to_numpy(dtype=object)[o]
-            rc_b = b["rc"].astype("float64").fillna(NO_RC).to_numpy()[o].astype("int64")
-            lx = b["launch_exit"].to_numpy(bool)[o]
-            sx = b["stop_exit"].to_numpy(bool)[o]
+            st, sp, ps_id, ps_ts, pt_id, pt_ts, last, cur, cur_rc, waiting = False, False, [], [], [], [], None, NEVER, None, None
+        open_items = {"launch": list(zip(ps_id or [], ps_ts or [])), "stop": list(zip(pt_id or [], pt_ts or []))}
+        wm_ms = state.getCurrentWatermarkMs()
+        wm = wm_ms * 1000
+        ready, later = [], []  # what each chunk adds; chunks are split as they come
+        old = _unpacked(waiting)
+        for chunk in ([] if old is None else [old]) + ([] if state.hasTimedOut else list(pdfs)):
+            passed = chunk["_us"].to_numpy() <= wm
+            ready.append(chunk.loc[passed, _ROWS])
+            later.append(chunk.loc[~passed, _ROWS])
+        ready, later = [x for x in ready if len(x)], [x for x in later if len(x)]
+        out = []
+        if ready:
+            rows = (ready[0] if len(ready) == 1 else pd.concat(ready, ignore_index=True)) \
+                .sort_values(["_us", "_id"], kind="stable", ignore_index=True)
+            act = rows["action"].to_numpy(dtype=object)
+            ids, us = rows["_id"].tolist(), rows["_us"].to_numpy()
             has = ~pd.isna(act)
             if has.any():
-                v, st, sp = judge_arrays(ts_b[has], id_b[has], act[has],
-                                         b["stop_ok"].to_numpy(bool)[o][has], bool(st), bool(sp))
-                out.add(id_b[has], "verdict", v)
-            pos = np.arange(len(b))
-            is_start, is_stop = act == "start", act == "stop"
-            # open items from earlier batches sit before every batch row
-            for (pid, pts, mask, exits, classify, kind) in (
-                    (ps_id, ps_ts, is_start, lx, launch, "launch"),
-                    (pt_id, pt_ts, is_stop, sx, stop, "stop")):
-                all_id = np.concatenate([pid, id_b[mask]])
-                all_ts = np.concatenate([pts, ts_b[mask]])
-                all_pos = np.concatenate([np.full(len(pid), -1), pos[mask]])
-                done_id, res, rcs, open_id, open_ts = _settle(
-                    all_id, all_ts, all_pos, pos[exits], ts_b[exits], rc_b[exits], classify)
-                out.add(done_id, kind, res, rcs)
-                if kind == "launch":
-                    ps_id, ps_ts = open_id, open_ts
-                else:
-                    pt_id, pt_ts = open_id, open_ts
-            # current status: the last start or exit decides
-            life = np.flatnonzero(is_start | lx)
+                v, st, sp = judge_arrays(act[has], rows["stop_ok"].to_numpy(bool)[has], bool(st), bool(sp))
+                out.append(frame(key, [i for i, h in zip(ids, has) if h], "verdict", act[has], v, [None] * int(has.sum())))
+            launch_exits, stop_exits = (np.flatnonzero(rows[c].to_numpy(bool)) for c in ("launch_exit", "stop_exit"))
+            for kind, word, exits in (("launch", "start", launch_exits), ("stop", "stop", stop_exits)):
+                new = np.flatnonzero(act == word)
+                items = open_items[kind] + [(ids[p], int(us[p])) for p in new]
+                pos = np.concatenate([np.full(len(open_items[kind]), -1), new])  # items from before stand before all rows
+                done, open_items[kind] = settle([i for i, _ in items], [t for _, t in items], pos, exits, rows, kind)
+                if done:
+                    out.append(frame(key, [d[0] for d in done], kind, [None] * len(done), [d[1] for d in done], [d[2] for d in done]))
+            life = np.flatnonzero((act == "start") | rows["launch_exit"].to_numpy(bool))
             if len(life):
-                i = life[-1]
-                cur = RUNNING if is_start[i] else EXITED
-                cur_rc = None if (cur == RUNNING or rc_b[i] == NO_RC) else int(rc_b[i])
-            if last_ts is None or (int(ts_b[-1]), int(id_b[-1])) > (int(last_ts), int(last_id)):
-                last_ts, last_id = int(ts_b[-1]), int(id_b[-1])
-            out.add([last_id], "status", ["running" if cur == RUNNING else "idle"],
-                    [NO_RC if cur_rc is None else cur_rc])
-        # the watermark settles open items whose deadline has passed
-        wm = state.getCurrentWatermarkMs() * 1000
-        due = ps_ts + grace_us <= wm
-        if due.any():
-            out.add(ps_id[due], "launch", np.full(int(due.sum()), "launched", dtype=object))
-            ps_id, ps_ts = ps_id[~due], ps_ts[~due]
-        due = pt_ts + term_us + kill_us <= wm
-        if due.any():
-            out.add(pt_id[due], "stop", np.full(int(due.sum()), "not_stopped", dtype=object))
-            pt_id, pt_ts = pt_id[~due], pt_ts[~due]
-        deadlines = [int(v) for v in ps_ts + grace_us] + [int(v) for v in pt_ts + term_us + kill_us]
-        if not deadlines and last_ts is not None and int(last_ts) + ttl_us <= wm:
+                rc = rows["rc"].to_numpy(dtype=object)[life[-1]]
+                cur = RUNNING if act[life[-1]] == "start" else EXITED
+                cur_rc = None if cur == RUNNING or rc is None or pd.isna(rc) else int(rc)
+            last = int(us[-1])
+            out.append(frame(key, [ids[-1]], "status", [None], ["running" if cur == RUNNING else "idle"], [cur_rc]))
+        for kind, wait, outcome in (("launch", grace_us, "launched"), ("stop", term_us + kill_us, "not_stopped")):
+            due = [i for i, t in open_items[kind] if t + wait <= wm]
+            if due:
+                out.append(frame(key, due, kind, [None] * len(due), [outcome] * len(due), [None] * len(due)))
+                open_items[kind] = [(i, t) for i, t in open_items[kind] if t + wait > wm]
+        kept = None if not later else later[0] if len(later) == 1 else pd.concat(later, ignore_index=True)
+        next_us = [t + grace_us for _, t in open_items["launch"]] + [t + term_us + kill_us for _, t in open_items["stop"]]
+        next_us += [] if kept is None else [int(kept["_us"].min())]
+        finished = ttl_us is not None and st and sp and not next_us
+        if finished and last + ttl_us <= wm:
             state.remove()
         else:
-            state.update((bool(st), bool(sp), ps_id.tolist(), ps_ts.tolist(),
-                          pt_id.tolist(), pt_ts.tolist(), None if last_ts is None else int(last_ts),
-                          None if last_id is None else int(last_id), int(cur),
-                          None if cur_rc is None else int(cur_rc)))
-            nxt = min(deadlines) if deadlines else int(last_ts or 0) + ttl_us
-            state.setTimeoutTimestamp(int(max(-(-nxt // 1000), state.getCurrentWatermarkMs() + 1)))
-        if out.ids:
-            yield out.frame(uid)
+            launch, stop = open_items["launch"], open_items["stop"]
+            state.update((bool(st), bool(sp), [i for i, _ in launch], [t for _, t in launch], [i for i, _ in stop], [t for _, t in stop],
+                          last, int(cur), cur_rc, _packed(kept)))
+            if finished:
+                next_us = [last + ttl_us]
+            if next_us:
+                # fires once the watermark is past it, so at the due millisecond itself
+                state.setTimeoutTimestamp(int(max(-(-min(next_us) // 1000) - 1, wm_ms + 1)))
+        yield from out
     return fn
 
 
 def lifecycle_monitor(stream: DataFrame, action: Column, launch_exit: Column, stop_exit: Column,
                       returncode: Column, grace_s=5, term_s=TERMINATE_WAIT_S, kill_s=KILL_WAIT_S,
-                      key: str = "user_id", ts: str = "ts", lateness: str = "1 hour",
-                      stop_ok: Column | None = None, ttl_s: int = 7 * 86400) -> DataFrame:
-    """``stream`` has ``event_id``, ``key`` and ``ts``.  ``action`` maps rows
-    to start / stop / collect; ``launch_exit`` / ``stop_exit`` say which rows
-    end a launch probe / a stop request; ``returncode`` is the exit code."""
-    ntz = stream.schema[ts].dataType.typeName() == "timestamp_ntz"
-    t = ntz_to_instant(ts) if ntz else F.col(ts)
-    x = (stream.withColumn("action", action)
-               .withColumn("launch_exit", F.coalesce(launch_exit, F.lit(False)))
-               .withColumn("stop_exit", F.coalesce(stop_exit, F.lit(False)))
-               .filter(F.col("action").isNotNull() | F.col("launch_exit") | F.col("stop_exit"))
-               .withColumn("stop_ok", F.lit(True) if stop_ok is None
-                           else F.coalesce(stop_ok, F.lit(False)))
-               .withColumn("rc", returncode.cast("int"))
-               .withColumn(ts, t)
-               .withWatermark(ts, lateness)
-               .select("event_id", F.col(key).alias("user_id"), ts,
-                       F.unix_micros(F.col(ts)).alias("ts_us"),
-                       "action", "launch_exit", "stop_exit", "rc", "stop_ok"))
-    fn = _make_fn(int(grace_s * US), int(term_s * US), int(kill_s * US), int(ttl_s * US))
-    return x.groupBy("user_id").applyInPandasWithState(
-        fn, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+                      key="user_id", event_id: str = "event_id", ts: str = "ts", lateness: str = "1 hour",
+                      stop_ok: Column | None = None, ttl_s: int | None = None) -> DataFrame:
+    """``stream`` has ``event_id``, the ``key`` columns (one or several) and ``ts``, of any types.  ``action`` maps
+    rows to start / stop / collect; ``launch_exit`` / ``stop_exit`` say which rows
+    end a launch probe / a stop request; ``returncode`` is the exit code.
+
+    Returns the key columns, the event id, ``kind``, ``action`` (of verdicts), ``outcome``, ``returncode``."""
+    keys = [key] if isinstance(key, str) else list(key)
+    fields = stream.schema
+    t = ntz_to_instant(ts) if fields[ts].dataType.typeName() == "timestamp_ntz" else F.col(ts)
+    x = stream.select(
+        *keys, F.col(event_id).alias("_id"), t.alias("_ts"), action.alias("action"),
+        F.coalesce(launch_exit, F.lit(False)).alias("launch_exit"), F.coalesce(stop_exit, F.lit(False)).alias("stop_exit"),
+        returncode.cast("int").alias("rc"),
+        (F.lit(True) if stop_ok is None else F.coalesce(stop_ok, F.lit(False))).alias("stop_ok"))
+    x = x.filter(F.col("action").isNotNull() | F.col("launch_exit") | F.col("stop_exit")) \
+         .withColumn("_us", F.unix_micros("_ts")).withWatermark("_ts", lateness)
+    out = StructType([*[StructField(k, fields[k].dataType) for k in keys], StructField(event_id, fields[event_id].dataType),
+                      StructField("kind", StringType()), StructField("action", StringType()),
+                      StructField("outcome", StringType()), StructField("returncode", IntegerType())])
+    fn = _make_fn(keys, event_id, int(grace_s * US), int(term_s * US), int(kill_s * US), None if ttl_s is None else int(ttl_s * US))
+    return x.groupBy(*keys).applyInPandasWithState(
+        fn, out, _state(fields[event_id].dataType), "append", GroupStateTimeout.EventTimeTimeout)

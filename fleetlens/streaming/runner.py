@@ -16,7 +16,10 @@ from fleetlens.session import shared_dir
 
 def drain_to_parquet(spark: SparkSession, stream: DataFrame, name: str,
                      out: str | None = None, checkpoint: str | None = None,
-                     timeout_s: int = 1800) -> DataFrame:
+                     timeout_s: float | None = None) -> DataFrame:
+    """Drain the stream and return what it wrote.  Waits to the end; with ``timeout_s``, a stream
+    that is not done by then is stopped and a TimeoutError raised, so a partial
+    folder is never taken for the result."""
     base = shared_dir(spark, name)
     out = out or f"{base}/out"
     checkpoint = checkpoint or f"{base}/checkpoint"
@@ -24,15 +27,24 @@ def drain_to_parquet(spark: SparkSession, stream: DataFrame, name: str,
                .option("path", out).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
     try:
-        q.awaitTermination(timeout_s)
+        done = True if timeout_s is None else q.awaitTermination(timeout_s)
+        if timeout_s is None:
+            q.awaitTermination()
     finally:
         if q.isActive:
             q.stop()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if not done:
+        raise TimeoutError(f"{name}: not drained after {timeout_s} s")
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema)
@@ -41,3 +53,13 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(folder)
+
+
+def table_stream(spark: SparkSession, base: str, name: str, schema,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over the table ``<base>/<name>.parquet``, be it a file or a folder of parts."""
+    base = base.rstrip("/")
+    path = f"{base}/{name}.parquet"
+    if _is_folder(spark, path):
+        return file_stream(spark, path, schema, max_files_per_trigger=max_files_per_trigger)
+    return file_stream(spark, base, schema, glob=f"{name}.parquet", max_files_per_trigger=max_files_per_trigger)

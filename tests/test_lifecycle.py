@@ -96,7 +96,7 @@ def test_stream_equals_batch(spark, tmp):
     folder = os.path.join(tmp, "events")
     ev.write.parquet(folder)
     s = file_stream(spark, folder, ev.schema)
-    got = drain_to_parquet(spark, lifecycle_stream(s, actions()), "t5-test")
+    got = drain_to_parquet(spark, lifecycle_stream(s, actions(), lateness="0 seconds"), "t5-test")
     want = lifecycle_check(ev, ["user_id"], ORDER, actions())
     assert rows(got, "event_id", "action", "verdict") == rows(want, "event_id", "action", "verdict")
 
@@ -131,7 +131,7 @@ def test_stream_state_across_micro_batches(spark, tmp):
                    & (F.col("ts") < F.lit(T0 + dt.timedelta(seconds=hi))))
            .coalesce(1).write.mode("append").parquet(folder))
     s = file_stream(spark, folder, ev.schema, max_files_per_trigger=1)
-    got = drain_to_parquet(spark, lifecycle_stream(s, actions()), "t5-sliced")
+    got = drain_to_parquet(spark, lifecycle_stream(s, actions(), lateness="0 seconds"), "t5-sliced")
     want = lifecycle_check(ev, ["user_id"], ORDER, actions())
     assert rows(got, "event_id", "action", "verdict") == rows(want, "event_id", "action", "verdict")
 
@@ -155,7 +155,7 @@ def test_monitor_deadlines_across_micro_batches(spark, tmp):
     s = file_stream(spark, folder, ev.schema, max_files_per_trigger=1)
     exit_ = F.col("kind") == "exit"
     m = lifecycle_monitor(s, actions(), launch_exit=exit_, stop_exit=exit_,
-                          returncode=F.col("value"), grace_s=5, lateness="1 second")
+                          returncode=F.col("value"), grace_s=5, lateness="0 seconds")
     got = drain_to_parquet(spark, m, "t5-monitor")
     assert rows(got.filter("kind IN ('launch', 'stop')"), "user_id", "kind", "outcome",
                 "returncode") == [
@@ -200,3 +200,90 @@ def test_periodic_stream_drops_late_rows(spark, tmp):
     by_hour = {r["window_start"].hour: (r["n"], r["max_value"]) for r in got.collect()}
     assert by_hour[0] == (6, 1.0)          # the late 100.0 row did not get in
     assert set(by_hour) == {0, 1, 2, 3}    # 06:00 window still open at the end
+
+
+def _in_parts(df, folder, parts):
+    """One file for each list of row numbers, in this order."""
+    import time
+    from pyspark.sql import functions as F
+    for ids in parts:
+        df.filter(F.col("event_id").isin(ids)).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken in the order of their times
+
+
+def test_events_out_of_order_are_judged_in_order(spark, tmp):
+    """Slices that mix earlier and later events, within the lateness, give the batch verdicts and outcomes."""
+    import random
+    from fleetlens.streaming.monitor import lifecycle_monitor
+    from fleetlens.streaming.runner import drain_to_parquet, file_stream
+    rnd = random.Random(11)
+    log = [(rnd.randrange(4), 10.0 * i + rnd.random(), rnd.choice(["start", "stop", "collect", "exit", "exit"]), float(rnd.randrange(3)))
+           for i in range(60)] + [(9, 10_000.0, "collect", 0.0)]  # the last one moves the watermark past all others
+    ev = _log(spark, log).withColumn("unit", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    order = list(range(60))
+    mixed = [order[i:i + 20] for i in range(0, 60, 20)]
+    for a, b in ((0, 1), (1, 2)):  # half of each slice comes with the next
+        mixed[a], mixed[b] = mixed[a][::2] + mixed[b][1::2], mixed[a][1::2] + mixed[b][::2]
+    folder = os.path.join(tmp, "mixed")
+    first = ev.agg(F.min("event_id")).first()[0]
+    _in_parts(ev, folder, [[first + i for i in p] for p in (*mixed, [60])])
+    s = file_stream(spark, folder, ev.schema, max_files_per_trigger=1)
+    exit_ = F.col("kind") == "exit"
+    m = lifecycle_monitor(s, actions(), exit_, exit_, F.col("value"), grace_s=15, term_s=10, kill_s=10, key=["user_id", "unit"], lateness="30 minutes")
+    got = drain_to_parquet(spark, m, "t5-mixed").filter("user_id < 9").cache()
+    ev = ev.filter("user_id < 9")
+    assert got.filter("unit <> concat('u', user_id)").count() == 0
+    assert rows(got.filter("kind = 'verdict'"), "event_id", "action", "outcome") == \
+        rows(lifecycle_check(ev, ["user_id"], ORDER, actions()), "event_id", "action", "verdict")
+    probes = launch_probe(ev.withColumn("rc", F.col("value").cast("int")), ["user_id"], ORDER, F.col("kind") == "start", exit_, "rc", grace_s=15)
+    assert rows(got.filter("kind = 'launch'").select("event_id", (F.col("outcome") == "launched").alias("launched"), "returncode")) == \
+        rows(probes.select("event_id", "launched", "returncode"))
+    stops = stop_escalation(ev, ["user_id"], ORDER, F.col("kind") == "stop", exit_, term_s=10, kill_s=10)
+    assert rows(got.filter("kind = 'stop'").select("event_id", "outcome")) == rows(stops.select("event_id", "outcome"))
+
+
+def test_a_long_task_keeps_its_state(spark, tmp):
+    from fleetlens.streaming.lifecycle import lifecycle_stream
+    from fleetlens.streaming.runner import drain_to_parquet, file_stream
+    day = 86_400
+    ev = _log(spark, [(1, 0, "start", 0.0), (2, 5 * day, "start", 0.0), (1, 10 * day, "stop", 0.0), (2, 11 * day, "start", 0.0)])
+    folder = os.path.join(tmp, "long")
+    first = ev.agg(F.min("event_id")).first()[0]
+    _in_parts(ev, folder, [[first + i] for i in range(4)])
+    s = file_stream(spark, folder, ev.schema, max_files_per_trigger=1)
+    got = drain_to_parquet(spark, lifecycle_stream(s, actions(), lateness="0 seconds"), "t5-long")
+    assert rows(got, "user_id", "action", "verdict") == [(1, "start", "ok"), (1, "stop", "ok"), (2, "start", "already_started"), (2, "start", "ok")]
+
+
+def test_streams_read_a_folder_of_parts_like_a_file(spark, tmp):
+    import time
+    from conftest import SF_SMALL
+    from fleetlens.plans.catalog import q_lifecycle_stream, q_periodic_stats_stream
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    at = [r["ts"] for r in ev.select("ts").orderBy("ts").collect()]
+    cuts = [at[len(at) // 3], at[2 * len(at) // 3]]
+    folder = os.path.join(tmp, "sf", "events.parquet")
+    for cond in (F.col("ts") < F.lit(cuts[0]), (F.col("ts") >= F.lit(cuts[0])) & (F.col("ts") < F.lit(cuts[1])), F.col("ts") >= F.lit(cuts[1])):
+        ev.filter(cond).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    for q in (q_lifecycle_stream, q_periodic_stats_stream):
+        one, parts = q(spark, SF_SMALL), q(spark, os.path.join(tmp, "sf"), max_files_per_trigger=1)
+        assert rows(one) == rows(parts) and one.count() > 0
+
+
+def test_a_stopped_drain_raises(spark, tmp):
+    from fleetlens.streaming.lifecycle import lifecycle_stream
+    from fleetlens.streaming.runner import drain_to_parquet, file_stream
+    ev = _log(spark, VERDICT_LOG)
+    folder = os.path.join(tmp, "slow")
+    ev.write.parquet(folder)
+    with pytest.raises(TimeoutError):
+        drain_to_parquet(spark, lifecycle_stream(file_stream(spark, folder, ev.schema), actions()), "t5-slow", timeout_s=0.01)
+
+
+def test_stream_plan_is_one_stateful_operator(spark):
+    from conftest import SF_SMALL
+    from fleetlens.plans.catalog import _action, _task_stream
+    from fleetlens.streaming.lifecycle import lifecycle_stream
+    plan = lifecycle_stream(_task_stream(spark, SF_SMALL), _action(), key=["user_id", "unit"])._jdf.queryExecution().analyzed().toString()
+    assert plan.count("FlatMapGroupsInPandasWithState") == 1 and "EventTimeWatermark" in plan and "BatchEvalPython" not in plan

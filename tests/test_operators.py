@@ -138,7 +138,30 @@ def test_reconcile_precheck_and_transfer_error(spark):
                                          ("t3", "not_stopped"), ("t4", "missing"), ("t5", "error")]
 
 
-def test_first_wins_string_order_uses_join_path(spark):
+def test_exactly_one_winner_whatever_the_type(spark):
+    for value in ("'x'", "1", "DATE'2020-01-01'"):
+        df = spark.range(5).selectExpr("'d' AS dst", f"{value} AS name")
+        assert first_wins(df, ["dst"], ["name"]).filter("kept").count() == 1
+        assert last_wins(df, ["dst"], ["name"]).filter("kept").count() == 1
+
+
+def test_reconcile_gives_one_status_to_an_artifact(spark):
+    from fleetlens.operators.reconcile import reconcile
+    exp = spark.createDataFrame(
+        [("r1", 0, "/a", "d/a", None, True), ("r1", 1, "/b", "d/a", None, True), ("r1", 2, "/none", "d/n", None, True),
+         ("r1", 3, "/a", "d/c", None, False), ("r1", 4, "/b", "d/c", None, True), ("r2", 0, "/a", "d/a", None, True),
+         ("r2", 1, "/b", "d/x", "not_stopped", True), ("r2", 2, "/b", "d/x", None, True)],
+        "run string, pos int, path string, destination string, precheck string, ok boolean")
+    found = spark.createDataFrame([("/a", 1), ("/a", 2), ("/b", 1)], "path string, copy int")
+    kw = dict(on=["path"], destination="destination", order=["run", "pos"], precheck="precheck", transfer_ok="ok")
+    got = {(r["run"], r["pos"]): r["status"] for r in reconcile(exp, found, **kw).collect()}
+    assert got == {("r1", 0): "collected", ("r1", 1): "conflict", ("r1", 2): "missing", ("r1", 3): "error", ("r1", 4): "collected",
+                   ("r2", 0): "conflict", ("r2", 1): "not_stopped", ("r2", 2): "collected"}
+    apart = {(r["run"], r["pos"]): r["status"] for r in reconcile(exp, found, scope=["run"], **kw).collect()}
+    assert apart == {**got, ("r2", 0): "collected"}
+
+
+def test_first_wins_string_order(spark):
     df = spark.createDataFrame([("d", "b"), ("d", "a"), ("e", "z")], "dst string, name string")
     assert rows(first_wins(df, ["dst"], ["name"]).filter("kept"), "name") == [("a",), ("z",)]
     assert rows(last_wins(df, ["dst"], ["name"]).filter("kept"), "name") == [("b",), ("z",)]

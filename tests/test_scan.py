@@ -2,7 +2,7 @@
 not change any result."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from conftest import SF_SMALL, rows
 from fleetlens.operators.asof import next_event
@@ -24,11 +24,55 @@ def events(spark):
 
 
 def test_hot_keys_are_split(events):
-    b, seg = bucketize(events, ["user_id"], EVENT_ORDER, hot_rows=3)
-    assert seg
+    b = bucketize(events, ["user_id"], EVENT_ORDER, hot_rows=3)
     per_key = b.groupBy("user_id").agg(F.countDistinct("_sg_b").alias("nb"), F.count("*").alias("n"))
-    assert per_key.filter("n > 3 AND nb < 2").count() == 0
-    assert b.filter("NOT _sg_hot").count() == 0 or per_key.filter("n <= 3").count() > 0
+    assert per_key.filter("n >= 6 AND nb < 2").count() == 0
+    assert b.groupBy("user_id", "_sg_b").count().filter("count > 6").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["all equal", "seven values", "one outlier", "strings"])
+def test_buckets_of_one_key_are_bounded(spark, kind):
+    """Ties and outliers of the leading order column do not pile up in a bucket."""
+    lead = {"all equal": F.lit(5), "seven values": F.col("id") % 7, "strings": F.concat(F.lit("s"), F.col("id") % 3),
+            "one outlier": F.when(F.col("id") == 0, F.lit(10 ** 15)).otherwise(F.col("id") % 1000)}[kind]
+    df = spark.range(200_000).select(F.lit("k").alias("k"), lead.alias("a"), F.col("id").alias("b"))
+    sizes = bucketize(df, ["k"], ["a", "b"], hot_rows=1000).groupBy("_sg_b").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 3000
+    assert sizes.count() > 100
+
+
+def test_many_boundaries_are_found_in_two_steps(spark):
+    df = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    got = bucketize(df, ["k"], ["a"], hot_rows=2).groupBy("_sg_b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+    assert all(r["lo"] == 2 * r["_sg_b"] and r["hi"] == r["lo"] + 1 for r in got.collect())
+
+
+def test_building_a_query_starts_no_job(spark):
+    from fleetlens.plans.catalog import QUERIES
+    names = ["reconcile", "next_event", "first_wins", "last_wins", "order_tasks", "timeline", "flatten_paths",
+             "lifecycle_check", "launch_probe", "stop_escalation"]
+    sc, ran = spark.sparkContext, {}
+    for n in names:
+        sc.setJobGroup(f"build-{n}", n)
+        QUERIES[n](spark, SF_SMALL)
+        ran[n] = len(sc.statusTracker().getJobIdsForGroup(f"build-{n}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # reading a table's schema is one job
+    tables = {"reconcile": 2}
+    assert all(v <= tables.get(n, 1) for n, v in ran.items()), ran
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_honoured_stop_order_same(lines, hot):
+    kw = dict(honor_stop_order=True, stop_order="l_suppkey")
+    x = lines.withColumn("l_suppkey", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")))
+    order = [c for c in LINE_ORDER if c != "l_suppkey"]
+    w = Window.partitionBy("l_orderkey").orderBy(F.col("l_suppkey").isNull(), "l_suppkey", *[F.col(c).desc() for c in order])
+    want = x.withColumn("stop_rank", F.row_number().over(w).cast("bigint"))
+    got = order_tasks(x, ["l_orderkey"], order, hot_rows=hot, **kw)
+    assert rows(got, *LINE_COLS, "stop_rank") == rows(want, *LINE_COLS, "stop_rank")
+    cost = dict(start_cost=F.col("l_quantity").cast("bigint"), stop_cost=F.col("l_linenumber").cast("bigint"), stop_after=70)
+    assert rows(timeline(x, ["l_orderkey"], order, **cost, **kw)) == rows(timeline(x, ["l_orderkey"], order, hot_rows=hot, **cost, **kw))
 
 
 @pytest.mark.parametrize("hot", [1, 3])
@@ -81,12 +125,11 @@ def _random_frame(spark, seed, n=400):
 def test_prefix_scan_matches_plain_windows(spark, seed, hot):
     """Random data with null keys, null and tied order values: every measure
     kind, both directions, equals a plain per-key window."""
-    from pyspark.sql import Window
     from fleetlens.plans.scan import prefix_scan
     df = _random_frame(spark, seed)
     order = ["t", "id"]
-    b, seg = bucketize(df, ["k"], order, hot_rows=hot)
-    assert seg
+    b = bucketize(df, ["k"], order, hot_rows=hot)
+    assert b.filter("_sg_hot").count()
     measures = [("n", "count", None), ("s", "sum", F.col("c")), ("o", "or", F.col("flag")),
                 ("l", "last", F.when(F.col("flag"), F.col("id"))), ("tot", "total", F.col("c"))]
     up = prefix_scan(b, ["k"], order, measures)
@@ -101,16 +144,3 @@ def test_prefix_scan_matches_plain_windows(spark, seed, hot):
             F.sum("c").over(Window.partitionBy("k")).alias("tot"))
         cols = ["id", "n", "s", "o", "l"] + ([] if desc else ["tot"])
         assert rows(got, *cols) == rows(want, *cols), (seed, hot, desc)
-
-
-def test_segmented_scan_without_broadcast(spark, events, monkeypatch):
-    """Above the broadcast bound the hot-key and carry tables are joined by
-    shuffle; results do not change."""
-    import fleetlens.plans.scan as S
-    ev = events.filter(F.col("event_type").isin("signup", "error", "purchase"))
-    want = rows(lifecycle_check(ev, ["user_id"], EVENT_ORDER, _action()), "event_id", "verdict")
-    monkeypatch.setattr(S, "MAX_BROADCAST_ROWS", 0)
-    b, seg = bucketize(ev, ["user_id"], EVENT_ORDER, hot_rows=3)
-    assert seg and not seg.broadcast_keys and not seg.broadcast_buckets
-    got = lifecycle_check(ev, ["user_id"], EVENT_ORDER, _action(), hot_rows=3)
-    assert rows(got, "event_id", "verdict") == want
