@@ -195,18 +195,22 @@ def _base(text: Column, lower: Column) -> dict[str, Column]:
             "last_word": F.when(total > 0, n_words(before_last)), "base_labels": labels}
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row, also where ``body`` uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def detections(docs: DataFrame, text: str) -> DataFrame:
     """``x, y, label, n, sure, start, end``: for the hash of each text, what the rules find and containment leaves.
 
     ``start`` and ``end`` are code points."""
     x, y = _keys(F.col(text))
-    own = docs.select(x.alias("x"), y.alias("y"), F.col(text).alias("text"), F.lower(F.col(text)).alias("lower"))
+    own = docs.select(x.alias("x"), y.alias("y"), F.col(text).alias("text"))
     table = rules()
-    keywords = sorted({k for r in table for k in r["keywords"]})
-    own = own.withColumn("has", F.filter(F.from_json(F.lit(json.dumps(keywords)), "array<string>"), lambda k: F.col("lower").contains(k))) \
-        .where(F.size("has") > 0)
-    table = F.from_json(F.lit(json.dumps(table)), "array<struct<n:int,tier:int,sure:double,label:string,pattern:string,keywords:array<string>>")
-    fit = F.filter(table, lambda r: F.arrays_overlap("has", r["keywords"]))
+    keywords = F.from_json(F.lit(json.dumps(sorted({k for r in table for k in r["keywords"]}))), "array<string>")
+    table = F.from_json(F.lit(json.dumps(table)), "array<struct<n:int,tier:int,sure:double,label:string,pattern:string,keywords:array<string>>>")
+    has = _let(F.lower("text"), lambda low: F.filter(keywords, low.contains))
+    fit = _let(has, lambda h: F.filter(table, lambda r: F.arrays_overlap(h, r["keywords"])))
     body = F.col("text")
 
     def matches(r):
