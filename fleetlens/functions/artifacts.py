@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.fixed import (CAPTURE_TYPE, DEFAULT_RESULTS_PATH, LOCAL_ORIGIN,
-                             LOCAL_RUNNER, METRICS_OPTION, STATS_OPTION, TRANSMIT_TYPE)
+                             LOCAL_RUNNER, METRICS_OPTION, REMOTE_RUNNER, STATS_OPTION,
+                             TRANSMIT_TYPE)
 from fleetlens.functions.paths import basename, join_path, parent_dir
 
 
@@ -24,8 +25,9 @@ def locate(df: DataFrame, path, origin, results) -> DataFrame:
 
 
 def origin_of(runner_type, username, host) -> Column:
-    return F.when(F.col(runner_type) == LOCAL_RUNNER, F.lit(LOCAL_ORIGIN)).otherwise(
-        F.concat(F.col(username), F.lit("@"), F.col(host)))
+    """Null for an unknown runner type or without user or host; the destination is then null too."""
+    return F.when(F.col(runner_type) == LOCAL_RUNNER, F.lit(LOCAL_ORIGIN)) \
+            .when(F.col(runner_type) == REMOTE_RUNNER, F.concat(F.col(username), F.lit("@"), F.col(host)))
 
 
 def expected_artifacts(tasks: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fleetlens.fixed import (CAPTURE_FILTER_PREFIX, CAPTURE_SNAPLEN, SUBCOMMANDS,
+from fleetlens.fixed import (CAPTURE_FILTER_PREFIX, CAPTURE_SNAPLEN, NULL_TEXT, SUBCOMMANDS,
                              URI_SCHEME)
 from fleetlens.functions.params import render_map
 
@@ -59,8 +59,8 @@ def transmit_argv(path, role, host, port, attrs, options) -> Column:
 
 def transmit_text(argv) -> Column:
     return F.array_join(
-        F.transform(_c(argv), lambda a: F.when(a.startswith(URI_SCHEME),
-                                               F.concat(F.lit('"'), a, F.lit('"'))).otherwise(a)),
+        F.transform(_c(argv), lambda a: F.when(a.startswith(URI_SCHEME), F.concat(F.lit('"'), a, F.lit('"')))
+                                         .otherwise(F.coalesce(a, F.lit(NULL_TEXT)))),
         " ")
 
 
@@ -75,12 +75,8 @@ def _quote_spaced(a: Column) -> Column:
     return F.when(F.instr(a, " ") > 0, F.concat(F.lit('"'), a, F.lit('"'))).otherwise(a)
 
 
-CAPTURE_ARGC = 9
-
-
 def capture_text(argv) -> Column:
-    """Capture argv (always nine elements) -> text, quoting each element
-    that holds a space.  Built from the elements by position, without a
-    higher-order function, so it stays in generated code."""
-    a = _c(argv)
-    return F.concat_ws(" ", *[_quote_spaced(F.element_at(a, i + 1)) for i in range(CAPTURE_ARGC)])
+    """Capture argv -> text, quoting each element that holds a space; a null element is
+    written out, so that a missing argument shows."""
+    a = F.transform(_c(argv), lambda x: _quote_spaced(F.coalesce(x, F.lit(NULL_TEXT))))
+    return F.array_join(a, " ")

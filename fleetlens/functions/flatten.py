@@ -5,7 +5,8 @@ moves it; the **first occurrence** of that name is removed from the directory
 (a plain substring test by default, as the original helper does; with
 ``segment=True`` only a whole path segment matches).  Several files arriving
 at one destination: the last mover wins (``operators.dedupe.last_wins``),
-ordered by subfolder argument order, then source path.
+ordered by subfolder argument order, then source path.  ``emptied_dirs`` and ``replaced_files`` tell what the moves leave empty and
+what they replace.
 
 The subfolder list is a parameter, so matching is a row-local ``CASE`` over
 it: no join at all.  Nothing is moved: the result is the move plan.
@@ -42,7 +43,7 @@ def flatten_paths(files: DataFrame, dir_col: str, file_col: str, subfolders,
     for i, n in enumerate(needles):
         hit = F.instr(probe, F.lit(n)) > 0
         idx = F.when(hit, F.lit(i)) if idx is None else idx.when(hit, F.lit(i))
-    pick = lambda vals: F.element_at(F.array(*[F.lit(v) for v in vals]), F.col("subfolder_idx") + 1)
+    pick = lambda vals: F.get(F.array(*[F.lit(v) for v in vals]), F.col("subfolder_idx"))
     x = (files.withColumn("subfolder_idx", idx)
               .filter(F.col("subfolder_idx").isNotNull())
               .withColumn("subfolder", pick(subfolders))
@@ -50,7 +51,21 @@ def flatten_paths(files: DataFrame, dir_col: str, file_col: str, subfolders,
               .withColumn("_fp_cut", pick(cuts)))
     q = f"`{dir_col}`"
     dst_dir = F.expr(f"concat(substring({q}, 1, _fp_pos - 1), substring({q}, _fp_pos + _fp_cut))")
-    x = (x.withColumn("src", F.concat_ws("/", d, F.col(file_col)))
+    x = (x.withColumn("src", _join_path(d, F.col(file_col)))
           .withColumn("dst", _join_path(dst_dir, F.col(file_col)))
           .drop("_fp_pos", "_fp_cut"))
     return last_wins(x, ["dst"], ["subfolder_idx", "src", *tiebreak])
+
+
+def emptied_dirs(files: DataFrame, moves: DataFrame, dir_col: str) -> DataFrame:
+    """Folders that the moves leave without a file (``dir``): all their files move."""
+    before = files.groupBy(F.col(dir_col).alias("dir")).agg(F.count(F.lit(1)).alias("_fp_n"))
+    gone = moves.groupBy(F.col(dir_col).alias("dir")).agg(F.count(F.lit(1)).alias("_fp_m"))
+    return before.join(gone, "dir").filter("_fp_n = _fp_m").select("dir")
+
+
+def replaced_files(files: DataFrame, moves: DataFrame, dir_col: str, file_col: str) -> DataFrame:
+    """Files that stay where they are and are replaced by one that moves there (``path``, once each)."""
+    path = _join_path(F.col(dir_col), F.col(file_col)).alias("path")
+    return files.select(path).join(moves.select(F.col("dst").alias("path")), "path", "left_semi") \
+        .join(moves.select(F.col("src").alias("path")), "path", "left_anti").distinct()

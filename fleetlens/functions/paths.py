@@ -22,9 +22,10 @@ def url_path(url) -> Column:
 
 
 def parent_dir(path) -> Column:
-    """Everything before the last ``/`` (``''`` when there is none)."""
+    """The directory of a path: ``.`` of a bare name, ``/`` of a file in the root."""
     p = _c(path)
-    return F.when(F.instr(p, "/") > 0, F.regexp_extract(p, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
+    return F.when(F.instr(p, "/") == 0, ".").when(p.rlike("^/[^/]*$"), "/") \
+            .otherwise(F.regexp_extract(p, r"^(.*)/[^/]*$", 1))
 
 
 def basename(path) -> Column:
@@ -33,4 +34,8 @@ def basename(path) -> Column:
 
 
 def join_path(*parts) -> Column:
-    return F.concat_ws("/", *[_c(p) for p in parts])
+    """Parts joined by ``/``; null if any is."""
+    out = _c(parts[0])
+    for p in parts[1:]:
+        out = F.concat(out, F.lit("/"), _c(p))
+    return out

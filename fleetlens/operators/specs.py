@@ -45,6 +45,12 @@ def spec_tasks(specs: DataFrame) -> DataFrame:
                                         .otherwise(F.lit("")))
 
 
+def spec_rejects(specs: DataFrame) -> DataFrame:
+    """``run, reason`` of the specs that give no tasks (empty, invalid_json, no_tasks), so that none is
+    dropped without a word; the other specs' tasks go to ``validate_tasks``."""
+    return specs.filter("malformed").select("run", F.col("error").alias("reason"))
+
+
 def _keys_map(c):
     k = F.coalesce(F.col(c), F.array().cast("array<string>"))
     return F.map_from_arrays(k, k)
@@ -64,7 +70,7 @@ def validate_tasks(spark: SparkSession, tasks: DataFrame) -> tuple[DataFrame, Da
     out = (r2.withColumn("reason", F.concat_ws(";", "_r_obj", "_r_run"))
              .withColumn("reason", F.when(F.col("reason") != "", F.col("reason")))
              .withColumn("warning", F.when((F.col("obj_type") == TRANSMIT_TYPE)
-                                           & ~role.isin(ROLE_SENDER, ROLE_RECEIVER),
+                                           & ~F.coalesce(role.isin(ROLE_SENDER, ROLE_RECEIVER), F.lit(False)),
                                            F.concat(F.lit("no_subcommand:"),
                                                     F.coalesce(role, F.lit("null")))))
              .drop("_ok", "_rk", "_r_obj", "_r_run"))

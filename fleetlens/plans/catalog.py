@@ -7,6 +7,7 @@ those of the matching SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions.artifacts import locate
@@ -232,15 +233,28 @@ def q_expected_artifacts(spark, d):
         "page_id", "path", "parent", "basename", "origin", "destination")
 
 
+def _page_files(spark, d):
+    return _page_parts(spark, d).select("page_id", F.concat(F.col("origin"), parent_dir("path")).alias("dir"),
+                                        basename("path").alias("file"))
+
+
 def q_flatten_paths(spark, d):
-    p = _page_parts(spark, d)
-    files = p.select("page_id", F.concat(F.col("origin"), parent_dir("path")).alias("dir"),
-                     basename("path").alias("file"))
     # page_id completes the order: two pages may share a path
-    x = flatten_paths(files, "dir", "file", ["/en", "/fr"], tiebreak=["page_id"])
+    x = flatten_paths(_page_files(spark, d), "dir", "file", ["/en", "/fr"], tiebreak=["page_id"])
     return x.select("page_id", "src", "dst", "subfolder", "kept")
 
 
+def q_flatten_effects(spark, d):
+    """X4, what the moves leave: folders without files, and files replaced.  Every fourth page has a twin outside its folder."""
+    from fleetlens.functions.flatten import emptied_dirs, replaced_files
+    files = _page_files(spark, d)
+    twins = files.filter("page_id % 4 = 0").select("page_id", F.regexp_replace("dir", "/(en|fr)$", "").alias("dir"), "file")
+    files = files.unionByName(twins)
+    moves = flatten_paths(files, "dir", "file", ["/en", "/fr"], tiebreak=["page_id"])
+    return emptied_dirs(files, moves, "dir").select(F.lit("emptied").alias("what"), F.col("dir").alias("path")).unionByName(
+        replaced_files(files, moves, "dir", "file").select(F.lit("replaced").alias("what"), "path"))
+
+
 # ---- T: lifecycle ----------------------------------------------------------
 
 def _rc(c="value"):
@@ -303,6 +317,7 @@ QUERIES = {
     "command_manifest": q_command_manifest,
     "expected_artifacts": q_expected_artifacts,
     "flatten_paths": q_flatten_paths,
+    "flatten_effects": q_flatten_effects,
     "current_status": q_current_status,
     "lifecycle_check": q_lifecycle_check,
     "launch_probe": q_launch_probe,
@@ -317,16 +332,18 @@ TS_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 def q_read_stats(spark, d):
     """Round trip: events written as CSV files in the collected layout
-    (run = event type, origin = user bucket), read back with lineage."""
+    (run = event type, origin = user bucket), read back with lineage.  Clicks have other columns in
+    another order than the rest; files are merged by name."""
     from fleetlens.session import shared_dir
     from fleetlens.sources.stats import read_stats
     root = shared_dir(spark, "stats")
-    ev = _t(spark, d, "events")
-    (ev.select(F.col("event_type").alias("run"),
-               F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("origin"),
-               "event_id", "ts", "user_id", "value", "props")
-       .write.partitionBy("run", "origin").option("header", True)
-       .option("timestampNTZFormat", TS_MICROS).csv(root))
+    ev = _t(spark, d, "events").withColumn("run", F.concat(F.lit("run of "), "event_type")) \
+        .withColumn("origin", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")))
+    other = F.col("event_type") == "click"
+    for part, cols in ((ev.filter(~other), ["event_id", "ts", "user_id", "value", "props"]),
+                       (ev.filter(other).withColumn("extra", F.lit("x")), ["value", "user_id", "extra", "event_id", "ts"])):
+        (part.select("run", "origin", *cols).write.mode("append").partitionBy("run", "origin").option("header", True)
+             .option("timestampNTZFormat", TS_MICROS).csv(root))
     schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, value DOUBLE, props STRING"
     st = read_stats(spark, root, globs=("*.csv",), schema=schema, timestampNTZFormat=TS_MICROS)
     return st.select("run", "origin", "event_id", "ts", "user_id", "value", "props")
@@ -479,11 +496,108 @@ def q_write_new(spark, d):
     write_new(ev, out)
     try:
         write_new(ev.limit(0), out)
-    except Exception:  # refused: the folder exists
-        pass
+    except AnalysisException as e:  # refused: the folder exists
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
     else:
         raise RuntimeError(f"write_new overwrote {out}")
     return spark.read.parquet(out)
 
 
 QUERIES.update({"decode_run": q_decode_run, "write_new": q_write_new})
+
+
+# ---- the artifact chain, rejects and the catalog ----------------------------
+
+def q_reconcile_full(spark, d):
+    """J1 at the artifact grain with every status: destinations differ from paths, the order leads with
+    a string, found paths repeat, tasks fail their prechecks and transfers fail."""
+    li = _t(spark, d, "lineitem")
+    expected = li.select(
+        F.col("l_returnflag").alias("run"), F.col("l_orderkey").alias("task"), *[c for c in LINE_ORDER if c != "l_returnflag"],
+        F.concat(F.lit("/src/p"), F.col("l_partkey").cast("string")).alias("path"),
+        F.concat(F.lit("out/"), (F.col("l_orderkey") * 7 + F.col("l_suppkey") % 3).cast("string")).alias("destination"),
+        F.when(F.col("l_quantity") < 3, "not_started").when(F.col("l_quantity") < 5, "not_stopped")
+         .when(F.col("l_quantity") < 7, "no_destination").alias("precheck"),
+        (F.col("l_tax") < 0.07).alias("transfer_ok"))
+    found = _t(spark, d, "part").filter("p_partkey % 5 > 0").select(
+        F.concat(F.lit("/src/p"), F.col("p_partkey").cast("string")).alias("path"), F.explode(F.sequence(F.lit(0), F.col("p_size") % 3)).alias("copy"))
+    order = ["run", "task", *[c for c in LINE_ORDER if c != "l_returnflag"]]
+    out = reconcile(expected, found, on=["path"], destination="destination", order=order, precheck="precheck",
+                    transfer_ok="transfer_ok", scope=["run"])
+    return out.select("run", "task", "l_linenumber", "l_partkey", "l_suppkey", "destination", "status")
+
+
+def _broken_specs(spark, d):
+    """The event-derived specs, some of them broken: cut off, without tasks, of an unknown object type, or without a role."""
+    from fleetlens.session import shared_dir
+    text = spark.read.text(_specs_from_events(spark, d))
+    n = F.regexp_extract("value", r'"collect_results_path":"results/e([0-9]+)"', 1).cast("bigint")
+    bad = F.when(n % 11 == 1, F.expr("substring(value, 1, length(value) - 5)")) \
+           .when(n % 11 == 2, F.regexp_replace("value", r',"tasks":.*$', "}")) \
+           .when(n % 11 == 3, F.regexp_replace("value", r'"2":\{"obj_type":"[^"]*"', '"2":{"obj_type":"unknown"')) \
+           .when(n % 11 == 4, F.regexp_replace("value", r'"type":"[^"]*"', '"type":null')).otherwise(F.col("value"))
+    out = shared_dir(spark, "broken-specs")
+    text.select(bad.alias("value")).write.text(out)
+    return f"{out}/*.txt"
+
+
+def _broken(spark, d):
+    from fleetlens.sources.specs import read_specs
+    return read_specs(spark, _broken_specs(spark, d), json_lines=True)
+
+
+def q_spec_rejects(spark, d):
+    """S1 and P4 on partly broken specs: specs and tasks rejected, with reasons, and tasks accepted, with warnings."""
+    from fleetlens.operators.specs import spec_rejects, spec_tasks, validate_tasks
+    specs = _broken(spark, d)
+    accepted, rejected = validate_tasks(spark, spec_tasks(specs))
+    none = F.lit(None).cast("string")
+    return spec_rejects(specs).select("run", none.alias("task"), "reason", none.alias("warning")) \
+        .unionByName(rejected.select("run", "task", "reason", "warning")) \
+        .unionByName(accepted.select("run", "task", none.alias("reason"), "warning"))
+
+
+def q_collected_status(spark, d):
+    """S1 -> P1 -> P4 -> X3 -> S2 -> J1: status of every artifact that the accepted tasks promise, against a listing."""
+    from fleetlens.functions.artifacts import expected_artifacts
+    from fleetlens.operators.specs import spec_tasks, validate_tasks
+    from fleetlens.sources.catalog import from_listing
+    accepted, _ = validate_tasks(spark, spec_tasks(_broken(spark, d)))
+    ev = _t(spark, d, "events")
+    listing = ev.select(F.explode(F.array(
+        F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("file:/data/e"), F.col("event_id").cast("string"), F.lit("/stats.csv"))),
+        F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("/data/e"), F.col("event_id").cast("string"), F.lit("/trace.pcapng"))))).alias("path")) \
+        .filter("path is not null")
+    found = from_listing(listing).select(F.col("local_path").alias("path"))
+    out = reconcile(expected_artifacts(accepted), found, on=["path"], destination="destination",
+                    order=["run", "pos", "artifact_pos"], scope=["run"])
+    return out.select("run", "task", "role", "path", "destination", "status")
+
+
+def q_file_catalog(spark, d):
+    """A tree written by Spark (run and origin folders), listed without reading content; its folders."""
+    from fleetlens.session import shared_dir
+    from fleetlens.sources.catalog import file_catalog
+    root = shared_dir(spark, "tree")
+    _t(spark, d, "events").select("event_type", (F.col("user_id") % 4).alias("unit"), "props") \
+        .write.partitionBy("event_type", "unit").text(root)
+    cat = file_catalog(spark, root, glob="*.txt")
+    return cat.select(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("dir"), (F.col("length") > 0).alias("filled")).distinct()
+
+
+def q_stop_order(spark, d):
+    """W1 with stop orders honoured: tasks that have one stop first."""
+    x = _lines(spark, d).withColumn("stop_order", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")))
+    x = order_tasks(x, ["l_orderkey"], LINE_ORDER, honor_stop_order=True)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "start_rank", "stop_rank")
+
+
+def q_spec_timeline(spark, d):
+    from fleetlens.operators.specs import spec_timeline
+    x = spec_timeline(_spec_tasks(spark, d), honor_stop_order=True)
+    return x.select("run", "task", "start_rank", "stop_rank", "start_at", "ready_at", "stop_at")
+
+
+QUERIES.update({"reconcile_full": q_reconcile_full, "spec_rejects": q_spec_rejects, "collected_status": q_collected_status,
+                "file_catalog": q_file_catalog, "stop_order": q_stop_order, "spec_timeline": q_spec_timeline})

@@ -7,7 +7,8 @@ where the Spark side uses aggregates, joins and generated grids.
 
 import re
 
-from fleetlens.fixed import (CAPTURE_TYPE, LOCAL_RUNNER, REMOTE_RUNNER, TRANSMIT_TYPE,
+from fleetlens.fixed import (CAPTURE_TYPE, LOCAL_RUNNER, PROBE_WAIT_LOCAL_S,
+                             PROBE_WAIT_REMOTE_S, REMOTE_RUNNER, TRANSMIT_TYPE,
                              URI_SCHEME)
 
 LINE_ORDER_SQL = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
@@ -27,7 +28,8 @@ URL_PARTS = f"""
   FROM pages"""
 PATH_PARTS = f"""
   SELECT page_id, origin, path,
-         CASE WHEN strpos(path, '/') > 0 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '' END AS parent,
+         CASE WHEN strpos(path, '/') = 0 THEN '.' WHEN regexp_matches(path, '^/[^/]*$') THEN '/'
+              ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS parent,
          regexp_extract(path, '[^/]*$') AS basename
   FROM ({URL_PARTS}) u"""
 
@@ -156,7 +158,7 @@ PERIODIC_STATS = """
 SELECT date_trunc('hour', ts) AS window_start,
        date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
        event_type, COUNT(*) AS n,
-       CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS sum_value,
+       SUM(CAST(value AS DECIMAL(28,6))) AS sum_value,
        MIN(value) AS min_value, MAX(value) AS max_value,
        arg_min(value, (ts, event_id)) AS first_value,
        arg_max(value, (ts, event_id)) AS last_value
@@ -439,3 +441,84 @@ ORACLE.update({
     "decode_run": SWEEP_GRID,
     "write_new": "SELECT * FROM events",
 })
+
+# ---- the artifact chain, rejects and the catalog ---------------------------
+
+RECONCILE_FULL = """
+WITH f AS (SELECT DISTINCT '/src/p' || p_partkey AS path FROM part WHERE p_partkey % 5 > 0),
+x AS (SELECT l.*, 'out/' || (l_orderkey * 7 + l_suppkey % 3) AS destination,
+             CASE WHEN l_quantity < 3 THEN 'not_started' WHEN l_quantity < 5 THEN 'not_stopped'
+                  WHEN l_quantity < 7 THEN 'no_destination' END AS precheck,
+             f.path IS NOT NULL AS here, l_tax < 0.07 AS ok
+      FROM lineitem l LEFT JOIN f ON f.path = '/src/p' || l_partkey),
+t AS (SELECT *, COALESCE(bool_or(precheck IS NULL AND here AND ok) OVER (
+             PARTITION BY l_returnflag, destination
+             ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+                      l_linestatus, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS taken FROM x)
+SELECT l_returnflag AS run, l_orderkey AS task, l_linenumber, l_partkey, l_suppkey, destination,
+       CASE WHEN precheck IS NOT NULL THEN precheck WHEN NOT here THEN 'missing' WHEN taken THEN 'conflict'
+            WHEN NOT ok THEN 'error' ELSE 'collected' END AS status
+FROM t
+"""
+
+SPEC_REJECTS = f"""
+SELECT run, NULL::VARCHAR AS task, CASE WHEN event_id % 11 = 1 THEN 'invalid_json' ELSE 'no_tasks' END AS reason,
+       NULL::VARCHAR AS warning
+FROM ({SPEC_EVENTS}) s WHERE event_id % 11 IN (1, 2)
+UNION ALL
+SELECT run, '1', NULL, NULL FROM ({SPEC_EVENTS}) s WHERE event_id % 11 NOT IN (1, 2)
+UNION ALL
+SELECT run, '2', CASE WHEN event_id % 11 = 3 THEN 'unknown_type:unknown' END,
+       CASE WHEN event_id % 11 = 3 THEN NULL WHEN event_id % 11 = 4 THEN 'no_subcommand:null'
+            WHEN role NOT IN ('snd', 'rcv') THEN 'no_subcommand:' || role END
+FROM ({SPEC_EVENTS}) s WHERE event_id % 11 NOT IN (1, 2)
+"""
+
+COLLECTED_STATUS = f"""
+SELECT a.run, a.task, a.role, a.path, a.destination,
+       CASE WHEN a.role = 'trace' AND e.event_id % 4 > 0 OR a.role = 'stats' AND e.event_id % 3 > 0
+            THEN 'collected' ELSE 'missing' END AS status
+FROM ({SPEC_ARTIFACTS}) a JOIN ({SPEC_EVENTS}) e ON e.run = a.run
+WHERE e.event_id % 11 NOT IN (1, 2) AND NOT (e.event_id % 11 = 3 AND a.task = '2')
+"""
+
+STOP_ORDER = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+         l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS start_rank,
+       ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 3 = 0, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END,
+         l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC,
+         l_tax DESC, l_returnflag DESC, l_linestatus DESC, l_shipdate DESC) AS stop_rank
+FROM lineitem
+"""
+
+SPEC_TIMELINE = f"""
+WITH c AS (SELECT run, CASE WHEN remote THEN {PROBE_WAIT_REMOTE_S} ELSE {PROBE_WAIT_LOCAL_S} END AS probe,
+                  CAST(floor(value) AS BIGINT) AS stop_after FROM ({SPEC_EVENTS}) s)
+SELECT run, '1' AS task, 1::BIGINT AS start_rank, 2::BIGINT AS stop_rank, 0::BIGINT AS start_at,
+       {PROBE_WAIT_LOCAL_S}::BIGINT AS ready_at, ({PROBE_WAIT_LOCAL_S} + probe + stop_after)::BIGINT AS stop_at FROM c
+UNION ALL
+SELECT run, '2', 2, 1, {PROBE_WAIT_LOCAL_S}, {PROBE_WAIT_LOCAL_S} + probe, {PROBE_WAIT_LOCAL_S} + probe + stop_after FROM c
+"""
+
+ORACLE.update({
+    "reconcile_full": RECONCILE_FULL, "spec_rejects": SPEC_REJECTS, "collected_status": COLLECTED_STATUS,
+    "file_catalog": "SELECT DISTINCT 'event_type=' || event_type || '/unit=' || (user_id % 4) AS dir, true AS filled FROM events",
+    "stop_order": STOP_ORDER, "spec_timeline": SPEC_TIMELINE,
+    "read_stats": """SELECT 'run of ' || event_type AS run, 'u' || (user_id % 4) AS origin, event_id, ts, user_id, value,
+                            CASE WHEN event_type <> 'click' THEN props END AS props FROM events""",
+})
+
+FLATTEN_EFFECTS = f"""
+WITH p AS (SELECT page_id, origin || parent AS dir, basename AS file FROM ({PATH_PARTS}) p),
+f AS (SELECT * FROM p UNION ALL SELECT page_id, regexp_replace(dir, '/(en|fr)$', ''), file FROM p WHERE page_id % 4 = 0),
+m AS (SELECT *, CASE WHEN strpos(dir, '/en') > 0 THEN '/en' WHEN strpos(dir, '/fr') > 0 THEN '/fr' END AS sub FROM f),
+j AS (SELECT dir, CASE WHEN dir LIKE '%/' OR dir = '' THEN dir || file ELSE dir || '/' || file END AS src, sub,
+             substr(dir, 1, strpos(dir, sub) - 1) || substr(dir, strpos(dir, sub) + length(sub)) AS to_dir, file FROM m),
+k AS (SELECT *, CASE WHEN to_dir LIKE '%/' OR to_dir = '' THEN to_dir || file ELSE to_dir || '/' || file END AS dst FROM j)
+SELECT 'emptied' AS what, dir AS path FROM k GROUP BY dir HAVING bool_and(sub IS NOT NULL)
+UNION ALL
+SELECT DISTINCT 'replaced', src FROM k WHERE sub IS NULL AND src IN (SELECT dst FROM k WHERE sub IS NOT NULL)
+  AND src NOT IN (SELECT src FROM k WHERE sub IS NOT NULL)
+"""
+ORACLE["flatten_effects"] = FLATTEN_EFFECTS

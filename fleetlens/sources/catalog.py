@@ -5,7 +5,7 @@ collected tree is listed once, as a table, which ``operators.reconcile`` joins
 against.  The ``binaryFile`` source lists files in parallel; selecting only
 metadata columns prunes ``content`` from the read schema, so no bytes are
 read.  For trees with very many files, listing on the driver is the limit:
-pass a prebuilt listing table (same columns) instead.
+use a prebuilt listing table (``from_listing``) instead.
 
 Spark's recursive listing skips names starting with ``_`` or ``.``, and run
 folders are commonly named ``_<param><value>...``: give ``depth`` (files that
@@ -20,6 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlens.session import local_path
 
 
+def from_listing(listing: DataFrame, path: str = "path", length: str | None = None, mtime: str | None = None) -> DataFrame:
+    """A catalog from a prebuilt listing table (one row per file), for trees too large to list from the driver."""
+    given = lambda c, t: F.col(c).cast(t) if c else F.lit(None).cast(t)
+    return listing.select(F.col(path).alias("path"), F.regexp_replace(F.col(path), r"^file:", "").alias("local_path"),
+                          given(length, "bigint").alias("length"), given(mtime, "timestamp").alias("mtime"))
+
+
 def file_catalog(spark: SparkSession, root: str, glob: str | None = None,
                  depth: int | None = None) -> DataFrame:
     r = spark.read.format("binaryFile")

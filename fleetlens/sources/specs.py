@@ -46,20 +46,41 @@ TASK_WITH_KEYS = StructType(TASK.fields + [
     StructField("obj_config_keys", ArrayType(S)), StructField("runner_config_keys", ArrayType(S))])
 
 
+CORRUPT = "_corrupt_record"
+
+
+def decoded(path):
+    """A file's path from its URL form."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _empty_files(spark: SparkSession, glob: str) -> list[str]:
+    """Files of length 0, which Spark's sources skip (from the listing; only their names come here)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [f.getPath().toString() for f in found if f.isFile() and f.getLen() == 0]
+
+
 def read_specs(spark: SparkSession, glob: str, json_lines: bool = False) -> DataFrame:
     """``run``, ``collect_results_path``, ``stop_after``,
     ``ignore_stop_order``, ``tasks`` (ordered map of task structs, each with
-    ``obj_config_keys`` / ``runner_config_keys``), ``malformed``.
+    ``obj_config_keys`` / ``runner_config_keys``), ``malformed``, ``error``.
 
-    One spec per file (``run`` = file path), or with ``json_lines`` one spec
+    One spec per file (``run`` = decoded file path), or with ``json_lines`` one spec
     per line, which splits large spec sets across tasks (``run`` = the spec's
-    results path, which names its run)."""
+    results path, which names its run; of a line without one, a hash of the line).
+    Every file and line gives a row: ``error`` is ``empty``, ``invalid_json`` or ``no_tasks`` for
+    those that hold no tasks (``operators.specs.spec_rejects``)."""
     if json_lines:
-        raw = spark.read.text(glob).select(F.lit(None).cast("string").alias("run"), "value")
+        named = F.regexp_extract("value", r'"collect_results_path"\s*:\s*"([^"]*)"', 1)
+        raw = spark.read.text(glob).select(
+            F.when(named != "", named).otherwise(F.concat(F.lit("line:"), F.md5("value"))).alias("run"), "value")
     else:
         raw = (spark.read.text(glob, wholetext=True)
-                    .select(F.col("_metadata.file_path").alias("run"), "value"))
-    p = raw.select("run", F.from_json("value", SPEC).alias("s"),
+                    .select(decoded(F.col("_metadata.file_path")).alias("run"), "value"))
+        raw = raw.unionByName(spark.createDataFrame([(p, "") for p in _empty_files(spark, glob)], "run string, value string"))
+    typed = StructType(SPEC.fields + [StructField(CORRUPT, S)])
+    p = raw.select("run", "value", F.from_json("value", typed, {"columnNameOfCorruptRecord": CORRUPT}).alias("s"),
                    F.from_json("value", SPEC_KEYS).alias("k"))
     keyed = F.transform_values(
         F.col("s.tasks"),
@@ -67,9 +88,9 @@ def read_specs(spark: SparkSession, glob: str, json_lines: bool = False) -> Data
                                  F.map_keys(F.element_at(F.col("k.tasks"), k)["obj_config"]))
                       .withField("runner_config_keys",
                                  F.map_keys(F.element_at(F.col("k.tasks"), k)["runner_config"])))
-    return p.select(F.coalesce(F.col("run"), F.col("s.collect_results_path")).alias("run"),
-                    F.col("s.collect_results_path").alias("collect_results_path"),
+    error = F.when(F.trim("value") == "", "empty").when(F.col("s").isNull() | F.col(f"s.{CORRUPT}").isNotNull(), "invalid_json") \
+             .when(F.coalesce(F.size("s.tasks"), F.lit(0)) <= 0, "no_tasks")
+    return p.select("run", F.col("s.collect_results_path").alias("collect_results_path"),
                     F.col("s.stop_after").alias("stop_after"),
                     F.col("s.ignore_stop_order").alias("ignore_stop_order"),
-                    keyed.alias("tasks"),
-                    F.col("s").isNull().alias("malformed"))
+                    F.when(error.isNull(), keyed).alias("tasks"), error.isNotNull().alias("malformed"), error.alias("error"))

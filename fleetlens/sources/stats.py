@@ -5,8 +5,9 @@ lineage ``run``, ``origin`` and ``file`` parsed from the collected layout
 ``<root>/<run>/<origin>/<file>`` (``depth=2``; a flattened tree
 ``<root>/<run>/<file>`` is ``depth=1``; a ``name=value`` folder also works).
 The CSV columns are not fixed anywhere, so the reader is schema-agnostic:
-header on, schema given or inferred.  Files of one kind (one glob) share a
-header; kinds with different headers are merged by column name.
+header on, schema given or inferred.  Files are grouped by their header line and each
+group is one scan, merged by column name: files of one run may have other
+columns, or the same in another order.
 
 Run folders are commonly named ``_<param><value>...``; Spark's directory
 listing skips names starting with ``_``, so the reader globs straight to the
@@ -15,33 +16,64 @@ leaf files, which globbing does not filter.
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from fleetlens.sources.specs import decoded
 
-def _lineage(root: str, depth: int) -> list:
-    base = root.rstrip("/").replace("file:", "")
-    rel = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^file:", ""),
-                           "^" + base.replace(".", r"\.") + "/", "")
-    seg = lambda i: F.regexp_replace(F.split(rel, "/").getItem(i), "^[^=/]*=", "")
-    origin = seg(1) if depth >= 2 else F.lit(None).cast("string")
-    return [seg(0).alias("run"), origin.alias("origin"),
-            F.substring_index(rel, "/", -1).alias("file")]
+MAX_HEADERS = 1000  # kinds of files, each a scan of its own
+
+
+def _lineage(depth: int) -> list:
+    """Counted from the file's end of the path, so the root may be written in any way."""
+    parts = F.split(decoded(F.col("_metadata.file_path")), "/")
+    seg = lambda i: F.regexp_replace(F.element_at(parts, -i), "^[^=/]*=", "")
+    origin = seg(2) if depth >= 2 else F.lit(None).cast("string")
+    return [seg(depth + 1).alias("run"), origin.alias("origin"), F.element_at(parts, -1).alias("file")]
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
+    """Header line and files of each kind, from the first line of each file."""
+    lines = spark.read.option("recursiveFileLookup", True).text(paths)
+    first = lines.select("value", F.monotonically_increasing_id().alias("at"), decoded(F.col("_metadata.file_path")).alias("path")) \
+        .where(F.col("_metadata.file_block_start") == 0).groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    kinds = first.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy("header").limit(MAX_HEADERS + 1).collect()
+    if len(kinds) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different header lines")
+    return [(r["header"], r["paths"]) for r in kinds]
 
 
 def read_stats(spark: SparkSession, root: str, globs=("*.csv",), schema=None,
                depth: int = 2, **options) -> DataFrame:
-    """One read per glob (file-name pattern), unioned by column name;
-    ``options`` go to the CSV reader (formats, separators, ...)."""
-    parts = []
+    """``run``, ``origin``, ``file`` and the columns, by name.  With ``schema`` (a DDL string or a
+    StructType) its columns with its types, null where a file lacks one; ``options`` go to the CSV
+    reader (formats, separators, ...)."""
     levels = "/".join(["*"] * depth)
-    for g in globs:
-        # leaf files are matched by the glob itself; recursive lookup keeps
-        # name=value folders from being read as partition columns
-        r = (spark.read.option("header", True).option("recursiveFileLookup", True)
+    wanted = None
+    if schema is not None:
+        wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    parts = []
+    for header, paths in _headers(spark, [f"{root.rstrip('/')}/{levels}/{g}" for g in globs]):
+        # recursive lookup keeps name=value folders from being read as partition columns
+        r = (spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
                   .options(**options))
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        df = r.csv(f"{root.rstrip('/')}/{levels}/{g}")
-        parts.append(df.select(*_lineage(root, depth), *[F.col(f"`{c}`") for c in df.columns]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        if wanted is None:
+            r = r.option("inferSchema", True)
+        else:
+            names = next(csv.reader([header], delimiter=options.get("sep", ",")))
+            types = {f.name: f.dataType for f in wanted}
+            r = r.schema(StructType([StructField(n, types.get(n, StringType())) for n in names]))
+        df = r.csv([re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in paths])
+        cols = df.columns if wanted is None else [f.name for f in wanted if f.name in df.columns]
+        parts.append(df.select(*_lineage(depth), *[F.col(f"`{c}`") for c in cols]))
+    if not parts:
+        raise ValueError(f"no statistics files under {root}")
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if wanted is not None:
+        have = set(out.columns)
+        out = out.select("run", "origin", "file", *[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
+    return out
