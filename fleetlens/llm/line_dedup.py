@@ -111,7 +111,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
         *slim.schema.fields[:3], T.StructField("line", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("l", T.LongType())])))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "x", "y", "line")
     first = units.groupBy("h", "l").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    first = first.select("h", "l", "first.x", "first.y", "first.line").toDF("h", "l", "fx", "fy", "fline")
+    # kept apart, so that both sides of the join are dealt out for it and a common line's rows can be split
+    first = saved(first.select("h", "l", "first.x", "first.y", "first.line").toDF("h", "l", "fx", "fy", "fline"))
     later = (F.col("x") != F.col("fx")) | (F.col("y") != F.col("fy")) | (F.col("line") != F.col("fline"))
     repeats = units.join(first, ["h", "l"]).where(later).groupBy("x", "y").agg(F.collect_set("line").alias(lines))
     once = marked.groupBy(x, y).agg(*[F.first(c).alias(c) for c in docs.columns], F.count(F.lit(1)).alias(n))
