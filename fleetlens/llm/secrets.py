@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import add, unused
+from .frames import add, saved, unused
 
 
 class Rule(NamedTuple):
@@ -111,7 +111,8 @@ def report(docs: DataFrame, text: str, findings: DataFrame, keep: list[str] | No
     """``docs`` (or the columns ``keep``) with ``blob`` and ``found`` (array of start, rule, end, kind)."""
     b, = unused(docs, "blob")
     paths = docs.withColumn(b, address(docs[text])).select(*(docs.columns if keep is None else keep), b)
-    rows = by_blob(findings).select(F.col("blob").alias(b), F.col("found").alias(b + "found"))
+    # kept apart, so that both sides of the join are dealt out for it and a common blob's paths can be split
+    rows = saved(by_blob(findings)).select(F.col("blob").alias(b), F.col("found").alias(b + "found"))
     out = paths.join(rows, b, "left")
     none = F.array().cast(rows.schema[b + "found"].dataType)
     return add(out, blob=out[b], found=F.coalesce(out[b + "found"], none)).drop(b, b + "found")
