@@ -90,14 +90,15 @@ def resolve(records: DataFrame, url: str = "url", time: str = "ts", status: str
     within = Window.partitionBy("page", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     asof = slim.withColumn("local", F.last(seen, ignorenulls=True).over(within)).where(~F.col("full")) \
         .join(carried, ["page", "range"], "left") \
-        .select("own", F.col("validators").alias("mine"), F.coalesce("local", "carried").alias("old"))
+        .select("own", "x", "y", F.col("validators").alias("mine"), F.coalesce("local", "carried").alias("old"))
     mine, old = F.col("mine"), F.col("old")
     same = (mine["etag"].isNull() | mine["etag"].eqNullSafe(old["validators"]["etag"])) & \
            (mine["modified"].isNull() | mine["modified"].eqNullSafe(old["validators"]["modified"]))
     outcome = F.when(old.isNull(), "no_earlier").when(same, "resolved").otherwise("mismatch")
     asof = asof.withColumn("outcome", outcome)
     hit = F.col("outcome") == "resolved"
-    asof = asof.select("own", "outcome", F.when(hit, old["x"]).alias("rx"), F.when(hit, old["y"]).alias("ry"))
+    # one that is not resolved asks for its own row hash, which no response has: nulls would all go to one task
+    asof = asof.select("own", "outcome", F.when(hit, old["x"]).otherwise(F.col("x")).alias("rx"), F.when(hit, old["y"]).otherwise(F.col("y")).alias("ry"))
     stored = marked.where(full).select(F.col(x).alias("x"), F.col(y).alias("y"), F.struct(key, status, headers, body).alias("stored")) \
         .dropDuplicates(["x", "y"])
     out = asof.join(stored, (asof["rx"] == stored["x"]) & (asof["ry"] == stored["y"]), "left")
