@@ -224,16 +224,16 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", run: int = R
     """``pages`` (or its columns ``keep``) without the html, with ``text`` and ``n_chars``."""
     taken = {"text", "n_chars", page.lower()}
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in taken]
-    x, packed, places, u = unused(pages, "x", "packed", "places", "url")
+    x, packed, places, u, on = unused(pages, "x", "packed", "places", "url", "on")
     src = pages.select(*keep, F.col(url).cast("string").alias(u), F.col(page).cast("string").alias(page),
                        row_hash(pages.select(page, *[c for c in pages.columns if c != page]))[0].alias(x))
     rows = src.select(F.col(x).alias("x"), F.col(u).alias("url"), F.col(page).alias("html")) \
         .mapInArrow(_suffix_rows(run), "x bigint, key bigint, place int")
     repeated = rows.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("key")
-    found = rows.join(repeated, "key").groupBy("x").agg(F.collect_set("place").alias(places)).withColumnRenamed("x", "on")
+    found = rows.join(repeated, "key").groupBy("x").agg(F.collect_set("place").alias(places)).withColumnRenamed("x", on)
     fields = [f for f in src.schema.fields if f.name != page]
     parsed = src.mapInArrow(_pack(src.columns, run, page, u, packed), T.StructType([*fields, T.StructField(packed, T.BinaryType())]))
-    joined = parsed.join(found, parsed[x] == found["on"], "left").select(*keep, packed, places)
+    joined = parsed.join(found, parsed[x] == found[on], "left").select(*keep, packed, places)
     out = [*keep, "text", "n_chars"]
     result = [*[f for f in joined.schema.fields if f.name in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     return joined.mapInArrow(_unpack(joined.columns, out, packed, places, run), T.StructType(result))

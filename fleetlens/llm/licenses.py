@@ -241,16 +241,16 @@ def _keys(text: Column) -> tuple[Column, Column]:
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
     ``labels`` (arrays), ``found`` (array of start, end, label: what the rules found) and ``score``."""
-    a, b, found = unused(docs, "x", "y", "found")
+    a, b, found, fx, fy, sure = unused(docs, "x", "y", "found", "fx", "fy", "sure")
     x, y = _keys(docs[text])
     t, low = unused(docs, "text", "lower")
     own = docs.withColumns({a: x, b: y, t: F.coalesce(docs[text], F.lit("")), low: F.lower(F.coalesce(docs[text], F.lit("")))})
     own = add(own, n_words=n_words(F.col(t)), **_base(F.col(t), F.col(low)))
     own = own.select(*dict.fromkeys([*(docs.columns if keep is None else keep), "n_words", "n_base", "first_word", "last_word", "base_labels", a, b]))
-    by_text = detections(docs, text).groupBy("x", "y").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias(found), F.max("sure").alias("sure"))
-    out = own.join(by_text, (own[a] == by_text["x"]) & (own[b] == by_text["y"]), "left")
+    by_text = detections(docs, text).groupBy(F.col("x").alias(fx), F.col("y").alias(fy)).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias(found), F.max("sure").alias(sure))
+    out = own.join(by_text, (own[a] == by_text[fx]) & (own[b] == by_text[fy]), "left")
     listed = F.coalesce(F.col(found), F.array().cast("array<struct<start:bigint,end:bigint,label:string>>"))
     labels = F.array_sort(F.array_union("base_labels", F.transform(listed, lambda d: d["label"])))
-    score = F.greatest(F.coalesce(F.col("sure"), F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(BASE_SCORE)).otherwise(F.lit(0.0)))
-    return add(out, labels=labels, found=listed, score=score).drop(a, b, "x", "y", "sure", found)
+    score = F.greatest(F.coalesce(F.col(sure), F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(BASE_SCORE)).otherwise(F.lit(0.0)))
+    return add(out, labels=labels, found=listed, score=score).drop(a, b, fx, fy, sure, found)

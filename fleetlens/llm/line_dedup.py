@@ -104,7 +104,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     """``docs`` with ``text`` cut, ``kept`` and ``removed`` (spans of code points in the original text;
     the kept ones, joined by line ends, are ``text``) and ``n_removed`` (words)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT.names])
-    x, y, lines, copy, n = unused(docs, "x", "y", "lines", "copy", "n")
+    x, y, rx, ry, lines, copy, n = unused(docs, "x", "y", "rx", "ry", "lines", "copy", "n")
     marked = docs.withColumns(dict(zip((x, y), row_hash(docs))))
     slim = marked.select(F.col(doc_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(text).alias("text"))
     units = saved(slim.mapInArrow(_units, T.StructType([
@@ -114,9 +114,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     # kept apart, so that both sides of the join are dealt out for it and a common line's rows can be split
     first = saved(first.select("h", "l", "first.x", "first.y", "first.line").toDF("h", "l", "fx", "fy", "fline"))
     later = (F.col("x") != F.col("fx")) | (F.col("y") != F.col("fy")) | (F.col("line") != F.col("fline"))
-    repeats = units.join(first, ["h", "l"]).where(later).groupBy("x", "y").agg(F.collect_set("line").alias(lines))
+    repeats = units.join(first, ["h", "l"]).where(later).groupBy(F.col("x").alias(rx), F.col("y").alias(ry)) \
+        .agg(F.collect_set("line").alias(lines))
     once = marked.groupBy(x, y).agg(*[F.first(c).alias(c) for c in docs.columns], F.count(F.lit(1)).alias(n))
-    joined = once.join(repeats, (once[x] == repeats["x"]) & (once[y] == repeats["y"]), "left") \
+    joined = once.join(repeats, (once[x] == repeats[rx]) & (once[y] == repeats[ry]), "left") \
         .select(*docs.columns, lines, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy))
     joined = joined.withColumn(copy, (F.col(copy) - 1).cast("int"))
     out = [*docs.columns, *RESULT.names]
