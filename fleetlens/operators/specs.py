@@ -120,12 +120,11 @@ def spec_timeline(tasks: DataFrame, honor_stop_order: bool = False) -> DataFrame
     remote) plus ``sleep_after_start``; a task is ready once its probe wait
     is over; the run lasts ``stop_after``; stops follow in stop order, each
     followed by ``sleep_after_stop``."""
-    from fleetlens.operators.ordering import order_tasks, timeline
+    from fleetlens.operators.ordering import timeline
 
     probe = probe_wait_s()
-    ranked = order_tasks(tasks, ["run"], ["pos"], honor_stop_order=honor_stop_order)
-    return timeline(ranked, ["run"], ["pos"],
+    return timeline(tasks, ["run"], ["pos"],
                     start_cost=probe + F.coalesce(F.col("sleep_after_start"), F.lit(0)).cast("bigint"),
                     stop_cost=F.coalesce(F.col("sleep_after_stop"), F.lit(0)).cast("bigint"),
                     stop_after=F.col("stop_after").cast("bigint"), ready_offset=probe,
-                    honor_stop_order=honor_stop_order)
+                    honor_stop_order=honor_stop_order, ranks=True)

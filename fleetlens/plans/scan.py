@@ -72,10 +72,13 @@ def _bucket_of(t: Column, bounds: str) -> Column:
     return (skipped + F.size(fine)).cast("bigint")
 
 
-def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``df`` + ``_sg_b`` (bucket, 0 for keys that are not hot) + ``_sg_hot``."""
+def bucketize(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS, base: DataFrame | None = None) -> DataFrame:
+    """``df`` + ``_sg_b`` (bucket, 0 for keys that are not hot) + ``_sg_hot``.
+
+    ``base``: what ``df`` was made from, with the same rows; the boundaries are taken from it, so that a scan
+    of a scan does not sample the first one's result."""
     keys, order = list(keys), list(order)
-    l, r = df.alias("_sl"), F.broadcast(boundaries(df, keys, order, hot_rows)).alias("_sr")
+    l, r = df.alias("_sl"), F.broadcast(boundaries(df if base is None else base, keys, order, hot_rows)).alias("_sr")
     j = l.join(r, _null_safe("_sl", "_sr", keys), "left")
     hot = F.col("_sr._sg_bounds").isNotNull()
     t = F.struct(*[F.col(f"_sl.{c}").alias(f"o{i}") for i, c in enumerate(order)])
