@@ -120,7 +120,9 @@ def classes(prints: DataFrame, doc_id: str = "doc_id", bits: int = BITS, segment
     roots = components(links(nodes, bits, segments))
     named = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left") \
         .select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # kept apart, so that both sides of the join are dealt out for it and a large component can be split
+    named = saved(named)
+    smallest = saved(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return saved(named.join(smallest, "root").select("fingerprint", "root", "component_id"))
 
 
