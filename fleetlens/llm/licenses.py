@@ -26,7 +26,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import add, unused
+from .frames import add, saved, unused
 
 # words of the text as it is: A-Z belong to them, and patterns ignore the case of ASCII letters
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -252,6 +252,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     own = own.select(*dict.fromkeys([*(docs.columns if keep is None else keep), "n_words", "n_base", "first_word", "last_word", "base_labels", a, b]))
     by_text = detections(docs, text).groupBy(F.col("x").alias(fx), F.col("y").alias(fy)).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias(found), F.max("sure").alias(sure))
+    by_text = saved(by_text)  # kept apart, so that both sides are dealt out for the join and a common text's rows can be split
     out = own.join(by_text, (own[a] == by_text[fx]) & (own[b] == by_text[fy]), "left")
     listed = F.coalesce(F.col(found), F.array().cast("array<struct<start:bigint,end:bigint,label:string>>"))
     labels = F.array_sort(F.array_union("base_labels", F.transform(listed, lambda d: d["label"])))
