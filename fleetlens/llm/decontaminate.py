@@ -62,14 +62,14 @@ class Block:
     """A part of the benchmark: its words' hashes and, for each gram length, sorted fingerprints."""
 
     def __init__(self, rows):
-        """rows: (name, whole item or not, text) of pieces."""
+        """rows: (name, text) of pieces."""
         self.names = sorted({r[0] for r in rows})
         number = {x: i for i, x in enumerate(self.names)}
         self.word, self.piece, self.item = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         if not rows:
             self.table = {}
             return
-        parts = list(groups(pa.array([r[2] for r in rows], pa.string()), ALNUM, True))
+        parts = list(groups(pa.array([r[1] for r in rows], pa.string()), ALNUM, True))
         self.word = np.concatenate([p.hash for p in parts])
         self.piece = np.concatenate([p.doc + p.first for p in parts])
         self.item = np.array([number[r[0]] for r in rows], np.int32)[self.piece]
@@ -143,7 +143,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLO
     out = []
     for b in range(n):
         rows = pieces.where(F.pmod("h", F.lit(n)) == b).select("name", F.array_join("w", " ").alias("t")).distinct().collect()
-        out.append(Block([(r["name"], True, r["t"]) for r in rows]))
+        out.append(Block([(r["name"], r["t"]) for r in rows]))
     return out
 
 

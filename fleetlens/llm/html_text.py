@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .frames import row_hash, unused
 
 RUN = 8  # tokens
-PAGES = 2
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
