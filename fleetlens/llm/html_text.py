@@ -1,12 +1,12 @@
 """Main text of HTML pages by runs of tokens that repeat on a host.
 
 A small parser cuts each page into blocks and notes the elements around them.  The tokens of
-the blocks outside an article element are a page's stream (all blocks, where a page has no
-article).  The streams of a host, put one after the other, make its suffix array; a run
-of ``RUN`` tokens or more that stands on distinct pages of the host is boilerplate.  Its
-tokens are removed and unique runs are kept.  The structural check that follows drops what
-markup calls a menu, header, footer, sidebar, notice, advert, form or comments even if it stands on one page only, and keeps the article's own
-blocks whole: an article that two pages carry is no boilerplate.
+the blocks outside an article element are a page's stream.  The streams of a host, put one after
+the other, make its suffix array; a run of ``RUN`` tokens or more that stands on distinct pages
+of the host is boilerplate.  Its tokens are removed and unique runs are kept, in the page's order and beside an
+article's blocks too.  The structural check that follows drops what markup calls a menu, header,
+footer, sidebar, notice, advert, form or comments even if it stands on one page only, and keeps an article's own
+blocks whole: articles share runs that are no boilerplate (figures in the README).
 
 Suffixes need to be sorted only to depth ``RUN``: two of them share that many tokens if and only if their first ``RUN`` tokens
 are equal.  So suffixes are grouped by host and first ``RUN`` tokens, which finds the
@@ -155,29 +155,27 @@ def suffixes(streams: list[list[str]], run: int) -> list[np.ndarray]:
 
 
 def _parsed(page, url, run, articles=True):
-    """Article's blocks, stream (kind, tokens of each block outside), and the suffix keys of the stream."""
+    """The blocks (kind, text) and the suffix keys of the stream outside articles."""
     found = blocks(page, articles)
-    outside = [(k, t.split(" ")) for k, t in found if k != ARTICLE]
-    tokens = [x for _, b in outside for x in b]
-    keys = suffixes([tokens], run)[0]
+    keys = suffixes([[x for k, t in found if k != ARTICLE for x in t.split(" ")]], run)[0]
     own = np.uint64(xxhash.xxh3_64_intdigest(host(url)))
     keys = (keys ^ own) * np.uint64(0x9E3779B97F4A7C15)
-    return [t for k, t in found if k == ARTICLE], outside, keys ^ (keys >> np.uint64(29))
+    return found, keys ^ (keys >> np.uint64(29))
 
 
-def main_text(article: list[str], outside: list[tuple[int, list[str]]], repeated: set[int], run: int) -> str:
+def main_text(found: list[tuple[int, str]], repeated: set[int], run: int) -> str:
     """The text that is left: tokens covered by repeated runs go, and what markup drops; an article is kept whole."""
-    n = sum(len(b) for _, b in outside)
-    covered = np.zeros(n, bool)
+    outside = [t.split(" ") if k != ARTICLE else [] for k, t in found]
+    covered = np.zeros(sum(map(len, outside)), bool)
     for p in repeated:
         covered[p:p + run] = True
     left, at = [], 0
-    for kind, tokens in outside:
-        rest = [t for i, t in enumerate(tokens) if not covered[at + i]]
+    for (kind, text), tokens in zip(found, outside):
+        rest = text if kind == ARTICLE else " ".join(t for i, t in enumerate(tokens) if not covered[at + i])
         at += len(tokens)
         if rest and kind != DROPPED:
-            left.append(" ".join(rest))
-    return "\n".join(article if article else left)
+            left.append(rest)
+    return "\n".join(left)
 
 
 def _suffix_rows(run: int):
@@ -185,7 +183,7 @@ def _suffix_rows(run: int):
         for batch in batches:
             keys, rows, places = [], [], []
             for i, (page, url) in enumerate(zip(batch.column("html"), batch.column("url"))):
-                k = _parsed(page.as_py(), url.as_py(), run, articles=False)[2]
+                k = _parsed(page.as_py(), url.as_py(), run, articles=False)[1]
                 keys.append(k)
                 rows.append(np.full(len(k), i))
                 places.append(np.arange(len(k)))
@@ -199,7 +197,7 @@ def _suffix_rows(run: int):
 def _pack(names: list[str], run: int, page: str, url: str, packed: str):
     def go(batches):
         for batch in batches:
-            data = [zlib.compress(json.dumps(_parsed(p.as_py(), u.as_py(), run)[:2], ensure_ascii=False).encode(), 6)
+            data = [zlib.compress(json.dumps(_parsed(p.as_py(), u.as_py(), run)[0], ensure_ascii=False).encode(), 6)
                     for p, u in zip(batch.column(names.index(page)), batch.column(names.index(url)))]
             old = {k: batch.column(i) for i, k in enumerate(names) if k != page}
             yield pa.RecordBatch.from_arrays([*old.values(), pa.array(data, pa.binary())], names=[*old, packed])
@@ -211,8 +209,7 @@ def _unpack(names: list[str], out: list[str], packed: str, places: str, run: int
         for batch in batches:
             texts = []
             for data, p in zip(batch.column(names.index(packed)), batch.column(names.index(places))):
-                article, outside = json.loads(zlib.decompress(data.as_py()))
-                texts.append(main_text(article, outside, set(p.as_py() or ()), run))
+                texts.append(main_text(json.loads(zlib.decompress(data.as_py())), set(p.as_py() or ()), run))
             old = {k: batch.column(i) for i, k in enumerate(names)}
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([(old | new)[k] for k in out], names=out)

@@ -43,6 +43,14 @@ def test_an_article_on_two_pages_stays(spark):
     assert [got[i]["text"] for i in range(3)] == [text] * 3
 
 
+def test_unique_runs_beside_article_elements_stay(spark):
+    menu = "Home News Sport Weather Radio Television Shop Contact"
+    page = "<div>{m}</div><div><p>{i} story itself of page {i}<p>told in a plain div {i}</div><article>Card {i}</article><p>{i} end {i}</p><div>{m}</div>"
+    got = extract(spark, [(i, f"http://h/{i}", page.format(m=menu, i=i)) for i in range(3)])
+    for i in range(3):
+        assert got[i]["text"].split("\n") == [f"{i} story itself of page {i}", f"told in a plain div {i}", f"Card {i}", f"{i} end {i}"]
+
+
 def test_nulls_empty_long_broken_and_clashing(spark):
     long = "<article>" + "<p>word &amp; more</p>" * 50_000 + "</article>"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "   "), (4, "u", long), (5, "u", "<article><p>cut here <a hre"), (6, "u", "plain text < 5 & more"),
