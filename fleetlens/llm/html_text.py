@@ -44,7 +44,8 @@ TAG = re.compile(
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "head"}
+CHROME = {"nav", "footer", "aside", "menu", "dialog", "button", "select", "head"}
+FORMS = {"form", "fieldset"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt",
          "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup",
          "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody",
@@ -55,41 +56,88 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
             "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
             "p": BLOCK, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 LIMITS = {"table", "ul", "ol", "dl", "select", "div", "article", "section", "main", "nav", "aside", "footer", "header", "form", "body"}
-#: words of a class, id or role that mark what is not the article
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|navigation|nav|navbar|menu\w*|breadcrumbs?|sidebar|complementary|"
-    r"footer|masthead|contentinfo|cookies?|consent|gdpr|notices?|alert\w*|popup|modal|dialog|overlay|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|comments?|commentlist|disqus|replies|reply|search|skip)(?=$|[\s_-])", re.I)
+#: a whole class, id or role that marks what is not the article: one of these names, ...
+MARK = (r"(?:ads?|adsense|advert\w*|sponsor(?:s|ed)?|promos?|promotions?|banners?|navigation|nav|navbar|menu|menus|menubar|breadcrumbs?|sidebar|complementary|"
+        r"footer|masthead|contentinfo|cookies?|consent|gdpr|notices?|alert|alerts|alertdialog|popup|modal|dialog|overlay|newsletter|subscribe|signup|login|"
+        r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|comments?|commentlist|disqus|replies|reply|search|skip)")
+#: ... or several, with words for their place or shape (right-sidebar, no-comments and search-results are not such names)
+MARKS = re.compile(rf"(?:(?:site|page|main|global|primary|secondary|top|bottom|header)[_-]+)*{MARK}(?:[_-]+(?:{MARK}|container|wrapper|wrap|box|bar|lists?|"
+                   r"links?|buttons?|btns?|icons?|form|block|area|section|slot|units?|items?|posts|articles|stories|message|media|link|to|content|\d+))*", re.I)
 ARTICLE, OTHER, DROPPED = 0, 1, 2
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 
 
-def _marked(attrs: str) -> bool:
-    if not TELLING.search(attrs):
-        return False
-    for name, a, b, c, hidden in ATTR.findall(attrs):
-        name, value = name.lower(), a or b or c
-        if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id", "role") and MARKS.search(value):
-            return True
-    return False
-
-
-def blocks(page: str | None, articles: bool = True) -> list[tuple[int, str]]:
-    """The page's blocks in order: kind (of the article, other, or dropped by markup) and text.
+def _marked(attrs: str) -> tuple[bool, bool]:
+    """Whether the attributes hide the element, and whether they mark it."""
+    hides = marks = False
+    if TELLING.search(attrs):
+        for name, a, b, c, hidden in ATTR.findall(attrs):
+            name, value = name.lower(), a or b or c
+            if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                hides = True
+            elif name in ("class", "id", "role") and any(MARKS.fullmatch(x) for x in value.split()):
+                marks = True
+    return hides, marks
+
+
+class Elements:
+    """The elements of a page in order of their start tags, and what becomes of their blocks."""
+
+    def __init__(self):
+        self.name, self.parent, self.hard, self.soft, self.holds = [], [], [], [], []
+
+    def add(self, name: str, parent: int, attrs: str) -> int:
+        hides, marks = _marked(attrs)
+        i, root = len(self.name), name in ("html", "body")
+        self.name.append(name)
+        self.parent.append(parent)
+        self.hard.append(not root and (hides or name in CHROME))
+        self.soft.append(not root and (marks or name in FORMS))
+        self.holds.append(False)
+        if name in ("article", "main"):
+            while i >= 0 and not self.holds[i]:
+                self.holds[i] = True
+                i = self.parent[i]
+        return len(self.name) - 1
+
+    def judged(self) -> tuple[list[int], list[int], list[int]]:
+        """Each element's kind, its next undecided mark (-1: none), and for each of those the next around it.
+
+        No mark and no form drops an element that is or holds an article or main.  Elements that are chrome by
+        their name, or hidden, do unless all articles of the page stand in such.  Without an
+        article or main, marks are left to ``main_text``."""
+        n = len(self.name)
+        some, inside, chrome = any(self.holds), [False] * (n + 1), [False] * (n + 1)  # at -1: none
+        spare = True
+        for i, (name, p) in enumerate(zip(self.name, self.parent)):
+            if name == "header" and not inside[p]:
+                self.hard[i] = True
+            inside[i] = inside[p] or name == "article"
+            chrome[i] = chrome[p] or self.hard[i]
+            spare = spare and not (name in ("article", "main") and not chrome[i])
+        kind, mark, around = [OTHER] * (n + 1), [-1] * (n + 1), []
+        for i, (name, p) in enumerate(zip(self.name, self.parent)):
+            drop = self.hard[i] and not (spare and self.holds[i]) or some and self.soft[i] and not self.holds[i]
+            kind[i] = DROPPED if drop or kind[p] == DROPPED else ARTICLE if name == "article" or kind[p] == ARTICLE else OTHER
+            mark[i] = mark[p]
+            if self.soft[i] and not some and kind[i] != DROPPED:
+                mark[i] = len(around)
+                around.append(mark[p])
+        return kind, mark, around
+
+
+def blocks(page: str | None, articles: bool = True) -> tuple[list[tuple[int, str, int]], list[int]]:
+    """The page's blocks in order: kind (of the article, other, or dropped by markup), text, and the next undecided
+    mark around it (-1: none); and for each such mark the next one around that.
 
     Without ``articles``, blocks of an article are left out."""
-    page, out, parts = page or "", [], []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, in an article
+    page, raw, parts = page or "", [], []
+    elements = Elements()
+    stack: list[tuple[str, int]] = []  # name, number
 
     def end_block():
         if parts:
-            _, dropped, article = stack[-1] if stack else ("", False, False)
-            if dropped or articles or not article:
-                text = " ".join(html.unescape("".join(parts)).split())
-                if text:
-                    out.append((DROPPED if dropped else ARTICLE if article else OTHER, text))
+            raw.append(("".join(parts), stack[-1][1] if stack else -1))
             parts.clear()
 
     at = 0
@@ -128,15 +176,17 @@ def blocks(page: str | None, articles: bool = True) -> list[tuple[int, str]]:
             parts.append(" ")
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
-        _, dropped, article = stack[-1] if stack else ("", False, False)
-        if name == "header" and not article:
-            dropped = True
-        elif name in CHROME or _marked(attrs) and name not in ("html", "body"):
-            dropped = True
-        stack.append((name, dropped, article or name == "article" and not dropped))
+        stack.append((name, elements.add(name, stack[-1][1] if stack else -1, attrs)))
     parts.append(page[at:])
     end_block()
-    return out
+    kind, mark, around = elements.judged()
+    out = []
+    for text, e in raw:
+        if articles or kind[e] != ARTICLE:
+            text = " ".join(html.unescape(text).split())
+            if text:
+                out.append((kind[e], text, mark[e]))
+    return out, around
 
 
 def host(url: str | None) -> str:
@@ -155,27 +205,40 @@ def suffixes(streams: list[list[str]], run: int) -> list[np.ndarray]:
 
 
 def _parsed(page, url, run, articles=True):
-    """The blocks (kind, text) and the suffix keys of the stream outside articles."""
+    """What ``blocks`` gives, and the suffix keys of the stream outside articles."""
     found = blocks(page, articles)
-    keys = suffixes([[x for k, t in found if k != ARTICLE for x in t.split(" ")]], run)[0]
+    keys = suffixes([[x for k, t, _ in found[0] if k != ARTICLE for x in t.split(" ")]], run)[0]
     own = np.uint64(xxhash.xxh3_64_intdigest(host(url)))
     keys = (keys ^ own) * np.uint64(0x9E3779B97F4A7C15)
     return found, keys ^ (keys >> np.uint64(29))
 
 
-def main_text(found: list[tuple[int, str]], repeated: set[int], run: int) -> str:
-    """The text that is left: tokens covered by repeated runs go, and what markup drops; an article is kept whole."""
-    outside = [t.split(" ") if k != ARTICLE else [] for k, t in found]
+def main_text(found: list[tuple[int, str, int]], around: list[int], repeated: set[int], run: int) -> str:
+    """The text that is left: tokens covered by repeated runs go, and what markup drops; an article is kept whole.
+
+    A mark that no article or main has decided drops what it holds unless that is most of what is left."""
+    outside = [t.split(" ") if k != ARTICLE else [] for k, t, _ in found]
     covered = np.zeros(sum(map(len, outside)), bool)
     for p in repeated:
         covered[p:p + run] = True
-    left, at = [], 0
-    for (kind, text), tokens in zip(found, outside):
-        rest = text if kind == ARTICLE else " ".join(t for i, t in enumerate(tokens) if not covered[at + i])
+    left, at, size, total = [], 0, [0] * len(around), 0
+    for (kind, text, mark), tokens in zip(found, outside):
+        rest = tokens if kind != ARTICLE else [text]
+        if kind == OTHER:
+            rest = [t for i, t in enumerate(tokens) if not covered[at + i]]
+            total += len(rest)
+            if mark >= 0:
+                size[mark] += len(rest)
         at += len(tokens)
         if rest and kind != DROPPED:
-            left.append(rest)
-    return "\n".join(left)
+            left.append((" ".join(rest), mark))
+    for i in range(len(around) - 1, -1, -1):  # what a mark holds, with the marks inside it
+        if around[i] >= 0:
+            size[around[i]] += size[i]
+    drops = [2 * n <= total for n in size]
+    for i, p in enumerate(around):
+        drops[i] = drops[i] or p >= 0 and drops[p]
+    return "\n".join(t for t, mark in left if mark < 0 or not drops[mark])
 
 
 def _suffix_rows(run: int):
@@ -209,7 +272,7 @@ def _unpack(names: list[str], out: list[str], packed: str, places: str, run: int
         for batch in batches:
             texts = []
             for data, p in zip(batch.column(names.index(packed)), batch.column(names.index(places))):
-                texts.append(main_text(json.loads(zlib.decompress(data.as_py())), set(p.as_py() or ()), run))
+                texts.append(main_text(*json.loads(zlib.decompress(data.as_py())), set(p.as_py() or ()), run))
             old = {k: batch.column(i) for i, k in enumerate(names)}
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([(old | new)[k] for k in out], names=out)

@@ -51,6 +51,18 @@ def test_unique_runs_beside_article_elements_stay(spark):
         assert got[i]["text"].split("\n") == [f"{i} story itself of page {i}", f"told in a plain div {i}", f"Card {i}", f"{i} end {i}"]
 
 
+def test_marks_on_wrappers_do_not_drop_the_text(spark):
+    story = "<article><p>The story</p></article>"
+    pages = [f"<div class='right-sidebar'>{story}<div class=sidebar>Side</div></div>", f"<div class='has-sidebar'>{story}</div>",
+             "<article class='post no-comments'><p>The story</p><div class='comments-area'>Said</div></article>", f"<div id='search-results'>{story}</div>",
+             f"<form action=x><input>{story}<div class='ad'>Buy</div></form>", f"<div class='widget sidebar'>{story}</div>",
+             f"<div class='modal'><main><p>The story</main></div><div class='modal'>Sign up</div>", f"<div style='display:none'>{story}</div>",
+             "<form><p>The story</p><div class='ad'>Buy</div></form>", "<div class='search'><div id='notice'><p>The story</p></div></div><div class='ad'>Buy</div>",
+             f"{story}<aside><article>Card</article></aside>", f"{story}<form>Your name</form><div class='cookie-banner'>Fine</div>"]
+    got = extract(spark, [(i, f"http://h{i}/", p) for i, p in enumerate(pages)])
+    assert [got[i]["text"] for i in range(len(pages))] == ["The story"] * len(pages)
+
+
 def test_nulls_empty_long_broken_and_clashing(spark):
     long = "<article>" + "<p>word &amp; more</p>" * 50_000 + "</article>"
     rows = [(1, None, None), (2, "u", ""), (3, "u", "   "), (4, "u", long), (5, "u", "<article><p>cut here <a hre"), (6, "u", "plain text < 5 & more"),
