@@ -7,6 +7,10 @@ Repeats that stand together are removed if they have ``min_words`` words togethe
 lines is found and a short line that many texts share stays.  A first occurrence is
 never removed, so no line disappears from the corpus.  What remains keeps its offsets in the original.
 
+With ``sentences``, lines are cut further, after a sentence's end mark and white space, and the same rule holds for
+runs of sentences (across lines too): a passage that stands inside a longer line is found, but for what it shares of
+the sentences at its two ends.  As a line's sentences are repeats if the line is, every run of lines is found as well.
+
 Digests are pre-aggregated, so a very common line is one row a task; where lines
 are compared with the first ones, a common line is only a hot key of a plain join, which
 Spark splits.  The texts are shuffled once, by row.
@@ -18,6 +22,7 @@ gives no rows; extra columns are kept, and give way to result columns of the sam
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -27,6 +32,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .frames import row_hash, saved, unused
 
 MIN_WORDS = 50
+#: between sentences of a line: white space after an end mark (and a closing quote or bracket); after an ideographic one also none
+_ENDS = r"[.!?…‼⁇-⁉․‥．！？﹒﹖﹗。｡]"
+BREAK = re.compile(rf"(?:(?<={_ENDS})|(?<={_ENDS}[\"'’”)\]＂＇）］]))[^\S\n]+|(?<=[。｡])(?=\S)")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 RESULT = T.StructType([T.StructField("kept", SPAN), T.StructField("removed", SPAN), T.StructField("n_removed", T.LongType())])
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -38,30 +46,49 @@ def digest(line: str) -> int | None:
     return xxhash.xxh3_128_intdigest(" ".join(words)) if words else None
 
 
-def _units(batches):
-    """One row for each line with a word: the text's row, the line's number and digest."""
+def spans(text: str, sentences: bool) -> list[tuple[int, int]]:
+    """Start and end of the text's lines, or of the sentences of its lines, in order."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        begin = at
+        if sentences:
+            for m in BREAK.finditer(line):
+                out.append((begin, at + m.start()))
+                begin = at + m.end()
+        out.append((begin, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
+def _units(sentences: bool):
+    """One row for each unit with a word: the text's row, the unit's number and digest."""
     signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-    for batch in batches:
-        doc, number, high, low = [], [], [], []
-        for i, text in enumerate(batch.column("text")):
-            for n, line in enumerate((text.as_py() or "").split("\n")):
-                if (d := digest(line)) is not None:
-                    doc.append(i)
-                    number.append(n)
-                    high.append(signed(d >> 64))
-                    low.append(signed(d & (1 << 64) - 1))
-        rows = pa.array(doc, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c).take(rows) for c in ("id", "x", "y")] + [pa.array(number, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())],
-            names=["id", "x", "y", "line", "h", "l"])
-
-
-def cut(text: str | None, repeats: set[int], every: bool, min_words: int):
-    """The text without its runs of repeated lines, the spans kept and removed, and the words removed."""
+
+    def run(batches):
+        for batch in batches:
+            doc, number, high, low = [], [], [], []
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py() or ""
+                for n, (a, b) in enumerate(spans(text, sentences)):
+                    if (d := digest(text[a:b])) is not None:
+                        doc.append(i)
+                        number.append(n)
+                        high.append(signed(d >> 64))
+                        low.append(signed(d & (1 << 64) - 1))
+            rows = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(rows) for c in ("id", "x", "y")] + [pa.array(number, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())],
+                names=["id", "x", "y", "line", "h", "l"])
+    return run
+
+
+def cut(text: str | None, repeats: set[int], every: bool, min_words: int, sentences: bool = False):
+    """The text without its runs of repeated units, the spans kept and removed, and the words removed."""
     if text is None or not (repeats or every):
         whole = [] if not text else [{"start": 0, "end": len(text)}]
         return text, whole, [], 0
-    lines = text.split("\n")
+    places = spans(text, sentences)
+    lines = [text[a:b] for a, b in places]
     drop, run, words = set(), [], 0
     for n, line in enumerate([*lines, None]):
         size = 0 if line is None else len(line.split())
@@ -74,24 +101,22 @@ def cut(text: str | None, repeats: set[int], every: bool, min_words: int):
             run, words = [], 0
         elif run:
             run.append(n)  # a blank line inside a run
-    spans, at, removed_words = {True: [], False: []}, 0, 0
-    for n, line in enumerate(lines):
-        own, end = spans[n in drop], at + len(line)
+    parts, removed_words = {True: [], False: []}, 0
+    for n, (line, (start, end)) in enumerate(zip(lines, places)):
+        own = parts[n in drop]
         if own and own[-1]["line"] == n - 1:
             own[-1] |= {"end": end, "line": n}
         else:
-            own.append({"start": at, "end": end, "line": n})
+            own.append({"start": start, "end": end, "line": n})
         removed_words += len(line.split()) if n in drop else 0
-        at = end + 1
-    rest = "\n".join(x for n, x in enumerate(lines) if n not in drop)
-    plain = {k: [{"start": s["start"], "end": s["end"]} for s in v] for k, v in spans.items()}
-    return rest, plain[False], plain[True], removed_words
+    plain = {k: [{"start": s["start"], "end": s["end"]} for s in v] for k, v in parts.items()}
+    return "\n".join(text[s["start"]:s["end"]] for s in plain[False]), plain[False], plain[True], removed_words
 
 
-def _cutter(names: list[str], text: str, out: list[str], lines: str, copy: str, min_words: int):
+def _cutter(names: list[str], text: str, out: list[str], lines: str, copy: str, min_words: int, sentences: bool):
     def run(batches):
         for batch in batches:
-            done = [cut(t.as_py(), set(r.as_py() or ()), c.as_py() > 0, min_words) for t, r, c in zip(
+            done = [cut(t.as_py(), set(r.as_py() or ()), c.as_py() > 0, min_words, sentences) for t, r, c in zip(
                 batch.column(names.index(text)), batch.column(names.index(lines)), batch.column(names.index(copy)))]
             new = {text: pa.array([d[0] for d in done], pa.string()), "kept": pa.array([d[1] for d in done], _SPAN),
                    "removed": pa.array([d[2] for d in done], _SPAN), "n_removed": pa.array([d[3] for d in done], pa.int64())}
@@ -100,14 +125,15 @@ def _cutter(names: list[str], text: str, out: list[str], lines: str, copy: str,
     return run
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+                 sentences: bool = False) -> DataFrame:
     """``docs`` with ``text`` cut, ``kept`` and ``removed`` (spans of code points in the original text;
-    the kept ones, joined by line ends, are ``text``) and ``n_removed`` (words)."""
+    the kept ones, joined by line ends, are ``text``) and ``n_removed`` (words).  Units are lines, or ``sentences``."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT.names])
     x, y, rx, ry, lines, copy, n = unused(docs, "x", "y", "rx", "ry", "lines", "copy", "n")
     marked = docs.withColumns(dict(zip((x, y), row_hash(docs))))
     slim = marked.select(F.col(doc_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(text).alias("text"))
-    units = saved(slim.mapInArrow(_units, T.StructType([
+    units = saved(slim.mapInArrow(_units(sentences), T.StructType([
         *slim.schema.fields[:3], T.StructField("line", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("l", T.LongType())])))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "x", "y", "line")
     first = units.groupBy("h", "l").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -121,5 +147,5 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
         .select(*docs.columns, lines, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy))
     joined = joined.withColumn(copy, (F.col(copy) - 1).cast("int"))
     out = [*docs.columns, *RESULT.names]
-    return joined.mapInArrow(_cutter(joined.columns, text, out, lines, copy, min_words),
+    return joined.mapInArrow(_cutter(joined.columns, text, out, lines, copy, min_words, sentences),
                              T.StructType([*docs.schema.fields, *RESULT.fields]))

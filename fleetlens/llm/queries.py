@@ -96,6 +96,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeats(docs).select("doc_id", "text", "kept", "removed", "n_removed")
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeats(docs, sentences=True).select("doc_id", "text", "kept", "removed", "n_removed")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = saved(quality.measures(table(spark, sf_dir, "documents"), keep=["doc_id"]))
     out = quality.judged(measured, quality.posteriors(measured))
@@ -104,4 +109,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_mix_sources, op3_simhash, op4_main_text, op5_licenses, op6_secrets, op7_revisits, op8_place_shards, op9_line_dedup, op10_quality)}
+    op1_decontaminate, op2_mix_sources, op3_simhash, op4_main_text, op5_licenses, op6_secrets, op7_revisits, op8_place_shards, op9_line_dedup, op9_passage_dedup,
+    op10_quality)}

@@ -14,6 +14,27 @@ def test_equals_brute_force(spark):
     assert any(r["n_removed"] for r in got)
 
 
+def test_passages_inside_lines(spark):
+    passage = " ".join(f"Word{i} and word{i} again number {i}." for i in range(10))  # 60 words, 10 sentences
+    rows = [(1, f"An opening of its own. {passage} An end of its own."), (2, f"Another opening! {passage} Another end?\nA line more."),
+            (3, f"{passage[:passage.index('Word4')]}stays as it is short."), (4, f"Head.\nJoined {passage}\nTail.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeats(docs, sentences=True).collect()}
+    assert [got[i]["text"] for i in (1, 3)] == [rows[0][1], rows[2][1]]
+    assert got[2]["text"] == "Another opening!\nAnother end?\nA line more." and got[2]["n_removed"] == 60
+    assert got[4]["text"] == "Head.\nJoined Word0 and word0 again number 0.\nTail." and got[4]["n_removed"] == 54
+    for i, text in rows:
+        assert "\n".join(text[s["start"]:s["end"]] for s in got[i]["kept"]) == got[i]["text"]
+
+
+def test_registered_passages_hold_the_lines_found(spark, sf):
+    whole = dict(sf("documents", "doc_id", "text"))
+    lines = {r["doc_id"]: r["n_removed"] for r in queries.op9_line_dedup(spark, sf.dir).collect()}
+    got = queries.op9_passage_dedup(spark, sf.dir).collect()
+    assert all(r["n_removed"] >= lines[r["doc_id"]] for r in got) and sum(r["n_removed"] for r in got) > sum(lines.values())
+    assert all("\n".join(whole[r["doc_id"]][s["start"]:s["end"]] for s in r["kept"]) == r["text"] for r in got)
+
+
 def test_nulls_clashes_and_equal_rows(spark):
     docs = documents(spark)
     got = line_dedup.drop_repeats(docs, min_words=1)
