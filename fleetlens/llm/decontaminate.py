@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .frames import lower_ascii, saved
+from .frames import hash52, lower_ascii, saved
 from .words import ALNUM, covered, grams, groups, lists
 
 WINDOW = 10
@@ -129,20 +129,19 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLO
     items = benchmark.select(F.coalesce(benchmark[item_id].cast("string"), F.lit("null")).alias("name"), words.alias("w"))
     items = items.where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW, F.lit(0)), F.lit(step))
-    pieces = items.select("name", F.col("w"), F.posexplode(starts).alias("i", "at")) \
-        .select("name", F.slice("w", F.col("at") + 1, F.lit(step + WINDOW - 1)).alias("w"),
-                F.xxhash64("name", "i", F.size("w")).alias("h"))
+    # copies go before blocks are sized, and pieces are dealt by name and text, so any two can be parted
+    pieces = items.select("name", F.col("w"), F.explode(starts).alias("at")) \
+        .select("name", F.array_join(F.slice("w", F.col("at") + 1, F.lit(step + WINDOW - 1)), " ").alias("t")).distinct()
+    pieces = saved(pieces.select("name", "t", hash52(F.col("name"), F.col("t")).alias("h"), F.size(F.split("t", " ")).alias("n")))
     n, most = 1, None
-    while most is None or most > block_words:  # more blocks until the largest keeps the bound
-        sizes = pieces.groupBy(F.pmod("h", F.lit(n)).alias("b")).agg(F.sum(F.size("w")).alias("n"))
-        most = sizes.agg(F.max("n")).first()[0] or 0
+    while most is None or most > block_words:  # more blocks until the largest keeps the bound (or is one piece)
+        sizes = pieces.groupBy(F.pmod("h", F.lit(n)).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pieces"))
+        most = sizes.where("pieces > 1").agg(F.max("n")).first()[0] or 0
         if most > block_words:
             n = max(2 * n, -(-most * n // block_words))
-            if n > 1 << 20:
-                raise ValueError("too many equal benchmark items for a block")
     out = []
     for b in range(n):
-        rows = pieces.where(F.pmod("h", F.lit(n)) == b).select("name", F.array_join("w", " ").alias("t")).distinct().collect()
+        rows = pieces.where(F.pmod("h", F.lit(n)) == b).select("name", "t").collect()
         out.append(Block([(r["name"], r["t"]) for r in rows]))
     return out
 

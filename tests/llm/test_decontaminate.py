@@ -33,6 +33,20 @@ def test_random_texts_with_few_words(spark):
     assert ordered(digest(got.collect())) == ordered(brute.contamination(docs, items))
 
 
+def test_many_copies_and_items_without_an_id(spark):
+    def text(name):
+        return " ".join(f"{name}w{i}" for i in range(30))
+
+    items = [(1, text("copy"))] * 200 + [(None, text(f"n{i}")) for i in range(100)] + [(i, text("equal")) for i in range(2, 60)]
+    docs = [(1, "a " + text("copy") + " b"), (2, text("n7") + " " + text("n93")), (3, text("equal")), (4, "none")]
+    rows = spark.createDataFrame(items, "item_id bigint, text string")
+    parts = decontaminate.blocks(rows, "item_id", "text", block_words=1500)
+    assert len(parts) > 1 and max(len(p.word) for p in parts) <= 1500
+    assert sum(len(p.word) for p in decontaminate.blocks(rows.where("item_id = 1"), "item_id", "text", block_words=1500)) == 30
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), rows, block_words=1500)
+    assert ordered(digest(got.collect())) == ordered(brute.contamination(docs, items))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     docs = documents(spark)
