@@ -21,7 +21,8 @@ earliest waiting row or open deadline).  At the end of a finite stream the rows
 last ``lateness`` still wait.
 
 State holds the flags, the open items and the waiting rows (Arrow bytes): what came within the lateness
-and one micro-batch, so give file sources a limit per trigger.  State never
+and one micro-batch, so give file sources a limit per trigger if files come in the order of time (else
+rows behind the watermark are lost).  State never
 expires while a task runs; with ``ttl_s``, that of a task that was started and stopped is
 dropped so long after its last event (a later event finds an unknown task).
 """
