@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -15,6 +18,11 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names for intermediate values that clash with no column of ``df``."""
     have, out = {c.lower() for c in df.columns}, []
@@ -47,6 +55,23 @@ def apart(df: DataFrame, *names: str):
     return df.withColumnsRenamed(other), restored
 
 
+def any_names(operator):
+    """An operator (frame first, frame out) that stands columns of any name: odd ones (``a.b``) have plain ones on the way."""
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **named):
+        odd = [c for c in df.columns if not re.fullmatch(r"\w+", c)]
+        if not odd:
+            return operator(df, *args, **named)
+        plain = dict(zip(odd, unused(df, *[f"own_{i}" for i in range(len(odd))])))
+
+        def renamed(x):
+            return plain.get(x, x) if isinstance(x, str) else [renamed(c) for c in x] if isinstance(x, list) else x
+
+        out = operator(df.withColumnsRenamed(plain), *map(renamed, args), **{k: renamed(x) for k, x in named.items()})
+        return out.withColumnsRenamed({p: c for c, p in plain.items()})
+    return run
+
+
 def hash52(*parts: Column) -> Column:
     """52 bits of the md5 of the parts (as strings, joined by ``:``; null as ``''``), as a long."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

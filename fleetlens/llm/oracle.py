@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, warc
+from . import collocations, mixing, sharding, warc
 
 
 def _hash52(text: str) -> str:
@@ -81,4 +81,77 @@ SELECT page_id * 3 + visit AS record_id, page_id, url, ts::BIGINT AS ts,
 FROM o"""
 
 
-LLM_ORACLE = {"op2_mix_sources": _mix(), "op7_revisits": _revisits(), "op8_place_shards": _place()}
+def _merkle() -> str:
+    def field(c):
+        return f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    # CRC-32 of the decimal id, byte by byte and bit by bit
+    byte = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)"
+    crc = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+           f"lambda a, b: {byte}), 4294967295)")
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tree = """{nodes}(tree, grp, level, pos, n, hash) AS (
+  SELECT * FROM {leaves}
+  UNION ALL
+  SELECT tree, grp, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM {nodes}
+  WHERE n > 1 GROUP BY tree, grp, level, pos // 8, n)"""
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, {leaf('text')} AS leaf, {leaf(f"CASE WHEN {crc} % 3 = 0 THEN {lower} ELSE text END")} AS claimed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM docs),
+bottom AS (SELECT 0 AS tree, grp, 0 AS level, pos, n, leaf AS hash FROM placed),
+{tree.format(nodes="nodes", leaves="bottom")},
+subroots AS (SELECT 1 AS tree, grp AS of, level AS height, '' AS grp, 0 AS level, row_number() OVER (ORDER BY grp) - 1 AS pos,
+                    count(*) OVER () AS n, hash FROM nodes WHERE n = 1),
+ends AS (SELECT tree, grp, level, pos, n, hash FROM subroots),
+{tree.format(nodes="upper", leaves="ends")},
+runs AS (SELECT tree, grp, level, pos // 8 AS run, list(hash ORDER BY pos) AS h
+         FROM (SELECT * FROM nodes WHERE n > 1 UNION ALL SELECT * FROM upper WHERE n > 1) GROUP BY tree, grp, level, pos // 8),
+-- a place is (tree, grp, level, pos); at the top of a group's tree it becomes the subroot's in the upper one
+climb AS (
+  SELECT doc_id, leaf, grp AS own, 0 AS tree, grp, 0 AS level, pos, n, claimed AS fold, '' AS proof, row_number() OVER () AS id FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.own,
+         CASE WHEN c.n = 1 THEN 1 ELSE c.tree END, CASE WHEN c.n = 1 THEN '' ELSE c.grp END,
+         CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END, CASE WHEN c.n = 1 THEN s.pos ELSE c.pos // 8 END,
+         CASE WHEN c.n = 1 THEN s.n ELSE (c.n + 7) // 8 END,
+         CASE WHEN c.n = 1 THEN c.fold ELSE sha256(array_to_string(list_concat(list_concat(r.h[:c.pos % 8], [c.fold]), r.h[c.pos % 8 + 2:]), '')) END,
+         CASE WHEN c.n = 1 THEN c.proof ELSE c.proof || array_to_string(list_concat(r.h[:c.pos % 8], r.h[c.pos % 8 + 2:]), '') END, c.id
+  FROM climb c LEFT JOIN runs r ON r.tree = c.tree AND r.grp = c.grp AND r.level = c.level AND r.run = c.pos // 8
+  LEFT JOIN subroots s ON c.tree = 0 AND c.n = 1 AND s.of = c.grp
+  WHERE NOT (c.tree = 1 AND c.n = 1))
+SELECT doc_id, leaf, s.hash AS subroot, u.hash AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u.hash AS verified
+FROM climb c JOIN subroots s ON s.of = c.own CROSS JOIN (SELECT hash FROM upper WHERE n = 1) u
+WHERE c.tree = 1 AND c.n = 1"""
+
+
+def _collocations() -> str:
+    least, top = collocations.LEAST, collocations.TOP
+    lengths = range(2, collocations.LONGEST + 1)
+    grams = " UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase, {k} AS k FROM pieces"
+                               for k in (1, *lengths))
+    return f"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+grams AS ({grams}),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM grams GROUP BY lang, phrase, k),
+total AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= {least}),
+parts AS (SELECT lang, a, unnest([array_to_string(w[:k - 1], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c WHERE k > 2),
+kept AS (SELECT * FROM c ANTI JOIN parts USING (lang, phrase, a)),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(w[:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, fx.a AS l, fy.a AS r, n, (1000::HUGEINT * cuts.a * n) // (fx.a::HUGEINT * fy.a) AS score
+           FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= {top}"""
+
+
+LLM_ORACLE = {"op2_mix_sources": _mix(), "op7_revisits": _revisits(), "op8_place_shards": _place(), "op12_merkle": _merkle(),
+              "op13_collocations": _collocations()}

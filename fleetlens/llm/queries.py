@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from . import decontaminate, html_text, licenses, line_dedup, mixing, quality, secrets, sharding, simhash, warc
-from .frames import saved
+from . import bpe, collocations, decontaminate, html_text, licenses, line_dedup, merkle, mixing, quality, secrets, sharding, simhash, warc
+from .frames import lower_ascii, saved
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "quality")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, keep=["doc_id"])
+    out = bpe.decode(ids, vocabulary)
+    return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*rest, F.col("text")).alias("leaf"), merkle.leaf(*rest, tampered).alias("claimed"))
+    out = merkle.climb(merkle.build(leaves, "lang", ["doc_id"], "leaf", ["doc_id", "claimed"]), "claimed", keep=["doc_id"])
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"),
+                      F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_mix_sources, op3_simhash, op4_main_text, op5_licenses, op6_secrets, op7_revisits, op8_place_shards, op9_line_dedup, op9_passage_dedup,
-    op10_quality)}
+    op10_quality, op11_bpe, op12_merkle, op13_collocations)}

@@ -135,3 +135,77 @@ def licenses(docs):
         places = [i for i, _ in at]
         out.append((doc_id, len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))))
     return out
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def merkle(docs):
+    """docs: (doc_id, source, lang, n_chars, text); rows of op12."""
+    import zlib
+
+    def h(s):
+        return hashlib.sha256(s.encode()).hexdigest()
+
+    def leaf(values):
+        return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    def paths(level):
+        """The top node, and for each leaf its runs as (place, run), from below."""
+        own, at = [[] for _ in level], list(range(len(level)))
+        while len(level) > 1:
+            runs = [level[i:i + 8] for i in range(0, len(level), 8)]
+            for j, p in enumerate(at):
+                own[j].append((p % 8, runs[p // 8]))
+            at = [p // 8 for p in at]
+            level = [h("".join(r)) for r in runs]
+        return level[0], own
+
+    groups = {}
+    for r in docs:
+        t = r[4]
+        if t is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0:
+            t = lower(t)
+        groups.setdefault(r[2], []).append((r[0], leaf(r), leaf((*r[:4], t))))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    tops = []
+    for g in names:
+        groups[g].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        tops.append(paths([x[1] for x in groups[g]]))
+    if not names:
+        return []
+    root, above = paths([t for t, _ in tops])
+    out = []
+    for g, (sub, own), up in zip(names, tops, above):
+        for (doc_id, a, fold), path in zip(groups[g], own):
+            proof = ""
+            for i, run in path + up:
+                proof += "".join(run[:i] + run[i + 1:])
+                fold = h("".join(run[:i] + [fold] + run[i + 1:]))
+            out.append((doc_id, a, sub, root, h(proof), fold, fold == root))
+    return out
+
+
+def collocations(docs, least=100, top=2000, longest=5):
+    """docs: (text, lang); rows of op13."""
+    from collections import Counter
+    f, n = {}, Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f.setdefault(lang, Counter())[tuple(w[i:i + k])] += 1
+    out = []
+    for lang, counts in f.items():
+        cands = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        inside = {q[i:i + k] for q, a in cands.items() for k in range(2, len(q)) for i in range(len(q) - k + 1) if a >= counts[q[i:i + k]]}
+        rows = []
+        for p, a in cands.items():
+            if p not in inside:
+                score, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), " ".join(p), a, counts[p[:k]], counts[p[k:]], n[lang], score))
+        out += [(lang, i, *r[3:]) for i, r in enumerate(sorted(rows)[:top], 1)]
+    return out
