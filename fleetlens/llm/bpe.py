@@ -9,7 +9,7 @@ pre-token of n bytes about n log n, also where it is a whole document of one let
 
 A vocabulary is a file of lines ``base64 rank``.  It is read on the driver, at most ``MAX_BYTES``, and broadcast, so no executor needs
 the file.  Texts are not shuffled; each is one row, encoded in stretches of ``STRETCH`` characters
-of pre-tokens.  Pre-tokens met before come from a memo of at most ``MEMO`` entries a worker, which only saves time.
+of pre-tokens.  Pre-tokens met before come from a memo of at most twice ``MEMO`` entries a worker, which only saves time.
 
 Defined results: a null or empty text has no tokens (empty ids); bytes that are no UTF-8 count as U+FFFD; null ids
 decode to null; an unknown id is an error; equal rows give equal rows; an empty table gives no rows; extra columns are
@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, types as T
 from .frames import any_names, column
 
 MAX_BYTES = 64 << 20
-MEMO, MEMO_CHARS = 1 << 19, 64
+MEMO, MEMO_CHARS = 1 << 18, 64
 STRETCH = 1 << 16  # pre-tokens that are held at once
 
 
@@ -47,19 +48,21 @@ class RankQueue:
         self.low = [0] * ((ranks >> self.shift) + 1)
         self.bits = [1 << i for i in range(max(self.mask + 1, len(self.low)))]
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: list[None | int | list[int]] = [None] * ranks  # nothing, one place, or a heap of places
 
     def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
+        bucket = self.buckets[rank]
+        if bucket is None:
+            self.buckets[rank] = place
+            i = rank >> self.shift
+            w = self.low[i]
+            self.low[i] = w | self.bits[rank & self.mask]
+            if not w:
+                self.top |= self.bits[i]
+        elif type(bucket) is int:
+            self.buckets[rank] = [bucket, place] if bucket < place else [place, bucket]
+        else:
             heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        i = rank >> self.shift
-        w = self.low[i]
-        self.low[i] = w | self.bits[rank & self.mask]
-        if not w:
-            self.top |= self.bits[i]
 
     def pop(self) -> tuple[int, int]:
         """The least rank and its leftmost place (the queue is not empty: ``top`` is not 0)."""
@@ -68,13 +71,15 @@ class RankQueue:
         least = w & -w
         rank = i << self.shift | least.bit_length() - 1
         bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
+        if type(bucket) is not int:
+            if len(bucket) > 1:
+                return rank, heappop(bucket)
+            bucket = bucket[0]
+        self.buckets[rank] = None
         self.low[i] = w = w ^ least
         if not w:
             self.top ^= self.bits[i]
-        return rank, bucket[0]
+        return rank, bucket
 
 
 class Tokenizer:
@@ -90,6 +95,7 @@ class Tokenizer:
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(self.bytes) + 1)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -130,24 +136,31 @@ class Tokenizer:
         return out
 
     def piece(self, text: str) -> bytes:
-        ids = b"".join([i.to_bytes(4, "little") for i in self.merged(text.encode())])
+        """Ids of a pre-token that is not in the memo."""
+        ids = self.older.get(text)
+        if ids is None:
+            ids = b"".join([i.to_bytes(4, "little") for i in self.merged(text.encode())])
         if len(text) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
+            if len(self.memo) >= MEMO:  # what was not met again since the last turn is forgotten
+                self.memo, self.older = {}, self.memo
             self.memo[text] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of the text, four bytes each, little-endian."""
-        out, have, part = [], self.memo.get, []
         if len(text) <= STRETCH:
-            return b"".join([have(x) or self.piece(x) for x in self.pattern.findall(text)])
-        for m in self.pattern.finditer(text):
-            part.append(m[0])
-            if len(part) == STRETCH:
-                out.append(b"".join([have(x) or self.piece(x) for x in part]))
-                part = []
-        return b"".join(out + [have(x) or self.piece(x) for x in part])
+            return self._pieces(self.pattern.findall(text))
+        pieces = (m[0] for m in self.pattern.finditer(text))
+        return b"".join(map(self._pieces, iter(lambda: list(islice(pieces, STRETCH)), [])))
+
+    def _pieces(self, pieces: list[str]) -> bytes:
+        have = self.memo.get
+        out = list(map(have, pieces))
+        if None in out:
+            for i, x in enumerate(out):
+                if x is None:
+                    out[i] = self.memo.get(pieces[i]) or self.piece(pieces[i])
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("I")))
