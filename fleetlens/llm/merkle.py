@@ -63,10 +63,10 @@ def _name(tree: int, group: Column, level: int, pos: Column) -> Column:
     return F.concat_ws("/", F.lit(tree), F.lit(level), pos, group)
 
 
-def _levels(leaves: DataFrame, tree: int) -> tuple[DataFrame, DataFrame]:
-    """Node rows of the trees over ``grp, pos, n, hash`` (``n``: leaves of the group), and their tops (``grp, hash, node``)."""
-    nodes, tops, level = [], [], 0
-    now = leaves.select("grp", "pos", "n", "hash")
+def _levels(now: DataFrame, tree: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Node rows of the trees above ``grp, pos, n, hash`` (``n``: nodes that the group has on this level), and their tops (``grp, hash, node``)."""
+    empty = now.where("false").select(*[F.lit("").alias(c) for c in ("node", "up", "before", "after")])
+    nodes, tops = [], []
     while True:
         tops.append(now.where("n = 1").select("grp", "hash", _name(tree, F.col("grp"), level, F.col("pos")).alias("node")))
         run = F.expr(f"pos div {ARITY}")
@@ -79,19 +79,22 @@ def _levels(leaves: DataFrame, tree: int) -> tuple[DataFrame, DataFrame]:
             _name(tree, F.col("grp"), level, F.col("run") * ARITY + F.col("i")).alias("node"), "up",
             F.array_join(F.slice("of", 1, F.col("i")), "").alias("before"),
             F.array_join(F.slice("of", F.col("i") + 2, F.lit(ARITY)), "").alias("after")))
-        now = runs.select("grp", F.col("run").alias("pos"), F.expr(f"(n + {ARITY - 1}) div {ARITY}").alias("n"),
-                          digest(F.array_join("of", "")).alias("hash"))
-        level += 1
-    empty = leaves.where("false").select(*[F.lit("").alias(c) for c in ("node", "up", "before", "after")])
+        now, level = _parents(runs, F.col("of")), level + 1
     return reduce(DataFrame.union, nodes, empty), reduce(DataFrame.union, tops)
 
 
+def _parents(runs: DataFrame, hashes: Column) -> DataFrame:
+    return runs.select("grp", F.col("run").alias("pos"), F.expr(f"(n + {ARITY - 1}) div {ARITY}").alias("n"),
+                       digest(F.array_join(hashes, "")).alias("hash"))
+
+
 @dataclass
 class Manifest:
-    """``leaves``: ``grp, pos, n, hash`` and ``own`` (the columns kept); ``nodes``: ``node, up, before, after`` of every node but the root;
+    """``runs``: ``grp, run, n`` and ``of``, the run's leaves in order (``hash`` and ``own``, the columns kept);
+    ``nodes``: ``node, up, before, after`` of the nodes above them, but for the root;
     ``tops``: ``grp, subroot, node``; ``root``: its digest; ``root_node``: its name."""
 
-    leaves: DataFrame
+    runs: DataFrame
     nodes: DataFrame
     tops: DataFrame
     root: str | None
@@ -104,19 +107,22 @@ def build(df: DataFrame, group: str, order: list[str], hash: str, keep: list[str
     grp = F.coalesce(F.concat(F.lit("="), column(df, group)), F.lit(""))
     keyed = df.select(grp.alias("grp"), F.struct(*[column(df, c).alias(f"o{i}") for i, c in enumerate(order)]).alias("ord"),
                       column(df, hash).alias("hash"), F.struct(*[column(df, c) for c in keep]).alias("own"))
-    leaves = saved(_places(keyed, ["grp"], ["ord", "hash"]).drop("ord"))
-    nodes, tops = _levels(leaves, 0)
-    tops = saved(tops)
-    upper = saved(_places(tops.select(F.lit("").alias("grp"), F.col("grp").alias("of"), "hash", F.col("node").alias("under")), ["grp"], ["of"]))
-    above, top = _levels(upper, 1)
+    leaves = _places(keyed, ["grp"], ["ord", "hash"])
+    of = F.array_sort(F.collect_list(F.struct("pos", "hash", "own")), lambda x, y: (x["pos"] - y["pos"]).cast("int"))
+    runs = leaves.groupBy("grp", "n", F.expr(f"pos div {ARITY}").alias("run")).agg(of.alias("of"))
+    runs = saved(runs.select("grp", "n", "run", F.transform("of", lambda x: F.struct(x["hash"].alias("hash"), x["own"].alias("own"))).alias("of")))
+    nodes, tops = _levels(saved(_parents(runs.where("n > 1"), F.transform("of", lambda x: x["hash"]))), 0, 1)
+    lone = runs.where("n = 1").select("grp", F.col("of")[0]["hash"].alias("hash"), _name(0, F.col("grp"), 0, F.lit(0)).alias("node"))
+    upper = saved(_places(tops.union(lone).select(F.lit("").alias("grp"), F.col("grp").alias("of"), "hash", F.col("node").alias("under")), ["grp"], ["of"]))
+    above, top = _levels(upper, 1, 0)
     root = top.first()
     # a subroot is the node that its group ends in and a leaf of the upper tree: its name there is its parent's here
-    link = upper.select(F.col("under").alias("node"), _name(1, F.lit(""), 0, F.col("pos")).alias("up"), F.lit("").alias("before"), F.lit("").alias("after"))
+    name = _name(1, F.lit(""), 0, F.col("pos"))
+    link = upper.select(F.col("under").alias("node"), name.alias("up"))
     renamed = nodes.alias("n").join(link.alias("l"), F.col("n.up") == F.col("l.node"), "left") \
         .select("n.node", F.coalesce("l.up", "n.up").alias("up"), "n.before", "n.after")
-    stored = saved(renamed.union(above))
-    at = upper.select(F.col("of").alias("grp"), F.col("hash").alias("subroot"), _name(1, F.lit(""), 0, F.col("pos")).alias("node"))
-    return Manifest(leaves, stored, saved(at), root and root["hash"], root and root["node"])
+    tops = upper.select(F.col("of").alias("grp"), F.col("hash").alias("subroot"), name.alias("node"))
+    return Manifest(runs, saved(renamed.union(above)), saved(tops), root and root["hash"], root and root["node"])
 
 
 CLIMB = """
@@ -131,33 +137,36 @@ SELECT run, folds, siblings FROM climb WHERE at = :root"""
 def climb(m: Manifest, claimed: str, keep: list[str]) -> DataFrame:
     """For every leaf ``keep``, ``leaf``, ``subroot``, ``root``, ``siblings`` (the proof: digests by level, left to right, joined) and
     ``folded`` (the root that follows from the digest ``claimed``, a column of the leaves, and the proof)."""
-    spark = m.leaves.sparkSession
     keep = [c for c in keep if c.lower() not in ("leaf", "subroot", "root", "siblings", "folded")]
-    if m.root is None:
-        return m.leaves.select(*[F.col("own")[c].alias(c) for c in keep], F.col("hash").alias("leaf"), *[F.lit("").alias(c) for c in ("subroot", "root", "siblings", "folded")])
-    row = F.struct("pos", "hash", F.col("own")[claimed].alias("claimed"), "own")
-    run = _name(0, F.col("grp"), 1, F.expr(f"pos div {ARITY}"))
-    runs = saved(m.leaves.groupBy("grp", run.alias("run")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(row), lambda x, y: (x["pos"] - y["pos"]).cast("int")).alias("of")))
-    others = F.transform("of", lambda x, i: F.array_join(F.transform(F.filter("of", lambda y: y["pos"] != x["pos"]), lambda y: y["hash"]), ""))
     # the first step: a run's leaves fold with the run's others (a group of one leaf has no run: the leaf is its subroot)
-    folds = F.when(F.col("n") == 1, F.transform("of", lambda x: x["claimed"])).otherwise(F.transform("of", lambda x: digest(F.array_join(
-        F.transform("of", lambda y: F.when(y["pos"] == x["pos"], x["claimed"]).otherwise(y["hash"])), ""))))
-    ends = m.tops.select(F.col("grp").alias("g"), F.col("node").alias("subroot_node"), "subroot")
-    runs = runs.join(ends, F.col("grp") == F.col("g"))
+    folds = F.when(F.col("n") == 1, F.transform("of", lambda x: x["own"][claimed])).otherwise(F.transform("of", lambda x, i: digest(F.array_join(
+        F.transform("of", lambda y, j: F.when(i == j, x["own"][claimed]).otherwise(y["hash"])), ""))))
+    ends = m.tops.select(F.col("grp").alias("g"), F.col("node").alias("end"), "subroot")
+    run = _name(0, F.col("grp"), 1, F.col("run"))
     # a run that is its group's only one folds to the subroot at once
-    runs = saved(runs.select("run", "of", others.alias("others"), folds.alias("folds"), "subroot",
-                             F.when(F.col("n") <= ARITY, F.col("subroot_node")).otherwise(F.col("run")).alias("at")))
+    runs = m.runs.join(ends, F.col("grp") == F.col("g")).select(run.alias("run"), "of", "subroot", F.when(F.col("n") <= ARITY, F.col("end")).otherwise(run).alias("at"), folds.alias("folds"))
+    if m.root is None:
+        up = m.runs.select(F.lit("").alias("run"), F.array(F.lit("")).alias("folds"), F.lit("").alias("siblings"))
+    else:
+        up = _climbed(m, runs.select("run", "at", "folds"))
+    up = up.select(F.col("run").alias("r"), F.col("folds").alias("roots"), "siblings")
+    hashes = F.transform("of", lambda x: x["hash"])
+    each = runs.select("run", "of", "subroot").join(up, F.col("run") == F.col("r")) \
+        .select("subroot", "siblings", "roots", hashes.alias("hashes"), F.posexplode("of").alias("i", "x"))
+    others = F.array_join(F.concat(F.slice("hashes", 1, F.col("i")), F.slice("hashes", F.col("i") + 2, F.lit(ARITY))), "")
+    return each.select(*[F.col("x.own")[c].alias(c) for c in keep], F.col("x.hash").alias("leaf"), "subroot", F.lit(m.root).alias("root"),
+                       F.concat(others, "siblings").alias("siblings"), F.get("roots", F.col("i")).alias("folded"))
+
+
+def _climbed(m: Manifest, runs: DataFrame) -> DataFrame:
+    """``run, folds, siblings`` at the root."""
+    spark = runs.sparkSession
     limit = spark.conf.get("spark.sql.cteRecursionRowLimit", None)
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the climb has a row for each run and level
     try:
-        up = saved(spark.sql(CLIMB, {"root": m.root_node}, runs=runs.select("run", "at", "folds"), nodes=m.nodes))
+        return saved(spark.sql(CLIMB, {"root": m.root_node}, runs=runs, nodes=m.nodes))
     finally:
         if limit is None:
             spark.conf.unset("spark.sql.cteRecursionRowLimit")
         else:
             spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
-    up = up.select(F.col("run").alias("r"), F.col("folds").alias("roots"), "siblings")
-    each = runs.join(up, F.col("run") == F.col("r")).select(
-        "subroot", "siblings", F.explode(F.arrays_zip("of", "others", "roots")).alias("x"))
-    return each.select(*[F.col("x.of.own")[c].alias(c) for c in keep], F.col("x.of.hash").alias("leaf"), "subroot", F.lit(m.root).alias("root"),
-                       F.concat("x.others", "siblings").alias("siblings"), F.col("x.roots").alias("folded"))
