@@ -36,7 +36,7 @@ from .frames import saved
 LONGEST, LEAST, TOP = 5, 100, 2000
 BREAKS, SPACES = r"[.,;:!?\n\x0b\x0c\r]+", r"[ \t]+"
 MAX_WORDS, MAX_PHRASES = 1 << 20, 1 << 20
-GROUP = 32 << 20     # bytes of text (or of numbers) that are worked on together; one longer text is by itself
+GROUP = 8 << 20      # bytes of text (or of numbers) that are worked on together; one longer text is by itself
 BITS = 10            # a word's number is walked in symbols of so many bits
 WIDTH = 1 << BITS
 CANDIDATE = "id bigint, number int, n bigint"
