@@ -32,31 +32,41 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..plans.skew import top_n
 from ..session import shared_dir
 from .frames import saved
+from .words import LOWER
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BREAKS, SPACES = r"[.,;:!?\n\x0b\x0c\r]+", r"[ \t]+"
 MAX_WORDS, MAX_PHRASES = 1 << 20, 1 << 20
-GROUP = 8 << 20      # bytes of text (or of numbers) that are worked on together; one longer text is by itself
+GROUP = 4 << 20      # bytes of text that are worked on together, a quarter of those of numbers; one longer text is by itself
 BITS = 10            # a word's number is walked in symbols of so many bits
 WIDTH = 1 << BITS
 CANDIDATE = "id bigint, number int, n bigint"
 
 
-def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about GROUP bytes together."""
+def _slices(sizes: np.ndarray, group: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``group`` bytes together."""
     size, first = np.cumsum(sizes), 0
     while first < len(size):
-        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + GROUP, "right")))
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + group, "right")))
         yield first, last
         first = last
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """A-Z made a-z, in buffers of its own (Arrow's ``ascii_lower`` was seen to go wrong on slices far into a column)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(LOWER[data]))
+
+
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, int, int]]:
     """Group by group: the words, their rows' languages, their pieces and rows (counted in the group), and the range of rows."""
-    lang = pc.fill_null(batch.column(0).cast(pa.large_string()), "und")
-    text = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-    for first, last in _slices(pc.binary_length(text).to_numpy(zero_copy_only=False)):
-        pieces = pc.split_pattern_regex(pc.ascii_lower(text.slice(first, last - first)), BREAKS)
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    for first, last in _slices(sizes.astype(np.int64), GROUP):
+        lang, text = (batch.column(i).slice(first, last - first) for i in (0, 1))
+        lang = pc.fill_null(lang.cast(pa.large_string()), "und")
+        pieces = pc.split_pattern_regex(_lowered(text), BREAKS)
         row = pc.list_parent_indices(pieces)
         words = pc.split_pattern_regex(pieces.flatten(), SPACES)
         piece = pc.list_parent_indices(words)
@@ -64,7 +74,7 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndar
         real = pc.greater(pc.binary_length(words), 0)
         words, piece = words.filter(real), piece.filter(real)
         row = row.take(piece)
-        yield words, lang.slice(first, last - first).take(row), piece.to_numpy(), row.to_numpy(), first, last
+        yield words, lang.take(row), piece.to_numpy(), row.to_numpy(), first, last
 
 
 def _encoded(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -75,6 +85,7 @@ def _encoded(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _count_words(batches):
     """lang, word and count of each group of texts."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         for words, lang, *_ in _tokens(batch):
             w, wi = _encoded(words)
             g, gi = _encoded(lang)
@@ -92,6 +103,7 @@ def _number_words(dictionary, more: bool, last: bool):
         own = {g: (words.filter(at), np.append(numbers.filter(at).to_numpy(), 0).astype(np.int32))
                for g in pc.unique(langs).to_pylist() for at in [pc.equal(langs, g)]}
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             out = []
             for w, lang, piece, row, first, to in _tokens(batch):
                 found = np.zeros(len(w), np.int32)
@@ -120,7 +132,7 @@ def _numbers(batches) -> Iterator[np.ndarray]:
     """Numbers of many texts in a row, each text's first one 0, and a 0 at the end."""
     for batch in batches:
         rows = batch.column(0)
-        for a, b in _slices(pc.binary_length(rows).to_numpy(zero_copy_only=False)):
+        for a, b in _slices(pc.binary_length(rows).to_numpy(zero_copy_only=False).astype(np.int64), 4 * GROUP):
             whole = np.frombuffer(b"".join(rows.slice(a, b - a).to_pylist()), np.int32)
             if len(whole):
                 yield np.append(whole, np.int32(0))

@@ -1,7 +1,9 @@
 import random
+import re
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from fleetlens.llm import collocations, queries
 from nasty import documents, ordered
@@ -31,6 +33,18 @@ def test_equals_brute_force(spark, least, top, words, phrases):
     assert ordered(map(tuple, got)) == ordered(want) and len(want) > 5
 
 
+def test_groups_far_into_a_batch():
+    r = random.Random(5)
+    texts = ["".join(r.choice(["Ab", "é", "ß ", " ", "X.", "\n", "日"]) for _ in range(2000)) for _ in range(9000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    seen = 0
+    for words, lang, piece, row, first, last in collocations._tokens(batch):
+        want = [(i, w) for i, t in enumerate(texts[first:last]) for p in re.split(r"[.\n]", brute.lower(t)) for w in p.split(" ") if w]
+        assert list(zip(row.tolist(), words.to_pylist())) == want and first == seen
+        seen = last
+    assert seen == len(texts) and batch.nbytes > 5 * collocations.GROUP
+
+
 def test_nothing_frequent_and_nothing_at_all(spark):
     docs = documents(spark)
     assert ordered(map(tuple, collocations.mine(docs, least=20).collect())) == \
