@@ -13,8 +13,8 @@ infrequent words end a stretch of text like a piece's end does, and the search g
 
 What is broadcast has a bound: a dictionary has at most ``MAX_WORDS`` words and a trie at most ``MAX_PHRASES`` accepting
 phrases (with their beginnings, fewer than five times as many nodes); more of them take more passes over the text, each with a share by hash.
-Counts are added up in each task before they are shuffled, so a very common word or phrase is one row a task, and
-a language that most rows have is no unit of work anywhere but in the final ranks, where tasks send ``top`` rows each.
+Counts are added up in each task before they are shuffled, so a very common word or phrase is one entry a task and group of texts; they travel
+in rows of many (buckets, whose number grows with the text; vectors of ``VECTOR`` phrases).  A language that most rows have is no unit of work but in the final ranks, where tasks send ``top`` rows each.
 
 Defined results: null language: ``und`` (one with rows that say so); null or empty text: no words; repeated rows count each; ties as the order
 says; an empty table gives no rows; other columns are not read.
@@ -23,16 +23,17 @@ says; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.skew import top_n
 from ..session import shared_dir
 from .frames import saved
-from .words import LOWER
+from .words import LOWER, mixed
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BREAKS, SPACES = r"[.,;:!?\n\x0b\x0c\r]+", r"[ \t]+"
@@ -40,7 +41,9 @@ MAX_WORDS, MAX_PHRASES = 1 << 20, 1 << 20
 GROUP = 4 << 20      # bytes of text that are worked on together, a quarter of those of numbers; one longer text is by itself
 BITS = 10            # a word's number is walked in symbols of so many bits
 WIDTH = 1 << BITS
-CANDIDATE = "id bigint, number int, n bigint"
+BUCKET = 1 << 20     # pairs of a bucket, on average at most
+VECTOR = 512         # counts of phrases that travel together
+SUMS, TOTALS = "bucket bigint, pairs binary, n binary", "part bigint, n binary"
 
 
 def _slices(sizes: np.ndarray, group: int) -> Iterator[tuple[int, int]]:
@@ -222,20 +225,46 @@ class DoubleArray:
             yield k + 1, place, state
 
 
-def _sums(left: np.ndarray, right: np.ndarray):
+def _sums(left: np.ndarray, right: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """How often each pair stands there: sorted pairs (as differences, which pack well) and counts, a row for each bucket.
+
+    Pairs are dealt to buckets by their left part and a range of their right one, so none grows with a common word."""
     key, n = np.unique(left.astype(np.int64) << 32 | right, return_counts=True)
-    return key >> 32, (key & 0xFFFFFFFF).astype(np.int32), n
+    bucket = (mixed((key >> 12).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    key, n, bucket = key[order], n[order].astype(np.int64), bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(first[1:], len(key))
+    pairs = [np.diff(key[a:b], prepend=0).tobytes() for a, b in zip(first, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(pairs, pa.binary()),
+                                       pa.array([n[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["bucket", "pairs", "n"])
+
+
+def _frequent(least: int):
+    """A bucket's pairs with ``least`` places in all shards."""
+    def run(table: pa.Table) -> pa.Table:
+        key = np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.int64)) for x in table.column("pairs")])
+        n = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("n")])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.add.reduceat(n[order], first)
+        safe = n >= least
+        key = key[first][safe]
+        return pa.table({"id": key >> 32, "number": (key & 0xFFFFFFFF).astype(np.int32)})
+    return run
 
 
-def _pairs(batches):
+def _pairs(buckets: int):
     """Frequent words side by side."""
-    for x in _numbers(batches):
-        ok = (x[:-1] > 0) & (x[1:] > 0)
-        left, right, n = _sums(x[:-1][ok], x[1:][ok])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int32()), pa.array(n, pa.int64())], names=["id", "number", "n"])
+    def run(batches):
+        for x in _numbers(batches):
+            ok = (x[:-1] > 0) & (x[1:] > 0)
+            yield _sums(x[:-1][ok], x[1:][ok], buckets)
+    return run
 
 
-def _extended(trie, k: int):
+def _extended(trie, k: int, buckets: int):
     """Frequent phrases of k - 1 words with a frequent word behind."""
     def run(batches):
         t, ids = trie.value
@@ -244,14 +273,12 @@ def _extended(trie, k: int):
                 if words == k - 1:
                     of, behind = t.accepts[state], x[place + words]
                     ok = (of >= 0) & (behind > 0)
-                    left, right, n = _sums(of[ok], behind[ok])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[left], pa.int64()), pa.array(right, pa.int32()), pa.array(n, pa.int64())],
-                                                     names=["id", "number", "n"])
+                    yield _sums(ids[of[ok]], behind[ok], buckets)
     return run
 
 
 def _counted(trie):
-    """How often each phrase of the trie stands in the shard."""
+    """How often each phrase of the trie stands in the shard, in parts of VECTOR phrases in the order of their ids."""
     def run(batches):
         t, ids = trie.value
         total = np.zeros(len(ids), np.int64)
@@ -259,11 +286,23 @@ def _counted(trie):
             for _, _, state in t.walk(x):
                 of = t.accepts[state]
                 total += np.bincount(of[of >= 0], minlength=len(ids))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+        part = ids // VECTOR
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        whole = np.zeros((len(first), VECTOR), np.int64)
+        whole[np.cumsum(np.diff(part, prepend=-1) != 0) - 1, ids % VECTOR] = total
+        some = whole.any(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(part[first][some], pa.int64()), pa.array([x.tobytes() for x in whole[some]], pa.binary())],
+                                         names=["part", "n"])
     return run
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    n = np.zeros(VECTOR, np.int64)
+    for x in table.column("n"):
+        n += np.frombuffer(x.as_py(), np.int64)
+    return pa.table({"id": table.column("part")[0].as_py() * VECTOR + np.arange(VECTOR), "a": n})
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
@@ -281,12 +320,23 @@ def _shares(df: DataFrame, key: str, most: int) -> list[DataFrame]:
         n *= 2
 
 
+def _with_number(df: DataFrame, number: str) -> tuple[DataFrame, int]:
+    """``df``, stored, with numbers from 1 without gaps, and the largest: a row's place in its task and the sum of the tasks before."""
+    some = saved(df.withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    per = sorted((r["p"], r["n"]) for r in some.groupBy(task.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    begins = np.cumsum([0] + [n for _, n in per]).tolist()
+    begin = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(per, begins)], "_p long, _b long")
+    at = F.col("_b") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return saved(some.join(begin, task == F.col("_p")).select(*df.columns, at.cast("int").alias(number))), begins[-1]
+
+
 def _tries(phrases: DataFrame, most: int, max_phrases: int):
-    """Broadcast (trie, ids) of each share of ``phrases`` (id, path)."""
+    """Broadcast (trie, ids in ascending order) of each share of ``phrases`` (id, path)."""
     for share in _shares(phrases, "id", max_phrases):
-        rows = share.select("id", "path").toArrow()
+        rows = share.select("id", "path").toArrow().sort_by("id")
         paths = rows.column("path").combine_chunks()
-        ids = rows.column("id").to_numpy()
+        ids = rows.column("id").to_numpy().astype(np.int64)
         if len(ids):
             flat, at = paths.flatten().to_numpy(), paths.offsets.to_numpy()
             trie = DoubleArray([flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0])], most)
@@ -301,14 +351,8 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
     slim = docs.select(docs[lang].cast("string").alias("lang"), docs[text].alias("text"))
     counts = saved(slim.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     every = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    # numbers from 1 without gaps: a place in the task and the sum of the tasks before
-    some = saved(counts.where(F.col("n") >= least).withColumn("at", F.monotonically_increasing_id()))
-    per = sorted((r["p"], r["n"]) for r in some.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    most = sum(n for _, n in per)
-    starts = np.concatenate([[0], np.cumsum([n for _, n in per])])[:-1]
-    begin = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(per, starts)], "p long, b long")
-    words = saved(some.join(begin, F.shiftright("at", 33) == F.col("p"))
-                  .select("lang", "word", "n", (F.col("b") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).cast("int").alias("number")))
+    words, most = _with_number(counts.where(F.col("n") >= least), "number")
+    buckets = 1 + (every.agg(F.sum("all")).first()[0] or 0) // BUCKET
     numbered, shares = slim, _shares(words, "number", max_words)
     for i, share in enumerate(shares):
         rows = share.select("lang", "word", "number").toArrow()
@@ -318,33 +362,22 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
         numbered = numbered.mapInArrow(_number_words(own, i > 0, last), "numbers binary" if last else "lang string, text string, numbers binary")
         numbered = _stored(numbered, "collocation-numbers")
 
-    found, level = [], None
+    found, behind = [], words.select("number", F.col("word").alias("behind"))
+    before = words.select(F.col("number").alias("id"), "lang", F.col("word").alias("phrase"), F.array("number").alias("path"))
+    sums = [numbered.mapInArrow(_pairs(buckets), SUMS)]
     for k in range(2, longest + 1):
-        if level is None:
-            sums = [numbered.mapInArrow(_pairs, CANDIDATE)]
-            before = words.select(F.col("number").cast("bigint").alias("id"), "lang", F.col("word").alias("phrase"), F.array("number").alias("path"))
-        else:
-            before = level
-            sums = [numbered.mapInArrow(_extended(t, k), CANDIDATE) for t in _tries(level, most, max_phrases)]
+        if k > 2:
+            sums = [numbered.mapInArrow(_extended(t, k, buckets), SUMS) for t in _tries(before, most, max_phrases)]
         if not sums:
             break
-        pairs = sums[0]
-        for x in sums[1:]:
-            pairs = pairs.union(x)
-        safe = pairs.groupBy("id", "number").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        behind = words.select("number", F.col("word").alias("behind"))
-        level = saved(safe.join(before, "id").join(behind, "number").select(
-            F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "phrase", "behind").alias("phrase"),
-            F.concat("path", F.array("number")).alias("path")))
-        level = level.withColumn("id", F.col("id") * longest + (k - 2))  # no two levels share an id
-        found.append(level)
-    candidates = found[0]
-    for x in found[1:]:
-        candidates = candidates.union(x)
-    totals = spark.createDataFrame([], "id bigint, n bigint")
-    for t in _tries(candidates, most, max_phrases):
-        totals = totals.union(numbered.mapInArrow(_counted(t), "id bigint, n bigint"))
-    totals = totals.groupBy("id").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        safe = reduce(DataFrame.union, sums).groupBy("bucket").applyInArrow(_frequent(least), "id bigint, number int")
+        before, _ = _with_number(safe.join(before, "id").join(behind, "number").select(
+            "lang", F.concat_ws(" ", "phrase", "behind").alias("phrase"), F.concat("path", F.array("number")).alias("path")), "id")
+        found.append(before)
+    candidates, _ = _with_number(reduce(DataFrame.union, found).drop("id"), "id")
+    totals = [numbered.mapInArrow(_counted(t), TOTALS) for t in _tries(candidates, most, max_phrases)]
+    totals = reduce(DataFrame.union, totals, spark.createDataFrame([], TOTALS))
+    totals = totals.groupBy("part").applyInArrow(_summed, "id bigint, a bigint").where(F.col("a") >= least)
     out = saved(candidates.join(totals, "id").select("lang", "phrase", F.size("path").alias("words"), "a"))
     return out, words.join(every, "lang").select("lang", "word", "n", "all")
 
