@@ -305,7 +305,7 @@ def _summed(table: pa.Table) -> pa.Table:
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -349,9 +349,11 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
     (``all``: word occurrences of the language)."""
     spark = docs.sparkSession
     slim = docs.select(docs[lang].cast("string").alias("lang"), docs[text].alias("text"))
-    counts = saved(slim.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counts = slim.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # the other words only count together
+    counts = saved(counts.groupBy("lang", F.when(F.col("n") >= least, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
     every = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    words, most = _with_number(counts.where(F.col("n") >= least), "number")
+    words, most = _with_number(counts.where("word IS NOT NULL"), "number")
     buckets = 1 + (every.agg(F.sum("all")).first()[0] or 0) // BUCKET
     numbered, shares = slim, _shares(words, "number", max_words)
     for i, share in enumerate(shares):
