@@ -1,14 +1,10 @@
-import os
 import sys
-import tempfile
 
 import pytest
+from helpers import ROOT
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,10 +17,3 @@ def spark():
 @pytest.fixture()
 def tmp(tmp_path):
     return str(tmp_path)
-
-
-def rows(df, *cols):
-    """Sorted list of tuples (for order-insensitive asserts)."""
-    cols = cols or tuple(df.columns)
-    return sorted((tuple(r[c] for c in cols) for r in df.select(*cols).collect()),
-                  key=lambda t: tuple((x is None, str(x)) for x in t))

@@ -6,11 +6,11 @@ import os
 from fleetlens.fixed import (CAPTURE_TYPE, LOCAL_RUNNER, REMOTE_RUNNER, TRANSMIT_TYPE)
 
 
-def capture(iface="en0", port="4200", trace="_tmp/snd-tracefile.pcapng", path="capbin"):
+def capture(iface="eth7", port="5811", trace="_tmp/left-trace.pcapng", path="capbin"):
     return {"path": path, "interface": iface, "port": port, "tracefile_path": trace}
 
 
-def transmit(role, port="4200", host=None, attrs=None, options=None, path="bin/xmit", **extra):
+def transmit(role, port="5811", host=None, attrs=None, options=None, path="bin/xmit", **extra):
     c = {"type": role, "path": path, "port": port}
     if host is not None:
         c["host"] = host
@@ -50,10 +50,10 @@ def write_spec(folder, name, s):
 
 
 SPEC_BASIC = spec({
-    "1": task(CAPTURE_TYPE, capture(iface="en0", trace="_tmp/snd-tracefile.pcapng")),
+    "1": task(CAPTURE_TYPE, capture(iface="eth7", trace="_tmp/left-trace.pcapng")),
     "2": task(TRANSMIT_TYPE, transmit(
-        "rcv", attrs={"rcvbuf": "1000000000", "sndbuf": "1000000000", "latency": "400"},
-        options={"--msgsize": "1316", "--statsfile": "/data/exp/rcv-stats.csv",
+        "rcv", attrs={"rcvbuf": "64000000", "sndbuf": "64000000", "latency": "400"},
+        options={"--msgsize": "1250", "--statsfile": "/data/exp/right-numbers.csv",
                  "--statsfreq": "1s", "--enable-metrics": None,
                  "--metricsfile": "/data/exp/rcv-metrics.csv"}),
         runner="remote", user="tester", host="192.0.2.10"),

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from fleetlens.operators.lifecycle import (current_status, launch_probe, lifecycle_check,
                                            stop_escalation)
 
@@ -257,7 +257,7 @@ def test_a_long_task_keeps_its_state(spark, tmp):
 
 def test_streams_read_a_folder_of_parts_like_a_file(spark, tmp):
     import time
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from fleetlens.plans.catalog import q_lifecycle_stream, q_periodic_stats_stream
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     at = [r["ts"] for r in ev.select("ts").orderBy("ts").collect()]
@@ -282,7 +282,7 @@ def test_a_stopped_drain_raises(spark, tmp):
 
 
 def test_stream_plan_is_one_stateful_operator(spark):
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from fleetlens.plans.catalog import _action, _task_stream
     from fleetlens.streaming.lifecycle import lifecycle_stream
     plan = lifecycle_stream(_task_stream(spark, SF_SMALL), _action(), key=["user_id", "unit"])._jdf.queryExecution().analyzed().toString()

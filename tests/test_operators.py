@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from fleetlens.functions.flatten import flatten_paths
 from fleetlens.functions.params import render_map, render_params
 from fleetlens.operators.asof import next_event

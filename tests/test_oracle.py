@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from check import compare, duck
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from fleetlens.plans.catalog import QUERIES
 
 NAMES = sorted(QUERIES)

@@ -7,7 +7,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from fleetlens.plans.catalog import QUERIES
 
 # these read back what they wrote; streams are looked at in test_lifecycle

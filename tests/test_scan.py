@@ -4,7 +4,7 @@ not change any result."""
 import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import SF_SMALL, rows
+from helpers import SF_SMALL, rows
 from fleetlens.operators.asof import next_event
 from fleetlens.operators.lifecycle import lifecycle_check
 from fleetlens.operators.ordering import order_tasks, timeline

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from fleetlens.sources.catalog import file_catalog
 from fleetlens.sources.sinks import write_new
 from fleetlens.sources.stats import read_stats

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from fleetlens.fixed import CAPTURE_TYPE, TRANSMIT_TYPE, URI_SCHEME
 from fleetlens.functions.artifacts import expected_artifacts
 from fleetlens.operators.reconcile import reconcile
@@ -44,20 +44,20 @@ def test_task_order_is_file_order(spark, tmp):
 
 
 def test_integer_port_is_text(spark, tmp):
-    s = spec({"1": task(CAPTURE_TYPE, capture(port=4200))})
+    s = spec({"1": task(CAPTURE_TYPE, capture(port=5811))})
     t = _tasks(spark, tmp, p=s)
-    assert t.select("obj_config.port").first()[0] == "4200"
+    assert t.select("obj_config.port").first()[0] == "5811"
 
 
 def test_command_goldens(spark, tmp):
     cmds = _commands(spark, tmp, SPEC_BASIC)
     argv1, text1 = cmds["1"]
-    assert argv1 == ["capbin", "-i", "en0", "-f", "udp port 4200", "-s", "1500", "-w",
-                     "_tmp/snd-tracefile.pcapng"]
-    assert text1 == 'capbin -i en0 -f "udp port 4200" -s 1500 -w _tmp/snd-tracefile.pcapng'
+    assert argv1 == ["capbin", "-i", "eth7", "-f", "udp port 5811", "-s", "1500", "-w",
+                     "_tmp/left-trace.pcapng"]
+    assert text1 == 'capbin -i eth7 -f "udp port 5811" -s 1500 -w _tmp/left-trace.pcapng'
     _, text2 = cmds["2"]
-    assert text2 == (f'bin/xmit receive "{URI_SCHEME}:4200?rcvbuf=1000000000&sndbuf=1000000000'
-                     '&latency=400" --msgsize 1316 --statsfile /data/exp/rcv-stats.csv '
+    assert text2 == (f'bin/xmit receive "{URI_SCHEME}:5811?rcvbuf=64000000&sndbuf=64000000'
+                     '&latency=400" --msgsize 1250 --statsfile /data/exp/right-numbers.csv '
                      '--statsfreq 1s --enable-metrics --metricsfile /data/exp/rcv-metrics.csv')
 
 
@@ -65,20 +65,20 @@ def test_uri_subcommand_and_options(spark, tmp):
     s = spec({
         "3": task(TRANSMIT_TYPE, transmit("snd", host="127.0.0.1")),
         "4": task(TRANSMIT_TYPE, transmit("snd", host="127.0.0.1", attrs={
-            "transtype": "live", "rcvbuf": "1000000000", "sndbuf": "1000000000"})),
+            "transtype": "live", "rcvbuf": "64000000", "sndbuf": "64000000"})),
         "5": task(TRANSMIT_TYPE, transmit("snd", host="127.0.0.1", options={
-            "--msgsize": "1316", "--sendrate": "15Mbps", "--duration": "10s"})),
+            "--msgsize": "1250", "--sendrate": "15Mbps", "--duration": "10s"})),
         "6": task(TRANSMIT_TYPE, transmit("rcv", host="")),
     })
     c = _commands(spark, tmp, s)
     u = URI_SCHEME
-    assert c["3"] == (["bin/xmit", "generate", f"{u}127.0.0.1:4200"],
-                      f'bin/xmit generate "{u}127.0.0.1:4200"')
+    assert c["3"] == (["bin/xmit", "generate", f"{u}127.0.0.1:5811"],
+                      f'bin/xmit generate "{u}127.0.0.1:5811"')
     assert c["4"][0] == ["bin/xmit", "generate",
-                         f"{u}127.0.0.1:4200?transtype=live&rcvbuf=1000000000&sndbuf=1000000000"]
-    assert c["5"][1] == (f'bin/xmit generate "{u}127.0.0.1:4200" --msgsize 1316 '
+                         f"{u}127.0.0.1:5811?transtype=live&rcvbuf=64000000&sndbuf=64000000"]
+    assert c["5"][1] == (f'bin/xmit generate "{u}127.0.0.1:5811" --msgsize 1250 '
                          '--sendrate 15Mbps --duration 10s')
-    assert c["6"] == (["bin/xmit", "receive", f"{u}:4200"], f'bin/xmit receive "{u}:4200"')
+    assert c["6"] == (["bin/xmit", "receive", f"{u}:5811"], f'bin/xmit receive "{u}:5811"')
 
 
 def test_null_absent_empty(spark, tmp):
@@ -91,8 +91,8 @@ def test_null_absent_empty(spark, tmp):
     s["tasks"]["n1"]["obj_config"]["host"] = None
     c = _commands(spark, tmp, s)
     u = URI_SCHEME
-    assert c["n1"][0] == ["bin/xmit", "generate", f"{u}None:4200?", "--a", "--b", "--c", "0"]
-    assert c["n2"][0] == ["bin/xmit", "generate", f"{u}:4200"]
+    assert c["n1"][0] == ["bin/xmit", "generate", f"{u}None:5811?", "--a", "--b", "--c", "0"]
+    assert c["n2"][0] == ["bin/xmit", "generate", f"{u}:5811"]
 
 
 def test_validation_rejects_and_warnings(spark, tmp):
@@ -117,8 +117,8 @@ def test_validation_rejects_and_warnings(spark, tmp):
 def test_expected_artifacts_and_destinations(spark, tmp):
     a = expected_artifacts(_tasks(spark, tmp, basic=SPEC_BASIC))
     assert rows(a, "task", "artifact_pos", "role", "destination") == [
-        ("1", 0, "trace", "_results/local/snd-tracefile.pcapng"),
-        ("2", 0, "stats", "_results/tester@192.0.2.10/rcv-stats.csv"),
+        ("1", 0, "trace", "_results/local/left-trace.pcapng"),
+        ("2", 0, "stats", "_results/tester@192.0.2.10/right-numbers.csv"),
         ("2", 1, "metrics", "_results/tester@192.0.2.10/rcv-metrics.csv")]
 
 
