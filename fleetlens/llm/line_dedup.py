@@ -29,9 +29,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .frames import row_hash, saved, unused
+from .frames import any_names, row_hash, saved, unused
 
 MIN_WORDS = 50
+#: for sentences: a passage of 50 words loses those of the sentences at its two ends that are joined to other text
+PASSAGE_WORDS = 30
 #: between sentences of a line: white space after an end mark (and a closing quote or bracket); after an ideographic one also none
 _ENDS = r"[.!?…‼⁇-⁉․‥．！？﹒﹖﹗。｡]"
 BREAK = re.compile(rf"(?:(?<={_ENDS})|(?<={_ENDS}[\"'’”)\]＂＇）］]))[^\S\n]+|(?<=[。｡])(?=\S)")
@@ -125,6 +127,7 @@ def _cutter(names: list[str], text: str, out: list[str], lines: str, copy: str,
     return run
 
 
+@any_names
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                  sentences: bool = False) -> DataFrame:
     """``docs`` with ``text`` cut, ``kept`` and ``removed`` (spans of code points in the original text;

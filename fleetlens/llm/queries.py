@@ -93,7 +93,7 @@ def op8_place_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_repeats(docs).select("doc_id", "text", "kept", "removed", "n_removed")
+    return line_dedup.drop_repeats(docs, min_words=line_dedup.PASSAGE_WORDS, sentences=True).select("doc_id", "text", "kept", "removed", "n_removed")
 
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,29 +82,67 @@ def simhash(docs, words=4, bits=4):
     return [(docs[i][0], f"{prints[i]:016x}", least[root(i)]) for i in range(len(docs))]
 
 
-def line_dedup(docs, min_words=50):
+def sentence_spans(text):
+    """Start and end of the sentences of each line: white space behind an end mark parts them, an ideographic one does alone."""
+    out, begin, i = [], 0, 0
+    ends, closing, alone = ".!?…‼⁇⁈⁉․‥．！？﹒﹖﹗。｡", "\"'’”)]＂＇）］", "。｡"
+    while i < len(text):
+        c, last = text[i], text[i - 1] if i > begin else ""
+        after_end = last and (last in ends or last in closing and i - 2 >= 0 and text[i - 2] in ends and text[i - 2] != "\n")
+        if c == "\n":
+            out.append((begin, i))
+            begin = i = i + 1
+        elif c.isspace() and after_end:
+            out.append((begin, i))
+            while i < len(text) and text[i].isspace() and text[i] != "\n":
+                i += 1
+            begin = i
+        elif last and last in alone and not c.isspace():
+            out.append((begin, i))
+            begin = i
+            i += 1
+        else:
+            i += 1
+    return out + [(begin, len(text))]
+
+
+def line_dedup(docs, min_words=50, sentences=False):
     """doc_id and text left; docs in the order of rank."""
     import unicodedata
     seen, out = set(), []
     for doc_id, text in docs:
-        lines = (text or "").split("\n")
-        keys = [" ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in lines]
+        text_ = text or ""
+        if sentences:
+            places = sentence_spans(text_)
+        else:
+            ends = [m.start() for m in re.finditer("\n", text_)] + [len(text_)]
+            places = list(zip([0] + [e + 1 for e in ends[:-1]], ends))
+        units = [text_[a:b] for a, b in places]
+        keys = [" ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in units]
         again = []
         for k in keys:
             again.append(None if not k else k in seen)
             seen.add(k)
         drop, i = set(), 0
-        while i < len(lines):
+        while i < len(units):
             if not again[i]:
                 i += 1
                 continue
             j = i
-            while j < len(lines) and again[j] is not False:
+            while j < len(units) and again[j] is not False:
                 j += 1
-            if sum(len(lines[k].split()) for k in range(i, j)) >= min_words:
+            if sum(len(units[k].split()) for k in range(i, j)) >= min_words:
                 drop |= set(range(i, j))
             i = j
-        out.append((doc_id, None if text is None else "\n".join(x for n, x in enumerate(lines) if n not in drop)))
+        # what stays is joined as it stood, and by a line end where something went
+        parts = []
+        for n, place in enumerate(places):
+            if n not in drop:
+                if parts and n - 1 not in drop:
+                    parts[-1] = (parts[-1][0], place[1])
+                else:
+                    parts.append(place)
+        out.append((doc_id, None if text is None else "\n".join(text[a:b] for a, b in parts) if drop else text))
     return out
 
 

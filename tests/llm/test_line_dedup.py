@@ -28,13 +28,24 @@ def test_passages_inside_lines(spark):
 
 
 def test_registered_passages_hold_the_lines_found(spark, sf):
-    whole = dict(sf("documents", "doc_id", "text"))
-    lines = {r["doc_id"]: r["n_removed"] for r in queries.op9_line_dedup(spark, sf.dir).collect()}
+    rows = sorted(sf("documents", "doc_id", "text"))
+    whole = dict(rows)
+    lines = {i: len((whole[i] or "").split()) - len((t or "").split()) for i, t in brute.line_dedup(rows)}
     got = queries.op9_passage_dedup(spark, sf.dir).collect()
+    assert ordered((r["doc_id"], r["text"]) for r in got) == ordered(brute.line_dedup(rows, sentences=True))
     assert all(r["n_removed"] >= lines[r["doc_id"]] for r in got) and sum(r["n_removed"] for r in got) > sum(lines.values())
     assert all("\n".join(whole[r["doc_id"]][s["start"]:s["end"]] for s in r["kept"]) == r["text"] for r in got)
 
 
+def test_passage_joined_to_other_text_at_both_ends(spark):
+    words = [f"word{i}" for i in range(64)]
+    sentences = [" ".join(words[i:i + 8]) + "." for i in range(0, 64, 8)]
+    inner = " ".join(sentences)[:-1]  # the last sentence goes on
+    rows = [(1, "A first text says that " + inner + " and so it ends."), (2, "Quite another one " + inner + " but goes on. And on."), (3, "Only this: " + sentences[2] + " No more.")]
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=line_dedup.PASSAGE_WORDS, sentences=True).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 48, 0] and got[3]["text"] == rows[2][1]
+
+
 def test_nulls_clashes_and_equal_rows(spark):
     docs = documents(spark)
     got = line_dedup.drop_repeats(docs, min_words=1)
@@ -48,4 +59,4 @@ def test_nulls_clashes_and_equal_rows(spark):
 
 def test_registered_query(spark, sf):
     got = queries.op9_line_dedup(spark, sf.dir).collect()
-    assert ordered((r["doc_id"], r["text"]) for r in got) == ordered(brute.line_dedup(sorted(sf("documents", "doc_id", "text"))))
+    assert ordered((r["doc_id"], r["text"]) for r in got) == ordered(brute.line_dedup(sorted(sf("documents", "doc_id", "text")), 30, sentences=True))
