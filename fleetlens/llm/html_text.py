@@ -26,13 +26,14 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .frames import row_hash, unused
+from .frames import any_names, row_hash, unused
 
 RUN = 8  # tokens
 
@@ -56,17 +57,34 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
             "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
             "p": BLOCK, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 LIMITS = {"table", "ul", "ol", "dl", "select", "div", "article", "section", "main", "nav", "aside", "footer", "header", "form", "body"}
-#: a whole class, id or role that marks what is not the article: one of these names, ...
-MARK = (r"(?:ads?|adsense|advert\w*|sponsor(?:s|ed)?|promos?|promotions?|banners?|navigation|nav|navbar|menu|menus|menubar|breadcrumbs?|sidebar|complementary|"
-        r"footer|masthead|contentinfo|cookies?|consent|gdpr|notices?|alert|alerts|alertdialog|popup|modal|dialog|overlay|newsletter|subscribe|signup|login|"
-        r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|comments?|commentlist|disqus|replies|reply|search|skip)")
-#: ... or several, with words for their place or shape (right-sidebar, no-comments and search-results are not such names)
-MARKS = re.compile(rf"(?:(?:site|page|main|global|primary|secondary|top|bottom|header)[_-]+)*{MARK}(?:[_-]+(?:{MARK}|container|wrapper|wrap|box|bar|lists?|"
-                   r"links?|buttons?|btns?|icons?|form|block|area|section|slot|units?|items?|posts|articles|stories|message|media|link|to|content|\d+))*", re.I)
+#: a whole class, id or role that marks what is not the article: its parts (between - and _) are words for its place, ...
+PLACES = set("site page main global primary secondary top bottom header".split())
+#: ... then one of these names (or a word that begins with advert), ...
+NAMES = set("ad ads adsense sponsor sponsors sponsored promo promos promotion promotions banner banners navigation nav navbar menu menus menubar "
+            "breadcrumb breadcrumbs sidebar complementary footer masthead contentinfo cookie cookies consent gdpr notice notices alert alerts alertdialog "
+            "popup modal dialog overlay newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager comment "
+            "comments commentlist disqus replies reply search skip".split())
+#: ... then such names and words for their shape (right-sidebar, no-comments and search-results are not made like this)
+SHAPES = set("container wrapper wrap box bar list lists link links button buttons btn btns icon icons form block area section slot unit units item items "
+             "posts articles stories message media to content".split())
+PARTS = re.compile(r"[_-]+")
 ARTICLE, OTHER, DROPPED = 0, 1, 2
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 
 
+def _named(word: str) -> bool:
+    """Whether a class, id or role marks its element; each part is looked up once."""
+    parts = PARTS.split(word.lower())
+    at = 0
+    while at < len(parts) - 1 and parts[at] in PLACES:
+        at += 1
+
+    def name(p):
+        return p in NAMES or p.startswith("advert")
+
+    return name(parts[at]) and all(name(p) or p in SHAPES or p.isdecimal() for p in parts[at + 1:])
+
+
 def _marked(attrs: str) -> tuple[bool, bool]:
     """Whether the attributes hide the element, and whether they mark it."""
     hides = marks = False
@@ -75,7 +93,7 @@ def _marked(attrs: str) -> tuple[bool, bool]:
             name, value = name.lower(), a or b or c
             if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 hides = True
-            elif name in ("class", "id", "role") and any(MARKS.fullmatch(x) for x in value.split()):
+            elif name in ("class", "id", "role") and any(map(_named, value.split())):
                 marks = True
     return hides, marks
 
@@ -126,6 +144,56 @@ class Elements:
         return kind, mark, around
 
 
+class Open:
+    """The open elements.  Counts say at once whether a tag ends one, so only elements that it ends are walked over."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []  # name, number
+        self.blocks: Counter = Counter()
+        self.inline = [Counter()]  # names of the others, since the last open block
+        self.ended = [Counter()]   # names that a start tag can end, since the last limit
+
+    def number(self) -> int:
+        return self.stack[-1][1] if self.stack else -1
+
+    def push(self, name: str, number: int) -> None:
+        self.stack.append((name, number))
+        if name in ENDED_BY:
+            self.ended[-1][name] += 1
+        if name in LIMITS:
+            self.ended.append(Counter())
+        if name in BLOCK:
+            self.blocks[name] += 1
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][name] += 1
+
+    def pop(self) -> str:
+        name, _ = self.stack.pop()
+        if name in BLOCK:
+            self.inline.pop()
+            self.blocks[name] -= 1
+        else:
+            self.inline[-1][name] -= 1
+        if name in LIMITS:
+            self.ended.pop()
+        if name in ENDED_BY:
+            self.ended[-1][name] -= 1
+        return name
+
+    def end(self, name: str) -> None:
+        """An end tag: ends the last such element and those in it; an inline one does not end a block."""
+        if (self.blocks if name in BLOCK else self.inline[-1])[name]:
+            while self.pop() != name:
+                pass
+
+    def make_way(self, name: str) -> None:
+        """A block's start tag: ends the last element before a limit that can't hold it."""
+        if any(n and name in ENDED_BY[x] for x, n in self.ended[-1].items()):
+            while name not in ENDED_BY.get(self.pop(), ()):
+                pass
+
+
 def blocks(page: str | None, articles: bool = True) -> tuple[list[tuple[int, str, int]], list[int]]:
     """The page's blocks in order: kind (of the article, other, or dropped by markup), text, and the next undecided
     mark around it (-1: none); and for each such mark the next one around that.
@@ -133,11 +201,11 @@ def blocks(page: str | None, articles: bool = True) -> tuple[list[tuple[int, str
     Without ``articles``, blocks of an article are left out."""
     page, raw, parts = page or "", [], []
     elements = Elements()
-    stack: list[tuple[str, int]] = []  # name, number
+    stack = Open()
 
     def end_block():
         if parts:
-            raw.append(("".join(parts), stack[-1][1] if stack else -1))
+            raw.append(("".join(parts), stack.number()))
             parts.clear()
 
     at = 0
@@ -152,12 +220,7 @@ def blocks(page: str | None, articles: bool = True) -> tuple[list[tuple[int, str
         if close or close2:
             if name in BLOCK:
                 end_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK and name not in BLOCK:
-                    break  # an inline end tag doesn't end a block
+            stack.end(name)
             continue
         attrs = attrs or attrs2 or ""
         if name in RAW:
@@ -166,17 +229,12 @@ def blocks(page: str | None, articles: bool = True) -> tuple[list[tuple[int, str
             continue
         if name in BLOCK:
             end_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if name in ENDED_BY.get(stack[i][0], ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in LIMITS:
-                    break
+            stack.make_way(name)
         elif name == "br":
             parts.append(" ")
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
-        stack.append((name, elements.add(name, stack[-1][1] if stack else -1, attrs)))
+        stack.push(name, elements.add(name, stack.number(), attrs))
     parts.append(page[at:])
     end_block()
     kind, mark, around = elements.judged()
@@ -194,23 +252,18 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def suffixes(streams: list[list[str]], run: int) -> list[np.ndarray]:
-    """For each stream, a hash of the first ``run`` tokens of every suffix that has so many (one, of all, if none has)."""
-    out = []
-    for tokens in streams:
-        h = [xxhash.xxh3_64_intdigest(t) for t in tokens]
-        n = max(1, len(h) - run + 1) if h else 0
-        out.append(np.array([xxhash.xxh3_64_intdigest(np.array(h[i:i + run], np.uint64).tobytes()) for i in range(n)], np.uint64))
-    return out
+def suffixes(tokens: list[str], run: int, own: bytes = b"") -> np.ndarray:
+    """128 bits (two columns) for the first ``run`` tokens, and ``own``, of every suffix that has so many (one, of all, if none has)."""
+    h = b"".join([xxhash.xxh3_128_digest(t.encode()) for t in tokens])
+    n = max(1, len(tokens) - run + 1) if tokens else 0
+    keys = b"".join([xxhash.xxh3_128_digest(own + h[16 * i:16 * (i + run)]) for i in range(n)])
+    return np.frombuffer(keys, np.int64).reshape(n, 2)
 
 
 def _parsed(page, url, run, articles=True):
     """What ``blocks`` gives, and the suffix keys of the stream outside articles."""
     found = blocks(page, articles)
-    keys = suffixes([[x for k, t, _ in found[0] if k != ARTICLE for x in t.split(" ")]], run)[0]
-    own = np.uint64(xxhash.xxh3_64_intdigest(host(url)))
-    keys = (keys ^ own) * np.uint64(0x9E3779B97F4A7C15)
-    return found, keys ^ (keys >> np.uint64(29))
+    return found, suffixes([x for k, t, _ in found[0] if k != ARTICLE for x in t.split(" ")], run, host(url).encode() + b"\0")
 
 
 def main_text(found: list[tuple[int, str, int]], around: list[int], repeated: set[int], run: int) -> str:
@@ -250,10 +303,11 @@ def _suffix_rows(run: int):
                 keys.append(k)
                 rows.append(np.full(len(k), i))
                 places.append(np.arange(len(k)))
-            rows = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+            rows = pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64))
+            key = np.concatenate([*keys, np.zeros((0, 2), np.int64)])
             yield pa.RecordBatch.from_arrays([
-                batch.column("x").take(pa.array(rows)), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)),
-                pa.array(np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32))], names=["x", "key", "place"])
+                batch.column("x").take(rows), batch.column("y").take(rows), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()),
+                pa.array(np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32))], names=["x", "y", "key", "key2", "place"])
     return go
 
 
@@ -279,20 +333,23 @@ def _unpack(names: list[str], out: list[str], packed: str, places: str, run: int
     return go
 
 
+@any_names
 def extract(pages: DataFrame, page: str = "html", url: str = "url", run: int = RUN, keep: list[str] | None = None) -> DataFrame:
     """``pages`` (or its columns ``keep``) without the html, with ``text`` and ``n_chars``."""
     taken = {"text", "n_chars", page.lower()}
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in taken]
-    x, packed, places, u, on = unused(pages, "x", "packed", "places", "url", "on")
+    x, y, packed, places, u, on, on2 = unused(pages, "x", "y", "packed", "places", "url", "on", "on2")
+    hx, hy = row_hash(pages.select(page, *[c for c in pages.columns if c != page]))
     src = pages.select(*keep, F.col(url).cast("string").alias(u), F.col(page).cast("string").alias(page),
-                       row_hash(pages.select(page, *[c for c in pages.columns if c != page]))[0].alias(x))
-    rows = src.select(F.col(x).alias("x"), F.col(u).alias("url"), F.col(page).alias("html")) \
-        .mapInArrow(_suffix_rows(run), "x bigint, key bigint, place int")
-    repeated = rows.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("key")
-    found = rows.join(repeated, "key").groupBy("x").agg(F.collect_set("place").alias(places)).withColumnRenamed("x", on)
+                       hx.alias(x), hy.alias(y))
+    rows = src.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(u).alias("url"), F.col(page).alias("html")) \
+        .mapInArrow(_suffix_rows(run), "x bigint, y bigint, key bigint, key2 bigint, place int")
+    one = F.struct("x", "y")
+    repeated = rows.groupBy("key", "key2").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("key", "key2")
+    found = rows.join(repeated, ["key", "key2"]).groupBy(F.col("x").alias(on), F.col("y").alias(on2)).agg(F.collect_set("place").alias(places))
     fields = [f for f in src.schema.fields if f.name != page]
     parsed = src.mapInArrow(_pack(src.columns, run, page, u, packed), T.StructType([*fields, T.StructField(packed, T.BinaryType())]))
-    joined = parsed.join(found, parsed[x] == found[on], "left").select(*keep, packed, places)
+    joined = parsed.join(found, (parsed[x] == found[on]) & (parsed[y] == found[on2]), "left").select(*keep, packed, places)
     out = [*keep, "text", "n_chars"]
     result = [*[f for f in joined.schema.fields if f.name in keep], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     return joined.mapInArrow(_unpack(joined.columns, out, packed, places, run), T.StructType(result))

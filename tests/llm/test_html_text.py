@@ -93,3 +93,64 @@ def test_registered_query(spark, sf):
 
     got = {r["page_id"]: r["text"] for r in queries.op4_main_text(spark, sf.dir).collect()}
     assert got == {i: plain(h) for i, h in sf("pages", "page_id", "html")}
+
+
+def test_no_page_takes_long():
+    import time
+    began = time.time()
+    pages = ['<div class="nav' + "-link" * 10_000 + '-x">kept</div><p>text</p>', "<div>" + "<b>" * 100_000 + "x" + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000 + "x",
+             "<li>" + "<b>" * 50_000 + "<hr>" * 50_000 + "x", "<ul>" + "<li>" * 100_000 + "x", "<div>" * 50_000 + "x" + "</p>" * 50_000, "<table>" + "<tr><td>" * 50_000 + "x"]
+    texts = ["\n".join(t for _, t, _ in html_text.blocks(p)[0]) for p in pages]
+    assert time.time() - began < 20 and texts == ["kept\ntext"] + ["x"] * 6
+
+
+def test_tags_end_what_they_ended():
+    """The counts find what a walk over all open elements finds."""
+    import random
+    r = random.Random(2)
+    names = ["b", "i", "p", "li", "ul", "div", "td", "tr", "table", "dd", "dt", "span", "option", "select", "article"]
+    for _ in range(3000):
+        stack, own = [], html_text.Open()
+        for n in range(r.randrange(1, 25)):
+            name, close = r.choice(names), r.random() < .45
+            if close:
+                own.end(name)
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        del stack[i:]
+                        break
+                    if stack[i][0] in html_text.BLOCK and name not in html_text.BLOCK:
+                        break
+                continue
+            if name in html_text.BLOCK:
+                own.make_way(name)
+                for i in range(len(stack) - 1, -1, -1):
+                    if name in html_text.ENDED_BY.get(stack[i][0], ()):
+                        del stack[i:]
+                        break
+                    if stack[i][0] in html_text.LIMITS:
+                        break
+            stack.append((name, n))
+            own.push(name, n)
+            assert own.stack == stack
+        assert own.stack == stack
+
+
+def test_runs_equal_a_sorted_suffix_array(spark):
+    """Grouping by the first tokens finds what neighbours in the host's sorted suffix array share."""
+    import random
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(6)]
+    streams = {i: [r.choice(words) for _ in range(r.randrange(0, 60))] for i in range(12)}
+    run = 4
+    host = [(t, i, p) for i, t in streams.items() for p in range(max(1, len(t) - run + 1) if t else 0)]
+    order = sorted(host, key=lambda x: x[0][x[2]:])
+    shared = set()
+    for (a, i, p), (b, j, q) in ((x, y) for k, x in enumerate(order) for y in order[k + 1:k + 400]):
+        if a[p:p + run] == b[q:q + run] and i != j:
+            shared |= {(i, p), (j, q)}
+    keys = {(i, p): tuple(k) for i, t in streams.items() for p, k in enumerate(html_text.suffixes(t, run).tolist())}
+    pages = {}
+    for (i, p), k in keys.items():
+        pages.setdefault(k, set()).add(i)
+    assert {x for x, k in keys.items() if len(pages[k]) > 1} == shared and shared
