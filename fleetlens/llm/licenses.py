@@ -26,7 +26,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import add, saved, unused
+from .frames import add, any_names, lower_ascii, saved, unused
 
 # words of the text as it is: A-Z belong to them, and patterns ignore the case of ASCII letters
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -74,7 +74,7 @@ def _licenses() -> list[tuple[str, str, str, str]]:
         out.append((f"cc-{kind}", rf"cc[\s-]{short}(?![\s-]*(?:sa|nc|nd)\b)|creative\s+commons[\s:,-]+{spelled}(?![\s-]+(?:share|non|no)\b)", rf"creativecommons\.org/licenses/{kind}/", "creative|cc|cc0"))
     out.append(("cc0-1.0", r"cc[\s-]?0(?:[\s-]+1\.0)?(?:\s+universal)?|creative\s+commons\s+zero", r"creativecommons\.org/publicdomain/zero", "creative|cc|cc0"))
     for label, name, address, word in (
-        ("mit", rf"(?:the\s+)?(?:mit|expat|mit[\s/]+x11)\s+{_LICENSE}", r"opensource\.org/licenses?/mit", "mit"),
+        ("mit", rf"(?:the\s+)?(?:mit|expat|mit[\s/]+x11)\s+{_LICENSE}", r"opensource\.org/licenses?/mit", "mit|expat"),
         ("mit-0", rf"mit[\s-]+(?:no[\s-]+attribution|0)(?:\s+{_LICENSE})?", r"github\.com/aws/mit-0", "mit"),
         ("isc", rf"isc\s+{_LICENSE}", r"opensource\.org/licenses?/isc", "isc"),
         ("bsd-4-clause", rf"(?:bsd[\s-]4[\s-]clause|(?:4|four)[\s-]clause\s+bsd|original\s+bsd)(?:\s+{_LICENSE})?", r"directory\.fsf\.org/wiki/license:bsd_4clause", "bsd|0bsd|freebsd"),
@@ -161,11 +161,11 @@ def rules() -> list[dict]:
         tier, sure = TIERS[form]
         words = []
         for w in word.split("|"):  # name*: also with a version written to it
-            words += [w] if w[-1] != "*" else [w[:-1], *[w[:-1] + v + d for v in ("", "v") for d in "123"]]
+            words += [w] if w[-1] != "*" else [w[:-1] + v + d for v in ("", "v", "version") for d in ("", *"123")]
         out.append({"n": len(out), "tier": tier, "sure": sure, "label": label, "pattern": "(?i)" + pattern, "keywords": words})
 
-    for label, name, address, word in LICENSES:
-        rule("tag", label, rf"spdx-license-identifier:\s*\(?{re.escape(label)}(?:-only|-or-later|\+)?(?![\w.-])", "spdx")
+    # one rule for all labels, which are read from the expression that it finds
+    rule("tag", None, r"spdx-license-identifier:[ \t(]*+[a-z0-9.+-]++(?:[ \t()]++(?:and|or|with)[ \t(]++[a-z0-9.+-]++)*+", "spdx")
     for label, sentence, word in SENTENCES:
         rule("sentence", label, _BEGIN + sentence, word)
     for label, name, address, word in LICENSES:
@@ -185,10 +185,14 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD + "+")).cast("bigint")
 
 
-def _base(text: Column, lower: Column) -> dict[str, Column]:
+def _counts(text: Column, lower: Column) -> list[Column]:
     """Places of the base phrases; patterns run only on texts that have a word of one."""
     may = [lower.contains("general"), lower.contains("apache"), lower.contains("cc"), lower.contains("mit")]
-    counts = [F.when(m, F.regexp_count(text, F.lit("(?i)" + _pattern(p)))).otherwise(0).cast("bigint") for m, (p, _) in zip(may, BASE)]
+    return [F.when(m, F.regexp_count(text, F.lit("(?i)" + _pattern(p)))).otherwise(0).cast("bigint") for m, (p, _) in zip(may, BASE)]
+
+
+def _base(text: Column, counts: list[Column]) -> dict[str, Column]:
+    """The other base columns, of the places counted."""
     total = counts[0] + counts[1] + counts[2] + counts[3]
     any_phrase = "(?:" + "|".join(_pattern(p) for p, _ in BASE) + ")"
     before = F.regexp_extract(text, "(?is)^(.*?)" + any_phrase, 1)
@@ -212,16 +216,22 @@ def detections(docs: DataFrame, text: str) -> DataFrame:
     table = rules()
     keywords = F.from_json(F.lit(json.dumps(sorted({k for r in table for k in r["keywords"]}))), "array<string>")
     table = F.from_json(F.lit(json.dumps(table)), "array<struct<n:int,tier:int,sure:double,label:string,pattern:string,keywords:array<string>>>")
-    has = F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), keywords)
+    has = F.array_intersect(F.split(lower_ascii(F.col("text")), "[^a-z0-9]+"), keywords)
+    tags = F.from_json(F.lit(json.dumps([x[0] for x in LICENSES])), "array<string>")
     fit = _let(has, lambda h: F.when(F.size(h) > 0, F.filter(table, lambda r: F.arrays_overlap(h, r["keywords"]))))
     body = F.col("text")
 
+    def tagged(expression):
+        ids = F.split(lower_ascii(expression), r"[\s():]+")
+        return F.array_intersect(F.transform(ids, lambda i: F.regexp_replace(i, r"(?:-only|-or-later|\+)?[.]*$", "")), tags)
+
     def matches(r):
         gaps = F.transform(F.split(body, r["pattern"], -1), F.length)
-        sizes = F.transform(F.regexp_extract_all(body, r["pattern"], F.lit(0)), F.length)
-        rows = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda m: m["size"].isNotNull())
+        texts = F.regexp_extract_all(body, r["pattern"], F.lit(0))
+        own = F.transform(texts, lambda t: F.struct(F.length(t).alias("size"), F.when(r["label"].isNull(), tagged(t)).otherwise(F.array(r["label"])).alias("labels")))
+        rows = F.filter(F.arrays_zip(gaps.alias("gap"), own.alias("own")), lambda m: m["own"].isNotNull())
         return F.transform(rows, lambda m, i: F.struct(r["n"].alias("n"), r["tier"].alias("tier"), r["sure"].alias("sure"),
-                                                       r["label"].alias("label"), i.alias("i"), m["gap"].alias("gap"), m["size"].alias("size")))
+                                                       m["own"]["labels"].alias("labels"), i.alias("i"), m["gap"].alias("gap"), m["own"]["size"].alias("size")))
 
     rows = own.select("x", "y", F.explode(F.flatten(F.transform(fit, matches))).alias("m")).select("x", "y", "m.*") \
         .dropDuplicates(["x", "y", "n", "i"])
@@ -234,21 +244,24 @@ def detections(docs: DataFrame, text: str) -> DataFrame:
     inside = F.lit(False)
     for t in tiers:
         inside = inside | (F.lit(t) <= F.col("tier")) & F.coalesce(F.col(f"end{t}") >= F.col("end"), F.lit(False))
-    return rows.where(~inside).select("x", "y", "label", "n", "sure", "start", "end")
+    return rows.where(~inside).select("x", "y", F.explode("labels").alias("label"), "n", "sure", "start", "end")
 
 
 def _keys(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
 
 
+@any_names
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
     ``labels`` (arrays), ``found`` (array of start, end, label: what the rules found) and ``score``."""
     a, b, found, fx, fy, sure = unused(docs, "x", "y", "found", "fx", "fy", "sure")
     x, y = _keys(docs[text])
-    t, low = unused(docs, "text", "lower")
-    own = docs.withColumns({a: x, b: y, t: F.coalesce(docs[text], F.lit("")), low: F.lower(F.coalesce(docs[text], F.lit("")))})
-    own = add(own, n_words=n_words(F.col(t)), **_base(F.col(t), F.col(low)))
+    t, low, *counts = unused(docs, "text", "lower", *[f"count{i}" for i in range(len(BASE))])
+    own = docs.withColumns({a: x, b: y, t: F.coalesce(docs[text], F.lit("")), low: lower_ascii(F.coalesce(docs[text], F.lit("")))})
+    # in a select of their own, so that each is computed once
+    own = own.withColumns(dict(zip(counts, _counts(F.col(t), F.col(low)))))
+    own = add(own, n_words=n_words(F.col(t)), **_base(F.col(t), [F.col(c) for c in counts]))
     own = own.select(*dict.fromkeys([*(docs.columns if keep is None else keep), "n_words", "n_base", "first_word", "last_word", "base_labels", a, b]))
     by_text = detections(docs, text).groupBy(F.col("x").alias(fx), F.col("y").alias(fy)).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias(found), F.max("sure").alias(sure))

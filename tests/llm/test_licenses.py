@@ -22,7 +22,9 @@ def test_base_equals_brute_force(spark):
     ("see https://creativecommons.org/licenses/by-sa/4.0/ ok", {"cc-by-sa-4.0"}),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy", {"mit"}),
     ("The Mozilla Public License, v. 2.0 applies", {"mpl-2.0"}),
-    ("a mitigating license", set()), ("no word of it", set()), (None, set()),
+    ("Released under the Expat License.", {"mit"}), ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+    ("// spdx-license-identifier: (GPL-2.0-or-later WITH x-exception AND BSD-3-Clause) OR MIT.", {"gpl-2.0", "bsd-3-clause", "mit"}),
+    ("SPDX-License-Identifier: unheard-of\nMIT License", {"mit"}), ("a mitigating license", set()), ("no word of it", set()), (None, set()),
 ])
 def test_labels(spark, text, labels):
     got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
@@ -42,6 +44,25 @@ def test_many_matches_in_one_text(spark):
     assert [(r["n_base"], r["labels"], len(r["found"])) for r in got] == [(6000, ["apache", "apache-2.0", "mit"], 6000)] * 2
 
 
+def test_what_a_rule_finds_holds_a_keyword_of_it():
+    """Every way through a pattern (its alternatives, options and repeats taken as they come) must pass the gate."""
+    import re
+
+    from hypothesis import HealthCheck, given, settings, strategies as st
+
+    def gated(r, pattern):
+        @settings(max_examples=25, deadline=None, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(pattern))
+        def holds(text):
+            m = pattern.search(text)
+            assert set(re.split("[^a-z0-9]+", brute.lower(m[0]))) & set(r["keywords"]), (r["label"], m[0])
+
+        holds()
+
+    for r in licenses.rules():
+        gated(r, re.compile(r["pattern"].replace("*+", "*").replace("++", "+"), re.A))
+
+
 def test_there_are_hundreds_of_rules():
     assert len(licenses.rules()) > 300
 
