@@ -23,17 +23,20 @@ judged each for itself; input columns named like the results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .frames import hash52, lower_ascii, saved
-from .words import ALNUM, covered, grams, groups, lists
+from .frames import any_names, hash52, lower_ascii, saved
+from .words import ALNUM, covered, grams, groups, lists, mixed
 
 WINDOW = 10
 K, W = 5, 6
 BLOCK_WORDS = 2_000_000
 CHAIN = 4
+TURN = 500_000  # pairs of places that are compared at once
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -80,29 +83,54 @@ class Block:
             own = np.flatnonzero(np.minimum(size, WINDOW) == n)
             g = grams(self.word[own], k)
             at = winnow(g, self.piece[own], k, w)
-            order = np.argsort(g[at], kind="stable")
-            self.table[n] = (k, w, g[at][order], own[at][order])
+            # places whose words around them are equal, as far as a window can reach, tell the same: one of them stands for all
+            around = self._around(own[at], k, n)
+            order = np.lexsort((around, g[at]))
+            prints, around, place = g[at][order], around[order], own[at][order]
+            new = np.ones(len(order), bool)
+            new[1:] = (prints[1:] != prints[:-1]) | (around[1:] != around[:-1])
+            group = np.cumsum(new) - 1
+            items = np.unique(np.stack([group, self.item[place]], axis=1), axis=0) if len(order) else np.zeros((0, 2), np.int64)
+            self.table[n] = (k, w, prints[new], place[new], np.searchsorted(items[:, 0], np.arange(int(new.sum()) + 1)), items[:, 1])
+
+    def _around(self, place: np.ndarray, k: int, n: int) -> np.ndarray:
+        """Hash of the words from n - k before to n - k behind each gram; none beyond its piece."""
+        h = np.zeros(len(place), np.uint64)
+        for x in range(k - n, n):
+            j = np.clip(place + x, 0, max(len(self.word) - 1, 0))
+            here = (place + x == j) & (self.piece[j] == self.piece[place])
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + np.where(here, self.word[j] | np.uint64(1), np.uint64(0)) + np.uint64(x + n))
+        return h
 
     def matches(self, word: np.ndarray, doc: np.ndarray):
-        """start, end (word numbers) and item of the runs of WINDOW words and more, as far as the seeds see."""
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-        for n, (k, w, prints, place) in self.table.items():
+        """Which words stand in a run of WINDOW words and more, and the distinct pairs of text and item that share one.
+
+        Worked through in turns: of each only the words hit and the pairs are kept."""
+        hit, pairs = np.zeros(len(word), bool), [np.zeros((0, 2), np.int64)]
+        for n, (k, w, prints, place, first, items) in self.table.items():
             g = grams(word, k)
             seed = winnow(g, doc, k, w)
             lo = np.searchsorted(prints, g[seed], "left")
             hi = np.searchsorted(prints, g[seed], "right")
             some = hi > lo
             seed, lo, count = seed[some], lo[some], (hi - lo)[some]
-            step = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(count) // 500_000)) + 1, [len(seed)]])
+            step = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(count) // TURN)) + 1, [len(seed)]])
             for a, b in zip(step[:-1], step[1:]):  # seeds with many places in the benchmark: in turns
                 if a < b:
                     c = count[a:b]
                     p = np.repeat(seed[a:b], c)
-                    q = place[np.repeat(lo[a:b], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-                    out.append(self._extended(word, doc, p, q, k, n))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    def _extended(self, word, doc, p, q, k, n):
+                    of = np.repeat(lo[a:b], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                    start, end, of = self._extended(word, doc, p, place[of], of, k, n)
+                    hit |= covered(len(word), start, end)
+                    both = np.unique(np.stack([doc[start], of], axis=1), axis=0)
+                    size = (first[1:] - first[:-1])[both[:, 1]]
+                    at = np.repeat(first[both[:, 1]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    pairs.append(np.unique(np.stack([np.repeat(both[:, 0], size), items[at]], axis=1), axis=0))
+                    if sum(map(len, pairs[1:])) > TURN:
+                        pairs = [pairs[0], np.unique(np.concatenate(pairs), axis=0)]
+        return hit, np.unique(np.concatenate(pairs), axis=0)
+
+    def _extended(self, word, doc, p, q, of, k, n):
         def same(i, j):
             ok = (i >= 0) & (i < len(word)) & (j >= 0) & (j < len(self.word))
             i, j = np.where(ok, i, 0), np.where(ok, j, 0)
@@ -111,7 +139,7 @@ class Block:
         whole = np.ones(len(p), bool)
         for x in range(k):
             whole &= same(p + x, q + x)
-        p, q = p[whole], q[whole]
+        p, q, of = p[whole], q[whole], of[whole]
         left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         for size, sign, origin in ((left, -1, 0), (right, 1, k - 1)):
             going = np.ones(len(p), bool)
@@ -119,11 +147,11 @@ class Block:
                 going &= same(p + origin + sign * x, q + origin + sign * x)
                 size += going
         ok = left + k + right >= n
-        return (p - left)[ok], (p + k + right)[ok], self.item[q][ok]
+        return (p - left)[ok], (p + k + right)[ok], of[ok]
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> list[Block]:
-    """The benchmark in blocks of at most ``block_words`` words, each read for itself."""
+def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[tuple[Block, bool]]:
+    """The benchmark in blocks of at most ``block_words`` words, each read when its turn comes, and whether it is the last."""
     step = max(WINDOW, block_words // 8) - (WINDOW - 1)  # words a piece adds
     words = F.regexp_extract_all(lower_ascii(F.coalesce(benchmark[text], F.lit(""))), F.lit(WORD), F.lit(0))
     items = benchmark.select(F.coalesce(benchmark[item_id].cast("string"), F.lit("null")).alias("name"), words.alias("w"))
@@ -139,11 +167,9 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLO
         most = sizes.where("pieces > 1").agg(F.max("n")).first()[0] or 0
         if most > block_words:
             n = max(2 * n, -(-most * n // block_words))
-    out = []
     for b in range(n):
         rows = pieces.where(F.pmod("h", F.lit(n)) == b).select("name", "t").collect()
-        out.append(Block([(r["name"], r["t"]) for r in rows]))
-    return out
+        yield Block([(r["name"], r["t"]) for r in rows]), b == n - 1
 
 
 def _annotate(names: list[str], text: str, block, more: bool, drop: set[str]):
@@ -152,24 +178,22 @@ def _annotate(names: list[str], text: str, block, more: bool, drop: set[str]):
         for batch in batches:
             found = {k: [] for k in RESULT.names}
             for g in groups(batch.column(names.index(text)), ALNUM, True):
-                start, end, item = block.value.matches(g.hash, g.doc)
-                known = [block.value.names[i] for i in item]
-                owner = g.doc[start] if len(start) else np.zeros(0, np.int64)
+                shared, pairs = block.value.matches(g.hash, g.doc)
                 n = np.bincount(g.doc, minlength=g.texts)
                 begin = np.concatenate([[0], np.cumsum(n)])
                 items = {}
-                for o, x in set(zip(owner.tolist(), known)):
-                    items.setdefault(o, set()).add(x)
+                for o, x in pairs.tolist():
+                    items.setdefault(o, set()).add(block.value.names[x])
                 if more:
                     old_items = batch.column(names.index("items")).slice(g.first, g.texts).to_pylist()
                     old_spans = batch.column(names.index("spans")).slice(g.first, g.texts).to_pylist()
                     for i, (a, b) in enumerate(zip(old_items, old_spans)):
                         if a:
                             items.setdefault(i, set()).update(a)
-                            start = np.concatenate([start, [x["start"] + begin[i] for x in b]]).astype(np.int64)
-                            end = np.concatenate([end, [x["end"] + begin[i] for x in b]]).astype(np.int64)
+                            for x in b:
+                                shared[x["start"] + begin[i]:x["end"] + begin[i]] = True
                 hit = np.zeros(len(g.hash) + 2, bool)
-                hit[1:-1] = covered(len(g.hash), start, end)
+                hit[1:-1] = shared
                 cut = np.zeros(len(hit), bool)  # runs end with their text
                 cut[begin[1:-1] + 1] = True
                 on = np.flatnonzero(hit[1:] & (~hit[:-1] | cut[1:]))
@@ -186,6 +210,7 @@ def _annotate(names: list[str], text: str, block, more: bool, drop: set[str]):
     return run
 
 
+@any_names
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``n_words``, ``items`` (names of the items found, sorted as strings) and
@@ -197,9 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     taken = {n.lower() for n in RESULT.names}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     out = docs.select(*keep, *([text] if text not in keep else []))
-    parts = blocks(benchmark, item_id, item_text, block_words)
-    for i, block in enumerate(parts):
-        last = i == len(parts) - 1
+    for i, (block, last) in enumerate(blocks(benchmark, item_id, item_text, block_words)):
         drop = {text} - set(keep) if last else set()
         fields = [f for f in out.schema.fields if f.name.lower() not in taken and f.name not in drop]
         schema = T.StructType([*fields, *RESULT.fields])

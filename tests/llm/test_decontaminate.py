@@ -19,7 +19,7 @@ def test_equals_brute_force_in_one_block_and_in_many(spark):
     whole = decontaminate.contamination(docs, items)
     assert set(docs.columns) <= set(whole.columns)
     assert ordered(digest(whole.collect())) == want
-    few = decontaminate.blocks(items, "item_id", "text", block_words=80)
+    few = list(decontaminate.blocks(items, "item_id", "text", block_words=80))
     assert len(few) > decontaminate.CHAIN  # also goes through a checkpoint
     assert ordered(digest(decontaminate.contamination(docs, items, block_words=80).collect())) == want
 
@@ -40,13 +40,27 @@ def test_many_copies_and_items_without_an_id(spark):
     items = [(1, text("copy"))] * 200 + [(None, text(f"n{i}")) for i in range(100)] + [(i, text("equal")) for i in range(2, 60)]
     docs = [(1, "a " + text("copy") + " b"), (2, text("n7") + " " + text("n93")), (3, text("equal")), (4, "none")]
     rows = spark.createDataFrame(items, "item_id bigint, text string")
-    parts = decontaminate.blocks(rows, "item_id", "text", block_words=1500)
+    parts = [b for b, _ in decontaminate.blocks(rows, "item_id", "text", block_words=1500)]
     assert len(parts) > 1 and max(len(p.word) for p in parts) <= 1500
-    assert sum(len(p.word) for p in decontaminate.blocks(rows.where("item_id = 1"), "item_id", "text", block_words=1500)) == 30
+    assert sum(len(p.word) for p, _ in decontaminate.blocks(rows.where("item_id = 1"), "item_id", "text", block_words=1500)) == 30
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), rows, block_words=1500)
     assert ordered(digest(got.collect())) == ordered(brute.contamination(docs, items))
 
 
+def test_equal_words_over_and_over():
+    import resource
+    import time
+    texts = ["same " * 100_000, "a b " * 20_000 + "c", "same " * 9, "x " + "same " * 10 + "y"]
+    items = [("one", "same " * 10_000), ("two", "b a " * 3_000), ("three", "same " * 8 + "z"), ("four", "same " * 500)]
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    block = decontaminate.Block(items)
+    for g in decontaminate.groups(decontaminate.pa.array(texts), decontaminate.ALNUM, True):
+        hit, pairs = block.matches(g.hash, g.doc)
+    assert time.time() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert [(int(d), block.names[i]) for d, i in pairs] == [(0, "four"), (0, "one"), (1, "two"), (3, "four"), (3, "one")]
+    assert [int(hit[g.doc == d].sum()) for d in range(4)] == [100_000, 40_000, 0, 10]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     docs = documents(spark)
