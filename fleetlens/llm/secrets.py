@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import add, saved, unused
+from .frames import add, any_names, column, saved, unused
 
 
 class Rule(NamedTuple):
@@ -45,12 +45,12 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA"),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", gate="PRIVATE KEY"),
-    Rule("github", _B + r"(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{60,255})" + _E, gate="gh[pousr]_|github_pat_"),
-    Rule("slack", _B + r"xox[abeoprs]-[A-Za-z0-9-]{10,250}", gate="xox[abeoprs]-"),
+    Rule("github", _B + r"(?:gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{60,}+)" + _E, gate="gh[pousr]_|github_pat_"),
+    Rule("slack", _B + r"xox[abeoprs]-[A-Za-z0-9-]{10,}+", gate="xox[abeoprs]-"),
     Rule("google", _B + r"AIza[A-Za-z0-9_-]{35}" + _E, gate="AIza"),
-    Rule("stripe", _B + r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,200}" + _E, gate="k_live_|k_test_"),
-    Rule("jwt", _B + r"eyJ[A-Za-z0-9_-]{10,4000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000}", gate="eyJ"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{3,100}@", gate="://"),
+    Rule("stripe", _B + r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+" + _E, gate="k_live_|k_test_"),
+    Rule("jwt", _B + r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", gate="eyJ"),
+    Rule("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]++://[^\s/:@]++:[^\s/:@]{3,}+@", gate="://"),
 )
 
 
@@ -70,7 +70,7 @@ def _places(text: Column, rule: Rule) -> Column:
 def unseen(docs: DataFrame, text: str, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``blob, text, versions``: each blob once, with the rule versions that have not seen it."""
     versions = F.array(*[F.lit(r.version) for r in rules])
-    blobs = docs.select(address(docs[text]).alias("blob"), F.coalesce(docs[text], F.lit("")).alias("text")).dropDuplicates(["blob"])
+    blobs = docs.select(address(column(docs, text)).alias("blob"), F.coalesce(column(docs, text), F.lit("")).alias("text")).dropDuplicates(["blob"])
     if ledger is None:
         return blobs.withColumn("versions", versions)
     seen = ledger.groupBy("blob").agg(F.collect_set("version").alias("seen"))  # at most one of each version in use
@@ -107,12 +107,13 @@ def by_blob(findings: DataFrame) -> DataFrame:
     return findings.groupBy("blob").agg(F.array_sort(F.collect_list(one)).alias("found"))
 
 
+@any_names
 def report(docs: DataFrame, text: str, findings: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or the columns ``keep``) with ``blob`` and ``found`` (array of start, rule, end, kind)."""
-    b, = unused(docs, "blob")
+    b, f = unused(docs, "blob", "blobfound")
     paths = docs.withColumn(b, address(docs[text])).select(*(docs.columns if keep is None else keep), b)
     # kept apart, so that both sides of the join are dealt out for it and a common blob's paths can be split
-    rows = saved(by_blob(findings)).select(F.col("blob").alias(b), F.col("found").alias(b + "found"))
+    rows = saved(by_blob(findings)).select(F.col("blob").alias(b), F.col("found").alias(f))
     out = paths.join(rows, b, "left")
-    none = F.array().cast(rows.schema[b + "found"].dataType)
-    return add(out, blob=out[b], found=F.coalesce(out[b + "found"], none)).drop(b, b + "found")
+    none = F.array().cast(rows.schema[f].dataType)
+    return add(out, blob=out[b], found=F.coalesce(out[f], none)).drop(b, f)

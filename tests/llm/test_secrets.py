@@ -42,6 +42,15 @@ def test_own_kinds(spark):
     assert [f["kind"] for f in found] == ["github", "private_key", "google", "url_login", "slack"]
 
 
+def test_long_tokens_are_found_whole(spark):
+    long = "A1b-" * 2_000
+    tokens = [f"eyJ{long}.eyJ{long}.{long}", "xoxb-" + "1a2b" * 100, "ghp_" + "a1B2" * 100, "sk_live_" + "a1B2" * 100, "scheme://" + "u" * 500 + ":" + "p" * 500 + "@"]
+    docs = spark.createDataFrame([(1, " ".join(tokens))], "doc_id bigint, text string")
+    found = secrets.report(docs, "text", secrets.scan(secrets.unseen(docs, "text", None))).first()["found"]
+    text = " ".join(tokens)
+    assert [text[f["start"]:f["end"]] for f in found if f["kind"] in ("jwt", "slack", "github", "stripe", "url_login")] == tokens
+
+
 def test_registered_query(spark, sf):
     got = queries.op6_secrets(spark, sf.dir).collect()
     assert ordered(tuple(r)[:5] for r in got) == ordered(brute.secrets(sf("documents", "doc_id", "text")))
