@@ -40,7 +40,7 @@ def add(df: DataFrame, **cols: Column) -> DataFrame:
 
     Columns keep the case given here; every expression may still read the old value.
     """
-    keep = [df[c] for c in df.columns if c.lower() not in {n.lower() for n in cols}]
+    keep = [column(df, c) for c in df.columns if c.lower() not in {n.lower() for n in cols}]
     return df.select(*keep, *[c.alias(n) for n, c in cols.items()])
 
 
@@ -50,7 +50,7 @@ def apart(df: DataFrame, *names: str):
     other = dict(zip(mine, unused(df, *[f"own_{c}" for c in mine])))
 
     def restored(out: DataFrame) -> DataFrame:
-        return out.select(*[out[other.get(c, c)].alias(c) for c in df.columns])
+        return out.select(*[column(out, other.get(c, c)).alias(c) for c in df.columns])
 
     return df.withColumnsRenamed(other), restored
 
@@ -85,7 +85,7 @@ def uniform(*parts: Column) -> Column:
 
 def row_hash(df: DataFrame) -> list[Column]:
     """128 bits that stand for a whole row (equal rows, equal hash; never null)."""
-    cols = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else df[f.name] for f in df.schema.fields]
+    cols = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else column(df, f.name) for f in df.schema.fields]
     return [F.xxhash64(F.lit(1), *cols), F.xxhash64(F.lit(2), *cols)]
 
 

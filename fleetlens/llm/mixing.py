@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import add, uniform, unused
+from .frames import add, any_names, uniform, unused
 
 CHUNK = 16.0
 STEPS = 120  # P(Poisson(16) > 120) is far below 2 ** -52
@@ -99,6 +99,7 @@ def shuffled(df: DataFrame, key: str, seed: str = SEED, partitions: int | None =
               .sortWithinPartitions("position", key, "copy")
 
 
+@any_names
 def mix(df: DataFrame, source: str = "source", key: str = "doc_id", seed: str = SEED,
         weights: dict | None = None, alpha: float = ALPHA, epochs: float = 1.0) -> DataFrame:
     """Replicate and shuffle: the columns of ``df``, ``copy`` and ``position``."""

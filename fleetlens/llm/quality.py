@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .frames import add, unused
+from .frames import add, any_names, unused
 from .words import NOT_SPACE, covered, grams, groups, mixed
 
 NGRAM = 5
@@ -139,6 +139,7 @@ def _lines(g) -> tuple[np.ndarray, np.ndarray]:
     return count, dup
 
 
+@any_names
 def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or the columns ``keep``) with the measures the rules look at."""
     taken = {n.lower() for n in MEASURES.names}
@@ -183,6 +184,7 @@ def posteriors(measured: DataFrame) -> DataFrame:
     return measured.sparkSession.createDataFrame(rows, "pattern string, quality double")
 
 
+@any_names
 def judged(measured: DataFrame, table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``measured`` with ``quality`` (posterior), ``base_failed`` and ``kept``."""
     p, q = unused(measured, "pattern", "quality")

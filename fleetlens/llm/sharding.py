@@ -22,7 +22,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .frames import add, hash52, unused
+from .frames import add, any_names, hash52, unused
 
 MAX_SLOTS = 1 << 20  # bound of what is broadcast: 16 MB
 SHARDS, SLOTS = 64, 6553  # production parameters: 100 slots a shard and more
@@ -67,10 +67,11 @@ def shard_names(n: int) -> list[str]:
     return [f"shard-{i:05d}" for i in range(n)]
 
 
+@any_names
 def place(df: DataFrame, key: Column, shards: list[str], size: int) -> DataFrame:
     """``df`` with ``slot`` and ``shard`` of each row, by one broadcast join."""
-    k, = unused(df, "slot")
+    k, s = unused(df, "slot", "slots")
     table = slots_frame(df.sparkSession, shards, size)
     keyed = df.withColumn(k, F.pmod(hash52(key), F.lit(size)))
-    out = keyed.join(F.broadcast(table.select(F.col("slot").alias(k), F.col("shard").alias(k + "s"))), k)
-    return add(out, slot=out[k], shard=out[k + "s"]).drop(k, k + "s")
+    out = keyed.join(F.broadcast(table.select(F.col("slot").alias(k), F.col("shard").alias(s))), k)
+    return add(out, slot=out[k], shard=out[s]).drop(k, s)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .components import components
-from .frames import row_hash, saved, unused
+from .frames import any_names, row_hash, saved, unused
 
 WORDS, BITS, SEGMENTS = 4, 4, 3
 SEED = 42
@@ -126,6 +126,7 @@ def classes(prints: DataFrame, doc_id: str = "doc_id", bits: int = BITS, segment
     return saved(named.join(smallest, "root").select("fingerprint", "root", "component_id"))
 
 
+@any_names
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                     bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each row of ``docs``."""
@@ -133,6 +134,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(classes(prints, doc_id, bits, segments), "fingerprint").select(doc_id, "fingerprint", "component_id")
 
 
+@any_names
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                 bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
     """One row of each component: the one with the smallest doc_id (null last; then by row hash).

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import add, row_hash, saved, unused
+from .frames import add, any_names, row_hash, saved, unused
 
 HEADERS = "array<struct<name:string,value:string>>"
 #: fixed values of the HTTP caching rules: fields of a 304 that don't replace stored ones
@@ -60,6 +60,7 @@ def _strong(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
+@any_names
 def resolve(records: DataFrame, url: str = "url", time: str = "ts", status: str = "status", headers: str = "headers",
             body: str = "body", key: str = "record_id", partitions: int | None = None) -> DataFrame:
     """The revisits (status 304) of ``records``, with ``status``, ``headers`` and ``body`` of the merged answer,
@@ -69,7 +70,7 @@ def resolve(records: DataFrame, url: str = "url", time: str = "ts", status: str
     """
     spark = records.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x, y = unused(records, "x", "y")
+    x, y, xs, xb, xh = unused(records, "x", "y", "xstatus", "xbody", "xheaders")
     marked = records.withColumns(dict(zip((x, y), row_hash(records)))).where(F.col(status).isin(200, 304))
     others = [c for c in records.columns if c != body]
     full = F.col(status) == 200
@@ -104,8 +105,8 @@ def resolve(records: DataFrame, url: str = "url", time: str = "ts", status: str
     out = asof.join(stored, (asof["rx"] == stored["x"]) & (asof["ry"] == stored["y"]), "left")
     s, o, hit = F.col("stored"), F.col("own"), F.col("stored").isNotNull()
     out = out.select(*[o[c].alias(c) for c in others], F.col("outcome").alias(x), s[key].alias(y),
-                     F.coalesce(s[status], o[status]).alias(x + "status"), s[body].alias(x + "body"),
-                     F.when(hit, merged(s[headers], o[headers])).otherwise(o[headers]).alias(x + "headers"))
-    out = add(out, **{status: out[x + "status"], headers: out[x + "headers"], body: out[x + "body"],
+                     F.coalesce(s[status], o[status]).alias(xs), s[body].alias(xb),
+                     F.when(hit, merged(s[headers], o[headers])).otherwise(o[headers]).alias(xh))
+    out = add(out, **{status: out[xs], headers: out[xh], body: out[xb],
                       "refers_to": out[y], "outcome": out[x]})
-    return out.drop(x, y, *[x + c for c in ("status", "body", "headers")])
+    return out.drop(x, y, xs, xb, xh)

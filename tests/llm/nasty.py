@@ -5,7 +5,7 @@ import random
 from pyspark.sql import types as T
 
 CLASH = ("n_words", "copy", "position", "fingerprint", "kept", "removed", "items", "spans", "blob", "found", "labels",
-         "slot", "shard", "quality", "x", "y", "_x", "text_", "n_chars", "score", "outcome", "refers_to")
+         "slot", "shard", "a.b", "_slots", "_blobfound", "_xstatus", "we`ird", "with space", "quality", "x", "y", "_x", "text_", "n_chars", "score", "outcome", "refers_to")
 
 
 def texts(seed=7):
