@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -34,6 +36,7 @@ from .frames import any_names, row_hash, saved, unused
 MIN_WORDS = 50
 #: for sentences: a passage of 50 words loses those of the sentences at its two ends that are joined to other text
 PASSAGE_WORDS = 30
+ROWS = 500
 #: between sentences of a line: white space after an end mark (and a closing quote or bracket); after an ideographic one also none
 _ENDS = r"[.!?…‼⁇-⁉․‥．！？﹒﹖﹗。｡]"
 BREAK = re.compile(rf"(?:(?<={_ENDS})|(?<={_ENDS}[\"'’”)\]＂＇）］]))[^\S\n]+|(?<=[。｡])(?=\S)")
@@ -42,10 +45,18 @@ RESULT = T.StructType([T.StructField("kept", SPAN), T.StructField("removed", SPA
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def digest(line: str) -> int | None:
+def digest(line: str) -> bytes | None:
     """128 bits of the normalised line (null: it has no word)."""
     words = unicodedata.normalize("NFKC", line).casefold().split()
-    return xxhash.xxh3_128_intdigest(" ".join(words)) if words else None
+    return xxhash.xxh3_128_digest(" ".join(words)) if words else None
+
+
+def _slices(batches):
+    """The batches in parts of ``ROWS`` rows, so that a task's Python holds the units of few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+            pa.default_memory_pool().release_unused()
 
 
 def spans(text: str, sentences: bool) -> list[tuple[int, int]]:
@@ -64,22 +75,21 @@ def spans(text: str, sentences: bool) -> list[tuple[int, int]]:
 
 def _units(sentences: bool):
     """One row for each unit with a word: the text's row, the unit's number and digest."""
-    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
 
     def run(batches):
-        for batch in batches:
-            doc, number, high, low = [], [], [], []
+        for batch in _slices(batches):
+            doc, number, digests = array("q"), array("i"), []
             for i, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
                 for n, (a, b) in enumerate(spans(text, sentences)):
                     if (d := digest(text[a:b])) is not None:
                         doc.append(i)
                         number.append(n)
-                        high.append(signed(d >> 64))
-                        low.append(signed(d & (1 << 64) - 1))
-            rows = pa.array(doc, pa.int64())
+                        digests.append(d)
+            rows = pa.array(np.frombuffer(doc, np.int64))
+            key = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(rows) for c in ("id", "x", "y")] + [pa.array(number, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())],
+                [batch.column(c).take(rows) for c in ("id", "x", "y")] + [pa.array(np.frombuffer(number, np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy())],
                 names=["id", "x", "y", "line", "h", "l"])
     return run
 
@@ -117,7 +127,7 @@ def cut(text: str | None, repeats: set[int], every: bool, min_words: int, senten
 
 def _cutter(names: list[str], text: str, out: list[str], lines: str, copy: str, min_words: int, sentences: bool):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             done = [cut(t.as_py(), set(r.as_py() or ()), c.as_py() > 0, min_words, sentences) for t, r, c in zip(
                 batch.column(names.index(text)), batch.column(names.index(lines)), batch.column(names.index(copy)))]
             new = {text: pa.array([d[0] for d in done], pa.string()), "kept": pa.array([d[1] for d in done], _SPAN),
