@@ -34,5 +34,5 @@ def lifecycle_stream(stream: DataFrame, action, stop_ok=None, key="user_id", eve
     from fleetlens.streaming.monitor import lifecycle_monitor
     keys = [key] if isinstance(key, str) else list(key)
     out = lifecycle_monitor(stream, action, F.lit(False), F.lit(False), F.lit(None), key=keys, event_id=event_id, ts=ts,
-                            lateness=lateness, stop_ok=stop_ok)
-    return out.filter("kind = 'verdict'").select(event_id, *keys, "action", F.col("outcome").alias("verdict"))
+                            lateness=lateness, stop_ok=stop_ok, outcomes=False)
+    return out.select(event_id, *keys, "action", F.col("outcome").alias("verdict"))

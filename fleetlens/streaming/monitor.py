@@ -20,9 +20,16 @@ watermark passing its deadline (an event-time timeout, re-armed to the
 earliest waiting row or open deadline).  At the end of a finite stream the rows within the
 last ``lateness`` still wait.
 
-State holds the flags, the open items and the waiting rows (Arrow bytes): what came within the lateness
-and one micro-batch, so give file sources a limit per trigger if files come in the order of time (else
-rows behind the watermark are lost).  State never
+With ``already_exited``, a stop request of a task whose last start or exit before it is an exit is
+``already_exited`` (T4), at once.
+
+No state value grows with a key.  Waiting rows lie in *leaves*, entries of a map by the time that each begins at; a
+leaf of more than ``LEAF`` rows is cut in two at its median time, so an entry holds at most that many (and those of one
+microsecond).  Rows are judged leaf by leaf, in order, with only the flags carried on, and written out as they are judged.  Open starts and
+stops lie in packs of at most ``LEAF`` in the order of time.  So a task needs memory for a leaf and an Arrow batch of input, also for a
+key with a third of all rows in one micro-batch.
+
+Rows behind the watermark are dropped by Spark, so a limit per trigger is for files that come in the order of time.  State never
 expires while a task runs; with ``ttl_s``, that of a task that was started and stopped is
 dropped so long after its last event (a later event finds an unknown task).
 """
@@ -33,8 +40,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType,
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import (BinaryType, BooleanType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
 from fleetlens.fixed import KILL_WAIT_S, TERMINATE_WAIT_S
@@ -42,145 +50,242 @@ from fleetlens.functions.times import ntz_to_instant
 from fleetlens.streaming.lifecycle import judge_arrays
 
 US = 1_000_000
+LEAF = 4096
 NEVER, RUNNING, EXITED = 0, 1, 2  # current status
-_ROWS = ["_id", "_us", "action", "launch_exit", "stop_exit", "rc", "stop_ok"]
+_ROWS = ["lm_id", "lm_us", "action", "launch_exit", "stop_exit", "rc", "stop_ok"]
+_FLAGS = StructType([
+    StructField("started", BooleanType()), StructField("stopped", BooleanType()), StructField("last_us", LongType()),
+    StructField("cur", IntegerType()), StructField("cur_rc", IntegerType()), StructField("timer_ms", LongType()),
+    # packs of open items: the first and the next number, and the first one's earliest time
+    *[StructField(f"{k}_{x}", LongType()) for k in ("launch", "stop") for x in ("first", "next", "us")]])
+_PLACE, _PACK = StructType([StructField("at", LongType())]), StructType([StructField("rows", BinaryType())])
 
 
-def _state(id_type) -> StructType:
-    longs, ids = ArrayType(LongType()), ArrayType(id_type)
-    return StructType([
-        StructField("started", BooleanType()), StructField("stopped", BooleanType()),
-        StructField("ps_id", ids), StructField("ps_ts", longs), StructField("pt_id", ids), StructField("pt_ts", longs),
-        StructField("last_us", LongType()), StructField("cur", IntegerType()), StructField("cur_rc", IntegerType()),
-        StructField("waiting", BinaryType())])
+def _packed(rows: pa.Table) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_table(rows)
+    return (sink.getvalue().to_pybytes(),)
 
 
-def _packed(rows: pd.DataFrame) -> bytes | None:
-    if rows is None or rows.empty:
-        return None
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _unpacked(value) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(value[0]))).read_all()
 
 
-def _unpacked(data) -> pd.DataFrame | None:
-    return None if data is None else pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_pandas()
+class Monitor(StatefulProcessor):
+    """The monitor of one key; waits in microseconds.  ``outcomes``: whether launches, stops and the status are given as well."""
 
+    def __init__(self, keys: list[str], id_name: str, types: pa.Schema, grace: int, term: int, kill: int, ttl: int | None,
+                 already_exited: bool, outcomes: bool, leaf: int = LEAF):
+        self.keys, self.id_name, self.types, self.leaf = keys, id_name, types, leaf
+        self.wait = {"launch": grace, "stop": term + kill}
+        self.term, self.ttl, self.already_exited, self.outcomes = term, ttl, already_exited, outcomes
 
-def _make_fn(key_names, id_name, grace_us, term_us, kill_us, ttl_us):
-    columns = [*key_names, id_name, "kind", "action", "outcome", "returncode"]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flags = handle.getValueState("flags", _FLAGS)
+        self.leaves = handle.getMapState("leaves", _PLACE, _PACK)
+        self.open = {k: handle.getMapState(f"open_{k}", _PLACE, _PACK) for k in ("launch", "stop")} if self.outcomes else {}
 
-    def frame(key, ids, kind, actions, outcomes, rcs):
-        n = len(ids)
-        data = {k: [v] * n for k, v in zip(key_names, key)}
-        data |= {id_name: list(ids), "kind": [kind] * n, "action": list(actions), "outcome": list(outcomes),
-                 "returncode": pd.array([None if v is None or pd.isna(v) else int(v) for v in rcs], dtype="Int32")}
-        return pd.DataFrame(data, columns=columns)
-
-    def settle(ids, at, pos, exits, rows, name):
-        """(id, outcome, return code) of the items with a later exit, and the items left."""
-        done, left = [], []
-        exit_us, exit_rc = rows["_us"].to_numpy()[exits], rows["rc"].to_numpy(dtype=object)[exits]
-        for i, t, k in zip(ids, at, np.searchsorted(exits, pos, side="right")):
-            if k == len(exits):
-                left.append((i, t))
-                continue
-            delay = int(exit_us[k]) - int(t)
-            if name == "launch":
-                failed = delay <= grace_us
-                done.append((i, "launch_failed" if failed else "launched", exit_rc[k] if failed else None))
-            else:
-                done.append((i, "terminated" if delay <= term_us else "killed" if delay <= term_us + kill_us else "not_stopped", None))
-        return done, left
-
-    def fn(key, pdfs, state):
-        if state.exists:
-            st, sp, ps_id, ps_ts, pt_id, pt_ts, last, cur, cur_rc, waiting = state.get
-        else:
-            st, sp, ps_id, ps_ts, pt_id, pt_ts, last, cur, cur_rc, waiting = False, False, [], [], [], [], None, NEVER, None, None
-        open_items = {"launch": list(zip(ps_id or [], ps_ts or [])), "stop": list(zip(pt_id or [], pt_ts or []))}
-        wm_ms = state.getCurrentWatermarkMs()
-        wm = wm_ms * 1000
-        ready, later = [], []  # what each chunk adds; chunks are split as they come
-        old = _unpacked(waiting)
-        for chunk in ([] if old is None else [old]) + ([] if state.hasTimedOut else list(pdfs)):
-            passed = chunk["_us"].to_numpy() <= wm
-            ready.append(chunk.loc[passed, _ROWS])
-            later.append(chunk.loc[~passed, _ROWS])
-        ready, later = [x for x in ready if len(x)], [x for x in later if len(x)]
+    def close(self) -> None:
+        pass
+
+    # ---- waiting rows
+
+    def _insert(self, places: list[int], rows: pa.Table) -> list[int]:
+        """Puts rows (in the order of time) into their leaves; returns where leaves begin."""
+        us = rows.column("lm_us").to_numpy()
+        if not places:
+            places = [int(us[0])]
+        of = np.maximum(np.searchsorted(np.array(places), us, "right") - 1, 0)
         out = []
-        if ready:
-            rows = (ready[0] if len(ready) == 1 else pd.concat(ready, ignore_index=True)) \
-                .sort_values(["_us", "_id"], kind="stable", ignore_index=True)
-            act = rows["action"].to_numpy(dtype=object)
-            ids, us = rows["_id"].tolist(), rows["_us"].to_numpy()
-            has = ~pd.isna(act)
-            if has.any():
-                v, st, sp = judge_arrays(act[has], rows["stop_ok"].to_numpy(bool)[has], bool(st), bool(sp))
-                out.append(frame(key, [i for i, h in zip(ids, has) if h], "verdict", act[has], v, [None] * int(has.sum())))
-            launch_exits, stop_exits = (np.flatnonzero(rows[c].to_numpy(bool)) for c in ("launch_exit", "stop_exit"))
-            for kind, word, exits in (("launch", "start", launch_exits), ("stop", "stop", stop_exits)):
-                new = np.flatnonzero(act == word)
-                items = open_items[kind] + [(ids[p], int(us[p])) for p in new]
-                pos = np.concatenate([np.full(len(open_items[kind]), -1), new])  # items from before stand before all rows
-                done, open_items[kind] = settle([i for i, _ in items], [t for _, t in items], pos, exits, rows, kind)
-                if done:
-                    out.append(frame(key, [d[0] for d in done], kind, [None] * len(done), [d[1] for d in done], [d[2] for d in done]))
-            life = np.flatnonzero((act == "start") | rows["launch_exit"].to_numpy(bool))
-            if len(life):
-                rc = rows["rc"].to_numpy(dtype=object)[life[-1]]
-                cur = RUNNING if act[life[-1]] == "start" else EXITED
-                cur_rc = None if cur == RUNNING or rc is None or pd.isna(rc) else int(rc)
-            last = int(us[-1])
-            out.append(frame(key, [ids[-1]], "status", [None], ["running" if cur == RUNNING else "idle"], [cur_rc]))
-        for kind, wait, outcome in (("launch", grace_us, "launched"), ("stop", term_us + kill_us, "not_stopped")):
-            due = [i for i, t in open_items[kind] if t + wait <= wm]
-            if due:
-                out.append(frame(key, due, kind, [None] * len(due), [outcome] * len(due), [None] * len(due)))
-                open_items[kind] = [(i, t) for i, t in open_items[kind] if t + wait > wm]
-        kept = None if not later else later[0] if len(later) == 1 else pd.concat(later, ignore_index=True)
-        next_us = [t + grace_us for _, t in open_items["launch"]] + [t + term_us + kill_us for _, t in open_items["stop"]]
-        next_us += [] if kept is None else [int(kept["_us"].min())]
-        finished = ttl_us is not None and st and sp and not next_us
-        if finished and last + ttl_us <= wm:
-            state.remove()
-        else:
-            launch, stop = open_items["launch"], open_items["stop"]
-            state.update((bool(st), bool(sp), [i for i, _ in launch], [t for _, t in launch], [i for i, _ in stop], [t for _, t in stop],
-                          last, int(cur), cur_rc, _packed(kept)))
-            if finished:
-                next_us = [last + ttl_us]
-            if next_us:
-                # fires once the watermark is past it, so at the due millisecond itself
-                state.setTimeoutTimestamp(int(max(-(-min(next_us) // 1000) - 1, wm_ms + 1)))
-        yield from out
-    return fn
+        for n, place in enumerate(places):
+            a, b = np.searchsorted(of, [n, n + 1])
+            if a == b:
+                out.append(place)
+                continue
+            own, at = rows.slice(a, b - a), min(place, int(us[a]))
+            if self.leaves.containsKey((place,)):
+                own = pa.concat_tables([_unpacked(self.leaves.getValue((place,))), own])
+                own = own.take(pa.array(np.argsort(own.column("lm_us").to_numpy(), kind="stable")))
+                if at != place:
+                    self.leaves.removeKey((place,))
+            time, begin = own.column("lm_us").to_numpy(), 0
+            while begin < len(time):  # one leaf, or as many of half the size as it takes
+                end = len(time) if len(time) - begin <= self.leaf else int(np.searchsorted(time, time[begin + self.leaf // 2], "left"))
+                if end <= begin:  # so many rows of one microsecond
+                    end = int(np.searchsorted(time, time[begin], "right"))
+                at = at if begin == 0 else int(time[begin])
+                self.leaves.updateValue((at,), _packed(own.slice(begin, end - begin)))
+                out.append(at)
+                begin = end
+        return out
+
+    # ---- open starts and stops
+
+    def _add_open(self, f: dict, kind: str, ids: pa.Array, us: np.ndarray) -> None:
+        for a in range(0, len(us), self.leaf):
+            if f[f"{kind}_first"] == f[f"{kind}_next"]:
+                f[f"{kind}_us"] = int(us[a])
+            self.open[kind].updateValue((f[f"{kind}_next"],), _packed(pa.table({"id": ids.slice(a, self.leaf), "us": us[a:a + self.leaf]})))
+            f[f"{kind}_next"] += 1
+
+    def _settle(self, key, f: dict, kind: str, exit_us: int | None, rc, wm: int):
+        """Outcomes of the open items: of all by an exit, or of those whose deadline the watermark has passed."""
+        while f[f"{kind}_first"] < f[f"{kind}_next"]:
+            if exit_us is None and f[f"{kind}_us"] + self.wait[kind] > wm:
+                return
+            pack = _unpacked(self.open[kind].getValue((f[f"{kind}_first"],)))
+            us = pack.column("us").to_numpy()
+            n = len(us) if exit_us is not None else int(np.searchsorted(us, wm - self.wait[kind], "right"))
+            delay = np.full(n, np.iinfo(np.int64).max) if exit_us is None else exit_us - us[:n]
+            yield self._outcomes(key, kind, pack.column("id").slice(0, n), delay, [rc] * n)
+            if n < len(us):
+                self.open[kind].updateValue((f[f"{kind}_first"],), _packed(pack.slice(n)))
+                f[f"{kind}_us"] = int(us[n])
+                return
+            self.open[kind].removeKey((f[f"{kind}_first"],))
+            f[f"{kind}_first"] += 1
+            if f[f"{kind}_first"] < f[f"{kind}_next"]:
+                f[f"{kind}_us"] = int(_unpacked(self.open[kind].getValue((f[f"{kind}_first"],))).column("us")[0].as_py())
+
+    def _outcomes(self, key, kind: str, ids, delay: np.ndarray, rc: list) -> pd.DataFrame:
+        if kind == "launch":
+            failed = delay <= self.wait[kind]
+            return self._frame(key, ids, kind, None, np.where(failed, "launch_failed", "launched"), [r if x else None for r, x in zip(rc, failed)])
+        late = np.where(delay <= self.wait[kind], "killed", "not_stopped")
+        return self._frame(key, ids, kind, None, np.where(delay <= self.term, "terminated", late), None)
+
+    def _frame(self, key, ids, kind: str, actions, outcomes, rcs) -> pd.DataFrame:
+        n = len(ids)
+        data = {k: [v] * n for k, v in zip(self.keys, key)}
+        data |= {self.id_name: ids.to_pandas() if isinstance(ids, (pa.Array, pa.ChunkedArray)) else list(ids), "kind": [kind] * n,
+                 "action": [None] * n if actions is None else list(actions), "outcome": list(outcomes),
+                 "returncode": pd.array([None] * n if rcs is None else rcs, dtype="Int32")}
+        return pd.DataFrame(data, columns=[*self.keys, self.id_name, "kind", "action", "outcome", "returncode"])
+
+    # ---- judging
+
+    def _judge(self, key, f: dict, rows: pa.Table, wm: int):
+        """What follows from rows that the watermark has passed, of one leaf."""
+        rows = rows.sort_by([("lm_us", "ascending"), ("lm_id", "ascending")])
+        ids, us = rows.column("lm_id").combine_chunks(), rows.column("lm_us").to_numpy()
+        act = np.array(rows.column("action").to_pylist(), dtype=object)
+        has = np.array([a is not None for a in act], dtype=bool)
+        if has.any():
+            ok = rows.column("stop_ok").to_numpy()
+            v, f["started"], f["stopped"] = judge_arrays(act[has], ok[has], f["started"], f["stopped"])
+            yield self._frame(key, ids.filter(pa.array(has)), "verdict", act[has], v, None)
+        f["last_us"] = int(us[-1])
+        if not self.outcomes:
+            return
+        rc = rows.column("rc").to_pylist()
+        launch_exit = rows.column("launch_exit").to_numpy()
+        life = (act == "start") | launch_exit
+        # whether the last start or exit ahead of each row is an exit
+        before = np.maximum.accumulate(np.where(life, np.arange(len(us)), -1))
+        before = np.concatenate([[-1], before[:-1]])
+        idle = np.where(before >= 0, act[before] != "start", f["cur"] == EXITED)
+        for kind, word, exits in (("launch", "start", np.flatnonzero(launch_exit)), ("stop", "stop", np.flatnonzero(rows.column("stop_exit").to_numpy()))):
+            items = np.flatnonzero(act == word)
+            if kind == "stop" and self.already_exited and len(items):
+                gone = items[idle[items]]
+                items = items[~idle[items]]
+                yield self._frame(key, ids.take(pa.array(gone)), kind, None, ["already_exited"] * len(gone), None)
+            if len(exits):
+                yield from self._settle(key, f, kind, int(us[exits[0]]), rc[exits[0]], wm)
+            # the first exit behind each item: an item is no exit for itself
+            k = np.searchsorted(exits, items, "right")
+            met = k < len(exits)
+            if met.any():
+                at = exits[k[met]]
+                yield self._outcomes(key, kind, ids.take(pa.array(items[met])), us[at] - us[items[met]], [rc[i] for i in at])
+            if not met.all():
+                self._add_open(f, kind, ids.take(pa.array(items[~met])), us[items[~met]])
+        if life.any():
+            last = int(np.flatnonzero(life)[-1])
+            f["cur"] = RUNNING if act[last] == "start" else EXITED
+            f["cur_rc"] = None if f["cur"] == RUNNING else rc[last]
+        self.judged = ids[-1].as_py()
+
+    def _run(self, key, batches, wm_ms: int):
+        wm, held = wm_ms * 1000, self.flags.get() if self.flags.exists() else None
+        f = dict(zip(_FLAGS.names, held)) if held else dict.fromkeys(_FLAGS.names, 0) | {
+            "started": False, "stopped": False, "last_us": None, "cur_rc": None, "timer_ms": None}
+        self.judged = None
+        places = sorted(k[0] for k in self.leaves.keys()) if held else []
+        for pdf in batches:
+            if len(pdf):
+                rows = pa.Table.from_pandas(pdf[_ROWS], schema=self.types, preserve_index=False)
+                places = self._insert(places, rows.take(pa.array(np.argsort(rows.column("lm_us").to_numpy(), kind="stable"))))
+        while places and places[0] <= wm:
+            rows = _unpacked(self.leaves.getValue((places[0],)))
+            us = rows.column("lm_us").to_numpy()
+            n = int(np.searchsorted(us, wm, "right"))
+            if n:
+                yield from self._judge(key, f, rows.slice(0, n), wm)
+            self.leaves.removeKey((places[0],))
+            places = places[1:]
+            if n < len(us):
+                places = [int(us[n]), *places]
+                self.leaves.updateValue((places[0],), _packed(rows.slice(n)))
+                break
+        if self.judged is not None:
+            yield self._frame(key, [self.judged], "status", None, ["running" if f["cur"] == RUNNING else "idle"], [f["cur_rc"]])
+        due = places[:1]
+        for kind in self.open:
+            yield from self._settle(key, f, kind, None, None, wm)
+            if f[f"{kind}_first"] < f[f"{kind}_next"]:
+                due.append(f[f"{kind}_us"] + self.wait[kind])
+        if self.ttl is not None and f["started"] and f["stopped"] and not due:
+            if f["last_us"] + self.ttl <= wm:
+                self._arm(f, None, wm_ms)
+                self.flags.clear()
+                return
+            due = [f["last_us"] + self.ttl]
+        self._arm(f, min(due) if due else None, wm_ms)
+        self.flags.update(tuple(f[n] for n in _FLAGS.names))
+
+    def _arm(self, f: dict, due_us: int | None, wm_ms: int) -> None:
+        """One timer, at the next time that something is due; it fires once the watermark is past it, so a millisecond before."""
+        at = None if due_us is None else max(-(-due_us // 1000) - 1, wm_ms + 1)
+        if f["timer_ms"] is not None and f["timer_ms"] != at and f["timer_ms"] > wm_ms:
+            self.handle.deleteTimer(f["timer_ms"])
+        if at is not None and at != f["timer_ms"]:
+            self.handle.registerTimer(at)
+        f["timer_ms"] = at
+
+    def handleInputRows(self, key, rows, timerValues):
+        yield from self._run(key, rows, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._run(key, (), timerValues.getCurrentWatermarkInMs())
 
 
 def lifecycle_monitor(stream: DataFrame, action: Column, launch_exit: Column, stop_exit: Column,
                       returncode: Column, grace_s=5, term_s=TERMINATE_WAIT_S, kill_s=KILL_WAIT_S,
                       key="user_id", event_id: str = "event_id", ts: str = "ts", lateness: str = "1 hour",
-                      stop_ok: Column | None = None, ttl_s: int | None = None) -> DataFrame:
+                      stop_ok: Column | None = None, ttl_s: int | None = None, already_exited: bool = False,
+                      outcomes: bool = True) -> DataFrame:
     """``stream`` has ``event_id``, the ``key`` columns (one or several) and ``ts``, of any types.  ``action`` maps
     rows to start / stop / collect; ``launch_exit`` / ``stop_exit`` say which rows
-    end a launch probe / a stop request; ``returncode`` is the exit code.
+    end a launch probe / a stop request; ``returncode`` is the exit code.  Without ``outcomes``, verdicts only.
 
     Returns the key columns, the event id, ``kind``, ``action`` (of verdicts), ``outcome``, ``returncode``."""
     keys = [key] if isinstance(key, str) else list(key)
     fields = stream.schema
     t = ntz_to_instant(ts) if fields[ts].dataType.typeName() == "timestamp_ntz" else F.col(ts)
     x = stream.select(
-        *keys, F.col(event_id).alias("_id"), t.alias("_ts"), action.alias("action"),
+        *keys, F.col(event_id).alias("lm_id"), t.alias("lm_ts"), action.alias("action"),
         F.coalesce(launch_exit, F.lit(False)).alias("launch_exit"), F.coalesce(stop_exit, F.lit(False)).alias("stop_exit"),
         returncode.cast("int").alias("rc"),
         (F.lit(True) if stop_ok is None else F.coalesce(stop_ok, F.lit(False))).alias("stop_ok"))
     x = x.filter(F.col("action").isNotNull() | F.col("launch_exit") | F.col("stop_exit")) \
-         .withColumn("_us", F.unix_micros("_ts")).withWatermark("_ts", lateness)
+         .withColumn("lm_us", F.unix_micros("lm_ts")).withWatermark("lm_ts", lateness)
     out = StructType([*[StructField(k, fields[k].dataType) for k in keys], StructField(event_id, fields[event_id].dataType),
                       StructField("kind", StringType()), StructField("action", StringType()),
                       StructField("outcome", StringType()), StructField("returncode", IntegerType())])
-    fn = _make_fn(keys, event_id, int(grace_s * US), int(term_s * US), int(kill_s * US), None if ttl_s is None else int(ttl_s * US))
-    return x.groupBy(*keys).applyInPandasWithState(
-        fn, out, _state(fields[event_id].dataType), "append", GroupStateTimeout.EventTimeTimeout)
+    types = to_arrow_schema(x.select(*_ROWS).schema)
+    processor = Monitor(keys, event_id, types, int(grace_s * US), int(term_s * US), int(kill_s * US), None if ttl_s is None else int(ttl_s * US),
+                        already_exited, outcomes)
+    return x.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventTime")

@@ -286,4 +286,4 @@ def test_stream_plan_is_one_stateful_operator(spark):
     from fleetlens.plans.catalog import _action, _task_stream
     from fleetlens.streaming.lifecycle import lifecycle_stream
     plan = lifecycle_stream(_task_stream(spark, SF_SMALL), _action(), key=["user_id", "unit"])._jdf.queryExecution().analyzed().toString()
-    assert plan.count("FlatMapGroupsInPandasWithState") == 1 and "EventTimeWatermark" in plan and "BatchEvalPython" not in plan
+    assert plan.count("TransformWithStateInPySpark") == 1 and "EventTimeWatermark" in plan and "BatchEvalPython" not in plan
