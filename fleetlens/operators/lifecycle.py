@@ -87,18 +87,24 @@ def launch_probe(events: DataFrame, key, order, is_start: Column, is_exit: Colum
 def stop_escalation(events: DataFrame, key, order, is_stop: Column, is_exit: Column,
                     term_s=TERMINATE_WAIT_S, kill_s=KILL_WAIT_S,
                     already_idle: Column | None = None, ts: str = "ts",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Stop-request rows plus ``outcome``."""
+                    hot_rows: int = HOT_ROWS, is_start: Column | None = None) -> DataFrame:
+    """Stop-request rows plus ``outcome``.  ``already_idle`` says of each whether its task had exited; with
+    ``is_start`` that is taken from the events: the last start or exit before the request is an exit."""
+    key, order = list(key), list(order)
     t = (term_s if isinstance(term_s, Column) else F.lit(term_s)).cast("bigint")
     k = (kill_s if isinstance(kill_s, Column) else F.lit(kill_s)).cast("bigint")
-    x = next_event(events, key, order, is_stop, is_exit, carry=[], ts=ts, hot_rows=hot_rows)
     if already_idle is not None:
-        x = x.withColumn("_se_idle", already_idle)
+        events = events.withColumn("_se_idle", already_idle)
+    elif is_start is not None:
+        life = events.filter(is_stop | is_start | is_exit)
+        last = F.when(is_start | is_exit, is_exit)
+        events = prefix_scan(bucketize(life, key, order, hot_rows, base=life), key, order, [("_se_idle", "last", last)]).drop(B, HOT)
+    x = next_event(events, key, order, is_stop, is_exit, carry=[], ts=ts, hot_rows=hot_rows)
     d = F.col("delay_us")
     out = F.when(d.isNull(), "not_stopped") \
            .when(d <= t * F.lit(US), "terminated") \
            .when(d <= (t + k) * F.lit(US), "killed") \
            .otherwise("not_stopped")
-    if already_idle is not None:
+    if "_se_idle" in x.columns:
         out = F.when(F.coalesce(F.col("_se_idle"), F.lit(False)), "already_exited").otherwise(out)
     return x.withColumn("outcome", out).drop("_se_idle")

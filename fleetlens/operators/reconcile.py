@@ -73,7 +73,9 @@ def reconcile(expected: DataFrame, found: DataFrame, on, destination: str,
     here = F.coalesce(F.col("_rc_found"), F.lit(False))
     x = x.withColumn("_rc_takes", passed & here & ok)
     keys = [*scope, destination]
-    x = prefix_scan(bucketize(x, keys, order, hot_rows), keys, order, [("_rc_taken", "or", F.col("_rc_takes"))])
+    # boundaries come from the narrow side, ahead of the join
+    base = expected if set(keys + order) <= set(expected.columns) else None
+    x = prefix_scan(bucketize(x, keys, order, hot_rows, base=base), keys, order, [("_rc_taken", "or", F.col("_rc_takes"))])
     state = F.when(~here, "missing").when(F.coalesce(F.col("_rc_taken"), F.lit(False)), "conflict") \
              .when(~ok, "error").otherwise("collected")
     if precheck is not None:

@@ -295,6 +295,14 @@ def q_stop_escalation(spark, d):
     return x.select("event_id", "user_id", "ts", "outcome")
 
 
+def q_stop_outcomes(spark, d):
+    """T4 with all four outcomes: whether a task was idle at the request comes from the same events."""
+    ev = _events_of(spark, d, ["signup", "error", "purchase"])
+    x = stop_escalation(ev, ["user_id"], EVENT_ORDER, F.col("event_type") == "error", F.col("event_type") == "purchase",
+                        term_s=12 * 3600, kill_s=12 * 3600, is_start=F.col("event_type") == "signup")
+    return x.select("event_id", "user_id", "ts", "outcome")
+
+
 QUERIES = {
     "explode_tasks": q_explode_tasks,
     "explode_params": q_explode_params,
@@ -322,6 +330,7 @@ QUERIES = {
     "lifecycle_check": q_lifecycle_check,
     "launch_probe": q_launch_probe,
     "stop_escalation": q_stop_escalation,
+    "stop_outcomes": q_stop_outcomes,
 }
 
 

@@ -293,6 +293,21 @@ SELECT event_id, user_id, ts,
 FROM ({_next('error', 'purchase')}) x
 """
 
+STOP_OUTCOMES = """
+SELECT event_id, user_id, ts,
+       CASE WHEN before = 'purchase' THEN 'already_exited'
+            WHEN exit_ts IS NULL OR exit_ts > ts + INTERVAL 24 HOUR THEN 'not_stopped'
+            WHEN exit_ts <= ts + INTERVAL 12 HOUR THEN 'terminated'
+            ELSE 'killed' END AS outcome
+FROM (SELECT *,
+             last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (
+               PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+             first_value(CASE WHEN event_type = 'purchase' THEN ts END IGNORE NULLS) OVER (
+               PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS exit_ts
+      FROM events WHERE event_type IN ('signup', 'error', 'purchase')) x
+WHERE event_type = 'error'
+"""
+
 ORACLE = {
     "explode_tasks": EXPLODE_TASKS,
     "explode_params": EXPLODE_PARAMS,
@@ -319,6 +334,7 @@ ORACLE = {
     "lifecycle_check": LIFECYCLE_CHECK,
     "launch_probe": LAUNCH_PROBE,
     "stop_escalation": STOP_ESCALATION,
+    "stop_outcomes": STOP_OUTCOMES,
 }
 
 READ_STATS = """

@@ -16,10 +16,11 @@ its order, so the work of a hot key spreads over many tasks:
 3. For hot keys only, per-bucket totals are carried across the key's
    buckets with a small window and added to the in-bucket value.
 
-What is broadcast has a bound that does not grow with the data: at most
+The sample has at most ``MAX_SAMPLES`` tuples in all, however large the input: beyond that fewer
+rows are taken, so no group and no task of it holds more.  What is broadcast is bounded by it: at most
 ``MAX_HOT_KEYS`` keys are cut (any other key holds less than 1 / ``MAX_HOT_KEYS`` of
-the rows), and a bucket holds at least 1 / ``MAX_BUCKETS`` of the rows of hot keys, so there are at
-most ``MAX_BUCKETS`` boundaries.  All of this is part of the plan: building a scan runs no
+the rows), and every boundary stands for ``SAMPLES`` tuples of the sample, so there are at
+most ``MAX_BUCKETS``.  All of this is part of the plan: building a scan runs no
 job, and where no key is hot adaptive execution drops both joins.
 
 Measure kinds: ``count`` (rows before), ``sum``, ``or`` (any true before),
@@ -38,6 +39,7 @@ HOT_ROWS = 2_000_000
 SAMPLES = 16
 MAX_HOT_KEYS = 10_000
 MAX_BUCKETS = 20_000
+MAX_SAMPLES = SAMPLES * MAX_BUCKETS  # tuples in the whole sample, whatever the input
 STRIDE = 128  # boundaries are looked up in two steps: every STRIDE-th, then the ones between
 B, HOT = "_sg_b", "_sg_hot"
 
@@ -46,20 +48,36 @@ def _null_safe(left: str, right: str, cols) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols])
 
 
-def boundaries(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _sample(df: DataFrame, keys, order, rate: int, most: int) -> DataFrame:
+    """``keys``, ``_sg_t`` (order tuple), ``_sg_c`` (rows that have it) of one row in ``rate``, by hash, or of so many fewer that at
+    most ``most`` tuples are left.
+
+    Tuples are counted in each task before they are shuffled.  Each has a level: half of them reach level 1, a quarter level 2
+    and so on.  The counts of the levels, at most 64 rows, say from which level on tuples are few enough."""
+    h = F.xxhash64(*keys, "_sg_t")
+    some = df.select(*keys, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_sg_t"))
+    if rate > 1:
+        some = some.filter(F.pmod(h, F.lit(rate)) == 0)
+    own = F.xxhash64(F.lit(1), *keys, "_sg_t").bitwiseAND((1 << 62) - 1)
+    some = some.groupBy(*keys, "_sg_t").agg(F.count(F.lit(1)).alias("_sg_c")) \
+        .withColumn("_sg_l", F.lit(62) - F.length(F.regexp_replace(F.bin(own), "^0+", "")))
+    levels = some.groupBy("_sg_l").count()
+    down = Window.partitionBy().orderBy(F.desc("_sg_l")).rowsBetween(Window.unboundedPreceding, 0)  # over at most 63 rows
+    fits = levels.select("_sg_l", F.sum("count").over(down).alias("n")).where(F.col("n") <= most)
+    enough = fits.agg(F.coalesce(F.min("_sg_l"), F.lit(63)).alias("l")).scalar()
+    return some.where(F.col("_sg_l") >= enough).drop("_sg_l")
+
+
+def boundaries(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS, max_samples: int | None = None) -> DataFrame:
     """``keys``, ``_sg_bounds`` (sorted array of order tuples) of each hot key."""
     keys, order = list(keys), list(order)
     per = max(1, min(SAMPLES, hot_rows))
-    rate = max(1, hot_rows // per)
-    sample = df.select(*keys, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_sg_t"))
-    if rate > 1:
-        sample = sample.filter(F.pmod(F.xxhash64(*keys, "_sg_t"), F.lit(rate)) == 0)
-    by_key = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sg_n"), F.collect_list("_sg_t").alias("_sg_all"))
+    sample = _sample(df, keys, order, max(1, hot_rows // per), max_samples or MAX_SAMPLES)
+    by_key = sample.groupBy(*keys).agg(F.sum("_sg_c").alias("_sg_n"), F.collect_list("_sg_t").alias("_sg_all"))
     hot = by_key.filter(F.col("_sg_n") >= 2 * per).orderBy(F.desc("_sg_n")).limit(MAX_HOT_KEYS)
-    every = F.sum("_sg_n").over(Window.partitionBy())  # over at most MAX_HOT_KEYS rows
-    step = F.greatest(F.lit(per), F.ceil(every / F.lit(MAX_BUCKETS))).cast("int")
-    hot = hot.withColumn("_sg_step", step).withColumn("_sg_all", F.array_sort("_sg_all"))
-    at = F.sequence(F.col("_sg_step"), F.greatest(F.size("_sg_all") - 1, F.col("_sg_step")), F.col("_sg_step"))
+    step = F.lit(per)
+    hot = hot.withColumn("_sg_all", F.array_sort("_sg_all"))
+    at = F.sequence(step, F.greatest(F.size("_sg_all") - 1, step), step)
     picked = F.filter(F.transform(at, lambda i: F.get("_sg_all", i)), lambda t: t.isNotNull())
     return hot.select(*keys, picked.alias("_sg_bounds"))
 

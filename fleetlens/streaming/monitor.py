@@ -158,10 +158,12 @@ class Monitor(StatefulProcessor):
 
     def _frame(self, key, ids, kind: str, actions, outcomes, rcs) -> pd.DataFrame:
         n = len(ids)
-        data = {k: [v] * n for k, v in zip(self.keys, key)}
-        data |= {self.id_name: ids.to_pandas() if isinstance(ids, (pa.Array, pa.ChunkedArray)) else list(ids), "kind": [kind] * n,
-                 "action": [None] * n if actions is None else list(actions), "outcome": list(outcomes),
-                 "returncode": pd.array([None] * n if rcs is None else rcs, dtype="Int32")}
+        # as objects: pandas' own strings may come in several chunks, which Spark's serializer does not take
+        data = {k: pd.Series([v] * n, dtype=object if isinstance(v, str) else None) for k, v in zip(self.keys, key)}
+        listed = ids.to_pylist() if isinstance(ids, (pa.Array, pa.ChunkedArray)) else list(ids)
+        data[self.id_name] = pd.Series(listed, dtype=object if any(isinstance(x, str) for x in listed[:1]) else None)
+        data |= {"kind": pd.Series([kind] * n, dtype=object), "action": pd.Series([None] * n if actions is None else list(actions), dtype=object),
+                 "outcome": pd.Series(list(outcomes), dtype=object), "returncode": pd.array([None] * n if rcs is None else rcs, dtype="Int32")}
         return pd.DataFrame(data, columns=[*self.keys, self.id_name, "kind", "action", "outcome", "returncode"])
 
     # ---- judging
@@ -188,7 +190,7 @@ class Monitor(StatefulProcessor):
         idle = np.where(before >= 0, act[before] != "start", f["cur"] == EXITED)
         for kind, word, exits in (("launch", "start", np.flatnonzero(launch_exit)), ("stop", "stop", np.flatnonzero(rows.column("stop_exit").to_numpy()))):
             items = np.flatnonzero(act == word)
-            if kind == "stop" and self.already_exited and len(items):
+            if kind == "stop" and self.already_exited and idle[items].any():
                 gone = items[idle[items]]
                 items = items[~idle[items]]
                 yield self._frame(key, ids.take(pa.array(gone)), kind, None, ["already_exited"] * len(gone), None)
@@ -266,7 +268,7 @@ def lifecycle_monitor(stream: DataFrame, action: Column, launch_exit: Column, st
                       returncode: Column, grace_s=5, term_s=TERMINATE_WAIT_S, kill_s=KILL_WAIT_S,
                       key="user_id", event_id: str = "event_id", ts: str = "ts", lateness: str = "1 hour",
                       stop_ok: Column | None = None, ttl_s: int | None = None, already_exited: bool = False,
-                      outcomes: bool = True) -> DataFrame:
+                      outcomes: bool = True, leaf: int = LEAF) -> DataFrame:
     """``stream`` has ``event_id``, the ``key`` columns (one or several) and ``ts``, of any types.  ``action`` maps
     rows to start / stop / collect; ``launch_exit`` / ``stop_exit`` say which rows
     end a launch probe / a stop request; ``returncode`` is the exit code.  Without ``outcomes``, verdicts only.
@@ -287,5 +289,5 @@ def lifecycle_monitor(stream: DataFrame, action: Column, launch_exit: Column, st
                       StructField("outcome", StringType()), StructField("returncode", IntegerType())])
     types = to_arrow_schema(x.select(*_ROWS).schema)
     processor = Monitor(keys, event_id, types, int(grace_s * US), int(term_s * US), int(kill_s * US), None if ttl_s is None else int(ttl_s * US),
-                        already_exited, outcomes)
+                        already_exited, outcomes, leaf)
     return x.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "eventTime")

@@ -287,3 +287,140 @@ def test_stream_plan_is_one_stateful_operator(spark):
     from fleetlens.streaming.lifecycle import lifecycle_stream
     plan = lifecycle_stream(_task_stream(spark, SF_SMALL), _action(), key=["user_id", "unit"])._jdf.queryExecution().analyzed().toString()
     assert plan.count("TransformWithStateInPySpark") == 1 and "EventTimeWatermark" in plan and "BatchEvalPython" not in plan
+
+
+class _Value:
+    def __init__(self, held):
+        self.held, self.v = held, None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    def clear(self):
+        self.v = None
+
+
+class _Map:
+    def __init__(self, held):
+        self.held, self.d = held, {}
+
+    def keys(self):
+        return iter(list(self.d))
+
+    def containsKey(self, k):
+        return k in self.d
+
+    def getValue(self, k):
+        return self.d[k]
+
+    def updateValue(self, k, v):
+        self.held.append(len(v[0]))
+        self.d[k] = v
+
+    def removeKey(self, k):
+        del self.d[k]
+
+
+class _Handle:
+    """State of one key, in memory, with the sizes of all values written."""
+
+    def __init__(self):
+        self.sizes, self.timers = [], set()
+
+    def getValueState(self, *a):
+        return _Value(self.sizes)
+
+    def getMapState(self, *a):
+        return _Map(self.sizes)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+
+def test_a_hot_key_has_no_large_state_value(spark):
+    """150,000 rows of one key in one micro-batch, in any order: entries stay small, and outcomes equal a plain pass."""
+    import random
+    import pandas as pd
+    import pyarrow as pa
+    from fleetlens.streaming import monitor
+    r, n = random.Random(8), 150_000
+    events = [(i, r.randrange(10 ** 9) if i % 5 else 777, r.choices(["start", "stop", "collect", "exit"], [3, 3, 3, 1])[0]) for i in range(n)]
+    types = pa.schema([("lm_id", pa.int64()), ("lm_us", pa.int64()), ("action", pa.string()), ("launch_exit", pa.bool_()), ("stop_exit", pa.bool_()),
+                       ("rc", pa.int32()), ("stop_ok", pa.bool_())])
+    grace, term, kill, end = 3_000, 2_000, 1_500, 2 * 10 ** 9
+    m, h = monitor.Monitor(["k"], "event_id", types, grace, term, kill, None, True, True, leaf=1000), _Handle()
+    m.init(h)
+
+    def frames():
+        for a in range(0, n, 10_000):
+            part = events[a:a + 10_000]
+            ex = [e[2] == "exit" for e in part]
+            yield pd.DataFrame({"lm_id": [e[0] for e in part], "lm_us": [e[1] for e in part], "action": [None if x else e[2] for e, x in zip(part, ex)],
+                                "launch_exit": ex, "stop_exit": ex, "rc": [e[0] % 3 if x else None for e, x in zip(part, ex)], "stop_ok": True})
+
+    assert [len(f) for f in m._run(("k",), frames(), 0)] == []
+    ties = sum(e[1] == 777 for e in events)
+    largest = max(len(monitor._unpacked(v)) for v in m.leaves.d.values())
+    assert largest == ties and sorted(len(monitor._unpacked(v)) for v in m.leaves.d.values())[-2] <= 1000
+    assert len(h.timers) == 1
+    h.sizes.clear()
+    got = {}
+    for wm in (100_000, 500_000, end // 1000):  # the watermark comes in steps
+        for f in m._run(("k",), (), wm):
+            assert len(f) <= max(ties, 1000)
+            for e, k, o, rc in zip(f["event_id"], f["kind"], f["outcome"], f["returncode"]):
+                if k != "status":
+                    assert (k, e) not in got
+                    got[k, e] = (o, None if rc is pd.NA else int(rc))
+    assert not m.leaves.d and not any(x.d for x in m.open.values()) and max(h.sizes) < 60_000
+
+    want, started, stopped, cur, open_ = {}, False, False, None, {"launch": [], "stop": []}
+    for i, us, what in sorted(events, key=lambda e: (e[1], e[0])):
+        if what == "exit":
+            for j, t in open_["launch"]:
+                want["launch", j] = ("launch_failed", i % 3) if us - t <= grace else ("launched", None)
+            for j, t in open_["stop"]:
+                want["stop", j] = ("terminated" if us - t <= term else "killed" if us - t <= term + kill else "not_stopped", None)
+            open_, cur = {"launch": [], "stop": []}, "exit"
+        elif what == "start":
+            want["verdict", i] = ("already_started" if started else "ok", None)
+            open_["launch"].append((i, us))
+            started, cur = True, "start"
+        elif what == "stop":
+            want["verdict", i] = ("not_started" if not started else "noop" if stopped else "ok", None)
+            stopped = stopped or started
+            if cur == "exit":
+                want["stop", i] = ("already_exited", None)
+            else:
+                open_["stop"].append((i, us))
+        else:
+            want["verdict", i] = ("not_started" if not started else "ok" if stopped else "still_running", None)
+    want |= {("launch", j): ("launched", None) for j, _ in open_["launch"]} | {("stop", j): ("not_stopped", None) for j, _ in open_["stop"]}
+    assert got == want
+
+
+def test_stops_of_idle_tasks_in_batch_and_stream(spark, tmp):
+    from fleetlens.streaming.monitor import lifecycle_monitor
+    from fleetlens.streaming.runner import drain_to_parquet, file_stream
+    log = [(1, 0, "start", 0.0), (1, 5, "exit", 0.0), (1, 9, "stop", 0.0), (1, 11, "exit", 0.0), (2, 0, "stop", 0.0), (2, 4, "exit", 0.0), (2, 4.5, "stop", 0.0),
+           (2, 5, "start", 0.0), (2, 6, "stop", 0.0), (3, 1, "start", 0.0), (3, 2, "stop", 0.0), (3, 500, "exit", 0.0), (4, 9_000, "collect", 0.0)]
+    ev = _log(spark, log)
+    folder = os.path.join(tmp, "idle")
+    ev.write.parquet(folder)
+    exit_ = F.col("kind") == "exit"
+    m = lifecycle_monitor(file_stream(spark, folder, ev.schema), actions(), exit_, exit_, F.col("value"), grace_s=15, term_s=10, kill_s=10,
+                          lateness="0 seconds", already_exited=True, leaf=2)
+    got = drain_to_parquet(spark, m, "t5-idle").filter("kind = 'stop'")
+    for hot in (2, 1000):
+        want = stop_escalation(ev, ["user_id"], ORDER, F.col("kind") == "stop", exit_, term_s=10, kill_s=10, is_start=F.col("kind") == "start", hot_rows=hot)
+        assert rows(got, "event_id", "outcome") == rows(want, "event_id", "outcome")
+    assert rows(want, "user_id", "outcome") == [(1, "already_exited"), (2, "already_exited"), (2, "not_stopped"), (2, "terminated"), (3, "not_stopped")]

@@ -41,6 +41,19 @@ def test_buckets_of_one_key_are_bounded(spark, kind):
     assert sizes.count() > 100
 
 
+@pytest.mark.parametrize("rows_in", [1_000, 20_000, 200_000])
+def test_the_sample_does_not_grow(spark, rows_in):
+    """At any input size the sample has at most so many tuples, also of one key, and enough of them to cut it."""
+    from fleetlens.plans.scan import _sample, boundaries
+    df = spark.range(rows_in).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.col("id").alias("a"))
+    n = _sample(df, ["k"], ["a"], 1, 2_000).count()
+    assert n == rows_in if rows_in <= 2_000 else 500 < n <= 2_000
+    b = boundaries(df, ["k"], ["a"], hot_rows=16, max_samples=2_000).collect()
+    assert [r["k"] for r in b] == ["hot"] and 10 < len(b[0]["_sg_bounds"]) <= 2_000 / 16
+    same = spark.range(rows_in).select(F.lit("k").alias("k"), F.lit(1).alias("a"))
+    assert [r["_sg_c"] for r in _sample(same, ["k"], ["a"], 1, 2_000).collect()] == [rows_in]
+
+
 def test_many_boundaries_are_found_in_two_steps(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("a"))
     got = bucketize(df, ["k"], ["a"], hot_rows=2).groupBy("_sg_b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
