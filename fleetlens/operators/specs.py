@@ -105,6 +105,24 @@ def prechecks(flags: DataFrame, keys, started: str = "started", stopped: str = "
     return flags.select(*keys, c.alias("precheck"))
 
 
+def collect_prechecks(events: DataFrame, keys, order, action, stop_ok=None, hot_rows: int | None = None) -> DataFrame:
+    """Per task the precheck of its last collect, from the event log: the flags started and stopped as they were at that
+    event (T2), whatever came later.  Tasks that were never collected have no row."""
+    from fleetlens.operators.lifecycle import lifecycle_check
+    from fleetlens.plans.scan import HOT_ROWS
+    judged = lifecycle_check(events, keys, order, action, stop_ok, hot_rows=hot_rows or HOT_ROWS)
+    last = F.max_by(F.struct("started", "stopped"), F.struct(*order))
+    flags = judged.filter(F.col("action") == "collect").groupBy(*keys).agg(last.alias("_f")).select(*keys, "_f.*")
+    return prechecks(flags, keys)
+
+
+def with_prechecks(expected: DataFrame, checks: DataFrame, keys) -> DataFrame:
+    """``expected`` with ``precheck``; ``not_started`` where the task has no collect event."""
+    checks = checks.select(*keys, F.struct("precheck").alias("_c"))
+    return expected.join(checks, list(keys), "left").withColumn(
+        "precheck", F.when(F.col("_c").isNull(), "not_started").otherwise(F.col("_c.precheck"))).drop("_c")
+
+
 def probe_wait_s(runner_type: str = "runner_type"):
     """Launch probe wait of a task's runner, in seconds (bigint): the grace
     for ``operators.lifecycle.launch_probe`` and the fixed start cost of a

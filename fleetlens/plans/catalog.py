@@ -584,6 +584,26 @@ def q_collected_status(spark, d):
     return out.select("run", "task", "role", "path", "destination", "status")
 
 
+def q_collected_checked(spark, d):
+    """S1 -> T2 -> J1: as ``collected_status``, with the prechecks of each task taken from its event log as it was when
+    it was collected.  Some tasks never started, some never stopped, some had no collect, and all were started and stopped after it."""
+    from fleetlens.functions.artifacts import expected_artifacts
+    from fleetlens.operators.specs import collect_prechecks, spec_tasks, validate_tasks, with_prechecks
+    accepted, _ = validate_tasks(spark, spec_tasks(_broken(spark, d)))
+    ev, eid = _t(spark, d, "events"), F.col("event_id")
+    steps = [("start", 0, eid % 5 > 0), ("stop", 60, eid % 7 > 0), ("collect", 120, eid % 13 > 0), ("start", 180, F.lit(True)), ("stop", 240, F.lit(True))]
+    log = ev.select(F.concat(F.lit("results/e"), eid.cast("string")).alias("run"), "ts", F.explode(F.array(*[F.lit(t) for t in "12"])).alias("task"),
+                    F.array(*[F.when(ok, F.struct(F.lit(a).alias("what"), F.lit(s).alias("after"))) for a, s, ok in steps]).alias("steps")) \
+        .select("run", "task", "ts", F.explode(F.filter("steps", lambda x: x.isNotNull())).alias("step")).select("run", "task", "ts", "step.*")
+    log = log.withColumn("at", F.expr("ts + make_dt_interval(0, 0, 0, after)"))
+    checks = collect_prechecks(log, ["run", "task"], ["at", "after"], F.col("what"))
+    expected = with_prechecks(expected_artifacts(accepted), checks, ["run", "task"])
+    found = ev.select(F.explode(F.array(F.concat(F.lit("/data/e"), eid.cast("string"), F.lit("/stats.csv")),
+                                        F.when(eid % 4 > 0, F.concat(F.lit("/data/e"), eid.cast("string"), F.lit("/trace.pcapng"))))).alias("path")).filter("path is not null")
+    out = reconcile(expected, found, on=["path"], destination="destination", order=["run", "pos", "artifact_pos"], precheck="precheck", scope=["run"])
+    return out.select("run", "task", "role", "path", "destination", "status")
+
+
 def q_file_catalog(spark, d):
     """A tree written by Spark (run and origin folders), listed without reading content; its folders."""
     from fleetlens.session import shared_dir
@@ -608,5 +628,5 @@ def q_spec_timeline(spark, d):
     return x.select("run", "task", "start_rank", "stop_rank", "start_at", "ready_at", "stop_at")
 
 
-QUERIES.update({"reconcile_full": q_reconcile_full, "spec_rejects": q_spec_rejects, "collected_status": q_collected_status,
+QUERIES.update({"reconcile_full": q_reconcile_full, "spec_rejects": q_spec_rejects, "collected_status": q_collected_status, "collected_checked": q_collected_checked,
                 "file_catalog": q_file_catalog, "stop_order": q_stop_order, "spec_timeline": q_spec_timeline})

@@ -498,6 +498,14 @@ FROM ({SPEC_ARTIFACTS}) a JOIN ({SPEC_EVENTS}) e ON e.run = a.run
 WHERE e.event_id % 11 NOT IN (1, 2) AND NOT (e.event_id % 11 = 3 AND a.task = '2')
 """
 
+COLLECTED_CHECKED = f"""
+SELECT a.run, a.task, a.role, a.path, a.destination,
+       CASE WHEN e.event_id % 13 = 0 OR e.event_id % 5 = 0 THEN 'not_started' WHEN e.event_id % 7 = 0 THEN 'not_stopped'
+            WHEN a.role = 'trace' AND e.event_id % 4 > 0 OR a.role = 'stats' THEN 'collected' ELSE 'missing' END AS status
+FROM ({SPEC_ARTIFACTS}) a JOIN ({SPEC_EVENTS}) e ON e.run = a.run
+WHERE e.event_id % 11 NOT IN (1, 2) AND NOT (e.event_id % 11 = 3 AND a.task = '2')
+"""
+
 STOP_ORDER = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
@@ -518,7 +526,7 @@ SELECT run, '2', 2, 1, {PROBE_WAIT_LOCAL_S}, {PROBE_WAIT_LOCAL_S} + probe, {PROB
 """
 
 ORACLE.update({
-    "reconcile_full": RECONCILE_FULL, "spec_rejects": SPEC_REJECTS, "collected_status": COLLECTED_STATUS,
+    "reconcile_full": RECONCILE_FULL, "spec_rejects": SPEC_REJECTS, "collected_status": COLLECTED_STATUS, "collected_checked": COLLECTED_CHECKED,
     "file_catalog": "SELECT DISTINCT 'event_type=' || event_type || '/unit=' || (user_id % 4) AS dir, true AS filled FROM events",
     "stop_order": STOP_ORDER, "spec_timeline": SPEC_TIMELINE,
     "read_stats": """SELECT 'run of ' || event_type AS run, 'u' || (user_id % 4) AS origin, event_id, ts, user_id, value,

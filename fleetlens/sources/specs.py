@@ -73,8 +73,8 @@ def read_specs(spark: SparkSession, glob: str, json_lines: bool = False) -> Data
     those that hold no tasks (``operators.specs.spec_rejects``)."""
     if json_lines:
         named = F.regexp_extract("value", r'"collect_results_path"\s*:\s*"([^"]*)"', 1)
-        raw = spark.read.text(glob).select(
-            F.when(named != "", named).otherwise(F.concat(F.lit("line:"), F.md5("value"))).alias("run"), "value")
+        # of a line that can't be parsed, what stands there; of any other, the spec's own path (runners' have the same name)
+        raw = spark.read.text(glob).select(F.lit(None).cast("string").alias("run"), "value")
     else:
         raw = (spark.read.text(glob, wholetext=True)
                     .select(decoded(F.col("_metadata.file_path")).alias("run"), "value"))
@@ -90,7 +90,10 @@ def read_specs(spark: SparkSession, glob: str, json_lines: bool = False) -> Data
                                  F.map_keys(F.element_at(F.col("k.tasks"), k)["runner_config"])))
     error = F.when(F.trim("value") == "", "empty").when(F.col("s").isNull() | F.col(f"s.{CORRUPT}").isNotNull(), "invalid_json") \
              .when(F.coalesce(F.size("s.tasks"), F.lit(0)) <= 0, "no_tasks")
-    return p.select("run", F.col("s.collect_results_path").alias("collect_results_path"),
+    run = F.col("run")
+    if json_lines:
+        run = F.coalesce("s.collect_results_path", F.when((error == "invalid_json") & (named != ""), named), F.concat(F.lit("line:"), F.md5("value")))
+    return p.select(run.alias("run"), F.col("s.collect_results_path").alias("collect_results_path"),
                     F.col("s.stop_after").alias("stop_after"),
                     F.col("s.ignore_stop_order").alias("ignore_stop_order"),
                     F.when(error.isNull(), keyed).alias("tasks"), error.isNotNull().alias("malformed"), error.alias("error"))

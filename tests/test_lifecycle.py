@@ -195,8 +195,10 @@ def test_periodic_stream_drops_late_rows(spark, tmp):
         _log(spark, p).coalesce(1).write.mode("append").parquet(folder)
         time.sleep(1.2)                                                # file order = write order
     s = file_stream(spark, folder, _log(spark, parts[0]).schema, max_files_per_trigger=1)
+    dropped = {}
     got = drain_to_parquet(spark, periodic_stats_stream(s, "ts", "1 hour", ["kind"], "value",
-                                                        lateness="30 minutes"), "t6-late")
+                                                        lateness="30 minutes"), "t6-late", dropped=dropped)
+    assert dropped == {"late_rows": 1}     # and it is reported
     by_hour = {r["window_start"].hour: (r["n"], r["max_value"]) for r in got.collect()}
     assert by_hour[0] == (6, 1.0)          # the late 100.0 row did not get in
     assert set(by_hour) == {0, 1, 2, 3}    # 06:00 window still open at the end

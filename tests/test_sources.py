@@ -41,6 +41,55 @@ def test_read_stats_lineage_and_merge_by_name(spark, tmp):
         ("_rtt20_loss0", "u@h2", "1-stats-rcv.csv", 1, None, 9)]
 
 
+def test_read_stats_of_thousands_of_kinds(spark, tmp):
+    """2,000 headers, columns in any order, quoted values and a file without rows, in one scan."""
+    want = []
+    for i in range(2000):
+        names = ["time", f"own{i}", "note"] if i % 2 else ["note", "time", f"own{i}"]
+        row = {"time": str(i), f"own{i}": "x", "note": f'"a, ""{i}"""'}
+        write_text(os.path.join(tmp, f"r{i % 7}", "u@h"), f"{i}.csv", ",".join(names) + "\n" + ("" if i % 50 == 0 else ",".join(row[n] for n in names) + "\n"))
+        if i % 50:
+            want.append((f"r{i % 7}", i, f'a, "{i}"', "x" if i == 77 else None))
+    df = read_stats(spark, tmp, schema="time INT, note STRING, own77 STRING, absent DATE", escape='"')
+    assert rows(df, "run", "time", "note", "own77") == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
+    assert df.schema.simpleString() == "struct<run:string,origin:string,file:string,time:int,note:string,own77:string,absent:date>"
+    assert sum("FileScan csv" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
+
+
+def test_read_stats_infers_over_all_files(spark, tmp):
+    write_text(os.path.join(tmp, "r1", "h"), "a.csv", "n,d,big,t,flag,word\n1,1,1,2020-01-01 00:00:00,true,x\n")
+    write_text(os.path.join(tmp, "r1", "h"), "b.csv", "d,n,big,t,flag,word,none\n0.5,2,3000000000,2020-01-02,false,7,\n,,,,,,\n")
+    types = dict(read_stats(spark, tmp).dtypes)
+    assert [types[c] for c in ("n", "d", "big", "t", "flag", "word", "none")] == ["int", "double", "bigint", "timestamp", "boolean", "string", "string"]
+    assert rows(read_stats(spark, tmp), "n", "d", "big", "word") == [(1, 1.0, 1, "x"), (2, 0.5, 3000000000, "7"), (None, None, None, None)]
+
+
+def test_of_two_writers_one_is_refused(spark, tmp):
+    import threading
+    from pyspark.sql import functions as F
+    from fleetlens.sources.sinks import Claimed
+    for n in range(3):
+        out, told = os.path.join(tmp, f"deep/out{n}"), []
+
+        def write():
+            try:
+                write_new(spark.range(1000), out)
+                told.append("wrote")
+            except Claimed:
+                told.append("claimed")
+            except Exception as e:
+                told.append("exists" if "PATH_ALREADY_EXISTS" in str(e) else repr(e))
+
+        threads = [threading.Thread(target=write) for _ in range(6)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert told.count("wrote") == 1 and set(told) <= {"wrote", "claimed", "exists"}, told
+        assert spark.read.parquet(out).count() == 1000 and not os.path.exists(os.path.join(tmp, f"deep/.out{n}.claim"))
+    with pytest.raises(Exception):  # a failed write gives its claim back
+        write_new(spark.range(3).select(F.raise_error(F.lit("no"))), os.path.join(tmp, "failed"))
+    assert not os.path.exists(os.path.join(tmp, ".failed.claim"))
+
+
 def test_write_new_refuses_existing(spark, tmp):
     out = os.path.join(tmp, "out")
     df = spark.range(3)

@@ -161,3 +161,27 @@ def test_spec_timeline(spark, tmp):
     # honouring stop_order: task 2 first, then the rest in reverse (3, 1)
     assert rows(spec_timeline(t, honor_stop_order=True), "task", "stop_rank", "stop_at") == [
         ("1", 3, 101), ("2", 1, 94), ("3", 2, 97)]
+
+
+def test_run_of_a_line_is_the_specs_own_path(spark, tmp):
+    """A runner's results path, also ahead of the spec's own, is not the run."""
+    from fleetlens.sources.specs import read_specs
+    task = '{"1": {"obj_type": "x", "runner_type": "y", "runner_config": {"collect_results_path": "nested/x"}}}'
+    lines = ['{"tasks": ' + task + ', "collect_results_path": "results/e1"}', '{"collect_results_path": "results/e2", "tasks": ' + task + '}',
+             '{"tasks": ' + task + '}', '{"collect_results_path": "results/e3", "tasks": {"1"']
+    with open(os.path.join(tmp, "specs.txt"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    got = [r["run"] for r in read_specs(spark, os.path.join(tmp, "specs.txt"), json_lines=True).collect()]
+    assert got[:2] == ["results/e1", "results/e2"] and got[2].startswith("line:") and got[3] == "results/e3"
+
+
+def test_prechecks_are_those_at_the_collect(spark):
+    from fleetlens.operators.specs import collect_prechecks, with_prechecks
+    log = [("a", "start"), ("a", "stop"), ("a", "collect"), ("b", "start"), ("b", "collect"), ("b", "stop"), ("c", "collect"), ("c", "start"), ("c", "stop"),
+           ("d", "collect"), ("d", "start"), ("d", "stop"), ("d", "collect"), ("e", "start")]
+    ev = spark.createDataFrame([(k, i, a) for i, (k, a) in enumerate(log)], "task string, at int, what string")
+    expected = spark.createDataFrame([(k,) for k in "abcdef"], "task string")
+    from pyspark.sql import functions as F
+    for hot in (1, 1000):
+        got = with_prechecks(expected, collect_prechecks(ev, ["task"], ["at"], F.col("what"), hot_rows=hot), ["task"])
+        assert rows(got) == [("a", None), ("b", "not_stopped"), ("c", "not_started"), ("d", None), ("e", "not_started"), ("f", "not_started")]
