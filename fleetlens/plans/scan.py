@@ -39,6 +39,7 @@ HOT_ROWS = 2_000_000
 SAMPLES = 16
 MAX_HOT_KEYS = 10_000
 MAX_BUCKETS = 20_000
+GROUP = 64  # tuples of a group of the sample
 MAX_SAMPLES = SAMPLES * MAX_BUCKETS  # tuples in the whole sample, whatever the input
 STRIDE = 128  # boundaries are looked up in two steps: every STRIDE-th, then the ones between
 B, HOT = "_sg_b", "_sg_hot"
@@ -52,20 +53,19 @@ def _sample(df: DataFrame, keys, order, rate: int, most: int) -> DataFrame:
     """``keys``, ``_sg_t`` (order tuple), ``_sg_c`` (rows that have it) of one row in ``rate``, by hash, or of so many fewer that at
     most ``most`` tuples are left.
 
-    Tuples are counted in each task before they are shuffled.  Each has a level: half of them reach level 1, a quarter level 2
-    and so on.  The counts of the levels, at most 64 rows, say from which level on tuples are few enough."""
-    h = F.xxhash64(*keys, "_sg_t")
-    some = df.select(*keys, F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_sg_t"))
+    Tuples are counted in each task before they are shuffled, then dealt to groups by hash, and of each group those of the
+    smallest hash are kept (a partial group limit does that in each task already): where the sample is larger than
+    that, the groups' limits fall at nearly the same hash, so it gets thinner evenly."""
+    t = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    some = df.select(*keys, t.alias("_sg_t"))
     if rate > 1:
-        some = some.filter(F.pmod(h, F.lit(rate)) == 0)
-    own = F.xxhash64(F.lit(1), *keys, "_sg_t").bitwiseAND((1 << 62) - 1)
+        some = some.filter(F.pmod(F.xxhash64(*keys, "_sg_t"), F.lit(rate)) == 0)
+    groups = max(1, most // GROUP)
+    own = F.xxhash64(F.lit(1), *keys, "_sg_t")
     some = some.groupBy(*keys, "_sg_t").agg(F.count(F.lit(1)).alias("_sg_c")) \
-        .withColumn("_sg_l", F.lit(62) - F.length(F.regexp_replace(F.bin(own), "^0+", "")))
-    levels = some.groupBy("_sg_l").count()
-    down = Window.partitionBy().orderBy(F.desc("_sg_l")).rowsBetween(Window.unboundedPreceding, 0)  # over at most 63 rows
-    fits = levels.select("_sg_l", F.sum("count").over(down).alias("n")).where(F.col("n") <= most)
-    enough = fits.agg(F.coalesce(F.min("_sg_l"), F.lit(63)).alias("l")).scalar()
-    return some.where(F.col("_sg_l") >= enough).drop("_sg_l")
+        .withColumn("_sg_g", F.pmod(F.xxhash64(F.lit(2), *keys, "_sg_t"), F.lit(groups)))
+    place = F.row_number().over(Window.partitionBy("_sg_g").orderBy(own))
+    return some.withColumn("_sg_p", place).where(F.col("_sg_p") <= most // groups).drop("_sg_g", "_sg_p")
 
 
 def boundaries(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS, max_samples: int | None = None) -> DataFrame:
