@@ -1,3 +1,4 @@
+import pytest
 """Operator semantics on small literal frames."""
 
 from pyspark.sql import functions as F
@@ -186,3 +187,46 @@ def test_missing_and_present_artifacts(spark):
     found = spark.createDataFrame([("/a",), ("/a",), ("/c",), ("/z",)], "path string")
     assert rows(missing_artifacts(exp, found, ["path"]), "task") == [("t2",)]
     assert rows(present_artifacts(exp, found, ["path"]), "task") == [("t1",), ("t3",)]
+
+
+def _walked(files, names):
+    """A plain walk: (number, dir, name) -> number: (final path or None, moves, replaced at)."""
+    there = {}
+    for n, d, f in files:
+        there.setdefault(d, {})[f] = n
+    folders = {"/".join(d.split("/")[:i]) for d in there for i in range(1, len(d.split("/")) + 1)}
+    moves, gone = {n: 0 for n, _, _ in files}, {}
+    for d in sorted(folders, key=lambda d: d.split("/")):
+        to = next((d.replace(x, "", 1) for x in names if x in d), None)
+        if to is None:
+            continue
+        for f, n in sorted(there.pop(d, {}).items()):
+            old = there.setdefault(to, {}).get(f)
+            if old is not None:
+                gone[old] = (to + f if to == "" or to.endswith("/") else f"{to}/{f}")
+            there[to][f] = n
+            moves[n] += 1
+    out = {n: (d + f if d == "" or d.endswith("/") else f"{d}/{f}", moves[n], None) for d, x in there.items() for f, n in x.items()}
+    return out | {n: (None, moves[n], at) for n, at in gone.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_chained_moves_equal_a_walk(spark, seed):
+    import random
+    from fleetlens.functions.flatten import chained_moves
+    r = random.Random(seed)
+    parts = ["/h1", "/h2", "/a", "/b", "/z", "/h1/h1", "/h2/h1"]
+    spots = {("top" + "".join(r.choice(parts) for _ in range(r.randrange(0, 5))), f"f{r.randrange(3)}") for _ in range(120)}
+    files = [(n, d, f) for n, (d, f) in enumerate(sorted(spots))]
+    df = spark.createDataFrame(files, "n long, dir string, file string")
+    got = chained_moves(df, "dir", "file", ["/h1", "/h2"])
+    want = _walked(files, ["/h1", "/h2"])
+    assert {row["n"]: (row["final"], row["moves"], row["replaced_at"]) for row in got.collect()} == want and got.count() == len(files)
+    assert max(m for _, m, _ in want.values()) > 1 and any(w[0] is None for w in want.values())
+
+
+def test_chained_moves_of_nothing(spark):
+    from fleetlens.functions.flatten import chained_moves
+    none = spark.createDataFrame([], "dir string, file string, final string")
+    got = chained_moves(none, "dir", "file", ["h"])
+    assert got.count() == 0 and got.columns[:2] == ["dir", "file"]
