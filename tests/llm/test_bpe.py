@@ -54,7 +54,7 @@ def test_long_pre_tokens(own, library):
 
 
 def test_nulls_clashes_and_equal_rows(spark, library):
-    docs = documents(spark).withColumnRenamed("found", "a.b").withColumnRenamed("items", "IDS")
+    docs = documents(spark).withColumnRenamed("found", "c.d").withColumnRenamed("items", "IDS")
     out = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH)
     assert out.columns == [c for c in docs.columns if c != "IDS"] + ["ids", "decoded"]
     rows = out.collect()
