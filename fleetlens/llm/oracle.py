@@ -49,36 +49,60 @@ JOIN turn ON turn.slot = documents_slot"""
 
 
 def _revisits() -> str:
-    tag = "'\"' || md5(coalesce(html, '')) || '\"'"
     rest = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')"
     host = "regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^(?:[^@]*@)?(?:www[0-9]*\\.)?([^:]*?)(?::(?:80|443))?$', '\\1')"
     query = f"list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda f: f <> '' AND NOT regexp_matches(lower(f), '{warc.TRACKING}')))"
+    kept = ", ".join(f"'{f}'" for f in warc.KEPT_FIELDS)
+
+    def headers(*pairs):
+        return "[" + ", ".join(f"{{'name': '{n}', 'value': ({v})::VARCHAR}}" for n, v in pairs) + "]"
+
+    def full(body, etag):
+        return headers(("Content-Type", "'text/html'"), ("ETag", etag), ("Content-Length", f"length({body})"), ("Cache-Control", "'max-age=60'"))
+
+    def first(name):
+        return f"list_filter(headers, lambda h: lower(h.name) = '{name}')[1].value"
+
     return f"""
-WITH v AS (
-  SELECT page_id, 0 AS visit, url, 1700000000 + page_id * 60 AS ts, 200 AS status, html AS body, {tag} AS etag FROM pages
+WITH p AS (SELECT *, 1700000000 + page_id * 60 AS start, page_id // 50 AS block, '"' || md5(coalesce(html, '')) || '"' AS tag,
+                  '"' || md5(coalesce(html, '') || '2') || '"' AS tag2, coalesce(html, '') || '<!-- 2 -->' AS html2 FROM pages),
+v AS (
+  SELECT page_id, 0 AS visit, url, start AS ts, 200 AS status, html AS body, {full('html', 'tag')} AS headers FROM p
+  UNION ALL
+  SELECT page_id, 1, regexp_replace(url, '^https?://', 'http://WWW.') || '#again', start + CASE WHEN page_id % 5 = 0 THEN -86400 ELSE 86400 END, 304, NULL,
+         {headers(('etag', "'W/' || tag"), ('Content-Length', '0'), ('cache-control', "'max-age=600'"))} FROM p
+  UNION ALL
+  SELECT page_id, 2, url, start + 172800, 304, NULL,
+         {headers(('ETag', """CASE WHEN page_id % 7 = 0 THEN '"other"' WHEN page_id % 3 = 0 AND page_id % 4 <> 0 THEN tag2 ELSE tag END"""), ('Age', '1'))} FROM p
+  UNION ALL
+  SELECT page_id, 3, url, start + 129630, 200, html2, {full('html2', 'tag2')} FROM p WHERE page_id % 3 = 0
   UNION ALL
-  SELECT page_id, 1, regexp_replace(url, '^https?://', 'http://WWW.') || '#again',
-         1700000000 + page_id * 60 + CASE WHEN page_id % 5 = 0 THEN -86400 ELSE 86400 END, 304, NULL, {tag} FROM pages
+  SELECT page_id, 4, 'http://Hot.example/?utm_source=' || page_id, start, CASE WHEN page_id % 50 = 0 THEN 200 ELSE 304 END,
+         CASE WHEN page_id % 50 = 0 THEN '<p>' || page_id || '</p>' END,
+         CASE WHEN page_id % 50 = 0 THEN {headers(('Content-Type', "'text/html'"), ('Last-Modified', 'block'))}
+              WHEN page_id % 11 = 0 THEN {headers(('Age', '1'))}
+              ELSE {headers(('Last-Modified', 'CASE WHEN page_id % 13 = 0 THEN block - 1 ELSE block END'))} END FROM p
   UNION ALL
-  SELECT page_id, 2, url, 1700000000 + page_id * 60 + 172800, 304, NULL, CASE WHEN page_id % 7 = 0 THEN '"other"' ELSE {tag} END FROM pages),
-r AS (SELECT *, {rest} AS rest FROM v),
+  SELECT page_id, 5, 'http://Hot.example/?utm_source=' || page_id, start + 20, 304, NULL, {headers(('last-modified', 'block'), ('Set-Cookie', "'k=1'"))} FROM p),
+r AS (SELECT *, {rest} AS rest, regexp_replace(trim({first('etag')}), '^W/', '') AS etag, {first('last-modified')} AS modified FROM v),
 c AS (SELECT *, {host} || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') ||
         CASE WHEN len({query}) > 0 THEN '?' || array_to_string({query}, '&') ELSE '' END AS page FROM r),
-j AS (SELECT a.*, b.page_id AS old, b.etag AS old_tag, b.body AS old_body
+j AS (SELECT a.*, b.page_id * 6 + b.visit AS old, b.etag AS old_tag, b.modified AS old_modified, b.body AS old_body, b.headers AS old_headers
       FROM (SELECT * FROM c WHERE status = 304) a
       ASOF LEFT JOIN (SELECT * FROM c WHERE status = 200) b ON a.page = b.page AND a.ts > b.ts),
-o AS (SELECT *, CASE WHEN old IS NULL THEN 'no_earlier' WHEN etag = old_tag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j)
-SELECT page_id * 3 + visit AS record_id, page_id, url, ts::BIGINT AS ts,
+o AS (SELECT *, CASE WHEN old IS NULL THEN 'no_earlier'
+                     WHEN (etag IS NULL OR etag IS NOT DISTINCT FROM old_tag) AND (modified IS NULL OR modified IS NOT DISTINCT FROM old_modified) THEN 'resolved'
+                     ELSE 'mismatch' END AS outcome, list_filter(headers, lambda h: lower(h.name) NOT IN ({kept})) AS fresh FROM j),
+m AS (SELECT *, CASE WHEN outcome = 'resolved' THEN
+                     list_concat(list_filter(old_headers, lambda s: NOT list_contains(list_transform(fresh, lambda h: lower(h.name)), lower(s.name))), fresh)
+                ELSE headers END AS merged FROM o)
+SELECT page_id * 6 + visit AS record_id, page_id, url, ts::BIGINT AS ts,
        CASE WHEN outcome = 'resolved' THEN 200 ELSE 304 END::INTEGER AS status, outcome,
-       CASE WHEN outcome = 'resolved' THEN old * 3 END AS refers_to,
-       CASE WHEN outcome = 'resolved' THEN 'Content-Type=text/html' || chr(10) ||
-              CASE WHEN visit = 1 THEN 'Content-Length=' || length(old_body) || chr(10) || 'etag=W/' || etag || chr(10) || 'cache-control=max-age=600'
-                   ELSE 'Content-Length=' || length(old_body) || chr(10) || 'Cache-Control=max-age=60' || chr(10) || 'ETag=' || etag || chr(10) || 'Age=1' END
-            WHEN visit = 1 THEN 'etag=W/' || etag || chr(10) || 'Content-Length=0' || chr(10) || 'cache-control=max-age=600'
-            ELSE 'ETag=' || etag || chr(10) || 'Age=1' END AS headers,
+       CASE WHEN outcome = 'resolved' THEN old END AS refers_to,
+       array_to_string(list_transform(merged, lambda h: concat_ws('=', h.name, h.value)), chr(10)) AS headers,
        CASE WHEN outcome = 'resolved' THEN length(old_body) END AS n_chars,
        CASE WHEN outcome = 'resolved' THEN sha256(old_body) END AS body_sha256
-FROM o"""
+FROM m"""
 
 
 def _merkle() -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir
 from ..sources.tables import table
 from . import bpe, collocations, decontaminate, html_text, licenses, line_dedup, merkle, mixing, quality, secrets, sharding, simhash, warc
 from .frames import lower_ascii, saved
@@ -37,9 +38,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of one stored ledger: about half of the rows, dealt by a hash, have been there before and were scanned by the
+    base rules; now all rows are scanned by all rules, but for the pairs seen."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    findings = secrets.scan(secrets.unseen(docs, "text", None))
-    out = secrets.report(docs, "text", findings, keep=["doc_id"])
+    ledger = shared_dir(spark, "secrets-ledger")
+    secrets.advance(docs.where(F.xxhash64("doc_id") < 0), "text", ledger, secrets.RULES[:3])
+    found = secrets.findings(secrets.advance(docs, "text", ledger))
+    out = secrets.report(docs, "text", found, keep=["doc_id"])
 
     def spans(found):
         return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -52,30 +57,46 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"))
 
 
+HOT = "http://Hot.example/?utm_source="  # one page after canonicalisation
+
+
 def captures(pages: DataFrame) -> DataFrame:
-    """Archive records made from ``pages``: each page is fetched in full once, and asked for again by other
-    spellings of its URL: later (unchanged), later with another ETag (every 7th page), or before (every 5th)."""
-    url = F.regexp_replace("url", r"^https?://", "http://WWW.")
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    day, start = 86_400, F.col("page_id") * 60 + 1_700_000_000
+    """Archive records made from ``pages``: each page is fetched in full, by every third also a second time with another body, and asked
+    for again by other spellings of its URL: between the two (every 5th before both), and after both (of the twice fetched every 4th with
+    the first one's ETag, every 7th with one of neither).  Two more records for each page are of one hot URL: a full response of every 50th
+    page, else revisits by Last-Modified (every 13th with an older one, every 11th without validators)."""
+    i, url = F.col("page_id"), F.regexp_replace("url", r"^https?://", "http://WWW.")
+    html = F.coalesce("html", F.lit(""))
+    tag, tag2 = (F.concat(F.lit('"'), F.md5(x), F.lit('"')) for x in (html, F.concat(html, F.lit("2"))))
+    body2 = F.concat(html, F.lit("<!-- 2 -->"))
+    day, start, twice, answers = 86_400, i * 60 + 1_700_000_000, i % 3 == 0, i % 50 == 0
+    block = F.floor(i / 50)
 
     def headers(*pairs):
         return F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in pairs])
 
-    def visit(number, spelled, at, status, body, *pairs):
+    def visit(number, spelled, at, status, body, given):
         return F.struct(F.lit(number).alias("visit"), spelled.alias("url"), F.timestamp_seconds(at).alias("ts"),
-                        F.lit(status).alias("status"), body.alias("body"), headers(*pairs).alias("headers"))
+                        F.lit(status).alias("status"), body.alias("body"), given.alias("headers"))
+
+    def full(number, at, body, etag):
+        return visit(number, F.col("url"), at, 200, body, headers(
+            ("Content-Type", F.lit("text/html")), ("ETag", etag), ("Content-Length", F.length(body)), ("Cache-Control", F.lit("max-age=60"))))
 
-    none = F.lit(None).cast("string")
+    none, hot = F.lit(None).cast("string"), F.concat(F.lit(HOT), i)
     visits = F.array(
-        visit(0, F.col("url"), start, 200, F.col("html"), ("Content-Type", F.lit("text/html")), ("ETag", tag),
-              ("Content-Length", F.length("html")), ("Cache-Control", F.lit("max-age=60"))),
-        visit(1, F.concat(url, F.lit("#again")), start + F.when(F.col("page_id") % 5 == 0, -day).otherwise(day), 304, none,
-              ("etag", F.concat(F.lit("W/"), tag)), ("Content-Length", F.lit(0)), ("cache-control", F.lit("max-age=600"))),
-        visit(2, F.col("url"), start + 2 * day, 304, none,
-              ("ETag", F.when(F.col("page_id") % 7 == 0, F.lit('"other"')).otherwise(tag)), ("Age", F.lit(1))))
-    return pages.select("page_id", F.explode(visits).alias("v")) \
-        .select("page_id", "v.*").withColumn("record_id", F.col("page_id") * 3 + F.col("visit"))
+        full(0, start, F.col("html"), tag),
+        visit(1, F.concat(url, F.lit("#again")), start + F.when(i % 5 == 0, -day).otherwise(day), 304, none, headers(
+            ("etag", F.concat(F.lit("W/"), tag)), ("Content-Length", F.lit(0)), ("cache-control", F.lit("max-age=600")))),
+        visit(2, F.col("url"), start + 2 * day, 304, none, headers(
+            ("ETag", F.when(i % 7 == 0, '"other"').when(twice & (i % 4 != 0), tag2).otherwise(tag)), ("Age", F.lit(1)))),
+        F.when(twice, full(3, start + day + day // 2 + 30, body2, tag2)),
+        F.when(answers, visit(4, hot, start, 200, F.concat(F.lit("<p>"), i, F.lit("</p>")), headers(("Content-Type", F.lit("text/html")), ("Last-Modified", block))))
+         .otherwise(visit(4, hot, start, 304, none, F.when(i % 11 == 0, headers(("Age", F.lit(1))))
+                          .otherwise(headers(("Last-Modified", F.when(i % 13 == 0, block - 1).otherwise(block)))))),
+        visit(5, hot, start + 20, 304, none, headers(("last-modified", block), ("Set-Cookie", F.lit("k=1")))))
+    return pages.select("page_id", F.explode(F.filter(visits, lambda v: v.isNotNull())).alias("v")) \
+        .select("page_id", "v.*").withColumn("record_id", i * 6 + F.col("visit"))
 
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

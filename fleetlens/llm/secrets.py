@@ -6,6 +6,10 @@ blob and rule version are scanned, each blob once, and findings are joined back
 paths that hold the blob.  A changed rule has another version (a hash of its pattern), so
 the next run scans all blobs for that rule alone.
 
+A stored ledger is a folder of rows, one for each blob a run has scanned: the rule versions applied and
+what they found, none included.  A run (``advance``) adds its rows by one write, so a run that is lost adds nothing and
+is made again; rows that two runs add alike count once.
+
 Texts are shuffled once, by address, after equal ones are reduced in each task, so a blob that
 a third of the paths hold is one row a task.  Places are running sums over a blob's matches,
 computed in the same partitions.  Only addresses go through the join back, where a common blob is a hot
@@ -20,7 +24,7 @@ from __future__ import annotations
 import hashlib
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .frames import add, any_names, column, saved, unused
 
@@ -37,6 +41,8 @@ class Rule(NamedTuple):
         return hashlib.md5(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
 
 
+#: a row of a stored ledger
+LEDGER = {"blob": "string", "versions": "array<string>", "found": "array<struct<kind:string,version:string,start:bigint,end:bigint>>"}
 _B, _E = r"(?<![A-Za-z0-9_-])", r"(?![A-Za-z0-9_-])"
 #: Base kinds first, in the order in which equal starts are listed; the others are the method's own.
 RULES = (
@@ -73,38 +79,67 @@ def unseen(docs: DataFrame, text: str, ledger: DataFrame | None, rules: tuple[Ru
     blobs = docs.select(address(column(docs, text)).alias("blob"), F.coalesce(column(docs, text), F.lit("")).alias("text")).dropDuplicates(["blob"])
     if ledger is None:
         return blobs.withColumn("versions", versions)
-    seen = ledger.groupBy("blob").agg(F.collect_set("version").alias("seen"))  # at most one of each version in use
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("versions")).alias("seen"))  # a row for each run that scanned the blob
     out = blobs.join(seen, "blob", "left").withColumn("versions", F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>"))))
     return out.where(F.size("versions") > 0).select("blob", "text", "versions")
 
 
-def scan(new: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob, kind, version, start, end`` of the findings in ``new`` (code points, end exclusive)."""
+def recorded(new: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``new`` scanned, as rows of a ledger: ``blob, versions, found`` (places in code points, end exclusive)."""
     kinds = []
     for n, rule in enumerate(rules):
         wanted = F.array_contains("versions", rule.version) & F.col("text").rlike(rule.gate or rule.pattern)
         rows = F.transform(_places(F.col("text"), rule), lambda m, i: F.struct(
             F.lit(n).alias("rule"), i.alias("i"), m["gap"].alias("gap"), m["size"].alias("size"), m["counts"].alias("counts")))
         kinds.append(F.when(wanted, F.filter(rows, lambda m: m["size"].isNotNull())))
-    found = new.select("blob", F.explode(F.flatten(F.filter(F.array(*kinds), lambda a: a.isNotNull()))).alias("m")) \
-        .select("blob", "m.*")
+    found = new.select("blob", "versions", F.explode_outer(F.flatten(F.filter(F.array(*kinds), lambda a: a.isNotNull()))).alias("m")) \
+        .select("blob", "versions", "m.*")
     up_to = "sum(gap + size) OVER (PARTITION BY blob, rule ORDER BY i)"
     found = found.withColumn("end", F.expr(up_to)).withColumn("start", F.col("end") - F.col("size"))
     least = F.array(*[F.lit(r.least) for r in rules])
     kind, version = (F.array(*[F.lit(x) for x in v]) for v in ([r.kind for r in rules], [r.version for r in rules]))
-    return found.where(F.col("counts") >= least[F.col("rule")]) \
-        .select("blob", kind[F.col("rule")].alias("kind"), F.col("rule"), version[F.col("rule")].alias("version"), "start", "end")
+    one = F.struct(kind[F.col("rule")].alias("kind"), version[F.col("rule")].alias("version"), "start", "end")
+    out = found.groupBy("blob").agg(F.first("versions").alias("versions"),  # the same in all rows of a blob
+                                    F.collect_list(F.when(F.col("counts") >= least[F.col("rule")], one)).alias("found"))
+    return out.select(*[F.col(n).cast(t).alias(n) for n, t in LEDGER.items()])
+
+
+def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob, kind, rule, version, start, end``: what a ledger holds of these rules (``rule`` is the place in their list)."""
+    versions = F.array(*[F.lit(r.version) for r in rules])
+    found = ledger.select("blob", F.explode("found").alias("f")).select("blob", "f.*").withColumn("rule", F.array_position(versions, F.col("version")).cast("int") - 1)
+    return found.where("rule >= 0").select("blob", "kind", "rule", "version", "start", "end")
+
+
+def scan(new: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings in ``new``, without a stored ledger."""
+    return findings(recorded(new, rules), rules)
 
 
 def seen_pairs(new: DataFrame) -> DataFrame:
-    """``blob, version`` to add to the ledger once the findings are stored."""
-    return new.select("blob", F.explode("versions").alias("version"))
+    """``blob, versions`` to add to the ledger once the findings are stored."""
+    return new.select("blob", "versions")
+
+
+def open_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger stored in a (shared) folder, begun where there is none."""
+    spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in LEDGER.items()]).write.mode("ignore").parquet(folder)
+    return spark.read.schema(", ".join(f"{n} {t}" for n, t in LEDGER.items())).parquet(folder)
+
+
+def advance(docs: DataFrame, text: str, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One run over ``docs``: scans the pairs of blob and rule version that the stored ledger has not seen, and adds them.
+
+    Returns the ledger after it, for ``findings`` and ``report``."""
+    ledger = open_ledger(docs.sparkSession, folder)
+    recorded(unseen(docs, text, ledger, rules), rules).write.mode("append").parquet(folder)
+    return open_ledger(docs.sparkSession, folder)
 
 
 def by_blob(findings: DataFrame) -> DataFrame:
     """``blob, found``: a blob's findings in order of start, then kind."""
     one = F.struct("start", "rule", "end", "kind")
-    return findings.groupBy("blob").agg(F.array_sort(F.collect_list(one)).alias("found"))
+    return findings.groupBy("blob").agg(F.array_sort(F.collect_set(one)).alias("found"))
 
 
 @any_names

@@ -35,6 +35,25 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert spans(secrets.report(docs, "text", both)) == spans(secrets.report(docs, "text", whole))
 
 
+def test_runs_over_a_stored_ledger(spark, tmp_path):
+    docs, folder, rules = documents(spark), str(tmp_path / "ledger"), secrets.RULES
+    whole = spans(secrets.report(docs, "text", secrets.scan(secrets.unseen(docs, "text", None))))
+    blobs = len({r["blob"] for r in secrets.unseen(docs, "text", None).collect()})
+    none = docs.limit(0)
+    assert secrets.advance(none, "text", folder).count() == 0
+    first = secrets.advance(docs.where("doc_id < 20"), "text", folder, rules[:3]).count()
+    assert 0 < first < blobs
+    ledger = secrets.advance(docs, "text", folder)
+    # the blobs of the first run again, for the other rules, and each other blob once
+    assert sorted(len(r["versions"]) for r in ledger.collect()) == sorted([3] * first + [len(rules) - 3] * first + [len(rules)] * (blobs - first))
+    assert spans(secrets.report(docs, "text", secrets.findings(ledger))) == whole
+    assert secrets.advance(docs, "text", folder).count() == first + blobs
+    # what two runs add alike counts once; a rule that is not in use any more gives no findings
+    assert spans(secrets.report(docs, "text", secrets.findings(ledger.union(ledger)))) == whole
+    base = secrets.report(docs, "text", secrets.findings(ledger, rules[:3])).collect()
+    assert {f["kind"] for r in base for f in r["found"]} <= {"assign", "access", "hex"}
+
+
 def test_own_kinds(spark):
     key = "x ghp_" + "a1B2" * 9 + " y\n-----BEGIN RSA PRIVATE KEY-----\nAIza" + "k" * 35 + " postgres://user:pass@host xoxb-1234567890ab"
     docs = spark.createDataFrame([(1, key)], "doc_id bigint, text string")

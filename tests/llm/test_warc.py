@@ -1,6 +1,6 @@
 import random
 
-from fleetlens.llm import warc
+from fleetlens.llm import queries, warc
 from nasty import ordered
 from pyspark.sql import functions as F
 
@@ -61,3 +61,12 @@ def test_headers_are_merged_by_the_rules(spark):
     got = {r["record_id"]: r for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [tuple(h) for h in got[2]["headers"]] == [("Content-Type", "text/html"), ("Content-Length", "9"), ("etag", 'W/"a"'), ("cache-control", "max-age=2"), ("Set-Cookie", "k=1")]
     assert (got[2]["refers_to"], got[2]["body"], got[3]["outcome"], got[3]["refers_to"]) == (1, "B", "mismatch", None)
+
+
+def test_the_registered_captures_exercise_the_choice(spark, sf):
+    got = queries.op7_revisits(spark, sf.dir).collect()
+    seen = {(r["record_id"] % 6, r["outcome"], None if r["refers_to"] is None else r["refers_to"] % 6) for r in got}
+    assert seen >= {(1, "resolved", 0), (1, "no_earlier", None), (2, "resolved", 0), (2, "resolved", 3), (2, "mismatch", None),
+                    (4, "resolved", 4), (4, "mismatch", None), (5, "resolved", 4)}
+    hot = sum(r["record_id"] % 6 > 3 for r in got)
+    assert hot > len(got) / 3
