@@ -615,6 +615,17 @@ def q_file_catalog(spark, d):
     return cat.select(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("dir"), (F.col("length") > 0).alias("filled")).distinct()
 
 
+def q_list_tree(spark, d):
+    """S2 without the driver's listing: the same kind of tree, listed level by level in tasks; bytes of its folders."""
+    from fleetlens.session import shared_dir
+    from fleetlens.sources.catalog import list_tree
+    root = shared_dir(spark, "tree")
+    _t(spark, d, "events").select("event_type", (F.col("user_id") % 4).alias("unit"), "props") \
+        .write.partitionBy("event_type", "unit").text(root)
+    cat = list_tree(spark, root, glob="part-*.txt")
+    return cat.groupBy(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("dir")).agg(F.sum("length").alias("bytes"))
+
+
 def q_stop_order(spark, d):
     """W1 with stop orders honoured: tasks that have one stop first."""
     x = _lines(spark, d).withColumn("stop_order", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")))
@@ -629,4 +640,4 @@ def q_spec_timeline(spark, d):
 
 
 QUERIES.update({"reconcile_full": q_reconcile_full, "spec_rejects": q_spec_rejects, "collected_status": q_collected_status, "collected_checked": q_collected_checked,
-                "file_catalog": q_file_catalog, "stop_order": q_stop_order, "spec_timeline": q_spec_timeline})
+                "file_catalog": q_file_catalog, "list_tree": q_list_tree, "stop_order": q_stop_order, "spec_timeline": q_spec_timeline})

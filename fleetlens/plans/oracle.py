@@ -528,6 +528,8 @@ SELECT run, '2', 2, 1, {PROBE_WAIT_LOCAL_S}, {PROBE_WAIT_LOCAL_S} + probe, {PROB
 ORACLE.update({
     "reconcile_full": RECONCILE_FULL, "spec_rejects": SPEC_REJECTS, "collected_status": COLLECTED_STATUS, "collected_checked": COLLECTED_CHECKED,
     "file_catalog": "SELECT DISTINCT 'event_type=' || event_type || '/unit=' || (user_id % 4) AS dir, true AS filled FROM events",
+    "list_tree": """SELECT 'event_type=' || event_type || '/unit=' || (user_id % 4) AS dir, sum(coalesce(strlen(props), 0) + 1)::BIGINT AS bytes
+                    FROM events GROUP BY ALL""",
     "stop_order": STOP_ORDER, "spec_timeline": SPEC_TIMELINE,
     "read_stats": """SELECT 'run of ' || event_type AS run, 'u' || (user_id % 4) AS origin, event_id, ts, user_id, value,
                             CASE WHEN event_type <> 'click' THEN props END AS props FROM events""",

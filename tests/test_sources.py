@@ -7,7 +7,7 @@ import os
 import pytest
 
 from helpers import rows
-from fleetlens.sources.catalog import file_catalog
+from fleetlens.sources.catalog import file_catalog, list_tree
 from fleetlens.sources.sinks import write_new
 from fleetlens.sources.stats import read_stats
 from specfix import write_text
@@ -30,6 +30,25 @@ def test_file_catalog_lists_without_content(spark, tmp):
     assert read_schema and all("content" not in ln for ln in read_schema)
 
 
+def test_tree_listed_in_tasks_equals_the_catalog(spark, tmp):
+    root = os.path.join(tmp, "a tree")
+    for i in range(60):
+        write_text(os.path.join(root, f"r{i % 5}", f"u {i % 7}%20@é", *["deep"] * (i % 4)), f"f {i}+%41.{'csv' if i % 3 else 'log'}", "x" * (i + 1))
+    os.makedirs(os.path.join(root, "empty", "folder"))
+    cols = ("path", "local_path", "rel_path", "length", "mtime")
+    assert rows(list_tree(spark, root), *cols) == rows(file_catalog(spark, root), *cols)
+    assert rows(list_tree(spark, f"file://{root}/", glob="*.csv"), *cols) == rows(file_catalog(spark, root, glob="*.csv"), *cols)
+    assert list_tree(spark, root, glob="f 1?+*[!c]sv").count() == 0
+    # what Spark's listing leaves out: empty files, names with _ or . in front
+    write_text(os.path.join(root, "_run", ".x"), "_y", "")
+    os.symlink(root, os.path.join(root, "r0", "loop"))
+    more = rows(list_tree(spark, root).where("length = 0"), "rel_path", "length")
+    assert more == [("_run/.x/_y", 0)] and list_tree(spark, root).count() == 61
+    assert list_tree(spark, os.path.join(root, "empty")).count() == 0
+    with pytest.raises(Exception, match="a tree/none"):
+        list_tree(spark, os.path.join(root, "none"))
+
+
 def test_read_stats_lineage_and_merge_by_name(spark, tmp):
     write_text(os.path.join(tmp, "_rtt20_loss0", "u@h1"), "2-stats-snd.csv", "time,sent\n1,10\n2,20\n")
     write_text(os.path.join(tmp, "_rtt20_loss0", "u@h2"), "1-stats-rcv.csv", "time,recv,lost\n1,9,1\n")
