@@ -28,6 +28,7 @@ HEADERS = "array<struct<name:string,value:string>>"
 KEPT_FIELDS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
                "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection",
                "te", "trailer", "transfer-encoding", "upgrade")
+RANGES = 4  # for each shuffle partition
 TRACKING = r"^(?:utm_[a-z]+|gclid|fbclid|sessionid|phpsessid|jsessionid|sid)(?:=|$)"
 
 
@@ -69,7 +70,8 @@ def resolve(records: DataFrame, url: str = "url", time: str = "ts", status: str
     Full responses are those of status 200.  An unresolved revisit keeps its own status, headers and null body.
     """
     spark = records.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # several ranges for each task, so that those of a hot URL are dealt evenly
+    n = partitions or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     x, y, xs, xb, xh = unused(records, "x", "y", "xstatus", "xbody", "xheaders")
     marked = records.withColumns(dict(zip((x, y), row_hash(records)))).where(F.col(status).isin(200, 304))
     others = [c for c in records.columns if c != body]
