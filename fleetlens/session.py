@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+# Large per-key streaming state lives off-heap, checkpointed as changelogs; map state and timers need this store.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 # Settings every fleetlens job relies on.  UTC keeps timestamp_ntz <-> timestamp
 # casts loss-free; AQE re-plans joins and coalesces small shuffle partitions;
 # the skew-join rule splits a hot join key across tasks.
@@ -16,10 +24,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # large per-key streaming state lives off-heap, checkpointed as changelogs
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    **STATE_CONF,
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -66,6 +71,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+@contextmanager
+def state_conf(spark: SparkSession):
+    """Streams started inside get the state store of ``STATE_CONF``, also in a session that ``get_session`` did not build.
+    A store that the session names stays, unless it is Spark's default one, which has no map state."""
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith(".HDFSBackedStateStoreProvider"):
+        yield
+        return
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    try:
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -76,4 +101,4 @@ def local_path(p: str) -> str:
     return p[len("file:"):] if p.startswith("file:") else p
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "shared_dir", "local_path", "BASE_CONF"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "state_conf", "shared_dir", "local_path", "BASE_CONF"]

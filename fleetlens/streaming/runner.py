@@ -13,7 +13,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.session import shared_dir
+from fleetlens.session import shared_dir, state_conf
 
 PROGRESS_S = 2.0  # how often a drain looks at the progress
 
@@ -28,9 +28,11 @@ def drain_to_parquet(spark: SparkSession, stream: DataFrame, name: str,
     base = shared_dir(spark, name)
     out = out or f"{base}/out"
     checkpoint = checkpoint or f"{base}/checkpoint"
-    q = (stream.writeStream.format("parquet").outputMode("append")
+    w = (stream.writeStream.format("parquet").outputMode("append")
                .option("path", out).option("checkpointLocation", checkpoint)
-               .trigger(availableNow=True).start())
+               .trigger(availableNow=True))
+    with state_conf(spark):  # a query keeps the settings that it is started with
+        q = w.start()
     try:
         late, until = {}, None if timeout_s is None else time.monotonic() + timeout_s
         while True:

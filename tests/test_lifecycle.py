@@ -426,3 +426,39 @@ def test_stops_of_idle_tasks_in_batch_and_stream(spark, tmp):
         want = stop_escalation(ev, ["user_id"], ORDER, F.col("kind") == "stop", exit_, term_s=10, kill_s=10, is_start=F.col("kind") == "start", hot_rows=hot)
         assert rows(got, "event_id", "outcome") == rows(want, "event_id", "outcome")
     assert rows(want, "user_id", "outcome") == [(1, "already_exited"), (2, "already_exited"), (2, "not_stopped"), (2, "terminated"), (3, "not_stopped")]
+
+
+FOREIGN = """
+import sys
+sys.path.insert(0, sys.argv[1])  # this process finds the package; those that Spark starts do not
+import duckdb
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+         .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[4] + "/shared").getOrCreate())
+spark.sparkContext.setLogLevel("OFF")
+import __spark_entry__ as E
+store = "spark.sql.streaming.stateStore.providerClass"
+before = spark.conf.get(store)
+got = E.queries()[sys.argv[2]](spark, sys.argv[3])
+assert spark.conf.get(store) == before and before.endswith("HDFSBackedStateStoreProvider")
+con = duckdb.connect()
+con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sys.argv[3]}/events.parquet')")
+want = con.sql(E.oracle_sql()[sys.argv[2]])
+cols = sorted(want.columns)
+assert sorted(got.columns) == cols
+order = lambda rs: sorted(rs, key=str)
+a = order(tuple(r[c] for c in cols) for r in got.collect())
+assert a == order(want.select(*cols).fetchall()) and a
+print("SAME", len(a))
+"""
+
+
+@pytest.mark.parametrize("name", ["lifecycle_monitor"])
+def test_streams_run_in_a_session_built_elsewhere(name, tmp):
+    """Spark's own defaults, and Python processes that cannot import the package."""
+    import subprocess
+    import sys
+    from helpers import ROOT, SF_SMALL
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", FOREIGN, ROOT, name, SF_SMALL, tmp], cwd=tmp, env=env, capture_output=True, text=True, timeout=600)
+    assert "SAME" in done.stdout, (done.stdout + done.stderr)[-3000:]
