@@ -453,7 +453,7 @@ print("SAME", len(a))
 """
 
 
-@pytest.mark.parametrize("name", ["lifecycle_monitor"])
+@pytest.mark.parametrize("name", ["lifecycle_monitor", "lifecycle_stream"])
 def test_streams_run_in_a_session_built_elsewhere(name, tmp):
     """Spark's own defaults, and Python processes that cannot import the package."""
     import subprocess
