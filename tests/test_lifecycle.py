@@ -453,12 +453,12 @@ print("SAME", len(a))
 """
 
 
-@pytest.mark.parametrize("name", ["lifecycle_monitor", "lifecycle_stream"])
-def test_streams_run_in_a_session_built_elsewhere(name, tmp):
+@pytest.mark.parametrize("name, sf", [("lifecycle_monitor", "sf0.001"), ("lifecycle_stream", "sf0.001"), ("lifecycle_stream", "sf0.01")])
+def test_streams_run_in_a_session_built_elsewhere(name, sf, tmp):
     """Spark's own defaults, and Python processes that cannot import the package."""
     import subprocess
     import sys
-    from helpers import ROOT, SF_SMALL
+    from helpers import ROOT
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    done = subprocess.run([sys.executable, "-c", FOREIGN, ROOT, name, SF_SMALL, tmp], cwd=tmp, env=env, capture_output=True, text=True, timeout=600)
+    done = subprocess.run([sys.executable, "-c", FOREIGN, ROOT, name, f"/root/testdata/{sf}", tmp], cwd=tmp, env=env, capture_output=True, text=True, timeout=600)
     assert "SAME" in done.stdout, (done.stdout + done.stderr)[-3000:]
