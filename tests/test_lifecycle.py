@@ -453,7 +453,8 @@ print("SAME", len(a))
 """
 
 
-@pytest.mark.parametrize("name, sf", [("lifecycle_monitor", "sf0.001"), ("lifecycle_stream", "sf0.001"), ("lifecycle_stream", "sf0.01")])
+@pytest.mark.parametrize("name, sf", [("lifecycle_monitor", "sf0.001"), ("lifecycle_stream", "sf0.001"), ("lifecycle_stream", "sf0.01"),
+                                      ("lifecycle_monitor", "sf0.01")])
 def test_streams_run_in_a_session_built_elsewhere(name, sf, tmp):
     """Spark's own defaults, and Python processes that cannot import the package."""
     import subprocess
