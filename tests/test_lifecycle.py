@@ -410,6 +410,27 @@ def test_a_hot_key_has_no_large_state_value(spark):
     assert got == want
 
 
+def test_a_small_key_gives_one_frame():
+    """Verdicts, launches, stops and the status of a key together, since each frame costs an Arrow batch; large ones come in leaves."""
+    import pandas as pd
+    import pyarrow as pa
+    from fleetlens.streaming import monitor
+    types = pa.schema([("lm_id", pa.int64()), ("lm_us", pa.int64()), ("action", pa.string()), ("launch_exit", pa.bool_()), ("stop_exit", pa.bool_()),
+                       ("rc", pa.int32()), ("stop_ok", pa.bool_())])
+    big = 2 ** 53 + 1
+    acts = ["start", "stop", None, "collect", "start"]
+    rows_in = pd.DataFrame({"lm_id": [big + i for i in range(5)], "lm_us": [10, 20, 30, 40, 50], "action": acts, "launch_exit": [a is None for a in acts],
+                            "stop_exit": [a is None for a in acts], "rc": [None, None, 7, None, None], "stop_ok": True})
+    for leaf in (4096, 4):
+        m = monitor.Monitor(["k", "unit"], "event_id", types, 100, 5, 5, None, False, True, leaf=leaf)
+        m.init(_Handle())
+        got = list(m._run((1, "u1"), [rows_in], 1_000))
+        assert sum(map(len, got)) == 8 and (len(got) == 1 if leaf > 8 else max(map(len, got)) <= 4)
+        assert sorted((r.kind, r.event_id - big, r.outcome, None if r.returncode is pd.NA else r.returncode) for f in got for r in f.itertuples()) == [
+            ("launch", 0, "launch_failed", 7), ("launch", 4, "launched", None), ("status", 4, "running", None), ("stop", 1, "killed", None),
+            ("verdict", 0, "ok", None), ("verdict", 1, "ok", None), ("verdict", 3, "ok", None), ("verdict", 4, "already_started", None)]
+
+
 def test_stops_of_idle_tasks_in_batch_and_stream(spark, tmp):
     from fleetlens.streaming.monitor import lifecycle_monitor
     from fleetlens.streaming.runner import drain_to_parquet, file_stream
