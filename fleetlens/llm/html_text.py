@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .frames import any_names, row_hash, unused
 
 RUN = 8  # tokens
+# Of an Arrow batch that a task gives back: rows of suffixes, and bytes (or characters) of packed pages or texts.
+SUFFIXES, SIZE = 32_768, 8 << 20
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -295,41 +297,64 @@ def main_text(found: list[tuple[int, str, int]], around: list[int], repeated: se
 
 
 def _suffix_rows(run: int):
+    def rows(batch, parts):
+        """``parts``: the page's row, the first place, keys."""
+        of = pa.array(np.repeat([i for i, _, _ in parts], [len(k) for _, _, k in parts]))
+        key = np.concatenate([k for _, _, k in parts])
+        place = np.concatenate([np.arange(p, p + len(k), dtype=np.int32) for _, p, k in parts])
+        return pa.RecordBatch.from_arrays([
+            batch.column("x").take(of), batch.column("y").take(of), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()),
+            pa.array(place)], names=["x", "y", "key", "key2", "place"])
+
     def go(batches):
         for batch in batches:
-            keys, rows, places = [], [], []
+            parts, n = [], 0
             for i, (page, url) in enumerate(zip(batch.column("html"), batch.column("url"))):
-                k = _parsed(page.as_py(), url.as_py(), run, articles=False)[1]
-                keys.append(k)
-                rows.append(np.full(len(k), i))
-                places.append(np.arange(len(k)))
-            rows = pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64))
-            key = np.concatenate([*keys, np.zeros((0, 2), np.int64)])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("x").take(rows), batch.column("y").take(rows), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()),
-                pa.array(np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32))], names=["x", "y", "key", "key2", "place"])
+                keys = _parsed(page.as_py(), url.as_py(), run, articles=False)[1]
+                for p in range(0, len(keys), SUFFIXES):
+                    parts.append((i, p, keys[p:p + SUFFIXES]))
+                    n += len(parts[-1][2])
+                    if n >= SUFFIXES:
+                        yield rows(batch, parts)
+                        parts, n = [], 0
+            if parts:
+                yield rows(batch, parts)
     return go
 
 
+def _pieces(batch, values):
+    """Slices of the batch with the values of their rows, made one by one: up to ``SIZE`` and a row's."""
+    at, held, n = 0, [], 0
+    for v in values:
+        held.append(v)
+        n += len(v)
+        if n >= SIZE:
+            yield batch.slice(at, len(held)), held
+            at, held, n = at + len(held), [], 0
+    if held:
+        yield batch.slice(at, len(held)), held
+
+
 def _pack(names: list[str], run: int, page: str, url: str, packed: str):
     def go(batches):
         for batch in batches:
-            data = [zlib.compress(json.dumps(_parsed(p.as_py(), u.as_py(), run)[0], ensure_ascii=False).encode(), 6)
-                    for p, u in zip(batch.column(names.index(page)), batch.column(names.index(url)))]
-            old = {k: batch.column(i) for i, k in enumerate(names) if k != page}
-            yield pa.RecordBatch.from_arrays([*old.values(), pa.array(data, pa.binary())], names=[*old, packed])
+            data = (zlib.compress(json.dumps(_parsed(p.as_py(), u.as_py(), run)[0], ensure_ascii=False).encode(), 6)
+                    for p, u in zip(batch.column(names.index(page)), batch.column(names.index(url))))
+            for part, packs in _pieces(batch, data):
+                old = {k: part.column(i) for i, k in enumerate(names) if k != page}
+                yield pa.RecordBatch.from_arrays([*old.values(), pa.array(packs, pa.binary())], names=[*old, packed])
     return go
 
 
 def _unpack(names: list[str], out: list[str], packed: str, places: str, run: int):
     def go(batches):
         for batch in batches:
-            texts = []
-            for data, p in zip(batch.column(names.index(packed)), batch.column(names.index(places))):
-                texts.append(main_text(*json.loads(zlib.decompress(data.as_py())), set(p.as_py() or ()), run))
-            old = {k: batch.column(i) for i, k in enumerate(names)}
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([(old | new)[k] for k in out], names=out)
+            found = (main_text(*json.loads(zlib.decompress(data.as_py())), set(p.as_py() or ()), run)
+                     for data, p in zip(batch.column(names.index(packed)), batch.column(names.index(places))))
+            for part, texts in _pieces(batch, found):
+                old = {k: part.column(i) for i, k in enumerate(names)}
+                new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+                yield pa.RecordBatch.from_arrays([(old | new)[k] for k in out], names=out)
     return go
 
 

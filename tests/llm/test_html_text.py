@@ -154,3 +154,38 @@ def test_runs_equal_a_sorted_suffix_array(spark):
     for (i, p), k in keys.items():
         pages.setdefault(k, set()).add(i)
     assert {x for x, k in keys.items() if len(pages[k]) > 1} == shared and shared
+
+
+def test_batches_given_back_are_small():
+    """Whatever the pages of an Arrow batch hold: many pages, or one of many tokens."""
+    import json
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+    words = [f"w{i}" for i in range(150_000)]
+    pages = ["<p>" + " ".join(words), "", "<article>x</article>", *["<div>" + " ".join(words[i:i + 1_000]) for i in range(100)], None]
+    n = len(pages)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([7] * n, pa.int64()), pa.array(["http://h/"] * n), pa.array(pages, pa.string())],
+                                       names=["x", "y", "url", "html"])
+    got = list(html_text._suffix_rows(8)([batch]))
+    assert max(b.num_rows for b in got) < 2 * 32_768 and len(got) > 4
+    rows = pa.Table.from_batches(got)
+    assert rows.schema.types == [pa.int64()] * 4 + [pa.int32()]
+    want = [(i, 7, *map(int, k), p) for i, t in enumerate(pages) for p, k in enumerate(html_text._parsed(t, "http://h/", 8, articles=False)[1])]
+    assert list(zip(*[c.to_pylist() for c in rows.columns])) == want
+    assert list(html_text._suffix_rows(8)([batch.slice(1, 2)])) == []
+
+    rng = np.random.default_rng(1)
+    long = ["<p>" + rng.bytes(1_500_000).hex() for _ in range(20)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21)), pa.array(["http://h/"] * 21), pa.array(long, pa.string())], names=["page_id", "url", "html"])
+    packs = list(html_text._pack(["page_id", "url", "html"], 8, "html", "url", "packed")([batch]))
+    assert len(packs) > 1 and max(b.nbytes for b in packs) < (8 << 20) + 2_000_000
+    whole = pa.Table.from_batches(packs)
+    assert whole.column("page_id").to_pylist() == list(range(21))
+    assert json.loads(zlib.decompress(whole.column("packed")[3].as_py()))[0][0][1] == long[3][3:]
+    names = [*whole.column_names, "places"]
+    one = whole.append_column("places", pa.array([[]] * 21, pa.list_(pa.int32()))).combine_chunks().to_batches()[0]
+    texts = list(html_text._unpack(names, ["page_id", "text", "n_chars"], "packed", "places", 8)([one]))
+    assert len(texts) > 2 and max(b.nbytes for b in texts) < (8 << 20) + 4_000_000
+    assert pa.Table.from_batches(texts).to_pylist() == [{"page_id": i, "text": (t or "")[3:], "n_chars": len((t or "")[3:])} for i, t in enumerate(long)]
