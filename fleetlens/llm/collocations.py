@@ -41,6 +41,7 @@ MAX_WORDS, MAX_PHRASES = 1 << 20, 1 << 20
 GROUP = 4 << 20      # bytes of text that are worked on together, a quarter of those of numbers; one longer text is by itself
 BITS = 10            # a word's number is walked in symbols of so many bits
 WIDTH = 1 << BITS
+LARGE = 64           # children of a state from which on a place is searched for it alone
 BUCKET = 1 << 20     # pairs of a bucket, on average at most
 VECTOR = 512         # counts of phrases that travel together
 SUMS, TOTALS = "bucket bigint, pairs binary, n binary", "part bigint, n binary"
@@ -141,75 +142,101 @@ def _numbers(batches) -> Iterator[np.ndarray]:
                 yield np.append(whole, np.int32(0))
 
 
+def _placed(symbol: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Slots of first children, so that no two children share one: family i has the ascending symbols from ``begin[i]`` on, each as far behind
+    the first child's slot as its symbol is.  The slots below WIDTH are left, so that no base is negative.
+
+    Large families come first, one after another behind all places that were tried; those of less than LARGE children are dealt at random,
+    all of about a size at once, where slots are free, with more slots when few fit; only children go into what is left.  So the
+    time is in proportion to the children, and no search begins again at the front."""
+    count, off = np.diff(np.append(begin, len(symbol))), symbol - np.repeat(symbol[begin], np.diff(np.append(begin, len(symbol))))
+    first, random = np.zeros(len(begin), np.int64), np.random.Generator(np.random.PCG64(len(symbol)))
+    taken = np.zeros(len(symbol) + len(symbol) // 8 + 4 * WIDTH, bool)
+    taken[:WIDTH] = True
+    at, tries = WIDTH, np.arange(64)[:, None]
+    large = np.flatnonzero(count >= LARGE)
+    for j in large[np.argsort(-count[large], kind="stable")]:
+        own = off[begin[j]:begin[j] + count[j]]
+        while True:
+            if at + 2 * WIDTH > len(taken):
+                taken = np.append(taken, np.zeros(len(taken) // 4, bool))
+            fits = ~taken[at:at + 64]
+            fits[fits] = ~taken[at + tries[fits] + own].any(axis=1)
+            if fits.any():
+                break
+            at += 64
+        first[j] = at + int(fits.argmax())
+        taken[first[j] + own] = True
+    owner = np.zeros(len(taken), np.int32)
+    for least in (LARGE >> i for i in range(1, LARGE.bit_length() - 1)):
+        left, tried, won = np.flatnonzero((count >= least) & (count < 2 * least)), 0, 0
+        while len(left):
+            ends = np.cumsum(count[left])
+            starts = ends - count[left]
+            child = np.arange(ends[-1]) + np.repeat(begin[left] - starts, count[left])
+            slot = random.integers(WIDTH, len(taken) - WIDTH, len(left))
+            slots, of = np.repeat(slot, count[left]) + off[child], np.repeat(np.arange(len(left), dtype=np.int32), count[left])
+            free = ~np.logical_or.reduceat(taken[slots], starts)
+            owner[slots[free[of]]] = of[free[of]]  # of some that want a slot at once, one has it
+            free &= np.logical_and.reduceat(owner[slots] == of, starts)
+            first[left[free]] = slot[free]
+            taken[slots[free[of]]] = True
+            tried, won, left = tried + len(left), won + int(free.sum()), left[~free]
+            if tried >= 256:
+                if won * 32 < tried:
+                    taken, owner = (np.append(x, np.zeros(len(x) // 4, x.dtype)) for x in (taken, owner))
+                tried = won = 0
+    only = np.flatnonzero(count == 1)
+    free = np.flatnonzero(~taken)[:len(only)]
+    first[only] = np.append(free, len(taken) + np.arange(len(only) - len(free)))
+    return first
+
+
 class DoubleArray:
     """A trie of phrases as two arrays: the child of state s by symbol c is ``base[s] + c``, if ``check`` there says s.
 
     A word's number is ``digits`` symbols of ``BITS`` bits.  State 0 is none and state 1 the root.  ``accepts`` gives the place of the phrase that ends
     in a state, or -1.  ``depth``: words of the longest phrase."""
 
-    def __init__(self, phrases: list[np.ndarray], most: int):
+    def __init__(self, phrases: list[np.ndarray] | pa.ListArray, most: int):
         """``phrases``: distinct sequences of numbers; ``most``: the largest number there is."""
+        if not isinstance(phrases, pa.Array):
+            phrases = pa.array(phrases, pa.list_(pa.int32()))
         self.digits = max(1, -(-int(most).bit_length() // BITS))
-        self.depth = max(map(len, phrases), default=0)
-        paths = np.full((len(phrases), self.depth * self.digits), -1, np.int32)
-        for i, p in enumerate(phrases):
-            paths[i, :len(p) * self.digits] = np.stack([p >> BITS * d & WIDTH - 1 for d in reversed(range(self.digits))], axis=1).ravel()
-        self.base = np.zeros(4 * WIDTH, np.int32)
-        self.check = np.full(4 * WIDTH, -1, np.int32)
-        self.taken = np.zeros(4 * WIDTH, bool)
-        self.taken[:WIDTH] = True  # so that no base is negative
-        self.free_from = WIDTH
+        size = pc.list_value_length(phrases).to_numpy(zero_copy_only=False)
+        self.depth = int(size.max(initial=0))
+        paths = np.full((len(phrases), self.depth), -1, np.int32)
+        paths[np.arange(self.depth) < size[:, None]] = phrases.flatten().to_numpy()
         order = np.lexsort(paths.T[::-1]) if self.depth else np.arange(len(paths))
         paths = paths[order]
-        new = np.ones(paths.shape, bool)
-        new[1:] = np.logical_or.accumulate(paths[1:] != paths[:-1], axis=1)
-        new &= paths >= 0
-        state, ends = np.ones(len(paths), np.int64), np.ones(len(paths), np.int64)
-        for d in range(paths.shape[1]):
-            rows = np.flatnonzero(new[:, d])  # a row for each node of this depth; a parent's children stand together
-            child = self._settled(state[rows], paths[rows, d].astype(np.int64))
-            here = paths[:, d] >= 0
-            state = child[np.maximum(np.cumsum(new[:, d]) - 1, 0)]
-            ends[here] = state[here]
-        self.accepts = np.full(len(self.base), -1, np.int32)
-        self.accepts[ends] = order
+        parent, symbol, ends = self._nodes(paths)
+        begin = np.flatnonzero(np.diff(parent, prepend=-1))  # a parent's children stand together
+        first = _placed(symbol, begin)
+        state = np.repeat(first - symbol[begin], np.diff(np.append(begin, len(symbol)))) + symbol
+        top = int(state.max(initial=0)) + 1 + WIDTH  # no base and symbol lead beyond
+        state = np.append(1, state)  # of the root, then of the nodes
+        self.base, self.check, self.accepts = np.zeros(top, np.int32), np.full(top, -1, np.int32), np.full(top, -1, np.int32)
+        self.base[state[parent[begin]]] = first - symbol[begin]
+        self.check[state[1:]] = state[parent]
+        self.accepts[state[ends]] = order
         self.accepts[:2] = -1
 
-    def _grow(self, size: int) -> None:
-        more = max(size, 2 * len(self.base)) - len(self.base)
-        if more > 0 and size > len(self.base):
-            self.base = np.append(self.base, np.zeros(more, np.int32))
-            self.check = np.append(self.check, np.full(more, -1, np.int32))
-            self.taken = np.append(self.taken, np.zeros(more, bool))
-
-    def _settled(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """States of the children, parents with many children first, only children into the slots that are left."""
-        first = np.flatnonzero(np.diff(parent, prepend=-1))
-        count = np.diff(np.append(first, len(parent)))
-        for j in np.argsort(-count, kind="stable"):
-            if count[j] == 1:
-                break
-            c = symbol[first[j]:first[j] + count[j]]
-            tries = self.free_from + np.flatnonzero(~self.taken[self.free_from:self.free_from + 4 * WIDTH])[:32]
-            self._grow(int(self.free_from) + 6 * WIDTH)
-            fits = np.flatnonzero(~self.taken[(tries - c[0])[:, None] + c[None, :]].any(axis=1))
-            if len(fits):
-                base = int(tries[fits[0]] - c[0])
-            else:  # behind all that is taken
-                base = int(np.flatnonzero(self.taken)[-1]) + 1
-                self._grow(base + 2 * WIDTH)
-            self.base[parent[first[j]]] = base
-            self.taken[base + c] = True
-            while self.taken[self.free_from]:
-                self.free_from += 1
-        single = first[count == 1]
-        self._grow(len(self.base) + len(single) + 2 * WIDTH if (~self.taken[:-WIDTH]).sum() < len(single) else 0)
-        slots = np.flatnonzero(~self.taken[:-WIDTH])[:len(single)]
-        self.base[parent[single]] = slots - symbol[single]
-        self.taken[slots] = True
-        child = self.base[parent] + symbol
-        self.check[child] = parent
-        return child
+    def _nodes(self, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted paths: each node's parent and symbol, depth by depth (nodes count from 1, the root is 0), and the node where each path ends."""
+        at, fresh = np.zeros(len(paths), np.int64), np.arange(len(paths)) == 0
+        parents, symbols, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for word in paths.T:
+            here = word >= 0
+            fresh[1:] |= here[1:] & ~here[:-1]
+            for d in reversed(range(self.digits)):
+                symbol = word >> BITS * d & WIDTH - 1
+                fresh[1:] |= symbol[1:] != symbol[:-1]
+                new = fresh & here
+                parents.append(at[new])
+                symbols.append(symbol[new].astype(np.int64))
+                at = np.where(here, n + np.cumsum(new), at)
+                n += len(symbols[-1])
+        return np.concatenate(parents), np.concatenate(symbols), at
 
     def walk(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """After each word: its count, the places whose state is still alive, and their states."""
@@ -338,9 +365,7 @@ def _tries(phrases: DataFrame, most: int, max_phrases: int):
         paths = rows.column("path").combine_chunks()
         ids = rows.column("id").to_numpy().astype(np.int64)
         if len(ids):
-            flat, at = paths.flatten().to_numpy(), paths.offsets.to_numpy()
-            trie = DoubleArray([flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0])], most)
-            yield phrases.sparkSession.sparkContext.broadcast((trie, ids))
+            yield phrases.sparkSession.sparkContext.broadcast((DoubleArray(paths, most), ids))
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST,

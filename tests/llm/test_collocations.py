@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import brute
 import numpy as np
@@ -83,6 +84,37 @@ def test_double_array_holds_what_was_put_in(most):
     assert sum(trie.accepts >= 0) == len(seqs)
 
 
+def test_double_array_grows_with_its_phrases():
+    """Many phrases over many words, most of them rare: slots and time in proportion to the nodes."""
+    r, most = np.random.default_rng(8), 60_000
+    number = r.permutation(most).astype(np.int32) + 1
+    seqs = np.unique(number[np.minimum(most ** r.random((120_000, 3)), most).astype(int) - 1], axis=0)
+    seqs = r.permutation(seqs)
+    began = time.process_time()
+    trie = collocations.DoubleArray(list(seqs), most)
+    assert time.process_time() - began < 15
+    nodes = sum(len(np.unique(x)) for x in (seqs[:, 0] >> collocations.BITS, seqs[:, 0]))
+    for k in (1, 2):
+        rows = np.unique(np.column_stack([seqs[:, :k], seqs[:, k] >> collocations.BITS]), axis=0)
+        nodes += len(rows) + len(np.unique(seqs[:, :k + 1], axis=0))
+    assert (trie.check >= 0).sum() == nodes and len(trie.base) < 2 * nodes
+    text = np.append(np.insert(seqs, 0, 0, axis=1).ravel(), 0).astype(np.int32)
+    place, state = next((p, s) for k, p, s in trie.walk(text) if k == 3)
+    whole = place % 4 == 1
+    assert trie.accepts[state[whole]].tolist() == list(range(len(seqs))) and not whole[trie.accepts[state] < 0].any()
+
+
+@pytest.mark.parametrize("sizes", [[1], [1024] * 40, [1] * 500 + [2] * 500, list(range(1, 300)) * 3, [64, 63, 65, 1024, 1023, 1, 1] * 30])
+def test_children_get_slots_of_their_own(sizes):
+    r = np.random.default_rng(len(sizes))
+    families = [np.sort(r.choice(collocations.WIDTH, n, replace=False)) for n in sizes]
+    begin = np.cumsum([0, *sizes[:-1]])
+    first = collocations._placed(np.concatenate(families), begin)
+    slots = np.concatenate([f + x - x[0] for f, x in zip(first, families)])
+    assert len(np.unique(slots)) == len(slots) and slots.min() >= collocations.WIDTH
+    assert all(f - x[0] > 0 for f, x in zip(first, families))
+
+
 def test_registered_query(spark, sf):
     want = brute.collocations(sf("documents", "text", "lang"))
     assert ordered(map(tuple, queries.op13_collocations(spark, sf.dir).collect())) == ordered(want)
