@@ -36,7 +36,7 @@ from .frames import saved
 from .words import LOWER, mixed
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-BREAKS, SPACES = r"[.,;:!?\n\x0b\x0c\r]+", r"[ \t]+"
+BREAKS, SPACES = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?\n\x0b\x0c\r", b" \t"))  # ASCII, so no part of another character
 MAX_WORDS, MAX_PHRASES = 1 << 20, 1 << 20
 GROUP = 4 << 20      # bytes of text that are worked on together, a quarter of those of numbers; one longer text is by itself
 BITS = 10            # a word's number is walked in symbols of so many bits
@@ -70,15 +70,16 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndar
     for first, last in _slices(sizes.astype(np.int64), GROUP):
         lang, text = (batch.column(i).slice(first, last - first) for i in (0, 1))
         lang = pc.fill_null(lang.cast(pa.large_string()), "und")
-        pieces = pc.split_pattern_regex(_lowered(text), BREAKS)
-        row = pc.list_parent_indices(pieces)
-        words = pc.split_pattern_regex(pieces.flatten(), SPACES)
-        piece = pc.list_parent_indices(words)
-        words = words.flatten()
-        real = pc.greater(pc.binary_length(words), 0)
-        words, piece = words.filter(real), piece.filter(real)
-        row = row.take(piece)
-        yield words, lang.take(row), piece.to_numpy(), row.to_numpy(), first, last
+        text = _lowered(text)
+        at, data = np.frombuffer(text.buffers()[1], np.int64), np.frombuffer(text.buffers()[2], np.uint8)
+        edge, real = np.zeros(len(data) + 1, bool), ~(BREAKS | SPACES)[data]
+        edge[at] = True
+        start = np.flatnonzero(real & (edge[:-1] | ~np.append(False, real[:-1])))
+        end = np.flatnonzero(real & (edge[1:] | ~np.append(real[1:], False))) + 1
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(0, np.cumsum(end - start))), pa.py_buffer(data[real]))
+        piece = np.cumsum(BREAKS[data] | edge[:-1], dtype=np.int32)[start]
+        row = np.repeat(np.arange(last - first), np.diff(np.searchsorted(start, at)))
+        yield words, lang.take(pa.array(row)), piece, row, first, last
 
 
 def _encoded(values: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -46,6 +46,20 @@ def test_groups_far_into_a_batch():
     assert seen == len(texts) and batch.nbytes > 5 * collocations.GROUP
 
 
+def test_words_of_odd_texts():
+    r = random.Random(6)
+    marks = ["a", "B", "é", "日", "\x85", "\xa0", "\x00", "\x1f", "-", " ", "\t", ".", ",", ";", ":", "!", "?", "\n", "\x0b", "\x0c", "\r"]
+    for _ in range(300):
+        texts = [None if r.random() < .1 else "".join(r.choices(marks, k=r.choice([0, 1, 2, 40]))) for _ in range(r.randrange(0, 9))]
+        langs = [r.choice(["en", None, "de"]) for _ in texts]
+        batch = pa.RecordBatch.from_arrays([pa.array(["xx", *langs], pa.string()), pa.array([".x", *texts], pa.string())], names=["lang", "text"]).slice(1)
+        want = [(w, g or "und", i, p) for i, (t, g) in enumerate(zip(texts, langs)) for p, x in enumerate(re.split(r"[.,;:!?\n\x0b\x0c\r]+", brute.lower(t or "")))
+                for w in re.split(r"[ \t]+", x) if w]
+        got = [x for words, lang, piece, row, _, _ in collocations._tokens(batch) for x in zip(words.to_pylist(), lang.to_pylist(), row.tolist(), piece.tolist())]
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        assert [a[3] != b[3] for a, b in zip(got, got[1:])] == [a[2:] != b[2:] for a, b in zip(want, want[1:])]
+
+
 def test_nothing_frequent_and_nothing_at_all(spark):
     docs = documents(spark)
     assert ordered(map(tuple, collocations.mine(docs, least=20).collect())) == \
